@@ -32,3 +32,16 @@ def finite_or_null(c: Column) -> Column:
 def mean_of(flag: Column) -> Column:
     """Share of rows for which the flag holds."""
     return F.avg(flag.cast("int"))
+
+
+# The number spellings a pick file may use.
+_NUMBER = r"(?i)^[+-]?((\d[\d_]*)?\.?\d[\d_]*\.?([eE][+-]?\d+)?|\d[\d_]*\.([eE][+-]?\d+)?|inf|infinity|nan)$"
+
+
+def parse_number(text: Column) -> Column:
+    """A double, or null for text that is not a plain decimal number.
+
+    A bare cast would also take suffixes such as 1d or 2f. Digit-separating underscores are allowed.
+    """
+    plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
+    return F.when(text.rlike(_NUMBER), plain.try_cast("double"))

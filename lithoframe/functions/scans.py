@@ -8,6 +8,8 @@ block. Only the summaries are scanned per group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ from lithoframe.functions.lineage import cut
 ROWS_PER_BLOCK = 100_000
 _BLK = "_blk"
 
+_AGGS = {
+    "sum": F.sum, "min": F.min, "max": F.max,
+    "last": lambda c: F.last(c, ignorenulls=True),
+}
+
+
+def _merge(how: str, own: Column, carry: Column) -> Column:
+    """Combine a value from within a block with what came before the block."""
+    if how == "sum":
+        return F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(own + carry)
+    return {"min": F.least, "max": F.greatest, "last": F.coalesce}[how](own, carry)
+
 
 class OrderedScan:
     """Running values along ``order`` within ``keys``; ``df`` grows a column per call."""
@@ -51,47 +65,59 @@ class OrderedScan:
     def _blocks(self):
         return Window.partitionBy(*self.keys).orderBy(_BLK)
 
-    def _with_summary(self, agg: Column, carry, name: str) -> None:
-        """Attach, to each row, a value derived from the summaries of its neighbour blocks."""
-        per_block = (self.df.groupBy(*self.keys, _BLK).agg(agg.alias("_s"))
-                     .select(*self.keys, _BLK, carry(F.col("_s")).alias(name)))
-        self.df = self.df.join(per_block, [*self.keys, _BLK], "left")
-
-    def running(self, out: str, how: str, value: Column, through: int = 0) -> OrderedScan:
-        """Running sum, min, max or last non-null; ``through=-1`` leaves the current row out."""
-        aggs = {
-            "sum": F.sum, "min": F.min, "max": F.max,
-            "last": lambda c: F.last(c, ignorenulls=True),
-        }
+    def _join_blocks(self, aggs: dict[str, Column], carries: dict[str, Column]) -> None:
+        """Attach to each row what its block receives from the block summaries of its group."""
+        per_block = self.df.groupBy(*self.keys, _BLK).agg(*[c.alias(n) for n, c in aggs.items()])
+        carried = per_block.select(*self.keys, _BLK, *[c.alias(n) for n, c in carries.items()])
+        self.df = self.df.join(carried, [*self.keys, _BLK], "left")
+
+    def running(self, specs: dict[str, tuple[str, Column]], through: int = 0) -> OrderedScan:
+        """Running sum, min, max or last non-null per output name.
+
+        ``through=-1`` leaves the current row out; the value is null where nothing precedes.
+        """
         rows = self._rows().rowsBetween(Window.unboundedPreceding, through)
-        self.df = self.df.withColumn("_val", value).withColumn(out, aggs[how](F.col("_val")).over(rows))
+        self.df = self.df.withColumns({f"_in_{o}": c for o, (_, c) in specs.items()})
+        self.df = self.df.withColumns({
+            o: _AGGS[how](F.col(f"_in_{o}")).over(rows) for o, (how, _) in specs.items()})
         if self.split:
-            if how == "last":
-                block_agg = F.max_by(F.col("_val"), F.when(
-                    F.col("_val").isNotNull(), F.struct(*self.order)))
-            else:
-                block_agg = aggs[how](F.col("_val"))
             prior = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
-            self._with_summary(block_agg, lambda s: aggs[how](s).over(prior), "_carry")
-            own, carry = F.col(out), F.col("_carry")
-            merged = {
-                "sum": F.when(own.isNull() & carry.isNull(), None).otherwise(
-                    F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0))),
-                "min": F.least(own, carry),
-                "max": F.greatest(own, carry),
-                "last": F.coalesce(own, carry),
-            }[how]
-            self.df = self.df.withColumn(out, merged).drop("_carry")
-        self.df = self.df.drop("_val")
+            self._join_blocks(
+                {f"_s_{o}": self._block_value(how, F.col(f"_in_{o}")) for o, (how, _) in specs.items()},
+                {f"_c_{o}": _AGGS[how](F.col(f"_s_{o}")).over(prior) for o, (how, _) in specs.items()})
+            self.df = self.df.withColumns({
+                o: _merge(how, F.col(o), F.col(f"_c_{o}")) for o, (how, _) in specs.items()})
+        self.df = self.df.drop(*[f"{p}_{o}" for o in specs for p in ("_in", "_c")])
+        return self
+
+    def _block_value(self, how: str, value: Column) -> Column:
+        if how != "last":
+            return _AGGS[how](value)
+        return F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
+
+    def whole(self, specs: dict[str, tuple[str, Column]]) -> OrderedScan:
+        """Sum, min or max of the whole group on every row."""
+        if not self.split:
+            group = Window.partitionBy(*self.keys)
+            self.df = self.df.withColumns({o: _AGGS[how](c).over(group) for o, (how, c) in specs.items()})
+            return self
+        group = Window.partitionBy(*self.keys)
+        self._join_blocks({f"_s_{o}": _AGGS[how](c) for o, (how, c) in specs.items()},
+                          {o: _AGGS[how](F.col(f"_s_{o}")).over(group) for o, (how, _) in specs.items()})
         return self
 
     def next_row(self, out: str, cols: list[str]) -> OrderedScan:
         """The following row of the group as a struct, null at the end."""
         self.df = self.df.withColumn(out, F.lead(F.struct(*cols)).over(self._rows()))
         if self.split:
-            self._with_summary(F.min_by(F.struct(*cols), F.struct(*self.order)),
-                               lambda s: F.lead(s).over(self._blocks()), "_carry")
-            self.df = self.df.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
+            self._join_blocks({"_s": F.min_by(F.struct(*cols), F.struct(*self.order))},
+                              {"_c": F.lead("_s").over(self._blocks())})
+            self.df = self.df.withColumn(out, F.coalesce(out, "_c")).drop("_c")
+        return self
+
+    def apply(self, fn: Callable[[DataFrame], DataFrame]) -> OrderedScan:
+        """Add columns row by row."""
+        self.df = fn(self.df)
         return self
 
     def result(self) -> DataFrame:
