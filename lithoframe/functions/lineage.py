@@ -26,7 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._is_cut = True
+    return written
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -34,6 +36,6 @@ def sized(df: DataFrame) -> DataFrame:
 
     Written out, its size is known from its files: the planner broadcasts it below
     spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise. Without this a small aggregate
-    carries a size estimate as large as its input.
+    carries a size estimate as large as its input. A table that is already written is kept.
     """
-    return cut(df)
+    return df if getattr(df, "_is_cut", False) else cut(df)

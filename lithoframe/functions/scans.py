@@ -40,9 +40,14 @@ class OrderedScan:
     @classmethod
     def on_dense_order(cls, df: DataFrame, keys: list[str], order: str,
                        rows_per_block: int = ROWS_PER_BLOCK) -> OrderedScan:
-        """Blocks by arithmetic on an integer order column that is unique within its key."""
-        block = F.floor(F.col(order) / rows_per_block)
-        return cls(df.withColumn(_BLK, block), keys, [order], True)
+        """Blocks by arithmetic on an integer order column that is unique within its key.
+
+        The rows are read several times, so they are written out first; if all fall into one block
+        nothing is handed over between blocks.
+        """
+        rows = cut(df.withColumn(_BLK, F.floor(F.col(order) / rows_per_block)))
+        lo, hi = rows.agg(F.min(_BLK), F.max(_BLK)).first()
+        return cls(rows, keys, [order], lo != hi)
 
     @classmethod
     def on_any_order(cls, df: DataFrame, keys: list[str], order: list[str],

@@ -49,7 +49,7 @@ def infer_geometry(traces: DataFrame) -> DataFrame:
         F.max("n_samples").alias("n_samples"),
         F.max("dt_ms").alias("sample_rate_ms"),
         F.min_by("delay_ms", "trace_no").alias("datum_ms"))
-    return grid.join(records, SURVEY)
+    return sized(grid.join(records, SURVEY))
 
 
 def flag_irregular(geometry: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def keep_first_inlines(traces: DataFrame, geometry: DataFrame,
     """Sample mode: the first n inline positions of each survey."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    bounds = sized(geometry.select(
-        "survey_id", (F.col("inline_min") + (n - 1) * F.col("inline_step")).alias("_last")))
+    bounds = sized(geometry).select(
+        "survey_id", (F.col("inline_min") + (n - 1) * F.col("inline_step")).alias("_last"))
     return traces.join(bounds, SURVEY).where(F.col("inline") <= F.col("_last")).drop("_last")
 
 
@@ -182,9 +182,9 @@ def fit_georeference(traces: DataFrame, geometry: DataFrame) -> DataFrame:
         F.col(il).alias("il"), F.col(xl).alias("xl"))
     corners = F.array(corner("inline_min", "crossline_min"), corner("inline_max", "crossline_min"),
                       corner("inline_min", "crossline_max"))
-    return (geometry.join(fit, SURVEY, "left").join(residual, SURVEY, "left")
-            .withColumn("corner_points", F.when(F.col("max_residual") <= MAX_FIT_RESIDUAL_M, corners))
-            .select(*geometry.columns, "max_residual", "corner_points"))
+    return sized(geometry.join(fit, SURVEY, "left").join(residual, SURVEY, "left")
+                 .withColumn("corner_points", F.when(F.col("max_residual") <= MAX_FIT_RESIDUAL_M, corners))
+                 .select(*geometry.columns, "max_residual", "corner_points"))
 
 
 def three_point_transform(geometry: DataFrame) -> DataFrame:
@@ -200,12 +200,12 @@ def three_point_transform(geometry: DataFrame) -> DataFrame:
         F.raise_error("tie points are collinear").cast("double"))
     by_x = lambda f: (d(1, f) * d(2, "y") - d(2, f) * d(1, "y")) / safe
     by_y = lambda f: (d(2, f) * d(1, "x") - d(1, f) * d(2, "x")) / safe
-    return ready.select(
+    return sized(ready.select(
         "survey_id", p[0]["x"].alias("x0"), p[0]["y"].alias("y0"),
         p[0]["il"].cast("double").alias("il0"), p[0]["xl"].cast("double").alias("xl0"),
         by_x("il").alias("il_dx"), by_y("il").alias("il_dy"),
         by_x("xl").alias("xl_dx"), by_y("xl").alias("xl_dy"),
-        "sample_rate_ms", "datum_ms")
+        "sample_rate_ms", "datum_ms"))
 
 
 def world_to_grid(points: DataFrame, transform: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def section_stats(traces: DataFrame) -> DataFrame:
 
 def evenly_spaced(traces: DataFrame, geometry: DataFrame, n: int = SAMPLED_TRACES) -> DataFrame:
     """At most n grid cells at a fixed stride over the line-by-line cell order."""
-    g = sized(geometry.select(
+    g = sized(geometry).select(
         "survey_id", "inline_min", "inline_step", "n_inlines",
-        "crossline_min", "crossline_step", "n_crosslines"))
+        "crossline_min", "crossline_step", "n_crosslines")
     index = lambda axis: line_to_index(F.col(axis), F.col(f"{axis}_min"), F.col(f"{axis}_step"),
                                        F.col(f"n_{axis}s")).cast("long")
     linear = index("inline") * F.col("n_crosslines") + index("crossline")
@@ -229,7 +229,7 @@ def label_report(mask: DataFrame, baseline: DataFrame, shapes: DataFrame) -> Dat
 
 def stick_report(picks: DataFrame, shapes: DataFrame) -> DataFrame:
     """Extent of the picks per survey and how many fall outside the volume."""
-    g = sized(shapes.select("survey_id", "n_inlines", "n_crosslines", "n_samples"))
+    g = sized(shapes).select("survey_id", "n_inlines", "n_crosslines", "n_samples")
     outside = F.lit(False)
     for c, n in (("il", "n_inlines"), ("xl", "n_crosslines"), ("s", "n_samples")):
         outside = outside | (F.col(c) < 0) | (F.col(c) >= F.col(n))

@@ -97,7 +97,7 @@ def clip_to(voxels: DataFrame, shapes: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for axis, n in AXES.items():
         inside = inside & (F.col(axis) >= 0) & (F.col(axis) < F.col(n))
-    s = sized(shapes.select("survey_id", *AXES.values()))
+    s = sized(shapes).select("survey_id", *AXES.values())
     return voxels.join(s, SURVEY).where(inside).select(*voxels.columns)
 
 
@@ -119,7 +119,8 @@ def rasterise_world_sticks(sticks: DataFrame, order: list[str], transform: DataF
                            geometry: DataFrame, dilation: int = 1) -> DataFrame:
     """Sticks in metres and milliseconds to a mask through the survey transform."""
     placed = world_to_grid(sticks, transform)
-    g = sized(geometry.select("survey_id", "inline_min", "inline_step", "crossline_min", "crossline_step"))
+    geometry = sized(geometry)
+    g = geometry.select("survey_id", "inline_min", "inline_step", "crossline_min", "crossline_step")
     index = placed.join(g, SURVEY).select(
         *STICK, *order,
         ((F.col("il") - F.col("inline_min")) / F.col("inline_step")).alias("il"),
@@ -150,7 +151,7 @@ def dense_mask(mask: DataFrame, shapes: DataFrame) -> DataFrame:
                       F.lit(1).alias(f"{n}_step")]
     cells = grid_cells(shapes.select("survey_id", *axis("inline"), *axis("crossline"))).select(
         "survey_id", F.col("inline").alias("il"), F.col("crossline").alias("xl"))
-    sized_shapes = sized(shapes.select("survey_id", "n_samples"))
+    sized_shapes = sized(shapes).select("survey_id", "n_samples")
     full = cells.join(runs, ["survey_id", "il", "xl"], "left").join(sized_shapes, SURVEY)
     none = F.array().cast("array<int>")
     return full.select("survey_id", "il", "xl", F.transform(

@@ -51,7 +51,7 @@ def middle_sections(traces: DataFrame, geometry: DataFrame) -> DataFrame:
     """
     mid = lambda axis: (F.col(f"{axis}_min") + F.floor(F.col(f"n_{axis}s") / 2).cast("int")
                         * F.col(f"{axis}_step")).alias(f"_{axis}")
-    at = sized(geometry.select("survey_id", mid("inline"), mid("crossline")))
+    at = sized(geometry).select("survey_id", mid("inline"), mid("crossline"))
     both = F.array_compact(F.array(*[
         F.when(F.col(axis) == F.col(f"_{axis}"), F.lit(axis)) for axis in ("inline", "crossline")]))
     return traces.join(at, SURVEY).where(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.functions.lineage import cut
 from lithoframe.functions.numeric import parse_number
 from lithoframe.functions.scans import ROWS_PER_BLOCK, OrderedScan
 
@@ -20,21 +21,21 @@ _SPACE = r"(?U)\s+"
 
 
 def _tokenised(lines: DataFrame) -> DataFrame:
-    """Trimmed text and its tokens; blank lines are gone."""
+    """Trimmed text, its tokens and the numbers they spell; blank lines are gone."""
     text = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    return lines.select("file", "line_no", text.alias("text")).where(F.col("text") != "").withColumn(
-        "tok", F.split("text", _SPACE))
+    return (lines.select("file", "line_no", text.alias("text")).where(F.col("text") != "")
+            .withColumn("tok", F.split("text", _SPACE))
+            .withColumn("num", F.transform("tok", parse_number)))
 
 
 def _number(i: int) -> Column:
-    return parse_number(F.get("tok", F.lit(i)))
+    return F.get("num", F.lit(i))
 
 
 def _point(x: int, y: int, z: int) -> Column:
     """Three numeric tokens as a struct, null unless all parse."""
     nums = [_number(i) for i in (x, y, z)]
-    whole = nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull()
-    return F.when(whole, F.struct(nums[0].alias("x"), nums[1].alias("y"), nums[2].alias("z")))
+    return F.when(nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull(), F.struct(nums[0].alias("x"), nums[1].alias("y"), nums[2].alias("z")))
 
 
 def _sessions(events: DataFrame, rows_per_block: int) -> DataFrame:
@@ -53,8 +54,8 @@ def _sessions(events: DataFrame, rows_per_block: int) -> DataFrame:
         "starts": starts.cast("int"),
         "fault_name": F.coalesce("name", open_name, F.lit(UNNAMED))}))
     scan.running({"stick_no": ("sum", F.col("starts"))})
-    return scan.result().where(F.col("point").isNotNull()).select(
-        "file", "fault_name", "stick_no", "line_no", "point.*")
+    return cut(scan.result().where(F.col("point").isNotNull()).select(
+        "file", "fault_name", "stick_no", "line_no", "point.*"))
 
 
 def _drop_singles(points: DataFrame, stick: list[str]) -> DataFrame:
@@ -67,27 +68,24 @@ def _drop_singles(points: DataFrame, stick: list[str]) -> DataFrame:
 def parse_petrel(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``FAULT name`` headers, ``name x y z`` points and ``x y z`` continuations."""
     rows = _tokenised(lines).where(~F.substring("text", 1, 1).isin("#", "!", "/"))
-    n = F.size("tok")
-    header = F.col("text").rlike(r"(?iU)^FAULT\s+\S+$")
-    point = F.when(n == 4, _point(1, 2, 3)).when(n == 3, _point(0, 1, 2))
-    name = F.when(header, F.get("tok", F.lit(1))).when(
-        (n == 4) & point.isNotNull(), F.get("tok", F.lit(0)))
-    events = rows.select("file", "line_no", header.alias("header"), name.alias("name"),
-                         F.when(~header, point).alias("point"))
-    return _drop_singles(
-        _sessions(events.where(F.col("header") | F.col("point").isNotNull()), rows_per_block),
-        ["file", "stick_no"])
+    rows = rows.withColumns({
+        "header": F.col("text").rlike(r"(?iU)^FAULT\s+\S+$"), "n": F.size("tok"),
+        "point": F.when(F.size("tok") == 4, _point(1, 2, 3)).when(F.size("tok") == 3, _point(0, 1, 2))})
+    name = F.when(F.col("header"), F.get("tok", F.lit(1))).when(F.col("n") == 4, F.get("tok", F.lit(0)))
+    events = rows.where(F.col("header") | F.col("point").isNotNull()).select(
+        "file", "line_no", "header", name.alias("name"), "point")
+    return _drop_singles(_sessions(events, rows_per_block), ["file", "stick_no"])
 
 
 def parse_opendtect(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``Fault: name`` headers and points from the first three columns."""
     rows = _tokenised(lines).where(~F.col("text").startswith("#"))
     title = r"(?iU)^Fault\s*:\s*(.+)$"
-    header = F.col("text").rlike(title)
+    rows = rows.withColumn("header", F.col("text").rlike(title))
     events = rows.select(
-        "file", "line_no", header.alias("header"),
-        F.when(header, F.trim(F.regexp_extract("text", title, 1))).alias("name"),
-        F.when(~header & (F.size("tok") >= 3), _point(0, 1, 2)).alias("point"))
+        "file", "line_no", "header",
+        F.when(F.col("header"), F.trim(F.regexp_extract("text", title, 1))).alias("name"),
+        F.when(~F.col("header") & (F.size("tok") >= 3), _point(0, 1, 2)).alias("point"))
     return _drop_singles(
         _sessions(events.where(F.col("header") | F.col("point").isNotNull()), rows_per_block),
         ["file", "stick_no"])
@@ -112,7 +110,7 @@ def parse_index_dat(lines: DataFrame) -> DataFrame:
     """One stick per file; first two tokens and the last one, the last being a sample index."""
     rows = _tokenised(lines).where(
         ~F.col("text").startswith("#") & ~F.col("text").startswith("FAULT") & (F.size("tok") >= 3))
-    last = parse_number(F.element_at("tok", -1))
+    last = F.element_at("num", -1)
     return rows.select("file", "line_no", _number(0).alias("il"), _number(1).alias("xl"),
                        last.alias("s")).dropna(subset=["il", "xl", "s"])
 

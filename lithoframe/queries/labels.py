@@ -7,6 +7,7 @@ from lithoframe.operators.geometry import fit_georeference, infer_geometry, thre
 from lithoframe.queries import query
 from lithoframe.queries.tables import (
     PICKS, SHAPE, TRACES, TRUTH, picks, q6, r6, shapes, table, traces, truth,
+    world_sticks,
 )
 
 _N = (SHAPE["n_inlines"], SHAPE["n_crosslines"], SHAPE["n_samples"])
@@ -81,17 +82,16 @@ def _geometry(spark, sf):
     return fit_georeference(t, infer_geometry(t))
 
 
-@query("r4_world_sticks_to_mask", f"""WITH {PICKS}, {_arc("picks", "pt_no")}, {_painted(1)}
+# picks stand slightly off the lines, so that no position lies on a rounding boundary
+@query("r4_world_sticks_to_mask", f"""WITH {PICKS}, off AS (SELECT * REPLACE (xl + 0.001 AS xl) FROM picks),
+  {_arc("off", "pt_no")}, {_painted(1)}
   SELECT survey_id, il, xl, s FROM mask""")
 def r4(spark, sf):
-    from lithoframe.queries.tables import world_sticks
     geo = _geometry(spark, sf)
     # grid origin and transform of the survey; the pick volume is larger than the recorded one
     volume = geo.withColumns({k: F.lit(v) for k, v in SHAPE.items()})
-    snapped = raster.world_to_grid(world_sticks(spark, sf), three_point_transform(geo))
-    index = snapped.select("survey_id", "stick_id", "pt_no", *[
-        F.round(F.col(c) - off, 6).alias(c) for c, off in (("il", 1001), ("xl", 1900), ("s", 0))])
-    return raster.rasterise_index_sticks(index, ["pt_no"], volume, dilation=1)
+    return raster.rasterise_world_sticks(
+        world_sticks(spark, sf, 0.001), ["pt_no"], three_point_transform(geo), volume, dilation=1)
 
 
 @query("r5_index_sticks_to_mask", f"""WITH {PICKS}, {_dense("picks", "dense")}, {_arc("dense", "il, pt_no, step")}, {_painted(1)}

@@ -161,10 +161,10 @@ def shapes(spark: SparkSession) -> DataFrame:
         F.lit("main").alias("survey_id"), *[F.lit(v).alias(k) for k, v in SHAPE.items()])
 
 
-def world_sticks(spark: SparkSession, sf: str) -> DataFrame:
-    """The same picks in world metres and milliseconds."""
+def world_sticks(spark: SparkSession, sf: str, shift: float = 0.0) -> DataFrame:
+    """The same picks in world metres and milliseconds, ``shift`` crosslines to the side."""
     p = picks(spark, sf)
-    il, xl = F.col("il") + 1001, F.col("xl") + 1900
+    il, xl = F.col("il") + 1001, F.col("xl") + (1900 + shift)
     return p.select("survey_id", "stick_id", "pt_no",
                     (12.5 * il + 24.0 * xl + 605000.0).alias("x"),
                     (23.0 * il - 3.5 * xl + 6073000.0).alias("y"), (F.col("s") * 4.0).alias("z"))
