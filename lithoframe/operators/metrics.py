@@ -86,28 +86,40 @@ def average_precision(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.least(F.lit(1.0), F.sum("gain")).alias("ap"))
 
 
-def _share_near(own: DataFrame, other: DataFrame, radius: int, name: str) -> DataFrame:
-    """Share of ``own`` voxels within a Chebyshev distance of ``other``."""
-    near = dilate(other, radius).withColumn("near", F.lit(1))
-    return own.select(*VOXEL).distinct().join(near, VOXEL, "left").groupBy("survey_id").agg(
-        (F.count("near") / F.count("*")).alias(name))
+def _both_ways(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each set beside its counterpart, tagged by side, so both directions run as one job."""
+    tag = lambda df, side: df.select(F.lit(side).alias("side"), *VOXEL)
+    own = tag(pred, "pred").unionByName(tag(truth, "truth")).distinct()
+    other = tag(truth, "pred").unionByName(tag(pred, "truth"))
+    return own, other
 
 
-def tolerant_metrics(pred: DataFrame, truth: DataFrame, radius: int) -> DataFrame:
-    """Precision and recall that forgive offsets up to ``radius`` voxels; 0 for an empty set."""
-    p = _share_near(pred, truth, radius, f"precision_{radius}")
-    r = _share_near(truth, pred, radius, f"recall_{radius}")
-    return p.join(r, SURVEY, "full").fillna(0.0)
+def tolerant_metrics(pred: DataFrame, truth: DataFrame, *radii: int) -> DataFrame:
+    """Precision and recall that forgive offsets up to each radius; 0 for an empty set.
+
+    Offsets are Chebyshev distances, so a larger dilation grows out of the smaller one.
+    """
+    own, grown = _both_ways(pred, truth)
+    reached = 0
+    for r in sorted(radii):
+        grown = dilate(grown, r - reached, keys=("side",))
+        reached = r
+        own = own.join(grown.withColumn(f"near_{r}", F.lit(1)), ["side", *VOXEL], "left")
+    shares = own.groupBy("survey_id", "side").agg(*[
+        (F.count(f"near_{r}") / F.count("*")).alias(f"share_{r}") for r in radii])
+    pick = lambda side, r: F.coalesce(
+        F.max(F.when(F.col("side") == side, F.col(f"share_{r}"))), F.lit(0.0))
+    return shares.groupBy("survey_id").agg(*[
+        pick(side, r).alias(f"{name}_{r}") for r in radii
+        for side, name in (("pred", "precision"), ("truth", "recall"))])
 
 
 # --- nearest voxel ---------------------------------------------------------------------------
 
-_CELL_EDGES = (2, 4, 8)
+_CELL_EDGES = (4, 8)
 _C = {"il": "ci", "xl": "cj", "s": "ck"}
-
-
-def _cell(edge: int) -> dict[str, Column]:
-    return {c: F.floor(F.col(a) / edge).cast("int") for a, c in _C.items()}
+_POINT = ["side", *VOXEL]
+_SET = ["side", *SURVEY]
 
 
 def _square_gap(edge: int, far: bool) -> Column:
@@ -123,17 +135,21 @@ def _square_gap(edge: int, far: bool) -> Column:
 
 
 def _within_cells(queries: DataFrame, targets: DataFrame, edge: int) -> DataFrame:
-    """Smallest squared distance to targets in the 27 cells around each query."""
-    # targets sit in cells of a fixed edge, so a cell pairs a query with at most edge**3 of them
-    cells = targets.select("survey_id", *[F.col(a).alias(f"t_{a}") for a in _C],
+    """Smallest squared distance to targets in the 27 cells around each query.
+
+    Voxels are distinct, so a cell holds at most edge**3 targets whatever the data.
+    """
+    cells = targets.select(*_SET, *[F.col(a).alias(f"t_{a}") for a in _C],
                            *[F.floor(F.col(a) / edge).cast("int").alias(c) for a, c in _C.items()])
-    around = queries.select(*VOXEL)
+    around = queries.select(*_POINT)
     for a, c in _C.items():
         home = F.floor(F.col(a) / edge).cast("int")
         around = around.withColumn(c, F.explode(F.sequence(home - 1, home + 1)))
-    d2 = sum((F.pow(F.col(a) - F.col(f"t_{a}"), F.lit(2.0)) for a in _C), F.lit(0.0))
-    return around.join(cells, ["survey_id", *_C.values()]).groupBy(*VOXEL).agg(
-        F.min(d2).cast("long").alias("d2"))
+    d2 = F.lit(0).cast("long")
+    for a in _C:
+        gap = (F.col(a) - F.col(f"t_{a}")).cast("long")
+        d2 = d2 + gap * gap
+    return around.join(cells, [*_SET, *_C.values()]).groupBy(*_POINT).agg(F.min(d2).alias("d2"))
 
 
 def _by_descent(queries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -142,47 +158,50 @@ def _by_descent(queries: DataFrame, targets: DataFrame) -> DataFrame:
     A cell is kept while its nearest corner may still beat the farthest corner of the best cell, so
     a query follows a few cells per level rather than all targets.
     """
-    span = targets.unionByName(queries.select(*VOXEL)).agg(*[
-        f(F.abs(a)).alias(f"{a}") for a in _C for f in (F.max,)]).first()
-    edge = 1
-    while edge <= max(span):
-        edge *= 2
-    occupied = lambda e: targets.select("survey_id", *[v.alias(k) for k, v in _cell(e).items()]).distinct()
-    frontier = queries.select(*VOXEL).join(occupied(edge), SURVEY)  # at most 8 cells per survey
+    reach = targets.unionByName(queries).agg(
+        F.max(F.greatest(*[F.abs(a) for a in _C]))).first()[0]
+    edge = 1 << max(1, int(reach).bit_length())  # at this edge a set has at most 8 cells
+
+    def occupied(e: int) -> DataFrame:
+        cell = [F.floor(F.col(a) / e).cast("int").alias(c) for a, c in _C.items()]
+        return targets.select(*_SET, *cell).distinct()
+
+    frontier = queries.join(occupied(edge), _SET)
     while edge > 1:
         edge //= 2
         children = occupied(edge).withColumns({
             f"p{c}": F.floor(F.col(c) / 2).cast("int") for c in _C.values()})
-        parents = frontier.select(*VOXEL, *[F.col(c).alias(f"p{c}") for c in _C.values()])
-        ranged = parents.join(children, ["survey_id", *[f"p{c}" for c in _C.values()]]).select(
-            *VOXEL, *_C.values(), _square_gap(edge, far=False).alias("near"),
+        parents = frontier.select(*_POINT, *[F.col(c).alias(f"p{c}") for c in _C.values()])
+        ranged = parents.join(children, [*_SET, *[f"p{c}" for c in _C.values()]]).select(
+            *_POINT, *_C.values(), _square_gap(edge, far=False).alias("near"),
             _square_gap(edge, far=True).alias("far"))
-        best = F.min("far").over(Window.partitionBy(*VOXEL))
+        best = F.min("far").over(Window.partitionBy(*_POINT))
         frontier = cut(ranged.withColumn("best", best).where(F.col("near") <= F.col("best")).drop("best"))
-    return frontier.groupBy(*VOXEL).agg(F.min("near").alias("d2"))
+    return frontier.groupBy(*_POINT).agg(F.min("near").alias("d2"))
 
 
 def nearest_squared_distance(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """Exact squared Euclidean distance of each voxel to the nearest target voxel of its survey.
+    """Exact squared Euclidean distance of each voxel to the nearest target voxel of its side.
 
     Voxels near a target are settled in small cells; the few left over descend a cell hierarchy.
-    Surveys without targets give no rows.
+    Voxels of a side without targets give no rows.
     """
-    targets = cut(targets.select(*VOXEL).distinct())
-    left = cut(points.select(*VOXEL).distinct().join(targets.select("survey_id").distinct(), SURVEY, "left_semi"))
-    shared = left.join(targets, VOXEL, "left_semi").withColumn("d2", F.lit(0).cast("long"))
-    done = [shared]
-    left = left.join(targets, VOXEL, "left_anti")
+    targets = cut(targets.select(*_POINT).distinct())
+    hit = points.select(*_POINT).distinct().join(
+        targets.withColumn("d2", F.lit(0).cast("long")), _POINT, "left")
+    hit = cut(hit.join(targets.select(*_SET).distinct(), _SET, "left_semi"))
+    done = [hit.where(F.col("d2") == 0)]
+    left = hit.where(F.col("d2").isNull()).select(*_POINT)
     for edge in _CELL_EDGES:
-        found = cut(left.join(_within_cells(left, targets, edge), VOXEL, "left"))
-        settled = F.col("d2") <= edge * edge
-        done.append(found.where(settled))
-        left = found.where(~settled | F.col("d2").isNull()).drop("d2")
         if left.isEmpty():
             break
-    else:
+        found = cut(left.join(_within_cells(left, targets, edge), _POINT, "left"))
+        settled = F.coalesce(F.col("d2") <= edge * edge, F.lit(False))
+        done.append(found.where(settled))
+        left = found.where(~settled).select(*_POINT)
+    if not left.isEmpty():
         done.append(_by_descent(left, targets))
-    out = done[0]
+    out = done[0].select(*_POINT, "d2")
     for part in done[1:]:
         out = out.unionByName(part)
     return out
@@ -190,21 +209,20 @@ def nearest_squared_distance(points: DataFrame, targets: DataFrame) -> DataFrame
 
 def surface_distance(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Average symmetric surface distance in voxels; infinite where one set is empty."""
-    mean = lambda a, b, name: nearest_squared_distance(a, b).groupBy("survey_id").agg(
-        F.avg(F.sqrt("d2")).alias(name))
-    surveys = pred.select("survey_id").unionByName(truth.select("survey_id")).distinct()
-    return (surveys.join(mean(pred, truth, "to_truth"), SURVEY, "left")
-            .join(mean(truth, pred, "to_pred"), SURVEY, "left")
-            .select("survey_id", F.coalesce((F.col("to_truth") + F.col("to_pred")) / 2,
-                                            F.lit(float("inf"))).alias("assd")))
+    own, other = _both_ways(pred, truth)
+    means = nearest_squared_distance(own, other).groupBy(*_SET).agg(F.avg(F.sqrt("d2")).alias("mean"))
+    both = means.groupBy("survey_id").agg((F.sum("mean") / 2).alias("assd"))
+    surveys = own.select("survey_id").distinct()
+    return surveys.join(both, SURVEY, "left").select(
+        "survey_id", F.coalesce("assd", F.lit(float("inf"))).alias("assd"))
 
 
 def evaluation_row(pred: DataFrame, truth: DataFrame, shapes: DataFrame) -> DataFrame:
     """All metrics of a survey in one row. Continuity and throw are not measured and stay 0."""
     pred, truth = cut(pred.select(*VOXEL).distinct()), cut(truth.select(*VOXEL).distinct())
     row = shapes.select("survey_id", "n_inlines", "n_crosslines", "n_samples")
-    for part in (binary_metrics(pred, truth), tolerant_metrics(pred, truth, 3),
-                 tolerant_metrics(pred, truth, 5), surface_distance(pred, truth)):
+    for part in (binary_metrics(pred, truth), tolerant_metrics(pred, truth, 3, 5),
+                 surface_distance(pred, truth)):
         row = row.join(part, SURVEY, "left")
     tolerant = [f"{m}_{n}" for n in (3, 5) for m in ("precision", "recall")]
     zero = ["tp", "fp", "fn", "iou", "dice", "precision", "recall", "f1", *tolerant]

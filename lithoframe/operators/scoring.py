@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.functions.arrays import blank
 from lithoframe.functions.lineage import sized
 from lithoframe.operators.geometry import SURVEY
-from lithoframe.operators.patches import FLAT, PATCH, Size, cut_patches, overlap_stride
+from lithoframe.operators.patches import FLAT, PATCH, Size, covering, cut_patches, overlap_stride
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
@@ -97,7 +98,7 @@ def score_volume(volume: DataFrame, shapes: DataFrame, patch: Size, predict: Pre
                 "weight": np.tile(wi[di] * wx[dx], n),
                 "prob": list(probs)})
 
-    def blend(key, f: pd.DataFrame) -> pd.DataFrame:
+    def blend(key, f):
         survey, il, _ = key
         xls, row = np.unique(f["xl"].to_numpy(), return_inverse=True)
         num = np.zeros((len(xls), int(f["n_samples"].iloc[0])))
@@ -114,8 +115,17 @@ def score_volume(volume: DataFrame, shapes: DataFrame, patch: Size, predict: Pre
         slices, "survey_id string, il int, xl int, s0 int, weight double, prob array<double>")
     n_s = sized(shapes).select("survey_id", "n_samples")
     strip = F.floor(F.col("xl") / LINE_BLOCK).alias("strip")
-    return scored.join(n_s, SURVEY).groupBy("survey_id", "il", strip).applyInPandas(
+    blended = scored.join(n_s, SURVEY).groupBy("survey_id", "il", strip).applyInPandas(
         blend, "survey_id string, il int, xl int, prob array<float>")
+    if not uniform:
+        return blended
+    # traces outside every window are found by arithmetic, not by comparing with the result
+    sizes = sized(shapes).select("survey_id", "n_inlines", "n_crosslines", "n_samples")
+    missed = F.lit(False)
+    for i, (axis, n) in enumerate((("il", "n_inlines"), ("xl", "n_crosslines"))):
+        missed = missed | (F.size(covering(F.col(axis), F.col(n), patch[i], overlap_stride(patch, overlap)[i])) == 0)
+    return blended.unionByName(volume.join(sizes, SURVEY).where(missed).select(
+        "survey_id", "il", "xl", blank(F.col("n_samples")).alias("prob")))
 
 
 def threshold_mask(probs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -89,7 +89,7 @@ def _tolerant_sql(n: int) -> str:
 @query("v5_tolerant_metrics", f"WITH {_SHIFTED} SELECT 'main' AS survey_id, {_tolerant_sql(1)}, {_tolerant_sql(3)}")
 def v5(spark, sf):
     p, t = predicted(spark, sf), _truth(spark, sf)
-    both = v.tolerant_metrics(p, t, 1).join(v.tolerant_metrics(p, t, 3), "survey_id")
+    both = v.tolerant_metrics(p, t, 1, 3)
     return both.select("survey_id", *[r6(F.col(c)).alias(c) for c in both.columns if c != "survey_id"])
 
 

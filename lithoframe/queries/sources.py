@@ -1 +1,256 @@
-"""Registered queries."""
+"""Reader, writer and stream queries. Files are made by Spark from the driver tables."""
+
+from __future__ import annotations
+
+import struct
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lithoframe.functions.lineage import checkpoint_dir
+from lithoframe.operators.patches import to_index_space
+from lithoframe.queries import query
+from lithoframe.queries.patches import shape_of
+from lithoframe.queries.tables import (
+    PICKS, RUNS, TRACES, TRUTH, picks, q6, r6, runs, table, traces, truth,
+)
+from lithoframe.sources import catalogs, listing, segy, sidecars, volume
+from lithoframe.sources import tables as tables_source
+from lithoframe.sources.text import text_lines
+from lithoframe.streaming import ingest, run_status
+
+
+def scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def segy_bytes(spark, sf):
+    """(path, content): the traces of each inline as a SEG-Y file with IEEE samples."""
+    def encode(frames):
+        for f in frames:
+            out = []
+            for _, r in f.iterrows():
+                n = int(r["n_samples"])
+                head = bytearray(segy.TEXT_HEADER + segy.BINARY_HEADER)
+                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.DT_AT, 4000)
+                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.SAMPLES_AT, n)
+                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.FORMAT_AT, segy.IEEE_FLOAT)
+                body = []
+                for t in r["traces"]:
+                    th = bytearray(segy.TRACE_HEADER)
+                    for name, (kind, at) in segy.TRACE_FIELDS.items():
+                        struct.pack_into(">h" if kind == ">i2" else ">i", th, at - 1, int(t[name]))
+                    body.append(bytes(th) + np.asarray(t["samples"], ">f4").tobytes())
+                out.append((f"il{int(r['inline']):08d}.sgy", bytes(head) + b"".join(body)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    one = F.struct("trace_no", "crossline", "inline", "cdp_x", "cdp_y", "coord_scalar", "delay_ms", "samples")
+    return traces(spark, sf).groupBy("inline", "n_samples").agg(
+        F.sort_array(F.collect_list(one)).alias("traces")).mapInPandas(encode, "path string, content binary")
+
+
+def segy_folder(spark, sf) -> str:
+    """Write those files, each by the task that holds it."""
+    folder = scratch(spark, "segy")
+
+    def write(frames):
+        from pyarrow import fs
+        system, base = segy._open(folder)
+        system.create_dir(base, recursive=True)
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield f[["path"]]
+
+    segy_bytes(spark, sf).mapInPandas(write, "path string").count()
+    return folder
+
+
+_TRACE_SQL = f"""WITH {TRACES}
+  SELECT inline, crossline, {q6("(12.5 * inline + 24.0 * crossline + 605000.0) * 10", 0)} AS cdp_x,
+         CAST(4.0 AS DOUBLE) AS dt_ms, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS total FROM traces"""
+_TOTAL = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+
+def _shown(df):
+    return df.select("inline", "crossline", r6(F.col("cdp_x"), 0).alias("cdp_x"), "dt_ms", r6(_TOTAL).alias("total"))
+
+
+@query("s1_segy_source", _TRACE_SQL)
+def s1(spark, sf):
+    return _shown(segy.read_segy(spark, segy_folder(spark, sf), partition_bytes=4096))
+
+
+@query("s1_segy_pushdown", _TRACE_SQL + " WHERE inline >= 1005 AND crossline = 1911")
+def s1_pushdown(spark, sf):
+    read = segy.read_segy(spark, segy_folder(spark, sf))
+    return _shown(read.where((F.col("inline") >= 1005) & (F.col("crossline") == 1911)))
+
+
+@query("s2_segy_bytes", _TRACE_SQL)
+def s2(spark, sf):
+    return _shown(segy.from_bytes(segy_bytes(spark, sf)))
+
+
+@query("s3_volume_sink", f"""WITH {TRACES}
+  SELECT survey_id, inline, crossline, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS total FROM traces WHERE inline BETWEEN 1002 AND 1017""")
+def s3(spark, sf):
+    path = scratch(spark, "volume")
+    volume.write_volume(traces(spark, sf), path)
+    return volume.inline_range(volume.read_volume(spark, path), 1002, 1017).select(
+        "survey_id", "inline", "crossline", r6(_TOTAL).alias("total"))
+
+
+@query("s4_brick_layout", f"""WITH {TRACES}
+  SELECT CAST((inline - 1001) // 8 AS INTEGER) AS ib, CAST((crossline - 1900) // 8 AS INTEGER) AS xb, CAST(s // 16 AS INTEGER) AS sb,
+         count(*) AS voxels, {q6("sum(a)")} AS total FROM voxels GROUP BY ALL""")
+def s4(spark, sf):
+    path = scratch(spark, "bricks")
+    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), shape_of(spark, sf)), (8, 8, 16)), path)
+    return spark.read.parquet(path).groupBy("ib", "xb", "sb").agg(
+        F.sum(F.size("samples")).alias("voxels"), r6(F.sum(_TOTAL)).alias("total"))
+
+
+@query("s5_mask_sink", f"WITH {TRACES}, {TRUTH} SELECT survey_id, il, xl, s FROM truth")
+def s5(spark, sf):
+    path = scratch(spark, "mask")
+    volume.write_mask(truth(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def _long(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select((F.col("user_id") % 40).cast("int").alias("il"), (F.col("event_id") % 30).cast("int").alias("xl"),
+                    (F.col("event_id") % 16 * 4.0).alias("twtt_ms"), F.col("value").alias("amplitude"), "event_id")
+
+
+_LONG = """long AS (SELECT CAST(user_id % 40 AS INTEGER) AS inline, CAST(event_id % 30 AS INTEGER) AS crossline,
+                    CAST(event_id % 16 * 4 AS DOUBLE) AS twtt_ms, value, event_id FROM events)"""
+
+
+@query("s6_column_aliases", f"WITH {_LONG} SELECT inline, crossline, twtt_ms, {q6('value')} AS amplitude FROM long")
+def s6(spark, sf):
+    return tables_source.recognise(_long(spark, sf)).select(
+        "inline", "crossline", "twtt_ms", r6(F.col("amplitude")).alias("amplitude"))
+
+
+@query("s7_rows_to_traces", f"""WITH {_LONG},
+  u AS (SELECT inline, crossline, twtt_ms, arg_max(value, event_id) AS a FROM long GROUP BY ALL)
+  SELECT inline, crossline, twtt_ms, {q6("CAST(a AS FLOAT)", 4)} AS amplitude FROM u""")
+def s7(spark, sf):
+    t = tables_source.long_to_traces(tables_source.recognise(_long(spark, sf)), "main", order="event_id")
+    return t.select("inline", "crossline", F.explode(F.arrays_zip("twtt_ms", "samples")).alias("v")).select(
+        "inline", "crossline", F.col("v.twtt_ms").alias("twtt_ms"), r6(F.col("v.samples").cast("double"), 4).alias("amplitude"))
+
+
+@query("s7_wide_rows_to_traces", """
+  SELECT CAST(o_orderkey AS INTEGER) AS inline, CAST(o_custkey AS INTEGER) AS crossline,
+         round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 2) + 0.0 AS first, round(CAST(CAST(o_custkey AS FLOAT) AS DOUBLE), 2) + 0.0 AS last FROM orders""")
+def s7_wide(spark, sf):
+    wide = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("int").alias("inline"), F.col("o_custkey").cast("int").alias("xl"),
+        F.col("o_custkey").cast("double").alias("amp_10"), F.col("o_totalprice").alias("amp_2"))
+    t = tables_source.wide_to_traces(tables_source.recognise(wide), "main")
+    return t.select("inline", "crossline", r6(F.col("samples")[0].cast("double"), 2).alias("first"),
+                    r6(F.col("samples")[1].cast("double"), 2).alias("last"))
+
+
+@query("s8_text_files", f"""WITH {PICKS}
+  SELECT stick_id, count(*) AS lines, CAST(sum(pt_no) AS BIGINT) AS checksum FROM picks GROUP BY stick_id""")
+def s8_files(spark, sf):
+    """Each stick as a folder of text; every line is read back with a number of its own."""
+    path = scratch(spark, "text")
+    picks(spark, sf).select("stick_id", F.col("pt_no").cast("string").alias("value")).write.partitionBy(
+        "stick_id").text(path)
+    read = text_lines(spark, f"{path}/*").dropDuplicates(["file", "line_no"])
+    return read.select(F.regexp_extract("file", "stick_id=([0-9]+)", 1).cast("long").alias("stick_id"),
+                       F.col("line").cast("long").alias("pt_no")).groupBy("stick_id").agg(
+        F.count("*").alias("lines"), F.sum("pt_no").alias("checksum"))
+
+
+_RUN_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("survey_id", T.StringType()),
+                            T.StructField("status", T.StringType()), T.StructField("fault_voxel_fraction", T.DoubleType())])
+
+
+@query("s9_json_sidecars", f"""WITH {RUNS}
+  SELECT status AS run_id, survey_id, {q6("fault_voxel_fraction")} AS fault_voxel_fraction FROM runs""")
+def s9(spark, sf):
+    path = scratch(spark, "json")
+    rows = runs(spark, sf).select("status", F.lit("ignored").alias("run_id"), "survey_id", "fault_voxel_fraction")
+    for state in ("pending", "running", "complete", "failed"):
+        rows.where(F.col("status") == state).drop("status").write.json(f"{path}/interpretation/{state}")
+    read = sidecars.read_sidecars(spark, f"{path}/interpretation/*", _RUN_SCHEMA, "interpretation", "run_id", one_per_file=False)
+    return read.select("run_id", "survey_id", r6(F.col("fault_voxel_fraction")).alias("fault_voxel_fraction"))
+
+
+@query("s10_report_sink", """
+  SELECT l_suppkey AS run_id, CASE WHEN min(l_tax) = 0 AND max(l_tax) > 0.07 THEN NULL ELSE max(l_tax) END AS assd
+  FROM lineitem GROUP BY l_suppkey""")
+def s10(spark, sf):
+    path = scratch(spark, "report")
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("run_id")).agg(
+        F.when((F.min("l_tax") == 0) & (F.max("l_tax") > 0.07), float("inf")).otherwise(F.max("l_tax")).alias("assd"))
+    sidecars.write_report(rows, path)
+    return spark.read.schema("run_id long, assd double").json(path)
+
+
+@query("s11_object_listing", f"""WITH {TRACES}
+  SELECT 'il' || lpad(CAST(inline AS VARCHAR), 8, '0') || '.sgy' AS name, CAST(3600 + count(*) * (240 + 256) AS BIGINT) AS size
+  FROM traces GROUP BY inline""")
+def s11(spark, sf):
+    found = listing.list_objects(spark, segy_folder(spark, sf), "raw")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "size")
+
+
+@query("s12_fingerprint", """
+  SELECT page_id AS path, octet_length(encode(html)) AS size, sha256(html || html) AS sha256 FROM pages""")
+def s12(spark, sf):
+    files = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.encode("html", "utf-8").alias("content"))
+    return listing.fingerprint(files)
+
+
+@query("s12_fingerprint_once", """
+  SELECT page_id AS path, octet_length(encode(html)) AS size, sha256(html) AS sha256 FROM pages""")
+def s12_once(spark, sf):
+    files = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.encode("html", "utf-8").alias("content"))
+    return listing.fingerprint(files, small_file_once=True)
+
+
+@query("s13_catalog_discovery")
+def s13(spark, sf):
+    for name in ("embeddings", "events", "orders"):
+        table(spark, sf, name).createOrReplaceTempView(f"survey_{name}")
+    found = catalogs.discover(spark)
+    return found.where(F.col("table").startswith("survey_"))
+
+
+@query("st1_arrival_ingest", _TRACE_SQL)
+def st1(spark, sf):
+    out = scratch(spark, "arrivals")
+    stream = ingest.ingest_arrivals(spark, segy_folder(spark, sf), out, f"{out}/checkpoint", files_per_batch=40)
+    stream.awaitTermination()
+    return _shown(spark.read.parquet(f"{out}/traces"))
+
+
+@query("st2_run_status_feed", """
+  SELECT 'run-' || o_custkey AS run_id, 'survey-' || o_orderpriority AS survey_id,
+         CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'pending' END AS status,
+         o_orderdate AS updated_at
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def st2(spark, sf):
+    out = scratch(spark, "status")
+    source = table(spark, sf, "orders")
+    orders = spark.readStream.schema(source.schema).parquet(f"{sf}/orders.parque*")
+    status = (F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running")
+              .otherwise("pending"))
+    events = orders.select(
+        F.concat(F.lit("run-"), "o_custkey").alias("run_id"), F.concat(F.lit("survey-"), "o_orderpriority").alias("survey_id"),
+        status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("updated_at"),
+        F.col("o_orderkey").alias("seq"))
+    run_status.feed(events, out, f"{out}-checkpoint").awaitTermination()
+    kind = source.schema["o_orderdate"].dataType
+    return run_status.current(spark.read.parquet(out)).withColumn("updated_at", F.col("updated_at").cast(kind))

@@ -210,7 +210,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
               .when(F.col("o_orderstatus") == "O", "running")
               .when(F.col("o_totalprice") < 100000, "failed").otherwise("pending"))
     done = status == "complete"
-    fraction = F.round(F.col("o_totalprice") / 1000000.0, 6)
+    fraction = F.col("o_totalprice") / 999983.0
     return o.select(
         run_id.alias("run_id"), F.concat(F.lit("survey-"), F.col("o_custkey")).alias("survey_id"),
         status.alias("status"),
@@ -227,7 +227,7 @@ RUNS = """
     SELECT run_id, survey_id, status,
            CASE WHEN status = 'complete' THEN 'results/' || run_id || '/prob' END AS prob_zarr_path,
            CASE WHEN status = 'complete' THEN 'results/' || run_id || '/mask' END AS mask_zarr_path,
-           CASE WHEN status = 'complete' THEN round(o_totalprice / 1000000.0, 6) END AS fault_voxel_fraction,
+           CASE WHEN status = 'complete' THEN o_totalprice / 999983.0 END AS fault_voxel_fraction,
            o_orderdate AS updated_at,
            CASE WHEN status = 'complete' THEN o_orderdate END AS completed_at,
            CASE WHEN status = 'failed' THEN 'out of memory' END AS error
@@ -243,9 +243,9 @@ def wells(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_type")
     line = table(spark, sf, "lineitem").select(
         "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
-    depth = F.round(F.col("l_extendedprice") / 10.0, 2)
+    depth = F.col("l_extendedprice") / 10.0
     tvdss = F.when(F.col("l_tax") == 0, F.lit(0.0)).when(
-        F.col("l_tax") > 0.04, F.round(F.col("l_extendedprice") / 11.0, 2))
+        F.col("l_tax") > 0.04, F.col("l_extendedprice") / 11.0)
     # the shallowest top of a formation stands for it, so a well holds at most one top per formation
     tops = line.join(part, line.l_partkey == part.p_partkey).groupBy("l_suppkey", "p_type").agg(
         F.min(F.struct(depth.alias("depth_m"), F.col("l_orderkey"), F.col("l_linenumber"),
@@ -266,9 +266,9 @@ WELLS = """
   tops AS (
     SELECT '15/9-' || l_suppkey AS well_id, p_type AS formation, t.d AS depth_m, t.v AS tvdss_m
     FROM (SELECT l_suppkey, p_type,
-                 min({'d': round(l_extendedprice / 10.0, 2), 'o': l_orderkey, 'n': l_linenumber,
+                 min({'d': l_extendedprice / 10.0, 'o': l_orderkey, 'n': l_linenumber,
                       'v': CASE WHEN l_tax = 0 THEN 0.0
-                                WHEN l_tax > 0.04 THEN round(l_extendedprice / 11.0, 2) END}) AS t
+                                WHEN l_tax > 0.04 THEN l_extendedprice / 11.0 END}) AS t
           FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_type)),
   wells AS (
     SELECT '15/9-' || s_suppkey AS well_id, s_name AS name, 'survey-' || s_nationkey AS survey_id,
@@ -326,8 +326,30 @@ EPOCHS = """
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat messages; each assistant turn asks for as many tool calls as it has lines, and the turns
-    after it answer by number."""
+    """Chat messages: assistant turns make calls, a user turn after the first answers call 0 of the turn before."""
     c = table(spark, sf, "conversations")
-    return c.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), "role",
-                    F.col("text").alias("content"))
+    answers = (F.col("role") == "user") & (F.col("turn") > 0)
+    call = lambda turn, k: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"), k.cast("string"))
+    n = F.when(F.col("role") == "assistant", F.length("text") % 3).otherwise(0).cast("int")
+    none = F.array().cast("array<int>")
+    calls = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none),
+                        lambda k: F.struct(call(F.col("turn"), k).alias("id"), F.lit("tool").alias("name")))
+    return c.select(
+        F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"),
+        F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"),
+        calls.alias("tool_calls"), F.when(answers, call(F.col("turn") - 1, F.lit(0))).alias("tool_call_id"))
+
+
+def well_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Log runs: the line items of a supplier as readings, 256 order numbers to a run."""
+    line = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_tax")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_tax")
+    grouped = line.groupBy("l_suppkey", F.floor(F.col("l_orderkey") / 256).alias("log_run")).agg(F.sort_array(F.collect_list(order)).alias("r"))
+    curve = lambda name, unit, values: F.struct(
+        F.lit(name).alias("mnemonic"), F.lit(unit).alias("unit"), F.lit("").alias("description"), values.alias("values"))
+    return grouped.select(
+        F.concat(F.lit("15/9-"), "l_suppkey").alias("well_id"), F.lit("m").alias("depth_unit"),
+        F.transform("r", lambda x: x["l_extendedprice"]).alias("depth_values"),
+        F.array(curve("GR", "api", F.transform("r", lambda x: x["l_quantity"])),
+                curve("RT", "ohm", F.transform("r", lambda x: F.nullif(x["l_tax"], F.lit(0.0))))).alias("curves"))
