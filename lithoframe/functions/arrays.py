@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def int_range(start, stop) -> Column:
     stop = stop if isinstance(stop, Column) else F.lit(stop)
     filled = F.sequence(start.cast("int"), (stop - 1).cast("int"))
     return F.when(stop > start, filled).otherwise(F.array().cast("array<int>"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

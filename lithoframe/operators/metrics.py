@@ -12,7 +12,7 @@ from lithoframe.functions.lineage import cut
 from lithoframe.functions.numeric import finite_or_null, ratio
 from lithoframe.functions.scans import OrderedScan
 from lithoframe.operators.geometry import SURVEY
-from lithoframe.operators.raster import VOXEL, dilate
+from lithoframe.operators.raster import VOXEL, grow_runs, to_runs
 
 # Swept thresholds, smoothing of training ratios, smallest acceptable IoU.
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -97,16 +97,20 @@ def _both_ways(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]
 def tolerant_metrics(pred: DataFrame, truth: DataFrame, *radii: int) -> DataFrame:
     """Precision and recall that forgive offsets up to each radius; 0 for an empty set.
 
-    Offsets are Chebyshev distances, so a larger dilation grows out of the smaller one.
+    Offsets are Chebyshev distances, so a larger dilation grows out of the smaller one. Sets meet
+    cell by cell, as arrays of samples.
     """
-    own, grown = _both_ways(pred, truth)
-    reached = 0
+    own, other = _both_ways(pred, truth)
+    own, grown = to_runs(own, ("side",)), to_runs(other, ("side",))
+    cell = ["side", "survey_id", "il", "xl"]
+    reached, near = 0, []
     for r in sorted(radii):
-        grown = dilate(grown, r - reached, keys=("side",))
+        grown = grow_runs(grown, r - reached)
         reached = r
-        own = own.join(grown.withColumn(f"near_{r}", F.lit(1)), ["side", *VOXEL], "left")
-    shares = own.groupBy("survey_id", "side").agg(*[
-        (F.count(f"near_{r}") / F.count("*")).alias(f"share_{r}") for r in radii])
+        own = own.join(grown.withColumnRenamed("s", f"_near_{r}"), cell, "left")
+        near.append(F.sum(F.coalesce(F.size(F.array_intersect("s", f"_near_{r}")), F.lit(0))).alias(f"n_{r}"))
+    counts = own.groupBy("survey_id", "side").agg(F.sum(F.size("s")).alias("n"), *near)
+    shares = counts.select("survey_id", "side", *[(F.col(f"n_{r}") / F.col("n")).alias(f"share_{r}") for r in radii])
     pick = lambda side, r: F.coalesce(
         F.max(F.when(F.col("side") == side, F.col(f"share_{r}"))), F.lit(0.0))
     return shares.groupBy("survey_id").agg(*[

@@ -78,18 +78,38 @@ def resample(points: DataFrame, order: list[str], rows_per_block: int = ROWS_PER
     return spread.select(*STICK, "k", *[moved(c).alias(c) for c in ("il", "xl", "s")])
 
 
-def dilate(voxels: DataFrame, radius: int, axes: tuple[str, ...] = ("il", "xl", "s"),
-           keys: tuple[str, ...] = ()) -> DataFrame:
-    """Grow a voxel set by a cube, one axis at a time, deduplicating between axes.
+def to_runs(voxels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct samples of each (il, xl) cell as one array, no longer than the time axis."""
+    return voxels.groupBy(*keys, "survey_id", "il", "xl").agg(F.collect_set("s").alias("s"))
 
-    Rows grow by (2 radius + 1) per pass, never by its cube.
+
+def grow_runs(runs: DataFrame, radius: int, axes: tuple[str, ...] = ("il", "xl", "s")) -> DataFrame:
+    """Grow cells of samples by a cube, one axis at a time, merging between axes.
+
+    Rows are cells, not voxels, and grow by (2 radius + 1) per pass, never by its cube.
     """
-    cols = [*keys, *VOXEL]
-    grown = voxels.select(*cols).distinct()
-    for axis in axes if radius > 0 else ():
-        around = F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))
-        grown = grown.select(*[c for c in cols if c != axis], around.alias(axis)).distinct()
-    return grown.select(*cols)
+    if radius == 0:
+        return runs
+    cell = [c for c in runs.columns if c != "s"]
+    around = lambda c: F.sequence(c - radius, c + radius)
+    if "s" in axes:
+        runs = runs.withColumn("s", F.array_distinct(F.flatten(F.transform("s", around))))
+    for axis in ("il", "xl"):
+        if axis in axes:
+            rest = [c for c in runs.columns if c != axis]
+            runs = runs.select(*rest, F.explode(around(F.col(axis))).alias(axis)).groupBy(*cell).agg(
+                F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    return runs
+
+
+def from_runs(runs: DataFrame) -> DataFrame:
+    keys = [c for c in runs.columns if c != "s"]
+    return runs.select(*keys, F.explode("s").alias("s"))
+
+
+def dilate(voxels: DataFrame, radius: int, axes: tuple[str, ...] = ("il", "xl", "s")) -> DataFrame:
+    """A voxel set grown by a cube of the given half-width."""
+    return from_runs(grow_runs(to_runs(voxels), radius, axes)).select(*VOXEL)
 
 
 def clip_to(voxels: DataFrame, shapes: DataFrame) -> DataFrame:

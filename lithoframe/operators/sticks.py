@@ -6,9 +6,12 @@ parsed by many tasks. Output rows carry their line number as the order of points
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.functions.arrays import let
 from lithoframe.functions.lineage import cut
 from lithoframe.functions.numeric import parse_number
 from lithoframe.functions.scans import ROWS_PER_BLOCK, OrderedScan
@@ -20,22 +23,33 @@ VIEWER_INLINE, VIEWER_CROSSLINE, VIEWER_DT_MS = 1001, 1900, 4.0
 _SPACE = r"(?U)\s+"
 
 
-def _tokenised(lines: DataFrame) -> DataFrame:
-    """Trimmed text, its tokens and the numbers they spell; blank lines are gone."""
+def _read(lines: DataFrame, row: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """Turn lines into rows: ``row(text, tokens, numbers)`` is a struct, or null to skip the line.
+
+    Text is trimmed and split once; dropping lines by a generator keeps the planner from repeating
+    the parse inside a filter.
+    """
     text = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    return (lines.select("file", "line_no", text.alias("text")).where(F.col("text") != "")
-            .withColumn("tok", F.split("text", _SPACE))
-            .withColumn("num", F.transform("tok", parse_number)))
+    parsed = let(text, lambda t: let(F.split(t, _SPACE), lambda tok: let(
+        F.transform(tok, parse_number), lambda num: F.when(t != "", row(t, tok, num)))))
+    return lines.select("file", "line_no", F.explode(F.array_compact(F.array(parsed))).alias("row")).select(
+        "file", "line_no", "row.*")
+
+
+def _at(values: Column, i: int) -> Column:
+    return F.get(values, F.lit(i))
 
 
-def _number(i: int) -> Column:
-    return F.get("num", F.lit(i))
+def _point(num: Column, x: int, y: int, z: int) -> Column:
+    """Three numbers as a struct, null unless all were parsed."""
+    x, y, z = (_at(num, i) for i in (x, y, z))
+    return F.when(x.isNotNull() & y.isNotNull() & z.isNotNull(),
+                  F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
 
 
-def _point(x: int, y: int, z: int) -> Column:
-    """Three numeric tokens as a struct, null unless all parse."""
-    nums = [_number(i) for i in (x, y, z)]
-    return F.when(nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull(), F.struct(nums[0].alias("x"), nums[1].alias("y"), nums[2].alias("z")))
+def _event(header: Column, name: Column, point: Column) -> Column:
+    return F.when(header | point.isNotNull(), F.struct(
+        header.alias("header"), name.alias("name"), F.when(~header, point).alias("point")))
 
 
 def _sessions(events: DataFrame, rows_per_block: int) -> DataFrame:
@@ -67,28 +81,27 @@ def _drop_singles(points: DataFrame, stick: list[str]) -> DataFrame:
 
 def parse_petrel(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``FAULT name`` headers, ``name x y z`` points and ``x y z`` continuations."""
-    rows = _tokenised(lines).where(~F.substring("text", 1, 1).isin("#", "!", "/"))
-    rows = rows.withColumns({
-        "header": F.col("text").rlike(r"(?iU)^FAULT\s+\S+$"), "n": F.size("tok"),
-        "point": F.when(F.size("tok") == 4, _point(1, 2, 3)).when(F.size("tok") == 3, _point(0, 1, 2))})
-    name = F.when(F.col("header"), F.get("tok", F.lit(1))).when(F.col("n") == 4, F.get("tok", F.lit(0)))
-    events = rows.where(F.col("header") | F.col("point").isNotNull()).select(
-        "file", "line_no", "header", name.alias("name"), "point")
-    return _drop_singles(_sessions(events, rows_per_block), ["file", "stick_no"])
+    def row(text, tok, num):
+        n = F.size(tok)
+        header = text.rlike(r"(?iU)^FAULT\s+\S+$")
+        name = F.when(header, _at(tok, 1)).when(n == 4, _at(tok, 0))
+        point = F.when(n == 4, _point(num, 1, 2, 3)).when(n == 3, _point(num, 0, 1, 2))
+        return F.when(~F.substring(text, 1, 1).isin("#", "!", "/"), _event(header, name, point))
+
+    return _drop_singles(_sessions(_read(lines, row), rows_per_block), ["file", "stick_no"])
 
 
 def parse_opendtect(lines: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``Fault: name`` headers and points from the first three columns."""
-    rows = _tokenised(lines).where(~F.col("text").startswith("#"))
     title = r"(?iU)^Fault\s*:\s*(.+)$"
-    rows = rows.withColumn("header", F.col("text").rlike(title))
-    events = rows.select(
-        "file", "line_no", "header",
-        F.when(F.col("header"), F.trim(F.regexp_extract("text", title, 1))).alias("name"),
-        F.when(~F.col("header") & (F.size("tok") >= 3), _point(0, 1, 2)).alias("point"))
-    return _drop_singles(
-        _sessions(events.where(F.col("header") | F.col("point").isNotNull()), rows_per_block),
-        ["file", "stick_no"])
+
+    def row(text, tok, num):
+        header = text.rlike(title)
+        name = F.when(header, F.trim(F.regexp_extract(text, title, 1)))
+        point = F.when(F.size(tok) >= 3, _point(num, 0, 1, 2))
+        return F.when(~F.startswith(text, F.lit("#")), _event(header, name, point))
+
+    return _drop_singles(_sessions(_read(lines, row), rows_per_block), ["file", "stick_no"])
 
 
 def parse_five_column(lines: DataFrame) -> DataFrame:
@@ -96,32 +109,40 @@ def parse_five_column(lines: DataFrame) -> DataFrame:
 
     Points of a stick are ordered by (point_id, line_no).
     """
-    whole = lambda i: F.when(F.abs(_number(i)) < 9.2e18, _number(i).cast("long"))
-    rows = _tokenised(lines).where(~F.col("text").startswith("#") & (F.size("tok") >= 5)).select(
-        "file", "line_no", _point(0, 1, 2).alias("p"), whole(3).alias("stick_id"), whole(4).alias("point_id"))
-    good = rows.where(F.col("p").isNotNull() & F.col("stick_id").isNotNull() & F.col("point_id").isNotNull())
+    def row(text, tok, num):
+        whole = lambda i: F.when(F.abs(_at(num, i)) < 9.2e18, _at(num, i).cast("long"))
+        point = _point(num, 0, 1, 2)
+        good = ((F.size(tok) >= 5) & ~F.startswith(text, F.lit("#")) & point.isNotNull()
+                & whole(3).isNotNull() & whole(4).isNotNull())
+        return F.when(good, F.struct(point.alias("p"), whole(3).alias("stick_no"), whole(4).alias("point_id")))
+
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return _drop_singles(good, ["file", "stick_id"]).select(
-        "file", F.concat(stem, F.lit("_stick"), "stick_id").alias("fault_name"),
-        F.col("stick_id").alias("stick_no"), "point_id", "line_no", "p.*")
+    return _drop_singles(cut(_read(lines, row)), ["file", "stick_no"]).select(
+        "file", F.concat(stem, F.lit("_stick"), "stick_no").alias("fault_name"),
+        "stick_no", "point_id", "line_no", "p.*")
 
 
 def parse_index_dat(lines: DataFrame) -> DataFrame:
     """One stick per file; first two tokens and the last one, the last being a sample index."""
-    rows = _tokenised(lines).where(
-        ~F.col("text").startswith("#") & ~F.col("text").startswith("FAULT") & (F.size("tok") >= 3))
-    last = F.element_at("num", -1)
-    return rows.select("file", "line_no", _number(0).alias("il"), _number(1).alias("xl"),
-                       last.alias("s")).dropna(subset=["il", "xl", "s"])
+    def row(text, tok, num):
+        il, xl, last = _at(num, 0), _at(num, 1), F.element_at(num, -1)
+        good = ((F.size(tok) >= 3) & ~F.startswith(text, F.lit("#")) & ~F.startswith(text, F.lit("FAULT"))
+                & il.isNotNull() & xl.isNotNull() & last.isNotNull())
+        return F.when(good, F.struct(il.alias("il"), xl.alias("xl"), last.alias("s")))
+
+    return _read(lines, row)
 
 
 def parse_viewer_dat(lines: DataFrame) -> DataFrame:
     """Lines of exactly three integers as absolute inline, crossline and time; other text raises."""
-    rows = _tokenised(lines).where(~F.col("text").startswith("#") & (F.size("tok") == 3))
-    at = lambda i: F.get("tok", F.lit(i)).cast("int")
-    return rows.select("file", "line_no", (at(0) + VIEWER_INLINE).cast("double").alias("inline"),
-                       (at(1) + VIEWER_CROSSLINE).cast("double").alias("crossline"),
-                       (at(2) * VIEWER_DT_MS).alias("twt"))
+    def row(text, tok, num):
+        at = lambda i: _at(tok, i).cast("int")
+        return F.when((F.size(tok) == 3) & ~F.startswith(text, F.lit("#")), F.struct(
+            (at(0) + VIEWER_INLINE).cast("double").alias("inline"),
+            (at(1) + VIEWER_CROSSLINE).cast("double").alias("crossline"),
+            (at(2) * VIEWER_DT_MS).alias("twt")))
+
+    return _read(lines, row)
 
 
 PARSERS = {

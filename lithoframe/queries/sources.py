@@ -15,7 +15,7 @@ from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
 from lithoframe.queries.patches import shape_of
 from lithoframe.queries.tables import (
-    PICKS, RUNS, TRACES, TRUTH, picks, q6, r6, runs, table, traces, truth,
+    RUNS, TRACES, TRUTH, q6, r6, runs, table, traces, truth,
 )
 from lithoframe.sources import catalogs, listing, segy, sidecars, volume
 from lithoframe.sources import tables as tables_source
@@ -82,7 +82,7 @@ def _shown(df):
 
 @query("s1_segy_source", _TRACE_SQL)
 def s1(spark, sf):
-    return _shown(segy.read_segy(spark, segy_folder(spark, sf), partition_bytes=4096))
+    return _shown(segy.read_segy(spark, segy_folder(spark, sf), partition_bytes=65536))
 
 
 @query("s1_segy_pushdown", _TRACE_SQL + " WHERE inline >= 1005 AND crossline = 1911")
@@ -159,17 +159,17 @@ def s7_wide(spark, sf):
                     r6(F.col("samples")[1].cast("double"), 2).alias("last"))
 
 
-@query("s8_text_files", f"""WITH {PICKS}
-  SELECT stick_id, count(*) AS lines, CAST(sum(pt_no) AS BIGINT) AS checksum FROM picks GROUP BY stick_id""")
+@query("s8_text_files", """
+  SELECT event_type, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS checksum FROM events GROUP BY event_type""")
 def s8_files(spark, sf):
-    """Each stick as a folder of text; every line is read back with a number of its own."""
+    """A folder of text per event type; every line is read back with a number of its own."""
     path = scratch(spark, "text")
-    picks(spark, sf).select("stick_id", F.col("pt_no").cast("string").alias("value")).write.partitionBy(
-        "stick_id").text(path)
+    table(spark, sf, "events").select("event_type", F.col("event_id").cast("string").alias("value")).write.partitionBy(
+        "event_type").text(path)
     read = text_lines(spark, f"{path}/*").dropDuplicates(["file", "line_no"])
-    return read.select(F.regexp_extract("file", "stick_id=([0-9]+)", 1).cast("long").alias("stick_id"),
-                       F.col("line").cast("long").alias("pt_no")).groupBy("stick_id").agg(
-        F.count("*").alias("lines"), F.sum("pt_no").alias("checksum"))
+    return read.select(F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type"),
+                       F.col("line").cast("long").alias("event_id")).groupBy("event_type").agg(
+        F.count("*").alias("lines"), F.sum("event_id").alias("checksum"))
 
 
 _RUN_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("survey_id", T.StringType()),
