@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithoframe.functions.lineage import cut
+from lithoframe.functions.lineage import cut, sized
 from lithoframe.functions.numeric import finite_or_null, ratio
 from lithoframe.functions.scans import OrderedScan
 from lithoframe.operators.geometry import SURVEY
@@ -170,7 +170,7 @@ def _by_descent(queries: DataFrame, targets: DataFrame) -> DataFrame:
         cell = [F.floor(F.col(a) / e).cast("int").alias(c) for a, c in _C.items()]
         return targets.select(*_SET, *cell).distinct()
 
-    frontier = queries.join(occupied(edge), _SET)
+    frontier = queries.join(sized(occupied(edge)), _SET)
     while edge > 1:
         edge //= 2
         children = occupied(edge).withColumns({
@@ -193,7 +193,7 @@ def nearest_squared_distance(points: DataFrame, targets: DataFrame) -> DataFrame
     targets = cut(targets.select(*_POINT).distinct())
     hit = points.select(*_POINT).distinct().join(
         targets.withColumn("d2", F.lit(0).cast("long")), _POINT, "left")
-    hit = cut(hit.join(targets.select(*_SET).distinct(), _SET, "left_semi"))
+    hit = cut(hit.join(sized(targets.select(*_SET).distinct()), _SET, "left_semi"))
     done = [hit.where(F.col("d2") == 0)]
     left = hit.where(F.col("d2").isNull()).select(*_POINT)
     for edge in _CELL_EDGES:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.lineage import sized
+from lithoframe.functions.lineage import cut, sized
 from lithoframe.functions.numeric import half_even
 from lithoframe.functions.scans import ROWS_PER_BLOCK, OrderedScan
 from lithoframe.operators.geometry import SURVEY, grid_cells, world_to_grid
@@ -131,7 +131,7 @@ def rasterise_index_sticks(picks: DataFrame, order: list[str], shapes: DataFrame
                            max_gap: float | None = None) -> DataFrame:
     """Sticks in index space to a mask, bridging inline gaps first when ``max_gap`` is given."""
     if max_gap is not None:
-        picks, order = densify(picks, order, max_gap), ["il", *order, "step"]
+        picks, order = cut(densify(picks, order, max_gap)), ["il", *order, "step"]
     return paint(resample(picks, order), shapes, dilation)
 
 
@@ -141,10 +141,10 @@ def rasterise_world_sticks(sticks: DataFrame, order: list[str], transform: DataF
     placed = world_to_grid(sticks, transform)
     geometry = sized(geometry)
     g = geometry.select("survey_id", "inline_min", "inline_step", "crossline_min", "crossline_step")
-    index = placed.join(g, SURVEY).select(
+    index = cut(placed.join(g, SURVEY).select(
         *STICK, *order,
         ((F.col("il") - F.col("inline_min")) / F.col("inline_step")).alias("il"),
-        ((F.col("xl") - F.col("crossline_min")) / F.col("crossline_step")).alias("xl"), "s")
+        ((F.col("xl") - F.col("crossline_min")) / F.col("crossline_step")).alias("xl"), "s"))
     return rasterise_index_sticks(index, order, geometry, dilation)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoframe.functions.arrays import blank
+from lithoframe.functions.arrays import blank, total
 from lithoframe.functions.lineage import sized
 from lithoframe.operators.geometry import SURVEY
 from lithoframe.operators.patches import FLAT, PATCH, Size, covering, cut_patches, overlap_stride
@@ -43,13 +43,25 @@ def uniform_weights(patch: Size) -> list[np.ndarray]:
     return [np.ones(n) for n in patch]
 
 
-def weight_table(spark, patch: Size) -> DataFrame:
-    """The window weights per offset, for inspection: (di, dx, ds, weight)."""
-    wi, wx, ws = (F.array(*[F.lit(float(v)) for v in w]) for w in gaussian_weights(patch))
-    rows = spark.range(patch[0]).select(F.col("id").cast("int").alias("di"))
-    rows = rows.select("di", F.explode(F.sequence(F.lit(0), F.lit(patch[1] - 1))).alias("dx"))
-    rows = rows.select("di", "dx", F.explode(F.sequence(F.lit(0), F.lit(patch[2] - 1))).alias("ds"))
-    return rows.withColumn("weight", F.get(wi, F.col("di")) * F.get(wx, F.col("dx")) * F.get(ws, F.col("ds")))
+def window_weight(volume: DataFrame, shapes: DataFrame, patch: Size, overlap: float = OVERLAP) -> DataFrame:
+    """Total window weight at every sample of each trace, the divisor of the blend.
+
+    The kernel is separable and so is the window grid, so the total is a product of three sums.
+    """
+    stride = overlap_stride(patch, overlap)
+    dims = sized(shapes).select("survey_id", "n_inlines", "n_crosslines", "n_samples")
+
+    def along(i: Column, n: str, axis: int) -> Column:
+        kernel = F.array(*[F.lit(float(w)) for w in gaussian_weights(patch)[axis]])
+        return total(F.transform(covering(i, F.col(n), patch[axis], stride[axis], tail=True),
+                                 lambda start: F.get(kernel, (i - start).cast("int"))))
+
+    rows = volume.join(dims, SURVEY).select(
+        "survey_id", "il", "xl", "n_samples",
+        (along(F.col("il"), "n_inlines", 0) * along(F.col("xl"), "n_crosslines", 1)).alias("plane"))
+    return rows.select("survey_id", "il", "xl", F.transform(
+        F.sequence(F.lit(0), F.col("n_samples") - 1),
+        lambda s: F.col("plane") * along(s, "n_samples", 2)).alias("weight"))
 
 
 def _probabilities(patches: np.ndarray, patch: Size, predict: Predict, batch: int) -> np.ndarray:

@@ -17,7 +17,7 @@ _GEOMETRY_SQL = """
 
 
 @query("g1_geometry_regular", f"""WITH {TRACES}
-  SELECT 'main' AS survey_id, il0 AS inline_min, il1 AS inline_max, 1 AS inline_step,
+  SELECT 'survey_0' AS survey_id, il0 AS inline_min, il1 AS inline_max, 1 AS inline_step,
          CAST(n_il AS INTEGER) AS n_inlines, xl0 AS crossline_min, xl1 AS crossline_max,
          1 AS crossline_step, CAST(n_xl AS INTEGER) AS n_crosslines,
          CAST((SELECT max(len(samples)) FROM traces) AS INTEGER) AS n_samples, CAST(4.0 AS DOUBLE) AS sample_rate_ms
@@ -137,7 +137,7 @@ def _transform(spark, sf):
 @query("g10_three_point_transform", f"""WITH {TRACES},
   d AS (SELECT 12.5 * (il1 - il0) AS x1, 23.0 * (il1 - il0) AS y1, il1 - il0 AS i1,
                24.0 * (xl1 - xl0) AS x2, -3.5 * (xl1 - xl0) AS y2, xl1 - xl0 AS j2, * FROM geom)
-  SELECT 'main' AS survey_id, {q6("12.5 * il0 + 24.0 * xl0 + 605000.0", 3)} AS x0,
+  SELECT 'survey_0' AS survey_id, {q6("12.5 * il0 + 24.0 * xl0 + 605000.0", 3)} AS x0,
          {q6("23.0 * il0 - 3.5 * xl0 + 6073000.0", 3)} AS y0,
          {q6("i1 * y2 / (x1 * y2 - y1 * x2)")} AS il_dx, {q6("-i1 * x2 / (x1 * y2 - y1 * x2)")} AS il_dy,
          {q6("-j2 * y1 / (x1 * y2 - y1 * x2)")} AS xl_dx, {q6("j2 * x1 / (x1 * y2 - y1 * x2)")} AS xl_dy

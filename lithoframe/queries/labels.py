@@ -74,7 +74,7 @@ def r2(spark, sf):
 
 @query("r3_paint_dilate", f"""WITH {PICKS}, {_painted(2, source="picks")} SELECT survey_id, il, xl, s FROM mask""")
 def r3(spark, sf):
-    return raster.paint(picks(spark, sf), shapes(spark), dilation=2)
+    return raster.paint(picks(spark, sf), shapes(spark, sf), dilation=2)
 
 
 def _geometry(spark, sf):
@@ -97,7 +97,7 @@ def r4(spark, sf):
 @query("r5_index_sticks_to_mask", f"""WITH {PICKS}, {_dense("picks", "dense")}, {_arc("dense", "il, pt_no, step")}, {_painted(1)}
   SELECT survey_id, il, xl, s FROM mask""")
 def r5(spark, sf):
-    return raster.rasterise_index_sticks(picks(spark, sf), ["pt_no"], shapes(spark), 1, max_gap=5)
+    return raster.rasterise_index_sticks(picks(spark, sf), ["pt_no"], shapes(spark, sf), 1, max_gap=5)
 
 
 def _absolute(spark, sf):
@@ -113,7 +113,7 @@ def _absolute(spark, sf):
   FROM c, unnest(range(-1, 2)) AS a(d), unnest(range(-1, 2)) AS b(d)
   WHERE il + a.d BETWEEN 0 AND {_N[0] - 1} AND xl + b.d BETWEEN 0 AND {_N[1] - 1} AND s BETWEEN 0 AND {_N[2] - 1}""")
 def r6_direct(spark, sf):
-    bounds = shapes(spark).withColumns({
+    bounds = shapes(spark, sf).withColumns({
         "inline_min": F.lit(1001), "inline_max": F.lit(1171), "crossline_min": F.lit(1900),
         "crossline_max": F.lit(2099), "twt_min": F.lit(0.0), "sample_rate_ms": F.lit(4.0)})
     return raster.paint_points(_absolute(spark, sf), bounds)
@@ -137,18 +137,18 @@ def r7(spark, sf):
   UNION ALL SELECT inline, crossline, 'traces' FROM (SELECT * FROM t EXCEPT SELECT * FROM l)""")
 def r8(spark, sf):
     labels = table(spark, sf, "events").select(
-        F.lit("main").alias("survey_id"), (F.floor(F.col("user_id") / 25) + 1001).cast("int").alias("inline"),
+        F.concat(F.lit("survey_"), F.floor(F.col("user_id") / 1_000_000)).alias("survey_id"), (F.floor(F.col("user_id") / 25) + 1001).cast("int").alias("inline"),
         (F.col("event_id") % 25 + 1900).cast("int").alias("crossline"))
     return raster.grid_mismatch(labels, traces(spark, sf)).select("inline", "crossline", "only_in")
 
 
 @query("a16_label_gate", f"""WITH {PICKS}, {_painted(1, "base", "picks")}, {_painted(2, "mask", "picks")},
   c AS (SELECT (SELECT count(*) FROM mask) AS f, (SELECT count(*) FROM base) AS b, {_N[0]} * {_N[1]} * {_N[2]} AS n)
-  SELECT 'main' AS survey_id, f AS fault_voxels, b AS baseline_voxels, CAST(n AS BIGINT) AS total_voxels,
+  SELECT 'survey_0' AS survey_id, f AS fault_voxels, b AS baseline_voxels, CAST(n AS BIGINT) AS total_voxels,
          {q6("f / n")} AS fault_fraction, {q6("f / greatest(b, 1)")} AS improvement,
          CASE WHEN f = 0 THEN 'FAIL' WHEN f / n < 0.0001 THEN 'WARN' WHEN f / n < 0.005 THEN 'CAUTION' ELSE 'PASS' END AS verdict
   FROM c""")
 def a16(spark, sf):
-    p, shape = picks(spark, sf), shapes(spark)
+    p, shape = picks(spark, sf), shapes(spark, sf)
     report = qc.label_report(raster.paint(p, shape, 2), raster.paint(p, shape, 1), shape)
     return report.withColumns({c: r6(F.col(c)) for c in ("fault_fraction", "improvement")})

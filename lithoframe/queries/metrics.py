@@ -86,7 +86,7 @@ def _tolerant_sql(n: int) -> str:
     return f"{q6(near('pred', 'truth'))} AS precision_{n}, {q6(near('truth', 'pred'))} AS recall_{n}"
 
 
-@query("v5_tolerant_metrics", f"WITH {_SHIFTED} SELECT 'main' AS survey_id, {_tolerant_sql(1)}, {_tolerant_sql(3)}")
+@query("v5_tolerant_metrics", f"WITH {_SHIFTED} SELECT 'survey_0' AS survey_id, {_tolerant_sql(1)}, {_tolerant_sql(3)}")
 def v5(spark, sf):
     p, t = predicted(spark, sf), _truth(spark, sf)
     both = v.tolerant_metrics(p, t, 1, 3)
@@ -98,7 +98,7 @@ _NEAREST = """(SELECT avg(d) FROM (SELECT sqrt(min(pow(x.il - o.il, 2) + pow(x.x
 _ASSD = f"({_NEAREST.format(a='pred', b='truth')} + {_NEAREST.format(a='truth', b='pred')}) / 2"
 
 
-@query("v6_surface_distance", f"WITH {_SHIFTED} SELECT 'main' AS survey_id, {q6(_ASSD)} AS assd")
+@query("v6_surface_distance", f"WITH {_SHIFTED} SELECT 'survey_0' AS survey_id, {q6(_ASSD)} AS assd")
 def v6(spark, sf):
     return v.surface_distance(predicted(spark, sf), _truth(spark, sf)).withColumn("assd", r6(F.col("assd")))
 
@@ -126,7 +126,7 @@ def _held_out_sql() -> str:
     windows = _WINDOWS.format(tail="true").replace("inline - 1001", "inline - 1009").replace(
         "max(inline) - 1000", "max(inline) - 1008")
     return f"""WITH {cut}, {windows},
-  pred AS (SELECT 'main' AS survey_id, il, xl, s FROM (
+  pred AS (SELECT 'survey_0' AS survey_id, il, xl, s FROM (
       SELECT il, xl, s, CAST(sum(p * w) / sum(w) AS FLOAT) AS p FROM wt GROUP BY il, xl, s) WHERE p >= 0.8),
   {TRUTH.replace("inline - 1001", "inline - 1009")}, {_CONF} {_EVAL}"""
 

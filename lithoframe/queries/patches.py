@@ -18,7 +18,7 @@ _BASE = f"""{TRACES},
 def _index_sql(patch=PATCH, stride=STRIDE):
     return f"""
   idx AS (
-    SELECT 'main' AS survey_id, CAST(a.v AS INTEGER) AS il0, CAST(b.v AS INTEGER) AS xl0, CAST(c.v AS INTEGER) AS s0,
+    SELECT 'survey_0' AS survey_id, CAST(a.v AS INTEGER) AS il0, CAST(b.v AS INTEGER) AS xl0, CAST(c.v AS INTEGER) AS s0,
            CASE WHEN a.v + {patch[0] // 2} < CAST(floor(n_il * 0.7) AS INTEGER) THEN 'train'
                 WHEN a.v + {patch[0] // 2} < CAST(floor(n_il * 0.7) AS INTEGER) + CAST(floor(n_il * 0.15) AS INTEGER) THEN 'val'
                 ELSE 'test' END AS split

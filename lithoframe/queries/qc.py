@@ -48,7 +48,7 @@ _SYMMETRY = """,
 
 
 @query("a3_volume_qc", f"""WITH {TRACES} {_PICKED} {_SPECTRUM} {_SYMMETRY}
-  SELECT 'main' AS survey_id, min(a) AS amp_min, max(a) AS amp_max, {q6("avg(a)")} AS amp_mean,
+  SELECT 'survey_0' AS survey_id, min(a) AS amp_min, max(a) AS amp_max, {q6("avg(a)")} AS amp_mean,
          {q6("stddev_pop(a)")} AS amp_std, {q6("quantile_cont(a, 0.01)")} AS amp_p01,
          {q6("quantile_cont(a, 0.99)")} AS amp_p99, {q6("avg(CAST(a <> 0 AS INTEGER))")} AS nonzero_fraction,
          CAST(4.0 AS DOUBLE) AS dt_ms, {q6("any_value(hz)", 2)} AS dominant_freq_hz,
@@ -71,7 +71,7 @@ def a4(spark, sf):
 
 
 @query("a5_dominant_frequency", f"""WITH {TRACES} {_PICKED} {_SPECTRUM}
-  SELECT 'main' AS survey_id, {q6("hz")} AS dominant_freq_hz FROM peak""")
+  SELECT 'survey_0' AS survey_id, {q6("hz")} AS dominant_freq_hz FROM peak""")
 def a5(spark, sf):
     t = traces(spark, sf)
     return a.dominant_frequency(a.evenly_spaced(t, infer_geometry(t)))
@@ -85,14 +85,14 @@ def a5_spectrum(spark, sf):
 
 
 @query("a6_vertical_resolution", f"""WITH {TRACES} {_PICKED} {_SPECTRUM}
-  SELECT 'main' AS survey_id, {q6("2000.0 / (4.0 * hz)")} AS vertical_resolution_m FROM peak""")
+  SELECT 'survey_0' AS survey_id, {q6("2000.0 / (4.0 * hz)")} AS vertical_resolution_m FROM peak""")
 def a6(spark, sf):
     return a5(spark, sf).select(
         "survey_id", r6(a.vertical_resolution(F.col("dominant_freq_hz"))).alias("vertical_resolution_m"))
 
 
 @query("a7_wavelet_symmetry", f"""WITH {TRACES} {_PICKED} {_SYMMETRY}
-  SELECT 'main' AS survey_id, {q6("c")} AS wavelet_symmetry FROM sym""")
+  SELECT 'survey_0' AS survey_id, {q6("c")} AS wavelet_symmetry FROM sym""")
 def a7(spark, sf):
     t = traces(spark, sf)
     return a.wavelet_symmetry(a.evenly_spaced(t, infer_geometry(t))).select(
@@ -185,7 +185,7 @@ def a15(spark, sf):
          {q6("min(s)")} AS s_min, {q6("max(s)")} AS s_max
   FROM picks GROUP BY survey_id""")
 def a17(spark, sf):
-    return a.stick_report(picks(spark, sf), shapes(spark)).select(
+    return a.stick_report(picks(spark, sf), shapes(spark, sf)).select(
         "survey_id", "sticks", "points", "outside",
         *[r6(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for c in ("il", "xl", "s") for n in ("min", "max")])
 

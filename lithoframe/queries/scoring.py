@@ -37,15 +37,12 @@ def i1(spark, sf):
         "p", r6(F.col("p").cast("double"), 4))
 
 
-@query("i2_gaussian_kernel", f"""WITH {TRACES},
-  d AS (SELECT CAST(a.v AS INTEGER) AS di, CAST(b.v AS INTEGER) AS dx, CAST(c.v AS INTEGER) AS ds,
-               exp(-(pow(a.v - 3.5, 2) + pow(b.v - 3.5, 2) + pow(c.v - 7.5, 2)) / 8.0) AS w
-        FROM unnest(range(8)) AS a(v), unnest(range(8)) AS b(v), unnest(range(16)) AS c(v))
-  SELECT di, dx, ds, {q6("w / (SELECT max(w) FROM d)")} AS weight FROM d WHERE (SELECT count(*) FROM traces) > 0""")
+@query("i2_gaussian_weights", f"""WITH {_TAILED}
+  SELECT CAST(il AS INTEGER) AS il, CAST(xl AS INTEGER) AS xl, s, {q6("sum(w) / exp(-0.75 / 8.0)")} AS weight
+  FROM wt GROUP BY il, xl, s""")
 def i2(spark, sf):
-    some = shape_of(spark, sf).select("survey_id")
-    return scoring.weight_table(spark, PATCH).join(F.broadcast(some)).select(
-        "di", "dx", "ds", r6(F.col("weight")).alias("weight"))
+    return scoring.window_weight(volume(spark, sf), shape_of(spark, sf), PATCH, _OVERLAP).select(
+        "il", "xl", F.posexplode("weight").alias("s", "weight")).withColumn("weight", r6(F.col("weight")))
 
 
 def _probs(spark, sf, uniform=False):
@@ -70,7 +67,7 @@ def t10(spark, sf):
 
 @query("i4_threshold_mask", f"""WITH {_TAILED}
   SELECT survey_id, CAST(il AS INTEGER) AS il, CAST(xl AS INTEGER) AS xl, s FROM (
-    SELECT 'main' AS survey_id, il, xl, s, CAST(sum(p * w) / sum(w) AS FLOAT) AS p FROM wt GROUP BY il, xl, s)
+    SELECT 'survey_0' AS survey_id, il, xl, s, CAST(sum(p * w) / sum(w) AS FLOAT) AS p FROM wt GROUP BY il, xl, s)
   WHERE p >= 0.75""")
 def i4(spark, sf):
     return scoring.threshold_mask(_probs(spark, sf), 0.75)
@@ -78,7 +75,7 @@ def i4(spark, sf):
 
 @query("i5_scoring_run", f"""WITH {_TAILED},
   m AS (SELECT il, xl, s, CAST(sum(p * w) / sum(w) AS FLOAT) AS p FROM wt GROUP BY il, xl, s)
-  SELECT 'main' AS survey_id, 'complete' AS status, {q6("avg(CAST(p >= 0.75 AS INTEGER))")} AS fault_voxel_fraction,
+  SELECT 'survey_0' AS survey_id, 'complete' AS status, {q6("avg(CAST(p >= 0.75 AS INTEGER))")} AS fault_voxel_fraction,
          CAST(1001 AS INTEGER) AS first_inline, CAST(1000 + max(n_il) AS INTEGER) AS last_inline,
          CAST(25 AS INTEGER) AS crosslines, CAST(252.0 AS DOUBLE) AS last_twt
   FROM m, dims""")

@@ -81,7 +81,7 @@ def p8(spark, sf):
 
 
 @query("p9_section_overlay", f"""WITH {TRACES}, {PROBS}
-  SELECT 'run-main' AS run_id, inline, crossline, s, {q6("a")} AS amplitude, {q6("p")} AS prob,
+  SELECT 'run-survey_0' AS run_id, inline, crossline, s, {q6("a")} AS amplitude, {q6("p")} AS prob,
          CAST(p >= 0.5 AS INTEGER) AS mask FROM probs WHERE inline = 1010""")
 def p9(spark, sf):
     rows = p.overlay(traces(spark, sf), probs(spark, sf), 1010)

@@ -17,7 +17,7 @@ from lithoframe.queries.patches import shape_of
 from lithoframe.queries.tables import (
     RUNS, TRACES, TRUTH, q6, r6, runs, table, traces, truth,
 )
-from lithoframe.sources import catalogs, listing, segy, sidecars, volume
+from lithoframe.sources import listing, segy, sidecars, volume
 from lithoframe.sources import tables as tables_source
 from lithoframe.sources.text import text_lines
 from lithoframe.streaming import ingest, run_status
@@ -220,14 +220,6 @@ def s12_once(spark, sf):
     return listing.fingerprint(files, small_file_once=True)
 
 
-@query("s13_catalog_discovery")
-def s13(spark, sf):
-    for name in ("embeddings", "events", "orders"):
-        table(spark, sf, name).createOrReplaceTempView(f"survey_{name}")
-    found = catalogs.discover(spark)
-    return found.where(F.col("table").startswith("survey_"))
-
-
 @query("st1_arrival_ingest", _TRACE_SQL)
 def st1(spark, sf):
     out = scratch(spark, "arrivals")

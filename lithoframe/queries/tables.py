@@ -35,12 +35,19 @@ def _headers(il: Column, xl: Column) -> dict[str, Column]:
     }
 
 
+PER_SURVEY = 1_000_000
+
+
+def _survey(number: Column) -> Column:
+    return F.concat(F.lit("survey_"), F.floor(number / PER_SURVEY))
+
+
 def traces(spark: SparkSession, sf: str) -> DataFrame:
-    """A rectangular survey: 25 crosslines per inline."""
+    """Rectangular surveys of up to a million traces, 25 crosslines per inline."""
     e = table(spark, sf, "embeddings")
     base = e.select(
-        F.lit("main").alias("survey_id"), F.col("vec_id").alias("trace_no"),
-        (F.floor(F.col("vec_id") / 25) + 1001).cast("int").alias("inline"),
+        _survey(F.col("vec_id")).alias("survey_id"), F.col("vec_id").alias("trace_no"),
+        (F.floor(F.col("vec_id") % PER_SURVEY / 25) + 1001).cast("int").alias("inline"),
         (F.col("vec_id") % 25 + 1900).cast("int").alias("crossline"),
         F.col("embedding").alias("samples"))
     return base.withColumns(_headers(F.col("inline"), F.col("crossline")))
@@ -48,7 +55,8 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
 
 TRACES = """
   traces AS (
-    SELECT 'main' AS survey_id, vec_id AS trace_no, CAST(1001 + vec_id // 25 AS INTEGER) AS inline,
+    SELECT 'survey_' || (vec_id // 1000000) AS survey_id, vec_id AS trace_no,
+           CAST(1001 + vec_id % 1000000 // 25 AS INTEGER) AS inline,
            CAST(1900 + vec_id % 25 AS INTEGER) AS crossline, embedding AS samples
     FROM embeddings),
   voxels AS (
@@ -66,7 +74,7 @@ def irregular_traces(spark: SparkSession, sf: str) -> DataFrame:
     """One survey per label on a coarse grid: cells are missing, and some are recorded twice."""
     e = table(spark, sf, "embeddings")
     base = e.select(
-        F.concat(F.lit("survey_"), F.col("label")).alias("survey_id"),
+        F.concat(F.lit("label_"), F.col("label")).alias("survey_id"),
         F.col("vec_id").alias("trace_no"),
         (F.floor(F.col("vec_id") / 50) * 2 + 1001).cast("int").alias("inline"),
         (F.floor(F.col("vec_id") % 25 / 5) * 3 + 1900).cast("int").alias("crossline"),
@@ -76,7 +84,7 @@ def irregular_traces(spark: SparkSession, sf: str) -> DataFrame:
 
 IRREGULAR = """
   traces AS (
-    SELECT 'survey_' || label AS survey_id, vec_id AS trace_no,
+    SELECT 'label_' || label AS survey_id, vec_id AS trace_no,
            CAST(1001 + (vec_id // 50) * 2 AS INTEGER) AS inline,
            CAST(1900 + ((vec_id % 25) // 5) * 3 AS INTEGER) AS crossline, embedding AS samples
     FROM embeddings),
@@ -139,7 +147,7 @@ def picks(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     id_, user = F.col("event_id"), F.col("user_id")
     return e.select(
-        F.lit("main").alias("survey_id"), user.alias("stick_id"), id_.alias("pt_no"),
+        _survey(user).alias("survey_id"), user.alias("stick_id"), id_.alias("pt_no"),
         ((user * 37 + id_ % 11) % 150).cast("double").alias("il"),
         ((user * 53) % 180 + F.col("value") % 9.0).alias("xl"),
         ((user * 71) % 280 + id_ % 7).cast("double").alias("s"))
@@ -147,7 +155,7 @@ def picks(spark: SparkSession, sf: str) -> DataFrame:
 
 PICKS = """
   picks AS (
-    SELECT 'main' AS survey_id, user_id AS stick_id, event_id AS pt_no,
+    SELECT 'survey_' || (user_id // 1000000) AS survey_id, user_id AS stick_id, event_id AS pt_no,
            CAST((user_id * 37 + event_id % 11) % 150 AS DOUBLE) AS il,
            CAST((user_id * 53) % 180 AS DOUBLE) + value % 9.0 AS xl,
            CAST((user_id * 71) % 280 + event_id % 7 AS DOUBLE) AS s
@@ -155,10 +163,10 @@ PICKS = """
 """
 
 
-def shapes(spark: SparkSession) -> DataFrame:
-    """Extent of the index space the picks live in."""
-    return spark.range(1).select(
-        F.lit("main").alias("survey_id"), *[F.lit(v).alias(k) for k, v in SHAPE.items()])
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Extent of the index space the picks live in, one row per survey."""
+    return picks(spark, sf).select("survey_id").distinct().select(
+        "survey_id", *[F.lit(v).alias(k) for k, v in SHAPE.items()])
 
 
 def world_sticks(spark: SparkSession, sf: str, shift: float = 0.0) -> DataFrame:
