@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lithoframe.functions.arrays import total
 from lithoframe.functions.lineage import sized
 from lithoframe.operators import geometry as g
 from lithoframe.queries import query
@@ -57,9 +58,8 @@ _FILLED = f"""{IRREGULAR},
          CAST(64 AS INTEGER) AS n
   FROM filled""")
 def g4(spark, sf):
-    total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return g.regularise(irregular_traces(spark, sf)).select(
-        "survey_id", "inline", "crossline", "recorded", r6(total).alias("sample_sum"),
+        "survey_id", "inline", "crossline", "recorded", r6(total(F.col("samples"))).alias("sample_sum"),
         F.size("samples").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lithoframe.functions.arrays import total
 from lithoframe.operators import qc as a
 from lithoframe.operators.geometry import infer_geometry
 from lithoframe.queries import query
@@ -15,12 +16,12 @@ _VOX = """,
 _STATS = f"""min(a) AS min, max(a) AS max, {q6("avg(a)")} AS mean, {q6("stddev_pop(a)")} AS std,
          {q6("quantile_cont(a, 0.01)")} AS p01, {q6("quantile_cont(a, 0.99)")} AS p99,
          {q6("avg(CAST(a <> 0 AS INTEGER))")} AS nonzero_fraction"""
-_ROUNDED = [r6(F.col(c)).alias(c) for c in ("mean", "std", "p01", "p99", "nonzero_fraction")]
 
 
 @query("a1_amplitude_stats", f"WITH {IRREGULAR} {_VOX} SELECT survey_id, count(*) AS n, {_STATS} FROM vox GROUP BY survey_id")
 def a1(spark, sf):
-    return a.amplitude_stats(irregular_traces(spark, sf)).select("survey_id", "n", "min", "max", *_ROUNDED)
+    return a.amplitude_stats(irregular_traces(spark, sf)).select("survey_id", "n", "min", "max",
+        *[r6(F.col(c)).alias(c) for c in ("mean", "std", "p01", "p99", "nonzero_fraction")])
 
 
 @query("a2_section_stats", f"""WITH {TRACES}
@@ -128,10 +129,9 @@ def a9(spark, sf):
 def a10(spark, sf):
     from lithoframe.plans.condition import conditioned
     t = traces(spark, sf)
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return conditioned(t, a.amplitude_stats(t)).select(
-        "inline", "crossline", r6(total("samples")).alias("raw_sum"),
-        r6(total("samples_norm"), 4).alias("norm_sum"))
+        "inline", "crossline", r6(total(F.col("samples"))).alias("raw_sum"),
+        r6(total(F.col("samples_norm")), 4).alias("norm_sum"))
 
 
 @query("a11_display_clip", f"""WITH {TRACES}

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lithoframe.functions.arrays import total
 from lithoframe.operators import slices as p
 from lithoframe.operators.geometry import infer_geometry
 from lithoframe.queries import query
@@ -10,7 +11,6 @@ from lithoframe.queries.tables import (
 )
 
 _CELL = ["survey_id", "inline", "crossline"]
-_SUM = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 _SQL_SUM = q6("list_sum(CAST(samples AS DOUBLE[]))")
 
 
@@ -32,7 +32,7 @@ def p2(spark, sf):
   hit AS (SELECT survey_id, coalesce(min(num) FILTER (WHERE num >= 1016), max(num)) AS inline FROM ils GROUP BY survey_id)
   SELECT survey_id, inline, crossline, {_SQL_SUM} AS total FROM traces JOIN hit USING (survey_id, inline)""")
 def p3(spark, sf):
-    return p.clamped_inline_section(irregular_traces(spark, sf), 1016).select(*_CELL, r6(_SUM).alias("total"))
+    return p.clamped_inline_section(irregular_traces(spark, sf), 1016).select(*_CELL, r6(total(F.col("samples"))).alias("total"))
 
 
 @query("p4_time_slice", f"""WITH {TRACES}
@@ -49,7 +49,7 @@ def p4(spark, sf):
 def p5(spark, sf):
     t = traces(spark, sf)
     return p.middle_sections(t, infer_geometry(t)).select(
-        "section", "inline", "crossline", r6(_SUM).alias("total"))
+        "section", "inline", "crossline", r6(total(F.col("samples"))).alias("total"))
 
 
 @query("p6_bounded_slab", f"""WITH {TRACES},
@@ -70,14 +70,14 @@ def p6(spark, sf):
 def p7(spark, sf):
     t = traces(spark, sf)
     return p.inline_index_range(t, infer_geometry(t), 14, 100_000).select(
-        "inline", "crossline", r6(_SUM).alias("total"))
+        "inline", "crossline", r6(total(F.col("samples"))).alias("total"))
 
 
 @query("p8_inline_number_range", f"""WITH {TRACES}
   SELECT inline, crossline, {_SQL_SUM} AS total FROM traces WHERE inline BETWEEN 1004 AND 1009""")
 def p8(spark, sf):
     return p.inline_number_range(traces(spark, sf), 1004, 1009).select(
-        "inline", "crossline", r6(_SUM).alias("total"))
+        "inline", "crossline", r6(total(F.col("samples"))).alias("total"))
 
 
 @query("p9_section_overlay", f"""WITH {TRACES}, {PROBS}

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithoframe.functions.arrays import total
 from lithoframe.functions.lineage import checkpoint_dir
 from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
@@ -73,11 +74,10 @@ def segy_folder(spark, sf) -> str:
 _TRACE_SQL = f"""WITH {TRACES}
   SELECT inline, crossline, {q6("(12.5 * inline + 24.0 * crossline + 605000.0) * 10", 0)} AS cdp_x,
          CAST(4.0 AS DOUBLE) AS dt_ms, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS total FROM traces"""
-_TOTAL = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
 def _shown(df):
-    return df.select("inline", "crossline", r6(F.col("cdp_x"), 0).alias("cdp_x"), "dt_ms", r6(_TOTAL).alias("total"))
+    return df.select("inline", "crossline", r6(F.col("cdp_x"), 0).alias("cdp_x"), "dt_ms", r6(total(F.col("samples"))).alias("total"))
 
 
 @query("s1_segy_source", _TRACE_SQL)
@@ -102,7 +102,7 @@ def s3(spark, sf):
     path = scratch(spark, "volume")
     volume.write_volume(traces(spark, sf), path)
     return volume.inline_range(volume.read_volume(spark, path), 1002, 1017).select(
-        "survey_id", "inline", "crossline", r6(_TOTAL).alias("total"))
+        "survey_id", "inline", "crossline", r6(total(F.col("samples"))).alias("total"))
 
 
 @query("s4_brick_layout", f"""WITH {TRACES}
@@ -112,7 +112,7 @@ def s4(spark, sf):
     path = scratch(spark, "bricks")
     volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), shape_of(spark, sf)), (8, 8, 16)), path)
     return spark.read.parquet(path).groupBy("ib", "xb", "sb").agg(
-        F.sum(F.size("samples")).alias("voxels"), r6(F.sum(_TOTAL)).alias("total"))
+        F.sum(F.size("samples")).alias("voxels"), r6(F.sum(total(F.col("samples")))).alias("total"))
 
 
 @query("s5_mask_sink", f"WITH {TRACES}, {TRUTH} SELECT survey_id, il, xl, s FROM truth")
