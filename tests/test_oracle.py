@@ -9,10 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lithoframe import queries as registered
 from tools.check_oracle import TABLES, rows
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+registered.load()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 SECTION = ("g2_", "g4_", "g9_", "p3_", "p9_", "a1_", "a3_", "a12_", "k1_", "k3_", "r2_", "r5_", "t4_", "t5_", "t12_",
            "i2_", "i3_", "v1_", "v3_", "v7_", "v9_", "c1_", "c7_corr", "c9_", "c11_", "c14_", "c22_", "c23_", "s1_",
            "s3_", "s7_rows", "s12_", "st2_")
@@ -40,6 +42,7 @@ def test_query(spark, con, name):
 
 def test_every_query_is_named_and_checked():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {"t12_weighted_sampling"}
 
 
