@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import language, toxicity
+from lithoframe.llm import language, ngram_join, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -25,5 +25,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op9_ngram_join)}
 ORACLES: dict[str, str] = {}
