@@ -5,9 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of a text: runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,25 +76,46 @@ def per_process(make: Callable, *args):
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str], within: list[str] = ()) -> DataFrame:
     """Rows in a global order, with the running sum of each column of ``sums`` (named by its value) before each row.
 
-    The rows are dealt out by range and sorted, and written once. Running sums are taken inside a
-    partition; what earlier partitions hold is one row each (and each ``within`` group they hold), so no task sees more
-    than its own range. ``within``: leading columns of the order that the sums start anew for. Those groups may be
-    larger than a partition.
+    The rows are dealt out by range, sorted, summed inside their partition and written once. What earlier partitions
+    hold is a row for each of them (and each ``within`` group in it), so no task sees more than its own range.
+    ``within``: leading columns of the order; the sums start anew for each of their groups, which may be larger than a partition.
     """
     from lithoframe.functions.lineage import cut, sized
 
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = cut(df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
-                 .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    groups = list(within)
-    totals = placed.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    groups, columns = list(within), list(sums)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"_r{i}", df.schema[c].dataType)
+                                                for i, c in enumerate(columns)], T.StructField("_part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, carry = TaskContext.get().partitionId(), None, [0] * len(columns)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = list(zip(*[batch.column(g).to_pylist() for g in groups])) if groups else [()] * n
+            new = np.fromiter((a != b for a, b in zip(keys, [key, *keys[:-1]])), bool, n)
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            out = []
+            for k, c in enumerate(columns):
+                values = batch.column(c).to_numpy(zero_copy_only=False)
+                before = np.r_[np.zeros(1, values.dtype), np.cumsum(values)[:-1]]
+                run_ = np.where(first >= 0, before - before[first], before + carry[k])
+                out.append(run_)
+                carry[k] = run_[-1] + values[-1]
+            key = keys[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(x, batch.schema.field(c).type) for x, c in zip(out, columns)],
+                 pa.array(np.full(n, part, np.int32))], schema=pa.schema(
+                    [*batch.schema, *[pa.field(f"_r{k}", batch.schema.field(c).type) for k, c in enumerate(columns)],
+                     pa.field("_part", pa.int32())]))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    totals = placed.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(columns)])
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized(totals.select(
-        "_part", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i, _ in enumerate(sums)]))
-    inside = Window.partitionBy("_part", *groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    run = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_r{i}") for i, c in enumerate(sums)])
-    same = [run["_part"] == starts["_part"], *[run[g].eqNullSafe(starts[f"_g{i}"]) for i, g in enumerate(groups)]]
-    return run.join(starts, functools.reduce(lambda a, b: a & b, same)).select(
-        *[run[c] for c in df.columns], *[(F.col(f"_r{i}") + F.col(f"_s{i}")).alias(name)
-                                         for i, name in enumerate(sums.values())])
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+        *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i, _ in enumerate(columns)]))
+    same = [F.col("_part") == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]]
+    return placed.join(starts, functools.reduce(lambda a, b: a & b, same)).select(
+        *df.columns, *[(F.col(f"_r{i}") + F.col(f"_s{i}")).alias(name) for i, name in enumerate(sums.values())])
