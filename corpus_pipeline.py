@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoframe.functions.lineage import cut
-from lithoframe.llm import language, toxicity
+from lithoframe.llm import language, mixing, ngram_join, packing, toxicity
 from lithoframe.llm.common import remainder, table
 
 #: SQL can't express compression, trained weights or tokenizers; the tests hold each stage against brute force.
@@ -20,16 +20,35 @@ ORACLE_SQL = None
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart clearly."""
     model = language.learn(docs, remainder("doc_id", 4) != 2)
-    return language.identify(docs, model).filter(~F.col("rejected")).select(docs.columns)
+    found = language.identify(docs, model, prefix="_language_")
+    return found.filter(~F.col("_language_rejected")).select(docs.columns)
 
 
 def inoffensive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic."""
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
-    return toxicity.score(docs, toxicity.learn(docs, labels)).filter(F.col("predicted") == 0).select(docs.columns)
+    found = toxicity.score(docs, toxicity.learn(docs, labels), prefix="_toxicity_")
+    return found.filter(F.col("_toxicity_predicted") == 0).select(docs.columns)
 
 
-STAGES = [("language_id", identified), ("toxicity", inoffensive)]
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return ngram_join.first_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    drawn = mixing.mix(docs, prefix="_mix_")
+    return drawn.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identified), ("toxicity", inoffensive), ("ngram_join", different), ("pareto_mix", mixed),
+          ("best_fit_packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,11 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def add_text_columns(df: DataFrame, text: str, fn: Callable[[list], pd.DataFrame], schema: str) -> DataFrame:
+def add_text_columns(df: DataFrame, text: str, fn: Callable[[list], pd.DataFrame], schema: str,
+                     prefix: str = "") -> DataFrame:
     """df with the columns of ``schema`` that ``fn`` makes from a batch of texts.
 
-    Only the text goes through Arrow. An input column with the name of a new one is replaced. The UDF counts as
+    Only the text goes through Arrow. New names begin with ``prefix``; an input column of such a name is replaced. The UDF counts as
     non-deterministic so that a filter on its result doesn't make Spark run it twice.
     """
     @F.pandas_udf(schema)
@@ -39,9 +40,9 @@ def add_text_columns(df: DataFrame, text: str, fn: Callable[[list], pd.DataFrame
             yield fn([x if isinstance(x, str) else None for x in texts])
 
     names = [f.split()[0].strip() for f in schema.split(",")]
-    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    kept = [c for c in df.columns if c.lower() not in {(prefix + n).lower() for n in names}]
     held = df.withColumn("_made", run.asNondeterministic()(F.col(text)))
-    return held.select(*kept, *[F.col("_made")[n].alias(n) for n in names])
+    return held.select(*kept, *[F.col("_made")[n].alias(prefix + n) for n in names])
 
 
 def thinned(df: DataFrame, key: Column, bound: int) -> DataFrame:

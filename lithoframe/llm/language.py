@@ -107,7 +107,7 @@ def decide(text: str | None, ready: list, s: Settings) -> tuple[str, float, floa
                    for name, _, c, primer, spent in ready], s)
 
 
-def identify(docs: DataFrame, model: Dictionaries, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Dictionaries, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred, score, margin (the share by which the best is shorter than the second) and rejected.
 
     A null text and a text without letters is ``und`` with score 0, rejected. Ties go to the first language by name
@@ -118,4 +118,4 @@ def identify(docs: DataFrame, model: Dictionaries, text: str = "text") -> DataFr
         return pd.DataFrame([decide(t, ready, model.settings) for t in texts],
                             columns=["lang_pred", "score", "margin", "rejected"])
 
-    return add_text_columns(docs, text, batch, SCHEMA)
+    return add_text_columns(docs, text, batch, SCHEMA, prefix)

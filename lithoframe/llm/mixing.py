@@ -119,27 +119,32 @@ def _expected(rows: DataFrame, s: Settings) -> DataFrame:
             .withColumn("_rank", F.when(p > 1e-9, (u / (1 - u)) / (p / (1 - p)))))
 
 
-def applied(rows: DataFrame, source: str, plan: DataFrame, s: Settings) -> DataFrame:
-    """rows (with _size and _u) with source_size, target and copies."""
+def applied(rows: DataFrame, source: str, plan: DataFrame, s: Settings, prefix: str = "") -> DataFrame:
+    """rows (with _size and _u) with size, source_size, target and copies."""
     def chosen(so_far: Column, step: Column) -> Column:
         takes = (F.col("_size") <= step["left"]) & (step["out"].isNull() | (F.col("_rank") < step["out"]))
         return so_far | F.coalesce(takes, F.lit(False))
 
-    names = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
-    by = _beside(rows.select(*names, F.col(source).alias("_source")), plan, "left")
+    new = {f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")}
+    names = [c for c in rows.columns if c not in new | {"_size", "_u"}]
+    plan = plan.withColumnsRenamed({"source_size": "_all", "target": "_goal"})
+    by = _beside(rows.drop(*new).withColumn("_source", F.col(source)), plan, "left")
     drawn = F.col("_rank").isNotNull() & F.coalesce(F.aggregate("_passes", F.lit(False), chosen), F.lit(False))
-    return _expected(by, s).select(*names, "source_size", "target", (F.col("_whole") + drawn.cast("int")).cast("int").alias("copies"))
+    return _expected(by, s).select(*names, F.col("_size").alias(f"{prefix}size"), F.col("_all").alias(f"{prefix}source_size"),
+                                   F.col("_goal").alias(f"{prefix}target"),
+                                   (F.col("_whole") + drawn.cast("int")).cast("int").alias(f"{prefix}copies"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
-        settings: Settings = Settings()) -> DataFrame:
+        settings: Settings = Settings(), prefix: str = "") -> DataFrame:
     """docs with size (words), source_size, target (both of its source) and copies (0 to ``most``).
 
     The words that a source takes fall short of its target by less than its smallest passed-over document, after the
     refinements. Null is a source of its own, the last. A text that is null or has no word has size 0 and no copy.
-    Rows of the same id and text share their fate. An empty table stays empty. Input columns of these names are replaced.
+    Rows of the same id and text share their fate. An empty table stays empty. New names begin with ``prefix``; input columns of
+    these names are replaced.
     """
     s = settings
     rows = measured(docs, text, doc_id, s)
     plan = allocated(cut(rows.select(source, "_size", "_u")), source, s)
-    return applied(rows, source, plan, s).withColumn("size", F.col("_size")).drop("_size", "_u")
+    return applied(rows, source, plan, s, prefix)

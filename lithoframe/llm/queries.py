@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import language, mixing, ngram_join, toxicity
+from lithoframe.llm import language, mixing, ngram_join, packing, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
@@ -35,5 +39,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op8_pareto_mix, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op6_best_fit_packing, op8_pareto_mix, op9_ngram_join)}
 ORACLES: dict[str, str] = {}

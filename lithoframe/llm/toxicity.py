@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     return Weights(bytes(row["index"]), bytes(row["value"]), row["bias"], s) if row else Weights(settings=s)
 
 
-def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Weights, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with score (probability of label 1) and predicted (1 from the threshold on). Null texts count as empty."""
     s = model.settings
 
@@ -129,4 +129,4 @@ def score(docs: DataFrame, model: Weights, text: str = "text") -> DataFrame:
         p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         return pd.DataFrame({"score": p, "predicted": (p >= s.threshold).astype("int32")})
 
-    return add_text_columns(docs, text, batch, SCHEMA)
+    return add_text_columns(docs, text, batch, SCHEMA, prefix)
