@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import language, mixing, ngram_join, packing, toxicity
+from lithoframe.llm import language, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -29,6 +29,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    done = sharding.shard(docs, ["lang", "source", "size", "doc_id"], ["doc_id", "text_crc32", "size"])
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
@@ -39,5 +48,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op6_best_fit_packing, op8_pareto_mix, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join)}
 ORACLES: dict[str, str] = {}
