@@ -7,12 +7,16 @@ is those few.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithoframe.llm.common import add_text_columns, per_process, thinned, word_hashes
 
@@ -90,7 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
           settings: Settings = Settings()) -> Weights:
     """Weights from at most about ``rows`` of the labelled rows, drawn by a hash of the id.
 
-    The sample is bounded, so one task passes over it, in the order of a fixed permutation. A row
+    Features are made where the rows are. The sample is bounded, so one task passes over it, in a fixed permutation. A row
     with a null label teaches nothing; a null text counts as empty. Without both labels in the sample the weights
     are zero.
     """
@@ -99,20 +103,29 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
                     .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")), F.col("_id"), s.rows)
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
 
-    def fit(batches):
-        hashes, seen = word_hashes(), []
-        for rows in batches:
-            for i, y, t in zip(rows["_id"], rows["_y"], rows["_text"]):
-                own = np.unique(features(t if isinstance(t, str) else None, hashes, s))
-                seen.append((i, y, np.append(own, 1 << s.bits)))
-        seen.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, end = word_hashes(), np.array([1 << s.bits], np.int32)
+        for batch in batches:
+            made = [np.concatenate([np.unique(features(t, hashes, s)), end]) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(made, pa.list_(pa.int32()))],
+                                             ["_id", "_y", "_features"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = []
+        for batch in batches:
+            for i, y, f in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), batch.column("_features")):
+                seen.append((i, y, f.values.to_numpy()))
+        seen.sort(key=lambda x: (x[0], x[1], len(x[2]), zlib.crc32(x[2])))
         y = np.array([x[1] for x in seen], float)
         if len(set(y)) < 2:
             return
         index, value, bias = ftrl([x[2] for x in seen], y, s)
-        yield pd.DataFrame({"index": [index.astype(np.uint32).tobytes()], "value": [value.tobytes()], "bias": [bias]})
+        yield pa.RecordBatch.from_pydict({"index": [index.astype(np.uint32).tobytes()], "value": [value.tobytes()],
+                                          "bias": [bias]})
 
-    row = sample.coalesce(1).mapInPandas(fit, "index binary, value binary, bias double").first()
+    made = sample.mapInArrow(featured, T.StructType([*sample.schema.fields[:1], *sample.schema.fields[2:], T.StructField(
+        "_features", T.ArrayType(T.IntegerType()))]))
+    row = made.repartition(1).mapInArrow(fit, "index binary, value binary, bias double").first()
     return Weights(bytes(row["index"]), bytes(row["value"]), row["bias"], s) if row else Weights(settings=s)
 
 
