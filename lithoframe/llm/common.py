@@ -68,6 +68,38 @@ def word_hashes():
     return Seen()
 
 
+def portions(texts: list, chars: int = 1 << 20) -> Iterator[list]:
+    """The texts in lists of about a million characters, so that the words of a large batch aren't held at once."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t) if t else 0
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+class Remembered(dict):
+    """What encode_all(words) makes of each word, kept for later texts; begins anew beyond ``limit`` words."""
+
+    limit, longest = 250_000, 64
+
+    def encode_all(self, words: list[str]):
+        raise NotImplementedError
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make sure of every word of these texts; those that were long last time are dropped."""
+        for w in self.__dict__.pop("long", ()):
+            self.pop(w, None)
+        if len(self) > self.limit:
+            self.clear()
+        new = list(set().union(*texts).difference(self))
+        self.update(zip(new, self.encode_all(new)) if new else ())
+        self.long = [w for w in new if len(w) > self.longest]
+
+
 @functools.cache
 def per_process(make: Callable, *args):
     """make(*args), once in each Python worker."""

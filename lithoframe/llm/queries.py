@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import language, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, language, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join)}
 ORACLES: dict[str, str] = {}
