@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, language, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -52,5 +52,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join)}
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = line_crf.learn(docs, labels.filter(~held_out))
+    return line_crf.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "good_share", "n_lines")
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
+                                 op10_line_crf)}
 ORACLES: dict[str, str] = {}
