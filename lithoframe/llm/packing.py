@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.functions.lineage import cut
-from lithoframe.llm.common import per_process
+from lithoframe.llm.common import Remembered, per_process, portions
 
 #: str.split() parts at these, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Marks that end a word for the tokenizer wherever they follow a letter.
+MARKS = ".,;:!?%$&*#|"
 
 
 @dataclass(frozen=True)
@@ -39,32 +41,65 @@ class Settings:
         return self.vocabulary or public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """Ids of each white-space delimited part of a text, little-endian 32-bit, remembered up to half a million parts.
+class Words(Remembered):
+    """Ids of each white-space delimited part of a text, little-endian 32-bit.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of its parts in order.
-    A text with its special strings, or with control characters that only Python takes for white space, is encoded whole.
+    The vocabulary drops white space, and never joins across it or across the edge between a letter and a mark, and
+    ignores case. So the ids of a text are those of its parts in order, and a part's those of its letters and of the
+    marks after them. A text with its special strings, or with control characters that only Python takes for white
+    space, is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bodies = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        made = self.encode(part)
-        if len(part) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[part] = made
-        return made
-
-    def ids(self, text: str) -> bytes:
-        return self.encode(text) if _ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
+    def encode_all(self, parts: list[str]) -> Iterator[bytes]:
+        halves = []
+        for part in parts:
+            body = part.rstrip(MARKS)
+            tail, low = part[len(body):], body.lower() if body.isascii() else body
+            halves.append((low, tail) if body and body[-1].isalpha() else (None, part))
+        self._learn_bodies({low for low, _ in halves if low})
+        for low, tail in halves:
+            if tail and tail not in self.bodies:
+                self.bodies[tail] = self.encode(tail)
+            yield (self.bodies[low] if low else b"") + (self.bodies[tail] if tail else b"")
+
+    def _learn_bodies(self, bodies: set[str]) -> None:
+        """Words of letters alone are encoded many at once: each ends with the only token that can end a word."""
+        if len(self.bodies) > 2 * self.limit:
+            self.bodies.clear()
+        new = list(bodies.difference(self.bodies))
+        plain = [b for b in new if b.isalpha()]
+        for k in range(0, len(plain), 100):
+            some = plain[k:k + 100]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                own, ends = ids.tobytes(), (4 * ends).tolist()
+                self.bodies.update(zip(some, (own[i:j] for i, j in zip([0, *ends[:-1]], ends))))
+            else:  # lower case of a letter can be a letter and a mark, which is a word by itself
+                self.bodies.update((b, self.encode(b)) for b in some)
+        for b in new:
+            if not b.isalpha():
+                self.bodies[b] = self.encode(b)
+
+    def ids(self, texts: list) -> Iterator[bytes]:
+        """Of each text; of null, none."""
+        for some in portions(texts):
+            parts = [None if t is None or _ODD.search(t) else t.split() for t in some]
+            self.learn([p for p in parts if p])
+            for t, p in zip(some, parts):
+                yield b"" if t is None else self.encode(t) if p is None else b"".join(map(self.__getitem__, p))
 
 
 class BestFit:
@@ -131,8 +166,8 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings
         sequence, step = (TaskContext.get().partitionId() + 1) << 34, 4 * s.capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview((words.ids(t) if t else b"") + end)
+            for key, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
                 for k, i in enumerate(range(0, len(ids), step)):
                     part = ids[i:i + step]
                     full = len(part) == step
