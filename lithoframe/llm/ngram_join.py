@@ -109,8 +109,7 @@ def same_words(words: list[str]) -> bytes:
 def with_class(docs: DataFrame, text: str) -> DataFrame:
     """docs with _class: 16 bytes that texts of the same words share; null without a word."""
     def batch(texts: list) -> pd.DataFrame:
-        words = [_WORDS.findall(t) if t else [] for t in texts]
-        return pd.DataFrame({"_class": [same_words(w) if w else None for w in words]})
+        return pd.DataFrame({"_class": [same_words(words) if (words := _WORDS.findall(t or "")) else None for t in texts]})
 
     return add_text_columns(docs, text, batch, "_class binary")
 
