@@ -55,12 +55,12 @@ def thinned(df: DataFrame, key: Column, bound: int) -> DataFrame:
 
 
 def word_hashes():
-    """A function from words to 64-bit hashes that remembers the words it has seen, up to a quarter million."""
+    """A function from words to 64-bit hashes that remembers the words it has seen, up to 65,536."""
     import xxhash
 
     class Seen(dict):
         def __missing__(self, word):
-            if len(self) >= 250_000:
+            if len(self) >= 65_536:
                 self.clear()
             h = self[word] = xxhash.xxh64_intdigest(word)
             return h

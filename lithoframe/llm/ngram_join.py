@@ -331,7 +331,8 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sett
                                          F.ceil(F.col("_b") / s.block_bytes)).cast("int").alias("_blocks")))
     chosen = sized(groups.join(blocks, "root"))
     body = with_class(base, "_text").alias("d")
-    texts = body.join(chosen.alias("c"), (F.col("d._id").eqNullSafe(F.col("c._first")))
+    # texts and classes grow alike, so neither side is sent to every task, however small it is here
+    texts = body.join(chosen.alias("c").hint("merge"), (F.col("d._id").eqNullSafe(F.col("c._first")))
                       & (F.col("d._class") == F.col("c._class"))).select(
         "root", "_blocks", "c._class", "_copies", "_text")
     found = cut(verified(in_blocks(texts, "root", "_blocks"), s))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, html_text, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -60,6 +65,6 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted", "good_share", "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
                                  op10_line_crf)}
 ORACLES: dict[str, str] = {}
