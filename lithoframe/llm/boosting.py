@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,16 @@ class Trees:
     leaf: np.ndarray       # (trees, leaves)
     start: float
 
+    def to_bytes(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, feature=self.feature, cut=self.cut, leaf=self.leaf, start=self.start)
+        return held.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Trees:
+        held = np.load(io.BytesIO(data))
+        return Trees(held["feature"], held["cut"], held["leaf"], float(held["start"]))
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         total, rows, inner = np.full(len(x), self.start), np.arange(len(x)), self.feature.shape[1]
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):

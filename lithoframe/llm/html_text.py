@@ -12,7 +12,6 @@ without such markup are judged by density and shape.
 from __future__ import annotations
 
 import html
-import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -308,7 +307,7 @@ def learn(pages: DataFrame, source: str = "html", settings: Settings = Settings(
         blank = x.copy()
         blank[:, NAMES] = 0
         trees = boosting.fit(np.concatenate([x, blank]), np.concatenate([y, y]), np.ones(2 * len(y)), s.trees, s.depth, s.rate)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trees)], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([trees.to_bytes()], pa.binary())], ["model"])
 
     row = drawn.mapInArrow(featured, "_x binary").repartition(1).mapInArrow(trained, "model binary").first()
     return bytes(row["model"]) if row else b""
@@ -326,7 +325,7 @@ def extract(pages: DataFrame, model: bytes, source: str = "html", prefix: str =
     empty text. New names begin with ``prefix``; input columns of these names are replaced.
     """
     def batch(sources: list) -> pd.DataFrame:
-        odds, texts = (pickle.loads(model).log_odds if model else untrained), []
+        odds, texts = (boosting.Trees.from_bytes(model).log_odds if model else untrained), []
         for part in portions(sources):
             parsed = [parse(x) for x in part]
             features = [node_features(p) if p.text else np.empty((0, N_FEATURES)) for p in parsed]
