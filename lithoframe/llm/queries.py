@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, html_text, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -22,6 +22,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op3_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact_search.search(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 5) == 0
@@ -65,6 +70,16 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted", "good_share", "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_impact_search, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
                                  op10_line_crf)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_impact_search": """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5"""}
