@@ -5,8 +5,9 @@ that its text is main text. Decoding gives each subtree one of: all kept, all dr
 children decide, so that no node contradicts the ones above it.
 
 There are no labels. Pages that mark their article up (article, main) teach: text inside is main unless a
-boilerplate element or name stands between. Every training node also comes without its names, so that pages
-without such markup are judged by density and shape.
+boilerplate element or name stands between. Every training node also comes without its marks, so that pages without
+such markup are judged by density and shape, and twice with the shape of others, so that marks outweigh the shape of
+the pages at hand.
 """
 
 from __future__ import annotations
@@ -54,9 +55,9 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
                   r"""((?>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)(?:>|\Z)|[^>]*(?:>|\Z))""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-N_FEATURES = 20
-#: Columns that tell names and kinds of elements; blank in the second copy of a training node.
-NAMES = (8, 9, 10, 11, 16, 17, 18, 19)
+N_FEATURES = 18
+#: Columns that tell the marks of a node, of those around it and of those inside; the others tell density and shape.
+NAMES = (8, 9, 10, 11, 16, 17)
 
 
 @dataclass(frozen=True)
@@ -182,6 +183,14 @@ def subtree_sums(page: Page, values: np.ndarray) -> np.ndarray:
     return total
 
 
+def marks_of(page: Page) -> np.ndarray:
+    """1 for an element or name of main text, -1 for one of another part (which wins), 0 for neither."""
+    made = np.array([-1.0 if t in OTHER_TAGS or o else 1.0 if t in MAIN_TAGS or m else 0.0
+                     for t, m, o in zip(page.tag, page.main, page.other)])
+    made[[t in ("html", "body") for t in page.tag]] = 0
+    return made
+
+
 def node_features(page: Page) -> np.ndarray:
     n = len(page.tag)
     parent, at = np.array(page.parent), np.array(page.at, np.int64)
@@ -200,23 +209,22 @@ def node_features(page: Page) -> np.ndarray:
         place[k] = seen[up[k]] = seen.get(up[k], -1) + 1
     tags = np.array([hash_kind(t) for t in page.tag])
     alike = np.unique(up * 64 + tags, return_inverse=True, return_counts=True)
-    main, other = np.array(page.main, float), np.array(page.other, float)
-    main_tag = np.array([t in MAIN_TAGS for t in page.tag], float)
-    other_tag = np.array([t in OTHER_TAGS for t in page.tag], float)
-    above = np.zeros((n, 2))
+    own = marks_of(page)
+    nearest, above = own.copy(), np.zeros((n, 2))
     for k in range(1, n):
         p = parent[k]
-        above[k] = above[p] + (main_tag[p] + (main[p] > 0), other_tag[p] + (other[p] > 0))
-    inside = np.stack([main_tag + (main > 0), other_tag + (other > 0)], axis=1)
+        nearest[k] = own[k] or nearest[p]
+        above[k] = above[p] + (own[p] > 0, own[p] < 0)
+    inside = np.stack([own > 0, own < 0], axis=1).astype(float)
     for k in range(n - 1, 0, -1):
         inside[parent[k]] += inside[k]
     safe = np.maximum(chars, 1)
     return np.stack([
         np.log1p(chars), linked / safe, chars / nodes, np.array(page.depth, float), np.log1p(siblings),
         place / np.maximum(siblings - 1, 1), alike[2][alike[1]] / np.maximum(siblings, 1), 100 * marks / safe,
-        main, other, main_tag, other_tag, np.log1p(paragraphs), chars / np.maximum(segments, 1),
+        own, nearest, inside[:, 0], inside[:, 1], np.log1p(paragraphs), chars / np.maximum(segments, 1),
         chars / np.maximum(chars[up], 1), np.array([t in TEXT_TAGS for t in page.tag], float),
-        above[:, 0], above[:, 1], inside[:, 0], inside[:, 1]], axis=1)
+        above[:, 0], above[:, 1]], axis=1)
 
 
 def hash_kind(tag: str) -> int:
@@ -226,16 +234,11 @@ def hash_kind(tag: str) -> int:
 def weak_labels(page: Page) -> np.ndarray | None:
     """Per node 1 if most of its text is main by the page's own markup, else 0, nan without text; None if the page has none."""
     n = len(page.tag)
-    state = np.zeros(n)
-    for k in range(n):
-        own, up = page.tag[k], page.parent[k]
-        state[k] = state[up] if up >= 0 else 0.0
-        if own in MAIN_TAGS:
-            state[k] = 1.0
-        elif own in OTHER_TAGS or page.other[k]:
-            state[k] = 0.0
     if not any(t in MAIN_TAGS for t in page.tag):
         return None
+    own, state = marks_of(page), np.zeros(n)
+    for k in range(1, n):
+        state[k] = own[k] > 0 if own[k] else state[page.parent[k]]
     at = np.array(page.at, np.int64)
     length = np.array([len(t) for t in page.text], float)
     good, all_ = np.bincount(at, length * state[at], n), np.bincount(at, length, n)
@@ -304,9 +307,16 @@ def learn(pages: DataFrame, source: str = "html", settings: Settings = Settings(
             return
         both = np.frombuffer(b"".join(rows)).reshape(-1, N_FEATURES + 1)
         x, y = both[:, :-1], both[:, -1]
+        rng, views = np.random.default_rng(0), [x]
         blank = x.copy()
         blank[:, NAMES] = 0
-        trees = boosting.fit(np.concatenate([x, blank]), np.concatenate([y, y]), np.ones(2 * len(y)), s.trees, s.depth, s.rate)
+        views.append(blank)
+        for _ in range(2):
+            shuffled = rng.permuted(x, axis=0)
+            shuffled[:, NAMES] = x[:, NAMES]
+            views.append(shuffled)
+        every = np.concatenate(views)
+        trees = boosting.fit(every, np.tile(y, len(views)), np.ones(len(every)), s.trees, s.depth, s.rate)
         yield pa.RecordBatch.from_arrays([pa.array([trees.to_bytes()], pa.binary())], ["model"])
 
     row = drawn.mapInArrow(featured, "_x binary").repartition(1).mapInArrow(trained, "model binary").first()
@@ -315,7 +325,7 @@ def learn(pages: DataFrame, source: str = "html", settings: Settings = Settings(
 
 def untrained(x: np.ndarray) -> np.ndarray:
     """Without a model: names and kinds alone."""
-    return np.where((x[:, 9] > 0) | (x[:, 11] > 0) | (x[:, 17] > 0), -4.0, np.where(x[:, 1] > 0.6, -2.0, 2.0))
+    return np.where(x[:, 9] < 0, -4.0, np.where(x[:, 1] > 0.6, -2.0, 2.0))
 
 
 def extract(pages: DataFrame, model: bytes, source: str = "html", prefix: str = "") -> DataFrame:
