@@ -34,35 +34,27 @@ def _merge(how: str, own: Column, carry: Column) -> Column:
 class OrderedScan:
     """Running values along ``order`` within ``keys``; ``df`` grows a column per call."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], split: bool):
-        self.df, self.keys, self.order, self.split = df, keys, order, split
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
+        self.df, self.keys, self.order = df, keys, order
 
     @classmethod
     def on_dense_order(cls, df: DataFrame, keys: list[str], order: str,
                        rows_per_block: int = ROWS_PER_BLOCK) -> OrderedScan:
         """Blocks by arithmetic on an integer order column that is unique within its key.
 
-        The rows are read several times, so they are written out first; if all fall into one block
-        nothing is handed over between blocks.
+        The rows are read several times, so they are written out first.
         """
-        rows = cut(df.withColumn(_BLK, F.floor(F.col(order) / rows_per_block)))
-        lo, hi = rows.agg(F.min(_BLK), F.max(_BLK)).first()
-        return cls(rows, keys, [order], lo != hi)
+        return cls(cut(df.withColumn(_BLK, F.floor(F.col(order) / rows_per_block))), keys, [order])
 
     @classmethod
-    def on_any_order(cls, df: DataFrame, keys: list[str], order: list[str],
-                     rows_per_block: int = ROWS_PER_BLOCK) -> OrderedScan:
-        """Blocks by range partition when a group is too large for one task, else one block.
+    def on_any_order(cls, df: DataFrame, keys: list[str], order: list[str]) -> OrderedScan:
+        """Blocks by range partition, so a group of any size is spread over tasks.
 
         Range bounds come from a sample and may differ between two computations of the same plan,
         so the assignment is written out before anything reads it twice.
         """
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= rows_per_block:
-            return cls(df.withColumn(_BLK, F.lit(0).cast("long")), keys, order, False)
         ranged = df.repartitionByRange(*keys, *order)
-        return cls(cut(ranged.withColumn(_BLK, F.spark_partition_id().cast("long"))),
-                   keys, order, True)
+        return cls(cut(ranged.withColumn(_BLK, F.spark_partition_id().cast("long"))), keys, order)
 
     def _rows(self):
         return Window.partitionBy(*self.keys, _BLK).orderBy(*self.order)
@@ -90,13 +82,12 @@ class OrderedScan:
         self.df = self.df.withColumns({f"_in_{o}": c for o, (_, c) in specs.items()})
         self.df = self.df.withColumns({
             o: _AGGS[how](F.col(f"_in_{o}")).over(rows) for o, (how, _) in specs.items()})
-        if self.split:
-            prior = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
-            self._join_blocks(
-                {f"_s_{o}": self._block_value(how, F.col(f"_in_{o}")) for o, (how, _) in specs.items()},
-                {f"_c_{o}": _AGGS[how](F.col(f"_s_{o}")).over(prior) for o, (how, _) in specs.items()})
-            self.df = self.df.withColumns({
-                o: _merge(how, F.col(o), F.col(f"_c_{o}")) for o, (how, _) in specs.items()})
+        prior = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
+        self._join_blocks(
+            {f"_s_{o}": self._block_value(how, F.col(f"_in_{o}")) for o, (how, _) in specs.items()},
+            {f"_c_{o}": _AGGS[how](F.col(f"_s_{o}")).over(prior) for o, (how, _) in specs.items()})
+        self.df = self.df.withColumns({
+            o: _merge(how, F.col(o), F.col(f"_c_{o}")) for o, (how, _) in specs.items()})
         self.df = self.df.drop(*[f"{p}_{o}" for o in specs for p in ("_in", "_c")])
         return self
 
@@ -107,10 +98,6 @@ class OrderedScan:
 
     def whole(self, specs: dict[str, tuple[str, Column]]) -> OrderedScan:
         """Sum, min or max of the whole group on every row."""
-        if not self.split:
-            group = Window.partitionBy(*self.keys)
-            self.df = self.df.withColumns({o: _AGGS[how](c).over(group) for o, (how, c) in specs.items()})
-            return self
         group = Window.partitionBy(*self.keys)
         self._join_blocks({f"_s_{o}": _AGGS[how](c) for o, (how, c) in specs.items()},
                           {o: _AGGS[how](F.col(f"_s_{o}")).over(group) for o, (how, _) in specs.items()})
@@ -119,10 +106,9 @@ class OrderedScan:
     def next_row(self, out: str, cols: list[str]) -> OrderedScan:
         """The following row of the group as a struct, null at the end."""
         self.df = self.df.withColumn(out, F.lead(F.struct(*cols)).over(self._rows()))
-        if self.split:
-            self._join_blocks({"_s": F.min_by(F.struct(*cols), F.struct(*self.order))},
-                              {"_c": F.lead("_s").over(self._blocks())})
-            self.df = self.df.withColumn(out, F.coalesce(out, "_c")).drop("_c")
+        self._join_blocks({"_s": F.min_by(F.struct(*cols), F.struct(*self.order))},
+                          {"_c": F.lead("_s").over(self._blocks())})
+        self.df = self.df.withColumn(out, F.coalesce(out, "_c")).drop("_c")
         return self
 
     def apply(self, fn: Callable[[DataFrame], DataFrame]) -> OrderedScan:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoframe.functions.lineage import cut
+from lithoframe.functions.scans import OrderedScan
 
 # --- surveys ---------------------------------------------------------------------------------
 
@@ -141,22 +143,29 @@ def run_results(runs: DataFrame) -> DataFrame:
                        *[F.when(done, F.col(c)).alias(c) for c in shown])
 
 
-def resolve_run_ids(requests: DataFrame, ids: DataFrame, longest: int = 64) -> DataFrame:
-    """Each request as an exact id, else as a prefix of exactly one id.
+def resolve_run_ids(requests: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each request as an exact id, else as a prefix of exactly one id; an empty one is a prefix of all.
 
-    Ids are tallied per prefix of the lengths asked for, so a short prefix shared by very many ids
-    is one tally, never a list of matches.
+    Ids and the two ends of every prefix range are put in one order. The ids counted between the ends match, and the
+    last id before the far end is the only match where there is one. Prefixes may be of any length.
     """
-    asked = requests.select("request").distinct()
-    known = ids.select("run_id").distinct()
-    lengths = [r[0] for r in asked.select(F.length("request").alias("n")).where(
-        F.col("n").between(1, longest)).distinct().collect()]
-    prefixes = F.array(*[F.substring("run_id", 1, n) for n in lengths or [longest]])
-    tally = known.select("run_id", F.explode(F.array_distinct(prefixes)).alias("request")).groupBy(
-        "request").agg(F.count("*").alias("matches"), F.min("run_id").alias("only"))
+    asked = cut(requests.select("request").distinct())
+    known = cut(ids.select("run_id").distinct())
+    row = lambda at, kind, request, run_id: (F.lit(0).alias("all"), at.alias("at"), F.lit(kind).alias("kind"),
+                                             request.alias("request"), run_id.alias("run_id"))
+    none = F.lit(None).cast("string")
+    request, far = F.col("request"), F.concat("request", F.lit("\U0010ffff"))
+    line = (known.select(*row(F.col("run_id"), 1, none, F.col("run_id")))
+            .unionByName(asked.select(*row(request, 0, request, none)))
+            .unionByName(asked.select(*row(far, 2, request, none))))
+    scan = OrderedScan.on_any_order(line, ["all"], ["at", "kind", "request"]).running({
+        "n": ("sum", F.when(F.col("kind") == 1, 1).otherwise(0)), "last_id": ("last", F.col("run_id"))})
+    tally = scan.result().where(F.col("kind") != 1).groupBy("request").agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(-F.col("n"))).alias("matches"),
+        F.max(F.when(F.col("kind") == 2, F.col("last_id"))).alias("only"))
     exact = known.select(F.col("run_id").alias("request"), F.lit(True).alias("exact"))
-    found = asked.join(exact, "request", "left").join(tally, "request", "left")
-    n = F.coalesce("matches", F.lit(0))
+    found = tally.join(exact, "request", "left")
+    n = F.col("matches")
     state = (F.when(F.col("exact") | (n == 1), "resolved").when(n > 1, "ambiguous").otherwise("not_found"))
     return found.select("request", state.alias("state"), F.when(F.col("exact"), F.col("request")).when(
         n == 1, F.col("only")).alias("run_id"))
@@ -185,22 +194,21 @@ def _fraction() -> Column:
     return F.format_string("%.4f", F.coalesce("fault_voxel_fraction", F.lit(0.0)))
 
 
-# The wording of reports.
-CAVEATS = ("This describes model output, not confirmed geological truth.",
-           "Analyst review is required before sign-off.")
+# The wording of reports.
+CAVEATS = ("Scores come from a model; the geology may differ.",
+           "An interpreter has to look at them before they are used.")
 
 
 def run_summary(runs: DataFrame, caveats: bool = True) -> DataFrame:
     """Findings of complete runs as text and list."""
     rows = run_results(runs).where(F.col("state") == "ok")
     findings = F.array(
-        F.concat(F.lit("Fault probability volume: "), _or("prob_zarr_path", "N/A")),
-        F.concat(F.lit("Fault mask volume: "), _or("mask_zarr_path", "N/A")),
-        F.concat(F.lit("Fault voxel fraction: "), _fraction()))
+        F.concat(F.lit("probabilities in "), _or("prob_zarr_path", "no file")),
+        F.concat(F.lit("mask in "), _or("mask_zarr_path", "no file")),
+        F.concat(F.lit("share of fault samples "), _fraction()))
     text = F.concat(
-        F.lit("Fault detection run "), "run_id", F.lit(" completed on survey "), _or("survey_id", "unknown"),
-        F.lit(". Fault voxel fraction: "), _fraction(), F.lit(". Completed at: "),
-        _or(_iso("completed_at"), "N/A"), F.lit("."))
+        F.lit("Run "), "run_id", F.lit(" scored "), _or("survey_id", "an unnamed survey"), F.lit(" and marked a share of "),
+        _fraction(), F.lit(" of its samples as fault; finished "), _or(_iso("completed_at"), "at an unknown time"), F.lit("."))
     out = rows.select("run_id", F.col("survey_id").alias("dataset_id"), "status", text.alias("summary"),
                       findings.alias("key_findings"), "fault_voxel_fraction")
     return out.withColumn("caveats", F.array(*map(F.lit, CAVEATS))) if caveats else out
@@ -210,17 +218,17 @@ def export_packages(statuses: DataFrame, runs: DataFrame, overlays: bool = True,
     """Export entries of complete runs with the artifacts they hold."""
     results = run_results(runs).where(F.col("state") == "ok")
     state = statuses.select("run_id", F.col("status").alias("job_status"))
-    route = F.concat(F.lit("overlay/"), "run_id", F.lit("/{inline} — GET /api/interpretation/"), "run_id",
-                     F.lit("/overlay/{inline}"))
+    at = F.coalesce("prob_zarr_path", F.concat(F.lit("results/interpretation/"), "run_id", F.lit("/")))
+    sections = F.concat(F.lit("overlay of any inline of "), "run_id")
     artifacts = [
-        F.concat(F.lit("fault_prob.zarr — "), _or("prob_zarr_path", "N/A")),
-        F.concat(F.lit("fault_mask.zarr — "), _or("mask_zarr_path", "N/A")),
-        F.concat(F.lit("run_status.json (status="), _or("job_status", "unknown"), F.lit(")"))]
+        F.concat(F.lit("probability: "), at),
+        F.concat(F.lit("mask: "), _or("mask_zarr_path", "no file")),
+        F.concat(F.lit("state: "), _or("job_status", "unknown"))]
     return results.join(state, "run_id").select(
         F.concat(F.lit("export-"), "run_id").alias("export_id"), "run_id", F.lit(fmt).alias("format"),
         "survey_id", "status", "fault_voxel_fraction",
-        F.array(*artifacts, *([route] if overlays else [])).alias("included_artifacts"),
-        _or("prob_zarr_path", "N/A").alias("package_path"), "completed_at")
+        F.array(*artifacts, *([sections] if overlays else [])).alias("included_artifacts"),
+        at.alias("package_path"), "completed_at")
 
 
 def qc_reports(runs: DataFrame, recommendations: bool = True) -> DataFrame:
@@ -230,23 +238,22 @@ def qc_reports(runs: DataFrame, recommendations: bool = True) -> DataFrame:
     overall = F.when(done & ~failed, "pass").when(failed, "fail").otherwise("pending")
     section = lambda title, status, details: F.struct(
         F.lit(title).alias("title"), status.alias("status"), details.alias("details"))
-    first = section("Run Status", overall, F.concat(
-        F.lit("Run "), "run_id", F.lit(" — status: "), "status", F.lit(". Survey: "), _or("survey_id", "unknown"),
-        F.lit("."), F.when(failed, F.concat(F.lit(" Error: "), "error", F.lit("."))).otherwise("")))
-    second = section("Inference Results", F.lit("pass"), F.concat(
-        F.lit("Fault probability volume: "), _or("prob_zarr_path", "N/A"), F.lit(". Fault mask volume: "),
-        _or("mask_zarr_path", "N/A"), F.lit(". Fault voxel fraction: "), _fraction(), F.lit(". Completed at: "),
-        _or(_iso("completed_at"), "N/A"), F.lit(".")))
+    first = section("State", overall, F.concat(
+        F.lit("Run "), "run_id", F.lit(" of "), _or("survey_id", "an unnamed survey"), F.lit(" is "), "status",
+        F.when(failed, F.concat(F.lit(" after the error: "), "error")).otherwise("")))
+    second = section("Results", F.lit("pass"), F.concat(
+        F.lit("Probabilities in "), _or("prob_zarr_path", "no file"), F.lit(", mask in "), _or("mask_zarr_path", "no file"),
+        F.lit(", share of fault samples "), _fraction(), F.lit(", finished "),
+        _or(_iso("completed_at"), "at an unknown time")))
     out = runs.select(
         F.concat(F.lit("qc-report-"), "run_id").alias("report_id"), "run_id",
         F.col("survey_id").alias("dataset_id"),
         F.when(done, F.array(first, second)).otherwise(F.array(first)).alias("sections"),
         overall.alias("overall_status"),
-        F.when(done, F.concat(
-            F.lit("Review fault probability overlays for each inline of interest via GET /api/interpretation/"),
-            "run_id", F.lit("/overlay/{inline}. Compare against well formation tops before analyst sign-off.")))
-        .otherwise(F.concat(F.lit("Wait for run to complete — current status: "), "status", F.lit(".")))
-        .alias("recommended_action"))
+        F.when(done, F.concat(F.lit("Lay the overlays of run "), "run_id", F.lit(" over its inlines and hold them against the well tops.")))
+        .otherwise(F.concat(F.lit("Come back later: the run is "), "status", F.lit("."))).alias("recommended_action"),
+        F.when(done, 100).when(failed, 0).otherwise(50).alias("progress"),
+        F.concat(F.lit("run "), "status").alias("message"), F.array(*map(F.lit, CAVEATS)).alias("caveats"))
     return out if recommendations else out.drop("recommended_action")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.arrays import blank
 from lithoframe.functions.lineage import sized
-from lithoframe.functions.numeric import clamp
+from lithoframe.functions.numeric import clamp, floor_div
 
 SURVEY = ["survey_id"]
 
@@ -58,16 +58,6 @@ def flag_irregular(geometry: DataFrame) -> DataFrame:
     return geometry.withColumn("irregular", F.col("n_traces") != cells)
 
 
-# Phrases in reader errors that mean an irregular trace grid.
-IRREGULAR_PHRASES = ("inconsistent", "invalid dimensions", "should match the number of traces")
-
-
-def mentions_irregular(message: Column) -> Column:
-    low = F.lower(message)
-    flags = [low.contains(p) for p in IRREGULAR_PHRASES]
-    return flags[0] | flags[1] | flags[2]
-
-
 def survey_axes(geometry: DataFrame) -> DataFrame:
     """The axis arrays of a survey, built from min, max and step."""
     return geometry.select(
@@ -115,22 +105,21 @@ def keep_first_inlines(traces: DataFrame, geometry: DataFrame,
 
 
 def fill_report(traces: DataFrame, geometry: DataFrame) -> DataFrame:
-    """How many recorded traces lie on the grid, and the share of cells they fill."""
+    """How many recorded traces lie on the grid, their share of all, and the share of cells they fill."""
     g = sized(geometry)
     on = lambda axis: (
         (F.col(axis) - F.col(f"{axis}_min")) % F.col(f"{axis}_step") == 0)
-    size = lambda axis: (
-        F.floor((F.col(f"{axis}_max") - F.col(f"{axis}_min")) / F.col(f"{axis}_step")) + 1)
     cells = traces.select("survey_id", "inline", "crossline").join(g, SURVEY)
     per_cell = cells.groupBy("survey_id", "inline", "crossline").agg(
         F.count("*").alias("n"), F.first(on("inline") & on("crossline")).alias("on_grid"),
-        F.first(size("inline") * size("crossline")).alias("cells"))
+        F.first(grid_size("inline").cast("long") * grid_size("crossline")).alias("cells"))
     return per_cell.groupBy("survey_id").agg(
         F.sum("n").alias("total"),
         F.sum(F.when(F.col("on_grid"), F.col("n")).otherwise(0)).alias("placed"),
         F.count_if("on_grid").alias("filled_cells"),
         F.first("cells").alias("cells"),
-    ).withColumn("percent_fill", 100.0 * F.col("filled_cells") / F.col("cells"))
+    ).withColumns({"percent_fill": 100.0 * F.col("placed") / F.greatest(F.col("total"), F.lit(1)),
+                   "percent_cells": 100.0 * F.col("filled_cells") / F.col("cells")})
 
 
 def scale_coordinates(traces: DataFrame) -> DataFrame:
@@ -219,8 +208,19 @@ def world_to_grid(points: DataFrame, transform: DataFrame) -> DataFrame:
         ((F.col("z") - F.col("datum_ms")) / F.col("sample_rate_ms")).alias("s"))
 
 
+def grid_size(axis: str) -> Column:
+    """Positions along an axis by range and step, lines that were never recorded included."""
+    return (floor_div(F.col(f"{axis}_max") - F.col(f"{axis}_min"), F.col(f"{axis}_step")) + 1).cast("int")
+
+
+def grid_shape(geometry: DataFrame) -> DataFrame:
+    """(survey_id, n_inlines, n_crosslines, n_samples) of the grid that positions address."""
+    return geometry.select("survey_id", grid_size("inline").alias("n_inlines"),
+                           grid_size("crossline").alias("n_crosslines"), "n_samples")
+
+
 def line_to_index(number: Column, first: Column, step: Column, n: Column) -> Column:
-    """0-based position of a line number, clamped to the axis."""
+    """0-based position of a line number on a grid of n positions, clamped to it."""
     return clamp(F.floor((number - first) / step), F.lit(0), n - 1).cast("int")
 
 

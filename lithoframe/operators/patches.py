@@ -24,6 +24,7 @@ Size = tuple[int, int, int]
 
 # Split shares, weight of a patch with faults, draws per epoch, guard against flat patches.
 SPLIT_SHARES = (0.70, 0.15, 0.15)
+VOLUME_ENDS = (0.7, 0.85)
 FAULT_WEIGHT = 50.0
 DRAWS = 200
 FLAT = 1e-8
@@ -100,10 +101,11 @@ def inline_split(position: Column, n: Column, shares: tuple[float, float, float]
 
 
 def split_volume(volume: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Contiguous inline split of whole traces, before any patching."""
-    n = sized(shapes).select("survey_id", "n_inlines")
-    return volume.join(n, SURVEY).withColumn(
-        "split", inline_split(F.col("il"), F.col("n_inlines"))).drop("n_inlines")
+    """Contiguous inline split of whole traces, before any patching: train to 70 % of the lines, val to 85 %."""
+    n, il = sized(shapes).select("survey_id", "n_inlines"), F.col("il")
+    end = lambda share: (F.col("n_inlines") * share).cast("int")
+    return volume.join(n, SURVEY).withColumn("split", F.when(il < end(VOLUME_ENDS[0]), "train").when(
+        il < end(VOLUME_ENDS[1]), "val").otherwise("test")).drop("n_inlines")
 
 
 def fault_counts(mask: DataFrame, shapes: DataFrame, patch: Size, stride: Size | None = None) -> DataFrame:
@@ -133,8 +135,8 @@ def cut_patches(volume: DataFrame, shapes: DataFrame, patch: Size, stride: Size
                 label_transform: Callable[[Column], Column] | None = None) -> DataFrame:
     """Patch tensors as flat arrays in (il, xl, s) order.
 
-    Each trace sends the slices that its covering windows need; a patch gathers exactly
-    patch[0] * patch[1] of them. ``label`` names a 0/1 array column beside ``samples``; without one
+    Each trace sends the slices that its covering windows need; a patch gathers at most
+    patch[0] * patch[1] of them, and has zeros where a trace is missing. ``label`` names a 0/1 array column beside ``samples``; without one
     the labels are zeros. The hooks are applied to finished patches.
     """
     stride = stride or patch
@@ -147,30 +149,47 @@ def cut_patches(volume: DataFrame, shapes: DataFrame, patch: Size, stride: Size
     if label is not None:
         piece.append(F.slice(F.col(label), F.col("s0") + 1, F.lit(patch[2])).alias("y"))
     parts = rows.groupBy(*PATCH).agg(F.sort_array(F.collect_list(F.struct("il", "xl", *piece))).alias("p"))
-    x = F.flatten(F.col("p.x"))
-    y = F.flatten(F.col("p.y")) if label is not None else F.array_repeat(
+    full = F.size("p") == patch[0] * patch[1]
+    place = lambda q: (q["il"] - F.col("il0")) * patch[1] + q["xl"] - F.col("xl0")
+
+    def gathered(field: str, kind: str) -> Column:
+        held = F.map_from_entries(F.transform("p", lambda q: F.struct(place(q), q[field])))
+        none = F.array_repeat(F.lit(0).cast(kind), patch[2])
+        filled = F.transform(F.sequence(F.lit(0), F.lit(patch[0] * patch[1] - 1)),
+                             lambda k: F.coalesce(F.try_element_at(held, k), none))
+        return F.flatten(F.when(full, F.col(f"p.{field}")).otherwise(filled))
+
+    kind_of = lambda c: volume.schema[c].dataType.elementType.simpleString()
+    x = gathered("x", kind_of("samples"))
+    y = gathered("y", kind_of(label)) if label is not None else F.array_repeat(
         F.lit(0).cast("tinyint"), int(np.prod(patch)))
     same = lambda c: c
     return parts.select(*PATCH, (transform or same)(x).alias("patch"), (label_transform or same)(y).alias("label"))
 
 
+def _standardised(patches: pd.Series, rule: Callable[..., np.ndarray]) -> pd.Series:
+    """The rule on all patches of a batch at once; patches of one length are stacked."""
+    out = pd.Series([None] * len(patches), dtype=object)
+    lengths = patches.map(len).to_numpy() if len(patches) else np.empty(0, int)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        x = np.stack(patches.to_numpy()[at]).astype("f8")
+        made = rule(x, x.mean(axis=1, keepdims=True), x.std(axis=1, keepdims=True)) if n else x
+        for i, row in zip(at, made.astype("f4")):
+            out.iat[i] = row
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def zscore(patch: pd.Series) -> pd.Series:
     """(x - mean) / (population std + 1e-8) of each patch."""
-    def one(x):
-        x = np.asarray(x, dtype="f8")
-        return ((x - x.mean()) / (x.std() + FLAT)).astype("f4")
-    return patch.map(one)
+    return _standardised(patch, lambda x, mean, std: (x - mean) / (std + FLAT))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def zscore_unless_flat(patch: pd.Series) -> pd.Series:
-    """z-score, but a flat patch stays as it is."""
-    def one(x):
-        x = np.asarray(x, dtype="f8")
-        std = x.std()
-        return ((x - x.mean()) / (std + FLAT) if std > FLAT else x).astype("f4")
-    return patch.map(one)
+    """(x - mean) / population std, but a flat patch stays as it is."""
+    return _standardised(patch, lambda x, mean, std: np.where(std > FLAT, (x - mean) / np.where(std > FLAT, std, 1), x))
 
 
 def fault_weights(counted: DataFrame, weight: float = FAULT_WEIGHT) -> DataFrame:

@@ -13,7 +13,7 @@ from lithoframe.functions import quantiles
 from lithoframe.functions.arrays import dot
 from lithoframe.functions.lineage import sized
 from lithoframe.functions.numeric import clamp, mean_of, ratio
-from lithoframe.operators.geometry import SURVEY, line_to_index
+from lithoframe.operators.geometry import SURVEY, grid_size, line_to_index
 
 # Fixed values.
 REFERENCE_VELOCITY = 2000.0
@@ -31,9 +31,9 @@ def sample_values(traces: DataFrame, *extra: str) -> DataFrame:
         "v", F.col("v").cast("double"))
 
 
-def amplitude_stats(traces: DataFrame, exact: bool = True) -> DataFrame:
+def amplitude_stats(traces: DataFrame) -> DataFrame:
     """min, max, mean, population std, p01, p99 and non-zero share per survey."""
-    return quantiles.summary(sample_values(traces), SURVEY, TAILS, exact=exact)
+    return quantiles.summary(sample_values(traces), SURVEY, TAILS)
 
 
 def section_stats(traces: DataFrame) -> DataFrame:
@@ -46,13 +46,12 @@ def section_stats(traces: DataFrame) -> DataFrame:
 def evenly_spaced(traces: DataFrame, geometry: DataFrame, n: int = SAMPLED_TRACES) -> DataFrame:
     """At most n grid cells at a fixed stride over the line-by-line cell order."""
     g = sized(geometry).select(
-        "survey_id", "inline_min", "inline_step", "n_inlines",
-        "crossline_min", "crossline_step", "n_crosslines")
-    index = lambda axis: line_to_index(F.col(axis), F.col(f"{axis}_min"), F.col(f"{axis}_step"),
-                                       F.col(f"n_{axis}s")).cast("long")
-    linear = index("inline") * F.col("n_crosslines") + index("crossline")
-    stride = F.greatest(F.lit(1).cast("long"), F.floor(
-        F.col("n_inlines").cast("long") * F.col("n_crosslines") / n))
+        "survey_id", "inline_min", "inline_step", grid_size("inline").cast("long").alias("_il"),
+        "crossline_min", "crossline_step", grid_size("crossline").cast("long").alias("_xl"))
+    index = lambda axis, size: line_to_index(F.col(axis), F.col(f"{axis}_min"), F.col(f"{axis}_step"),
+                                             F.col(size)).cast("long")
+    linear = index("inline", "_il") * F.col("_xl") + index("crossline", "_xl")
+    stride = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_il") * F.col("_xl") / n))
     kept = traces.join(g, SURVEY).where(
         (linear % stride == 0) & (F.floor(linear / stride) < n))
     return kept.select(*traces.columns)
@@ -116,7 +115,7 @@ def volume_qc(traces: DataFrame, geometry: DataFrame, sidecars: DataFrame | None
     """One quality row per survey.
 
     ``sidecars`` (survey_id, amplitude_stats) may hold statistics from ingest; only surveys without
-    them are scanned for amplitudes.
+    them are scanned for amplitudes. Spectrum and symmetry are means over all traces.
     """
     names = ("min", "max", "mean", "std", "p01", "p99", "nonzero_fraction")
     if sidecars is None:
@@ -128,13 +127,12 @@ def volume_qc(traces: DataFrame, geometry: DataFrame, sidecars: DataFrame | None
         stats = known.withColumn("sidecar_stats_used", F.lit(True)).unionByName(
             amplitude_stats(rest).select("survey_id", *names)
             .withColumn("sidecar_stats_used", F.lit(False)))
-    picked = evenly_spaced(traces, geometry)
     freq = F.col("dominant_freq_hz")
     return (geometry.select("survey_id", "n_inlines", "n_crosslines", "n_samples",
                             F.col("sample_rate_ms").alias("dt_ms"))
             .join(stats, SURVEY)
-            .join(dominant_frequency(picked), SURVEY)
-            .join(wavelet_symmetry(picked), SURVEY)
+            .join(dominant_frequency(traces), SURVEY)
+            .join(wavelet_symmetry(traces), SURVEY)
             .select("survey_id", "n_inlines", "n_crosslines", "n_samples", "dt_ms",
                     F.round("nonzero_fraction", 6).alias("nonzero_fraction"),
                     *[F.col(n).alias(f"amp_{n}") for n in names[:-1]],

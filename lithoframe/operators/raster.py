@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions.lineage import cut, sized
 from lithoframe.functions.numeric import half_even
-from lithoframe.functions.scans import ROWS_PER_BLOCK, OrderedScan
+from lithoframe.functions.scans import OrderedScan
 from lithoframe.operators.geometry import SURVEY, grid_cells, world_to_grid
 
 STICK = ["survey_id", "stick_id"]
@@ -27,13 +27,12 @@ def _toward(c: str, t: Column) -> Column:
     return F.col(c) + t * (F.col("nxt")[c] - F.col(c))
 
 
-def densify(picks: DataFrame, order: list[str], max_gap: float = MAX_INLINE_GAP,
-            rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def densify(picks: DataFrame, order: list[str], max_gap: float = MAX_INLINE_GAP) -> DataFrame:
     """Sort each stick by inline and bridge gaps of more than one and at most max_gap inlines.
 
     Returns the points with a ``step`` column; their order is (il, *order, step).
     """
-    scan = OrderedScan.on_any_order(picks, STICK, ["il", *order], rows_per_block)
+    scan = OrderedScan.on_any_order(picks, STICK, ["il", *order])
     points = scan.next_row("nxt", ["il", "xl", "s"]).result()
     gap = F.col("nxt.il") - F.col("il")
     pieces = F.when((gap > 1) & (gap <= max_gap), F.rint(gap).cast("int")).otherwise(1)
@@ -45,13 +44,13 @@ def densify(picks: DataFrame, order: list[str], max_gap: float = MAX_INLINE_GAP,
                     *order, "step"))
 
 
-def resample(points: DataFrame, order: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def resample(points: DataFrame, order: list[str]) -> DataFrame:
     """Evenly spaced positions along each polyline, about two per voxel of length.
 
     Which positions fall on a segment follows from its arc interval by arithmetic, so no position is
     ever matched against segments by a join.
     """
-    scan = OrderedScan.on_any_order(points, STICK, order, rows_per_block)
+    scan = OrderedScan.on_any_order(points, STICK, order)
     scan.next_row("nxt", ["il", "xl", "s"])
     square = lambda c: F.pow(F.col("nxt")[c] - F.col(c), F.lit(2.0))
     scan.apply(lambda df: df.withColumn("seg", F.sqrt(square("il") + square("xl") + square("s"))))
@@ -165,8 +164,8 @@ def paint_points(points: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def dense_mask(mask: DataFrame, shapes: DataFrame) -> DataFrame:
-    """A 0/1 byte array per trace of the full index grid."""
-    runs = mask.groupBy("survey_id", "il", "xl").agg(F.collect_set("s").alias("on"))
+    """A 0/1 byte array per trace of the full index grid: zeros between the sorted positions that are set."""
+    runs = mask.groupBy("survey_id", "il", "xl").agg(F.sort_array(F.collect_set("s")).alias("on"))
     axis = lambda n: [F.lit(0).alias(f"{n}_min"), (F.col(f"n_{n}s") - 1).alias(f"{n}_max"),
                       F.lit(1).alias(f"{n}_step")]
     cells = grid_cells(shapes.select("survey_id", *axis("inline"), *axis("crossline"))).select(
@@ -174,9 +173,13 @@ def dense_mask(mask: DataFrame, shapes: DataFrame) -> DataFrame:
     sized_shapes = sized(shapes).select("survey_id", "n_samples")
     full = cells.join(runs, ["survey_id", "il", "xl"], "left").join(sized_shapes, SURVEY)
     none = F.array().cast("array<int>")
-    return full.select("survey_id", "il", "xl", F.transform(
-        F.sequence(F.lit(0), F.col("n_samples") - 1),
-        lambda i: F.array_contains(F.coalesce("on", none), i).cast("tinyint")).alias("mask"))
+    on = F.filter(F.coalesce("on", none), lambda i: (i >= 0) & (i < F.col("n_samples")))
+    byte = lambda v, n: F.array_repeat(F.lit(v).cast("tinyint"), n.cast("int"))
+    # each position brings the zeros after the one before it
+    filled = F.flatten(F.transform(on, lambda i, k: F.concat(
+        byte(0, i - F.when(k > 0, F.get(on, k - 1)).otherwise(-1) - 1), byte(1, F.lit(1)))))
+    rest = byte(0, F.col("n_samples") - 1 - F.coalesce(F.array_max(on), F.lit(-1)))
+    return full.select("survey_id", "il", "xl", F.concat(filled, rest).alias("mask"))
 
 
 def grid_mismatch(labels: DataFrame, traces: DataFrame) -> DataFrame:

@@ -64,20 +64,21 @@ def window_weight(volume: DataFrame, shapes: DataFrame, patch: Size, overlap: fl
         lambda s: F.col("plane") * along(s, "n_samples", 2)).alias("weight"))
 
 
-def _probabilities(patches: np.ndarray, patch: Size, predict: Predict, batch: int) -> np.ndarray:
+def _probabilities(patches: np.ndarray, patch: Size, predict: Predict, batch: int, normalise: bool = True) -> np.ndarray:
     x = patches.reshape(-1, *patch).astype("f8")
-    axes = (1, 2, 3)
-    x = (x - x.mean(axis=axes, keepdims=True)) / (x.std(axis=axes, keepdims=True) + FLAT)
+    if normalise:
+        axes = (1, 2, 3)
+        x = (x - x.mean(axis=axes, keepdims=True)) / (x.std(axis=axes, keepdims=True) + FLAT)
     logits = [predict(x[i:i + batch]) for i in range(0, len(x), batch)]
     return 1.0 / (1.0 + np.exp(-np.concatenate(logits)))
 
 
 def score_patches(patches: DataFrame, patch: Size, predict: Predict = amplitude_logits,
-                  batch: int = BATCH) -> DataFrame:
-    """Probabilities of each patch, flat in the same order as the patch."""
+                  batch: int = BATCH, normalise: bool = True) -> DataFrame:
+    """Probabilities of each patch, flat in the same order as the patch; ``normalise`` z-scores patches first."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            probs = _probabilities(np.stack(f["patch"]), patch, predict, batch)
+            probs = _probabilities(np.stack(f["patch"]), patch, predict, batch, normalise)
             yield f[PATCH].assign(prob=list(probs.reshape(len(f), -1).astype("f4")))
 
     return patches.select(*PATCH, "patch").mapInPandas(
@@ -90,8 +91,8 @@ def score_volume(volume: DataFrame, shapes: DataFrame, patch: Size, predict: Pre
 
     A scored window is cut back into trace slices at once; groups of neighbouring traces then add
     the weighted slices, so no group holds more than a strip of one inline. ``uniform`` weighs all
-    positions alike and leaves out the extra windows at the far edges; positions no window covers
-    get 0.
+    positions alike, feeds patches as they are and leaves out the extra windows at the far edges; positions no
+    window covers get 0.
     """
     windows = cut_patches(volume, shapes, patch, overlap_stride(patch, overlap), tail=not uniform)
     wi, wx, ws = uniform_weights(patch) if uniform else gaussian_weights(patch)
@@ -100,7 +101,7 @@ def score_volume(volume: DataFrame, shapes: DataFrame, patch: Size, predict: Pre
     def slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         di, dx = (a.ravel() for a in np.mgrid[0:d, 0:h])
         for f in frames:
-            probs = _probabilities(np.stack(f["patch"]), patch, predict, batch).reshape(-1, w)
+            probs = _probabilities(np.stack(f["patch"]), patch, predict, batch, not uniform).reshape(-1, w)
             n = len(f)
             yield pd.DataFrame({
                 "survey_id": np.repeat(f["survey_id"].to_numpy(), d * h),

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoframe.functions.lineage import sized
-from lithoframe.operators.geometry import SURVEY, insertion_index
+from lithoframe.operators.geometry import SURVEY, grid_size, insertion_index
+from lithoframe.sources.volume import BRICK, inline_range
 
 CELL = ["survey_id", "inline", "crossline"]
 
 
 def inline_section(traces: DataFrame, inline: int) -> DataFrame:
-    """Traces of one inline; the filter reaches the scan."""
-    return traces.where(F.col("inline") == inline).select(*CELL, "samples")
+    """Traces of one inline; of a written volume only its block of inlines is read."""
+    return inline_range(traces, inline, inline).select(*CELL, "samples")
 
 
 def crossline_section(traces: DataFrame, crossline: int) -> DataFrame:
@@ -32,10 +33,23 @@ def _distinct_inlines(traces: DataFrame) -> DataFrame:
 
 
 def clamped_inline_section(traces: DataFrame, target: int) -> DataFrame:
-    """The first inline at or after ``target`` in each survey, else its last inline."""
-    at = sized(insertion_index(_distinct_inlines(traces), target)
-                           .select("survey_id", F.col("number").alias("inline")))
-    return traces.join(at, ["survey_id", "inline"]).select(*CELL, "samples")
+    """The first inline at or after ``target`` in each survey, else its last inline.
+
+    A column of samples (amplitudes, or the probabilities of a run) comes along as it is named. A table without rows
+    gives none.
+    """
+    at = insertion_index(_distinct_inlines(traces), target).select("survey_id", F.col("number").alias("inline"))
+    shown = [c for c in ("run_id", "samples", "prob") if c in traces.columns]
+    return _pruned(traces, at).select(*[c for c in shown if c == "run_id"], *CELL, *[c for c in shown if c != "run_id"])
+
+
+def _pruned(traces: DataFrame, lines: DataFrame) -> DataFrame:
+    """Traces of (survey_id, inline) lines; of a written volume only the folders of their blocks are read."""
+    keys = ["survey_id", "inline"]
+    if "il_block" in traces.columns:
+        lines = lines.withColumn("il_block", F.floor(F.col("inline") / BRICK[0]).cast("int"))
+        keys = ["survey_id", "il_block", "inline"]
+    return traces.join(sized(lines.select(*keys).distinct()), keys)
 
 
 def time_slice(traces: DataFrame, k: int | None = None) -> DataFrame:
@@ -49,7 +63,7 @@ def middle_sections(traces: DataFrame, geometry: DataFrame) -> DataFrame:
 
     Middle means position n // 2 along the axis of the grid.
     """
-    mid = lambda axis: (F.col(f"{axis}_min") + F.floor(F.col(f"n_{axis}s") / 2).cast("int")
+    mid = lambda axis: (F.col(f"{axis}_min") + F.floor(grid_size(axis) / 2).cast("int")
                         * F.col(f"{axis}_step")).alias(f"_{axis}")
     at = sized(geometry).select("survey_id", mid("inline"), mid("crossline"))
     both = F.array_compact(F.array(*[
@@ -61,35 +75,47 @@ def middle_sections(traces: DataFrame, geometry: DataFrame) -> DataFrame:
 
 def slab_bounds(traces: DataFrame, geometry: DataFrame, target: int, window: int,
                 patch: int) -> DataFrame:
-    """Inline index range [lo, hi) of a slab around a target line, at least one patch wide."""
+    """Range [lo, hi) among the existing inlines of a slab around a target line, at least one patch wide.
+
+    ``first`` and ``last`` are the line numbers at its ends.
+    """
     half = max(window, patch // 2 + 1)
-    at = insertion_index(_distinct_inlines(traces), target)
-    n = F.col("n_inlines")
+    lines = _distinct_inlines(traces)
+    at = lines.groupBy("survey_id").agg(  # one number per line of a survey
+        F.sort_array(F.collect_set("number")).alias("_lines"),
+        F.least(F.count_if(F.col("number") < target), F.count("*") - 1).alias("idx"))
+    n = F.size("_lines")
     lo, hi = F.greatest(F.lit(0), F.col("idx") - half), F.least(n, F.col("idx") + half + 1)
-    bounds = geometry.join(at.select("survey_id", "idx"), SURVEY).withColumns({"_lo": lo, "_hi": hi})
+    bounds = geometry.join(at, SURVEY).withColumns({"_lo": lo, "_hi": hi})
     narrow = F.col("_hi") - F.col("_lo") < patch
     # a slab cut short by an edge grows back from that edge
     new_lo = F.when(narrow, F.greatest(F.lit(0), F.least(F.col("_lo"), n - patch))).otherwise(F.col("_lo"))
     return bounds.withColumn("lo", new_lo.cast("int")).select(
         "survey_id", "inline_min", "inline_step", "lo",
-        F.when(narrow, F.least(n, F.col("lo") + patch)).otherwise(F.col("_hi")).cast("int").alias("hi"))
+        F.when(narrow, F.least(n, F.col("lo") + patch)).otherwise(F.col("_hi")).cast("int").alias("hi"), "_lines").select(
+        "survey_id", "inline_min", "inline_step", "lo", "hi", F.get("_lines", F.col("lo")).alias("first"),
+        F.get("_lines", F.col("hi") - 1).alias("last"))
 
 
 def slab(traces: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Traces whose inline index lies in the bounds of their survey."""
-    b = sized(bounds.select(
-        "survey_id", (F.col("inline_min") + F.col("lo") * F.col("inline_step")).alias("_from"),
-        (F.col("inline_min") + F.col("hi") * F.col("inline_step")).alias("_to")))
-    return traces.join(b, SURVEY).where(
-        (F.col("inline") >= F.col("_from")) & (F.col("inline") < F.col("_to"))).drop("_from", "_to")
+    """Traces from the ``first`` to the ``last`` inline number of their survey.
+
+    Of a written volume only the folders of the blocks in between are read.
+    """
+    b, keys = bounds.select("survey_id", F.col("first").alias("_first"), F.col("last").alias("_last")), SURVEY
+    if "il_block" in traces.columns:
+        block = lambda c: F.floor(F.col(c) / BRICK[0]).cast("int")
+        b = b.where(F.col("_last") >= F.col("_first")).withColumn(
+            "il_block", F.explode(F.sequence(block("_first"), block("_last"))))
+        keys = ["survey_id", "il_block"]
+    return traces.join(sized(b), keys).where(F.col("inline").between(F.col("_first"), F.col("_last"))).select(*traces.columns)
 
 
 def inline_index_range(traces: DataFrame, geometry: DataFrame, start: int, end: int) -> DataFrame:
-    """Held-out region: inline indices [start, end), clamped to the axis."""
-    lo = F.greatest(F.lit(0), F.lit(start))
-    hi = F.least(F.col("n_inlines"), F.lit(end))
-    return slab(traces, geometry.select("survey_id", "inline_min", "inline_step",
-                                        lo.alias("lo"), hi.alias("hi")))
+    """Held-out region: grid positions [start, end) of the inlines, clamped to the axis."""
+    lo, hi = F.greatest(F.lit(0), F.lit(start)), F.least(grid_size("inline"), F.lit(end))
+    number = lambda i: F.col("inline_min") + i * F.col("inline_step")
+    return slab(traces, geometry.select("survey_id", number(lo).alias("first"), number(hi - 1).alias("last")))
 
 
 def inline_number_range(traces: DataFrame, first: int, last: int) -> DataFrame:
@@ -125,10 +151,13 @@ def stick_crossings(picks: DataFrame, inline: int) -> DataFrame:
     return picks.where(F.col("inline") == inline).select("stick_id", "crossline", "twt")
 
 
-def first_inline_samples(voxels: DataFrame, n: int = 100) -> DataFrame:
-    """The first n samples, in grid order, on the lowest inline."""
-    lowest = voxels.agg(F.min("inline").alias("inline"))
-    return voxels.join(F.broadcast(lowest), "inline").orderBy(
+def first_inline_samples(traces: DataFrame, n: int = 100) -> DataFrame:
+    """The first n samples, in grid order, on the lowest inline of (survey_id, inline, crossline, samples) traces.
+
+    The line is found on headers; only its traces are opened into samples.
+    """
+    lowest = traces.agg(F.min("inline").alias("inline"))
+    return voxels(traces.join(F.broadcast(lowest), "inline")).orderBy(  # one row
         "survey_id", "crossline", "s").limit(n)
 
 

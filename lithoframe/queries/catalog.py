@@ -149,15 +149,17 @@ def c10(spark, sf):
 @query("c11_resolve_run_ids", """
   WITH ids AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS run_id FROM orders),
   req AS (SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN 'zz' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6)
+                               WHEN o_custkey % 5 = 2 AND o_custkey % 11 = 0 THEN ''
                                WHEN o_custkey % 5 = 1 THEN md5(CAST(o_orderkey AS VARCHAR))
                                ELSE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2 + CAST(o_custkey % 7 AS INTEGER)) END AS request FROM orders),
-  pre AS (SELECT substr(run_id, 1, n) AS request, count(*) AS m, min(run_id) AS sole FROM ids, unnest(range(1, 33)) t(n) GROUP BY 1)
+  pre AS (SELECT substr(run_id, 1, n) AS request, count(*) AS m, min(run_id) AS sole FROM ids, unnest(range(0, 33)) t(n) GROUP BY 1)
   SELECT request, CASE WHEN coalesce(m, 0) = 0 THEN 'not_found' WHEN m = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
          CASE WHEN m = 1 THEN sole END AS run_id FROM req LEFT JOIN pre USING (request)""")
 def c11(spark, sf):
     o = table(spark, sf, "orders")
     run_id, kind = F.md5(F.col("o_orderkey").cast("string")), F.col("o_custkey") % 5
-    request = (F.when(kind == 0, F.concat(F.lit("zz"), F.substr(run_id, F.lit(1), F.lit(6)))).when(kind == 1, run_id)
+    request = (F.when(kind == 0, F.concat(F.lit("zz"), F.substr(run_id, F.lit(1), F.lit(6)))).when(
+        (kind == 2) & (F.col("o_custkey") % 11 == 0), "").when(kind == 1, run_id)
                .otherwise(F.substr(run_id, F.lit(1), (F.col("o_custkey") % 7 + 2).cast("int"))))
     return c.resolve_run_ids(o.select(request.alias("request")), o.select(run_id.alias("run_id")))
 
@@ -246,10 +248,10 @@ _ISO = "strftime(completed_at, '%Y-%m-%dT%H:%M:%S')"
 
 @query("c20_run_summary", f"""WITH {RUNS}
   SELECT run_id, survey_id AS dataset_id, status,
-         'Fault detection run ' || run_id || ' completed on survey ' || survey_id || '. Fault voxel fraction: ' ||
-         printf('%.4f', fault_voxel_fraction) || '. Completed at: ' || {_ISO} || '.' AS summary,
-         'Fault probability volume: ' || prob_zarr_path || '|Fault mask volume: ' || mask_zarr_path ||
-         '|Fault voxel fraction: ' || printf('%.4f', fault_voxel_fraction) AS findings, 2 AS n_caveats
+         'Run ' || run_id || ' scored ' || survey_id || ' and marked a share of ' || printf('%.4f', fault_voxel_fraction) ||
+         ' of its samples as fault; finished ' || {_ISO} || '.' AS summary,
+         'probabilities in ' || prob_zarr_path || '|mask in ' || mask_zarr_path ||
+         '|share of fault samples ' || printf('%.4f', fault_voxel_fraction) AS findings, 2 AS n_caveats
   FROM runs WHERE status = 'complete'""")
 def c20(spark, sf):
     return c.run_summary(runs(spark, sf)).select(
@@ -259,9 +261,8 @@ def c20(spark, sf):
 
 @query("c21_export_packages", f"""WITH {RUNS}
   SELECT 'export-' || run_id AS export_id, survey_id, status, prob_zarr_path AS package_path,
-         'fault_prob.zarr — ' || prob_zarr_path || '|fault_mask.zarr — ' || mask_zarr_path ||
-         '|run_status.json (status=complete)|overlay/' || run_id || '/{{inline}} — GET /api/interpretation/' || run_id ||
-         '/overlay/{{inline}}' AS artifacts
+         'probability: ' || prob_zarr_path || '|mask: ' || mask_zarr_path ||
+         '|state: complete|overlay of any inline of ' || run_id AS artifacts
   FROM runs WHERE status = 'complete'""")
 def c21(spark, sf):
     r = runs(spark, sf)
@@ -273,16 +274,15 @@ def c21(spark, sf):
   SELECT 'qc-report-' || run_id AS report_id, survey_id AS dataset_id,
          CASE WHEN status = 'complete' THEN 'pass' WHEN error IS NOT NULL THEN 'fail' ELSE 'pending' END AS overall_status,
          CAST(CASE WHEN status = 'complete' THEN 2 ELSE 1 END AS INTEGER) AS n_sections,
-         'Run ' || run_id || ' — status: ' || status || '. Survey: ' || survey_id || '.' ||
-         coalesce(' Error: ' || error || '.', '') AS first_details,
-         CASE WHEN status = 'complete' THEN 'Review fault probability overlays for each inline of interest via GET /api/interpretation/' ||
-              run_id || '/overlay/{{inline}}. Compare against well formation tops before analyst sign-off.'
-              ELSE 'Wait for run to complete — current status: ' || status || '.' END AS recommended_action
+         'Run ' || run_id || ' of ' || survey_id || ' is ' || status || coalesce(' after the error: ' || error, '') AS first_details,
+         CASE WHEN status = 'complete' THEN 'Lay the overlays of run ' || run_id || ' over its inlines and hold them against the well tops.'
+              ELSE 'Come back later: the run is ' || status || '.' END AS recommended_action,
+         CAST(CASE WHEN status = 'complete' THEN 100 WHEN error IS NOT NULL THEN 0 ELSE 50 END AS INTEGER) AS progress
   FROM runs""")
 def c22(spark, sf):
     return c.qc_reports(runs(spark, sf)).select(
         "report_id", "dataset_id", "overall_status", F.size("sections").alias("n_sections"),
-        F.col("sections")[0]["details"].alias("first_details"), "recommended_action")
+        F.col("sections")[0]["details"].alias("first_details"), "recommended_action", "progress")
 
 
 @query("c23_dangling_calls", """

@@ -81,7 +81,8 @@ def g6(spark, sf):
 
 @query("g7_fill_report", f"""WITH {_FILLED}
   SELECT f.survey_id, count(*) AS cells, count(*) FILTER (WHERE recorded) AS filled_cells,
-         {q6("100.0 * count(*) FILTER (WHERE recorded) / count(*)")} AS percent_fill, any_value(p.placed) AS placed,
+         {q6("100.0 * count(*) FILTER (WHERE recorded) / count(*)")} AS percent_cells,
+         {q6("100.0 * any_value(p.placed) / any_value(p.total)")} AS percent_fill, any_value(p.placed) AS placed,
          any_value(p.total) AS total
   FROM filled f JOIN (
     SELECT survey_id, count(*) AS total, count(*) FILTER (
@@ -91,7 +92,7 @@ def g6(spark, sf):
 def g7(spark, sf):
     t = irregular_traces(spark, sf)
     return g.fill_report(t, g.infer_geometry(t)).select(
-        "survey_id", "cells", "filled_cells", r6(F.col("percent_fill")).alias("percent_fill"),
+        "survey_id", "cells", "filled_cells", *[r6(F.col(c)).alias(c) for c in ("percent_cells", "percent_fill")],
         "placed", "total")
 
 
@@ -161,13 +162,13 @@ def g11(spark, sf):
 
 @query("g12_number_to_index", f"""WITH {IRREGULAR}
   SELECT survey_id, trace_no,
-         CAST(greatest(0, least(n_inlines - 1, floor((inline - 7 - inline_min) / inline_step))) AS INTEGER) AS il_idx,
-         CAST(greatest(0, least(n_crosslines - 1, floor((crossline - crossline_min) / crossline_step))) AS INTEGER) AS xl_idx
+         CAST(greatest(0, least((inline_max - inline_min) // inline_step, floor((inline - 7 - inline_min) / inline_step))) AS INTEGER) AS il_idx,
+         CAST(greatest(0, least((crossline_max - crossline_min) // crossline_step, floor((crossline - crossline_min) / crossline_step))) AS INTEGER) AS xl_idx
   FROM traces JOIN geom USING (survey_id)""")
 def g12(spark, sf):
     t = irregular_traces(spark, sf)
     at = lambda axis, off: g.line_to_index(
-        F.col(axis) - off, F.col(f"{axis}_min"), F.col(f"{axis}_step"), F.col(f"n_{axis}s"))
+        F.col(axis) - off, F.col(f"{axis}_min"), F.col(f"{axis}_step"), g.grid_size(axis))
     geo = sized(g.infer_geometry(t).drop("n_samples"))
     return t.join(geo, "survey_id").select(
         "survey_id", "trace_no", at("inline", 7).alias("il_idx"), at("crossline", 0).alias("xl_idx"))

@@ -147,14 +147,14 @@ _ROLLED = """
 
 @query("v9_best_epoch", f"""WITH {EPOCHS}, {_ROLLED},
   h AS (SELECT run_id, epoch, iou, round(loss, 6) AS loss,
-               max(iou) OVER w AS top, min(round(loss, 6)) OVER w AS low FROM rated WHERE phase = 'train'
+               max(iou) OVER w AS top, min(round(loss, 6)) OVER w AS low FROM rated WHERE phase = 'val'
         WINDOW w AS (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   s AS (SELECT *, CASE WHEN iou > coalesce(top, 0) THEN 'iou'
                        WHEN iou >= coalesce(top, 0) AND loss < coalesce(low, 1e300) THEN 'loss' END AS selected_by FROM h)
   SELECT run_id, epoch, {q6("iou")} AS iou, {q6("loss")} AS loss, selected_by FROM s WHERE selected_by IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) = 1""")
 def v9(spark, sf):
-    history = v.epoch_rollup(epochs(spark, sf)).where(F.col("phase") == "train").select(
+    history = v.epoch_rollup(epochs(spark, sf)).where(F.col("phase") == "val").select(
         "run_id", "epoch", r6(F.col("iou")).alias("iou"), r6(F.col("loss")).alias("loss"))
     return v.best_epoch(history)
 

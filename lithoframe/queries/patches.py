@@ -57,7 +57,7 @@ def t2(spark, sf):
 @query("t3_contiguous_split", f"""WITH {_BASE}
   SELECT inline - 1001 AS il, crossline - 1900 AS xl,
          CASE WHEN inline - 1001 < CAST(floor(n_il * 0.7) AS INTEGER) THEN 'train'
-              WHEN inline - 1001 < CAST(floor(n_il * 0.7) AS INTEGER) + CAST(floor(n_il * 0.15) AS INTEGER) THEN 'val'
+              WHEN inline - 1001 < CAST(floor(n_il * 0.85) AS INTEGER) THEN 'val'
               ELSE 'test' END AS split FROM traces, dims""")
 def t3(spark, sf):
     return t.split_volume(volume(spark, sf), shape_of(spark, sf)).select("il", "xl", "split")
@@ -103,9 +103,16 @@ def t6(spark, sf):
         "z", r6(F.col("z").cast("double"), 4))
 
 
-@query("t7_patch_zscore_guarded", f"WITH {_BASE}, {TRUTH}, {_index_sql()}, {_VALUES} {_Z}")
+@query("t7_patch_zscore_guarded", f"""WITH {_BASE}, {TRUTH}, {_index_sql()}, {_VALUES},
+  flat AS (SELECT * REPLACE (CASE WHEN (il0 + xl0) % 4 = 0 THEN 0.25 WHEN xl0 % 4 = 0 THEN a * 1e-7 ELSE a END AS a) FROM px)
+  SELECT il0, xl0, s0, CAST(pos AS INTEGER) AS pos,
+         {q6("CAST(CASE WHEN stddev_pop(a) OVER w > 1e-8 THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w ELSE a END AS FLOAT)", 4)} AS z
+  FROM flat WINDOW w AS (PARTITION BY il0, xl0, s0)""")
 def t7(spark, sf):
-    return _cut(spark, sf, transform=t.zscore_unless_flat).select(
+    """Some patches are made flat, some nearly flat."""
+    flat = lambda x: F.transform(x, lambda v: F.when((F.col("il0") + F.col("xl0")) % 4 == 0, F.lit(0.25)).when(
+        F.col("xl0") % 4 == 0, v.cast("double") * 1e-7).otherwise(v.cast("double")))
+    return _cut(spark, sf, transform=lambda x: t.zscore_unless_flat(flat(x))).select(
         "il0", "xl0", "s0", F.posexplode("patch").alias("pos", "z")).withColumn(
         "z", r6(F.col("z").cast("double"), 4))
 

@@ -36,6 +36,7 @@ _PICKED = """,
   idx AS (SELECT t.*, (inline - il0) * n_xl + crossline - xl0 AS i, greatest(1, n_il * n_xl // 500) AS stride
           FROM traces t, geom),
   picked AS (SELECT * FROM idx WHERE i % stride = 0 AND i // stride < 500)"""
+_ALL = ", picked AS (SELECT * FROM traces)"
 _SPECTRUM = """,
   dft AS (
     SELECT trace_no, b.k, sqrt(pow(sum(x * cos(2 * pi() * b.k * s / 64)), 2) + pow(sum(x * sin(2 * pi() * b.k * s / 64)), 2)) AS mag
@@ -48,7 +49,7 @@ _SYMMETRY = """,
   sym AS (SELECT sum(l.x * r.x) / sum(l.x * l.x) AS c FROM mt l JOIN mt r ON r.s = 63 - l.s)"""
 
 
-@query("a3_volume_qc", f"""WITH {TRACES} {_PICKED} {_SPECTRUM} {_SYMMETRY}
+@query("a3_volume_qc", f"""WITH {TRACES} {_ALL} {_SPECTRUM} {_SYMMETRY}
   SELECT 'survey_0' AS survey_id, min(a) AS amp_min, max(a) AS amp_max, {q6("avg(a)")} AS amp_mean,
          {q6("stddev_pop(a)")} AS amp_std, {q6("quantile_cont(a, 0.01)")} AS amp_p01,
          {q6("quantile_cont(a, 0.99)")} AS amp_p99, {q6("avg(CAST(a <> 0 AS INTEGER))")} AS nonzero_fraction,
@@ -71,11 +72,10 @@ def a4(spark, sf):
     return a.evenly_spaced(t, infer_geometry(t)).select("trace_no")
 
 
-@query("a5_dominant_frequency", f"""WITH {TRACES} {_PICKED} {_SPECTRUM}
+@query("a5_dominant_frequency", f"""WITH {TRACES} {_ALL} {_SPECTRUM}
   SELECT 'survey_0' AS survey_id, {q6("hz")} AS dominant_freq_hz FROM peak""")
 def a5(spark, sf):
-    t = traces(spark, sf)
-    return a.dominant_frequency(a.evenly_spaced(t, infer_geometry(t)))
+    return a.dominant_frequency(traces(spark, sf))
 
 
 @query("a5_mean_spectrum", f"""WITH {TRACES}, picked AS (SELECT * FROM traces) {_SPECTRUM}
@@ -85,18 +85,17 @@ def a5_spectrum(spark, sf):
         "bin", r6(F.col("hz")).alias("hz"), r6(F.col("mag"), 5).alias("mag"))
 
 
-@query("a6_vertical_resolution", f"""WITH {TRACES} {_PICKED} {_SPECTRUM}
+@query("a6_vertical_resolution", f"""WITH {TRACES} {_ALL} {_SPECTRUM}
   SELECT 'survey_0' AS survey_id, {q6("2000.0 / (4.0 * hz)")} AS vertical_resolution_m FROM peak""")
 def a6(spark, sf):
     return a5(spark, sf).select(
         "survey_id", r6(a.vertical_resolution(F.col("dominant_freq_hz"))).alias("vertical_resolution_m"))
 
 
-@query("a7_wavelet_symmetry", f"""WITH {TRACES} {_PICKED} {_SYMMETRY}
+@query("a7_wavelet_symmetry", f"""WITH {TRACES} {_ALL} {_SYMMETRY}
   SELECT 'survey_0' AS survey_id, {q6("c")} AS wavelet_symmetry FROM sym""")
 def a7(spark, sf):
-    t = traces(spark, sf)
-    return a.wavelet_symmetry(a.evenly_spaced(t, infer_geometry(t))).select(
+    return a.wavelet_symmetry(traces(spark, sf)).select(
         "survey_id", r6(F.col("wavelet_symmetry")).alias("wavelet_symmetry"))
 
 

@@ -57,7 +57,7 @@ def i3(spark, sf):
 
 
 @query("t10_uniform_tiling", f"""WITH {_PLAIN},
-  m AS (SELECT il, xl, s, avg(p) AS p FROM sc GROUP BY il, xl, s)
+  m AS (SELECT il, xl, s, avg(1.0 / (1.0 + exp(-a))) AS p FROM px GROUP BY il, xl, s)
   SELECT CAST(inline - 1001 AS INTEGER) AS il, CAST(crossline - 1900 AS INTEGER) AS xl, v.s, {q6("CAST(coalesce(m.p, 0) AS FLOAT)", 4)} AS p
   FROM voxels v LEFT JOIN m ON m.il = v.inline - 1001 AND m.xl = v.crossline - 1900 AND m.s = v.s""")
 def t10(spark, sf):

@@ -105,7 +105,7 @@ def p10(spark, sf):
   SELECT inline, crossline, s, {q6("a")} AS amplitude FROM voxels
   WHERE inline = (SELECT min(inline) FROM traces) ORDER BY survey_id, crossline, s LIMIT 100""")
 def p11(spark, sf):
-    return p.first_inline_samples(p.voxels(traces(spark, sf))).select(
+    return p.first_inline_samples(traces(spark, sf)).select(
         "inline", "crossline", "s", r6(F.col("amplitude").cast("double")).alias("amplitude"))
 
 

@@ -26,9 +26,9 @@ def read_volume(spark, path: str) -> DataFrame:
 
 
 def inline_range(volume: DataFrame, first: int, last: int) -> DataFrame:
-    """Traces of an inclusive inline range; only the folders of its blocks are listed and read."""
-    return volume.where(F.col("il_block").between(first // BRICK[0], last // BRICK[0])
-                        & F.col("inline").between(first, last))
+    """Traces of an inclusive inline range; of a written volume only the folders of its blocks are listed and read."""
+    near = volume.where(F.col("inline").between(first, last))
+    return near.where(F.col("il_block").between(first // BRICK[0], last // BRICK[0])) if "il_block" in volume.columns else near
 
 
 def bricks(volume: DataFrame, brick: tuple[int, int, int] = BRICK) -> DataFrame:

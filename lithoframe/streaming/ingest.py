@@ -19,7 +19,7 @@ def ingest_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str, on
     The stream carries file names only; each batch reads its files through the splittable source. A
     batch writes its own folder, so a repeated batch replaces itself.
     """
-    arrivals = (spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.{sgy,segy}")
+    arrivals = (spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.{[sS][gG][yY],[sS][eE][gG][yY]}")
                 .option("maxFilesPerTrigger", files_per_batch).load(raw).select("path", "length"))
 
     def ingest(batch: DataFrame, batch_id: int) -> None:

@@ -2,66 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_COLUMNS = "run_id string, survey_id string, status string, updated_at timestamp, seq long"
-_STATE = "survey_id string, status string, at long, seq long"
 
-# Fixed value: states after which a run sends no more events.
-FINAL = ("complete", "failed")
+def latest_events(events: DataFrame) -> DataFrame:
+    """The latest of (run_id, survey_id, status, updated_at, seq) events of each run."""
+    return events.groupBy("run_id").agg(F.max_by(
+        F.struct("survey_id", "status", "updated_at", "seq"), F.struct("updated_at", "seq")).alias("r")).select(
+        "run_id", "r.*")
 
 
-def latest_events(events: DataFrame, lateness: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:
-    """Latest event per run, emitted when it changes.
+def feed(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append the latest event per run of each batch to ``out``; a repeated batch replaces its own folder.
 
-    ``events`` is (run_id, survey_id, status, updated_at, seq). Events older than the watermark are
-    dropped. The state of a finished run is let go ``keep_ms`` after its last event, so state is
-    bounded by the runs in progress.
+    Batches keep no state, so an event may come as late as it likes: ``current`` weighs it by its own time.
     """
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else None
-        changed = False
-        for f in frames:
-            top = f.sort_values(["updated_at", "seq"]).iloc[-1]
-            at = int(top["updated_at"].value // 1000)
-            if best is None or (at, int(top["seq"])) > (best[2], best[3]):
-                best, changed = (top["survey_id"], top["status"], at, int(top["seq"])), True
-        state.update(best)
-        if best[1] in FINAL:
-            due = best[2] // 1000 + keep_ms
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                state.remove()
-        if changed:
-            yield pd.DataFrame({"run_id": [key[0]], "survey_id": [best[0]], "status": [best[1]],
-                                "updated_at": [pd.Timestamp(best[2], unit="us")], "seq": [best[3]]})
-
-    return events.withWatermark("updated_at", lateness).groupBy("run_id").applyInPandasWithState(
-        update, _COLUMNS, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def feed(events: DataFrame, out: str, checkpoint: str, once: bool = True, **kw) -> StreamingQuery:
-    """Append the changes of each batch to ``out``; a repeated batch replaces its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        latest_events(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = latest_events(events, **kw).writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def current(changes: DataFrame) -> DataFrame:
     """The last change of each run."""
-    return changes.groupBy("run_id").agg(F.max_by(
-        F.struct("survey_id", "status", "updated_at"), F.struct("updated_at", "seq")).alias("r")).select(
-        "run_id", "r.*")
+    return latest_events(changes).drop("seq")
