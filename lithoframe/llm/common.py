@@ -100,9 +100,9 @@ class Remembered(dict):
         self.long = [w for w in new if len(w) > self.longest]
 
 
-@functools.cache
+@functools.lru_cache(maxsize=2)
 def per_process(make: Callable, *args):
-    """make(*args), once in each Python worker."""
+    """make(*args), kept in the Python worker until two others have come."""
     return make(*args)
 
 
