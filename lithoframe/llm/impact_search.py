@@ -27,8 +27,8 @@ class Settings:
     block: int = 8192       # vectors of an index block
     queries: int = 512      # that a task takes at once
     segments: int = 24      # of a dimension
-    enough: float = 0.125   # share of a block that may be scored exactly
-    steps: tuple = (0.15, 0.3, 0.45, 0.6, 0.75, 1.0)  # shares of the postings after which the bound is tried
+    enough: float = 0.5     # share of a block that is scored exactly rather than taking more postings
+    steps: tuple = (0.5, 0.8, 0.9, 0.95, 1.0)  # shares of the postings after which the bound is tried
 
 
 def as_integers(vectors: DataFrame, vec_id: str, embedding: str, s: Settings) -> DataFrame:
@@ -80,49 +80,61 @@ class Block:
     def __init__(self, row: dict, width: int):
         self.ids = np.frombuffer(row["ids"], "<i8")
         n = len(self.ids)
-        self.v = np.frombuffer(row["vectors"], row["kind"]).reshape(n, width).astype(np.int64)
-        self.postings = np.frombuffer(row["postings"], "<u4" if n >= 1 << 16 else "<u2").reshape(width, n).astype(np.int32)
+        self.v = np.frombuffer(row["vectors"], row["kind"]).reshape(n, width)
+        self.postings = np.frombuffer(row["postings"], "<u4" if n >= 1 << 16 else "<u2").reshape(width, n).astype(np.intp)
         self.edges = np.frombuffer(row["edges"], np.int64).reshape(width, -1)
-        self.sorted = np.stack([self.v[self.postings[d], d] for d in range(width)]).astype(float)
-        last = np.maximum(self.edges[:, 1:] - 1, 0)
-        first = np.minimum(self.edges[:, :-1], n - 1)
-        rows = np.arange(width)[:, None]
-        self.high, self.low = self.sorted[rows, last], self.sorted[rows, first]
+        self.exact = self.v.astype(float)
+        self.top = float(np.abs(self.exact).max(initial=0.0))
+        self.sorted = np.take_along_axis(self.exact.T, self.postings, axis=1)
+        last, first = np.maximum(self.edges[:, 1:] - 1, 0), np.minimum(self.edges[:, :-1], n - 1)
+        self.high, self.low = (np.take_along_axis(self.sorted, at, axis=1) for at in (last, first))
         self.filled = self.edges[:, 1:] > self.edges[:, :-1]
 
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact: by floats where no sum can leave their integers, else by 64-bit integers."""
+        if self.top * float(np.abs(q).max(initial=0)) * len(q) < 2.0 ** 53:
+            return (self.exact[at] @ q.astype(float)).astype(np.int64)
+        return self.v[at].astype(np.int64) @ q
+
     def best(self, query_id: int, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors of the block, the query's own id left out."""
+        """Ids and scores of the k best vectors of the block, the query's own id left out.
+
+        The accumulators hold what the segments so far add above each dimension's least. Segments of a dimension are taken
+        from one end of its postings, so those of a step are one run of them.
+        """
         n, (width, parts) = len(self.ids), self.high.shape
-        weight = q.astype(float)[:, None]
-        least = np.minimum(weight[:, 0] * self.sorted[:, 0], weight[:, 0] * self.sorted[:, -1])
-        impact = np.where(weight > 0, weight * self.high, weight * self.low) - least[:, None]
-        impact[~self.filled | (weight == 0)] = -1.0
+        weight = q.astype(float)
+        up = weight > 0
+        ends = np.where(up, self.sorted[:, 0], self.sorted[:, -1])
+        impact = weight[:, None] * (np.where(up[:, None], self.high, self.low) - ends[:, None])
+        impact[~self.filled | (weight == 0)[:, None]] = 0.0
         rank = np.argsort(-impact, axis=None, kind="stable")
         rank = rank[impact.ravel()[rank] > 0]
-        sizes = (self.edges[:, 1:] - self.edges[:, :-1]).ravel()[rank]
-        done, reached = np.cumsum(sizes), 0
-        score, other = np.zeros(n), self.ids != query_id
-        possible = np.flatnonzero(other)
-        if len(possible) > s.k:
-            for share in s.steps:
-                upto = int(np.searchsorted(done, share * (done[-1] if len(done) else 0), side="right"))
-                at, gain = [], []
-                for seg in rank[reached:upto].tolist():
-                    d, b = divmod(seg, parts)
-                    i, j = self.edges[d, b], self.edges[d, b + 1]
-                    at.append(self.postings[d, i:j])
-                    gain.append(self.sorted[d, i:j] * weight[d, 0] - least[d])
-                if at:
-                    score += np.bincount(np.concatenate(at), np.concatenate(gain), n)
-                reached = upto
-                open_ = np.zeros(width)
-                np.maximum.at(open_, rank[reached:] // parts, impact.ravel()[rank[reached:]])
-                held = score[possible]
-                bar = np.partition(held, len(held) - s.k)[len(held) - s.k]
-                possible = possible[held + open_.sum() >= bar - 0.5]
-                if len(possible) <= max(s.k, s.enough * n):
-                    break
-        exact = self.v[possible] @ q
+        dims = rank // parts
+        done = np.cumsum((self.edges[:, 1:] - self.edges[:, :-1]).ravel()[rank])
+        edge = np.where(up, n, 0)
+        score, possible, reached = np.zeros(n), np.flatnonzero(self.ids != query_id), 0
+        for share in s.steps if len(possible) > s.k and len(rank) else ():
+            upto = int(np.searchsorted(done, share * done[-1], side="right"))
+            segment = rank[reached:upto] % parts
+            at, gain = [], []
+            for d in np.unique(dims[reached:upto]).tolist():
+                own = segment[dims[reached:upto] == d]
+                i, j = ((self.edges[d, own.min()], edge[d]) if up[d] else (edge[d], self.edges[d, own.max() + 1]))
+                edge[d] = i if up[d] else j
+                at.append(self.postings[d, i:j])
+                gain.append((self.sorted[d, i:j] - ends[d]) * weight[d])
+            if at:
+                score += np.bincount(np.concatenate(at), np.concatenate(gain), n)
+            reached = upto
+            open_ = np.zeros(width)
+            np.maximum.at(open_, dims[reached:], impact.ravel()[rank[reached:]])
+            held = score[possible]
+            bar = np.partition(held, len(held) - s.k)[len(held) - s.k]
+            possible = possible[held + open_.sum() >= bar - 0.5]
+            if len(possible) <= max(s.k, s.enough * n):
+                break
+        exact = self.scores(possible, q)
         order = np.lexsort((self.ids[possible], -exact))[:s.k]
         return self.ids[possible][order], exact[order]
 
