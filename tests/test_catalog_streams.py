@@ -123,3 +123,15 @@ def test_status_stream_keeps_late_events(spark, tmp_path):
         run_status.feed(stream, out, str(tmp_path / "cp")).awaitTermination()
     got = {r["run_id"]: r["status"] for r in run_status.current(spark.read.parquet(out)).collect()}
     assert got == {"a": "complete", "b": "failed"}  # hours late, and still the last event of b
+
+
+def test_prefixes_of_any_length(spark):
+    ids = spark.createDataFrame([("a" * 80 + "x",), ("a" * 80 + "y",), ("b",), ("bc",)], "run_id string")
+    asked = ["a" * 70, "a" * 80 + "x", "a" * 81, "b", "bc", "c", "", "a" * 80 + "y"]
+    req = spark.createDataFrame([(r,) for r in asked * 2], "request string")
+    got = {r["request"]: (r["state"], r["run_id"]) for r in c.resolve_run_ids(req, ids).collect()}
+    assert got == {"a" * 70: ("ambiguous", None), "a" * 80 + "x": ("resolved", "a" * 80 + "x"), "a" * 81: ("not_found", None),
+                   "b": ("resolved", "b"), "bc": ("resolved", "bc"), "c": ("not_found", None), "": ("ambiguous", None),
+                   "a" * 80 + "y": ("resolved", "a" * 80 + "y")}
+    alone = c.resolve_run_ids(spark.createDataFrame([("",)], "request string"), ids.limit(1)).first()
+    assert alone["state"] == "resolved"

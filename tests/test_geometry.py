@@ -103,3 +103,38 @@ def test_run_window_is_named(spark):
         p.require_in_run(runs, "r", 9)
     with pytest.raises(LookupError):
         p.require_in_run(runs, "x", 6)
+
+
+def gapped(volume_of, survey="s"):
+    return volume_of([((il, xl), [il * 10.0 + xl] * 8) for il in (1, 2, 3, 4, 9, 10, 11, 12) for xl in range(1, 5)
+                      if (il, xl) not in ((2, 2), (11, 4))], survey=survey)
+
+
+def test_lines_with_a_gap(volume_of):
+    t = gapped(volume_of)
+    geo = g.infer_geometry(t)
+    assert g.grid_shape(geo).first()[1:] == (12, 4, 8)
+    at = t.join(geo.drop("n_samples"), "survey_id").select("inline", g.line_to_index(
+        F.col("inline"), F.col("inline_min"), F.col("inline_step"), g.grid_size("inline")).alias("i")).distinct().collect()
+    assert {r["inline"]: r["i"] for r in at} == {n: n - 1 for n in (1, 2, 3, 4, 9, 10, 11, 12)}
+    lines = lambda df: sorted(r[0] for r in df.select("inline").distinct().collect())
+    assert lines(p.slab(t, p.slab_bounds(t, geo, 10, window=2, patch=1))) == [4, 9, 10, 11, 12][-5:]
+    assert lines(p.inline_index_range(t, geo, 2, 10)) == [3, 4, 9, 10]
+    fill = g.fill_report(t, geo).first()
+    assert fill["percent_fill"] == 100 and fill["percent_cells"] == pytest.approx(100 * 30 / 48)
+
+
+def test_written_volumes_are_read_in_part(spark, volume_of, tmp_path):
+    from lithoframe.sources.volume import read_volume, write_volume
+    t = volume_of([((il, xl), [float(il)] * 4) for il in range(0, 300, 10) for xl in range(3)])
+    write_volume(t, str(tmp_path / "v"))
+    v, geo = read_volume(spark, str(tmp_path / "v")), g.infer_geometry(t)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pruned = lambda df: [x for x in plan(df).splitlines() if "PartitionFilters" in x and "il_block" in x.split("PartitionFilters")[1].split("]")[0]]
+    assert pruned(p.inline_section(v, 100))
+    assert "dynamicpruning" in plan(p.clamped_inline_section(v, 95)) or pruned(p.clamped_inline_section(v, 95))
+    assert p.inline_section(v, 100).count() == 3 and p.clamped_inline_section(v, 95).first()["inline"] == 100
+    slab = p.slab(v, p.slab_bounds(v, geo, 100, window=2, patch=1))
+    assert sorted(r[0] for r in slab.select("inline").distinct().collect()) == [80, 90, 100, 110, 120] and slab.count() == 15
+    opened = plan(p.first_inline_samples(v, 5))
+    assert opened.count("Generate") == 1 and [r["s"] for r in p.first_inline_samples(v, 5).collect()] == [0, 1, 2, 3, 0]

@@ -131,3 +131,45 @@ def test_scoring_run_commits_last(spark, volume_of, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/runs").count() == 1
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         scoring_run(tr, infer_geometry(tr), "r1", str(tmp_path), (4, 4, 8))
+
+
+def test_volume_split_ends_at_85_percent(spark):
+    rows = [("s", i, 0, [0.0]) for i in range(25)]
+    v = spark.createDataFrame(rows, "survey_id string, il int, xl int, samples array<float>")
+    got = t.split_volume(v, shape(spark, (25, 1, 1))).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 17, "val": 4, "test": 4}
+
+
+def test_flat_and_nearly_flat_patches(spark):
+    rows = [([0.25] * 4,), ([0.0, 4e-8, 0.0, 4e-8],), ([1.0, 3.0],), ([],)]
+    df = spark.createDataFrame(rows, "x array<double>")
+    got = [list(r[0]) for r in df.select(t.zscore_unless_flat("x")).collect()]
+    assert got[0] == [0.25] * 4 and np.allclose(got[1], [-1, 1, -1, 1]) and got[2] == [-1, 1] and got[3] == []
+
+
+def test_patches_have_zeros_for_missing_traces(spark, cube):
+    v = volume(spark, cube).where("not (il = 1 and xl = 2) and il != 3")
+    whole = cube.copy()
+    whole[1, 2], whole[3] = 0, 0
+    got = {(r["il0"], r["xl0"], r["s0"]): r["patch"] for r in t.cut_patches(v, shape(spark), (4, 4, 8)).collect()}
+    assert len(got) == 3 * 2 * 2
+    for (i, x, s), patch in got.items():
+        assert np.array_equal(np.float32(patch).reshape(4, 4, 8), whole[i:i + 4, x:x + 4, s:s + 8])
+
+
+def test_runs_with_gaps_and_of_one_survey(spark, volume_of, tmp_path):
+    from lithoframe.operators.geometry import infer_geometry
+    from lithoframe.plans.evaluation import scoring_run
+    from tests.test_geometry import gapped
+    one = gapped(volume_of)
+    done = scoring_run(one, infer_geometry(one), "r", str(tmp_path / "a"), (2, 2, 4)).first()
+    assert list(done["inline_coords"]) == list(range(1, 13))
+    probs = spark.read.parquet(f"{tmp_path}/a/r/fault_probability")
+    assert probs.count() == 48 and probs.where("size(prob) != 8").count() == 0
+    blank = probs.where("inline between 6 and 7").select(F.explode("prob")).distinct().collect()
+    assert [r[0] for r in blank] == [0.5]
+    part = scoring_run(one, infer_geometry(one), "p", str(tmp_path / "b"), (2, 2, 4), inline_center=10, window=1).first()
+    assert list(part["inline_coords"]) == list(range(4, 13))  # two existing lines on either side, and the gap between
+    both = one.unionByName(gapped(volume_of, "t"))
+    with pytest.raises(ValueError, match="one survey"):
+        scoring_run(both, infer_geometry(both), "r2", str(tmp_path / "c"), (2, 2, 4))

@@ -113,3 +113,22 @@ def test_gates(spark):
     assert verdict([0.5] * 10) == "FAIL"
     assert verdict([0.1] * 9 + [0.9]) == "PASS"
     assert verdict([0.1] + [0.9] * 9) == "FAIL"
+
+
+def test_statistics_with_nan_and_infinity(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"plain": [1.0, 2.0, 4.0, -0.0, 0.0, 5e-324, 1e-40, -3.5], "nan": [1.0, 2.0, 3.0, nan],
+              "high": [1.0, 2.0, inf], "low": [-inf, 0.0, 7.0, 7.5], "same": [inf, inf, inf]}
+    rows = [(k, [float(v) for v in x]) for k, x in groups.items()]
+    t = spark.createDataFrame(rows, "survey_id string, samples array<double>")
+    got = {r["survey_id"]: r for r in qc.amplitude_stats(t).collect()}
+    for k, x in groups.items():
+        r, x = got[k], np.array(x)
+        with np.errstate(invalid="ignore"):
+            want = [x.min(), x.max(), x.mean(), *np.percentile(x, [1, 99])]
+        if k == "high":  # NumPy has nan between a number and infinity when it comes from above
+            want[-1] = inf
+        assert r["n"] == len(x) and r["nonzero_fraction"] == np.count_nonzero(x) / len(x)
+        if k != "same":  # NumPy has nan between equal infinities
+            assert np.allclose([r[c] for c in ("min", "max", "mean", "p01", "p99")], want, equal_nan=True)
+    assert got["same"]["p99"] == inf

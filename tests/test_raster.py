@@ -38,12 +38,12 @@ def resampled(points):
     return np.stack([np.interp(t, arc, arr[:, c]) for c in range(3)], 1)
 
 
-@pytest.mark.parametrize("block", [4, 1000])
-def test_resample_equals_interpolation(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("seed", [4, 1000])
+def test_resample_equals_interpolation(spark, seed):
+    rng = random.Random(seed)
     pts = [(rng.uniform(0, 30), rng.uniform(0, 30), rng.uniform(0, 30)) for _ in range(25)]
     pts.insert(7, pts[6])  # a segment of no length
-    rows = raster.resample(picks(spark, pts), ["pt_no"], block).orderBy("k").collect()
+    rows = raster.resample(picks(spark, pts), ["pt_no"]).orderBy("k").collect()
     got = np.array([(r["il"], r["xl"], r["s"]) for r in rows])
     want = resampled(pts)
     assert got.shape == want.shape
