@@ -28,28 +28,28 @@ def line_numbers(traces: DataFrame) -> DataFrame:
 def infer_geometry(traces: DataFrame) -> DataFrame:
     """One row per survey; works for rectangular and irregular trace sets alike.
 
-    The step of an axis is its second smallest line number minus its smallest, 1 for a single line.
+    The step of an axis is its second smallest line number minus its smallest, 1 for a single line. One scan of
+    header columns: what a survey's records share is folded per line, and the lines of a survey per survey.
     """
-    lines = line_numbers(traces)
-    first = lines.groupBy("survey_id", "axis").agg(F.min("number").alias("first"))
-    axes = lines.join(first, ["survey_id", "axis"]).groupBy("survey_id", "axis").agg(
-        F.first("first").alias("lo"),
-        F.max("number").alias("hi"),
-        F.count("*").alias("n"),
-        F.min(F.when(F.col("number") > F.col("first"), F.col("number"))).alias("second"))
-    of = lambda axis, c: F.max(F.when(F.col("axis") == axis, c)).cast("int")
-    step = F.coalesce(F.col("second") - F.col("lo"), F.lit(1))
-    grid = axes.groupBy("survey_id").agg(*[
-        of(axis, c).alias(f"{axis}_{name}" if name != "n" else f"n_{axis}s")
-        for axis in ("inline", "crossline")
-        for name, c in (("min", F.col("lo")), ("max", F.col("hi")), ("step", step),
-                        ("n", F.col("n")))])
-    records = traces.groupBy("survey_id").agg(
-        F.count("*").alias("n_traces"),
-        F.max("n_samples").alias("n_samples"),
-        F.max("dt_ms").alias("sample_rate_ms"),
-        F.min_by("delay_ms", "trace_no").alias("datum_ms"))
-    return sized(grid.join(records, SURVEY))
+    axis = lambda name: F.struct(F.lit(name).alias("axis"), F.col(name).alias("number"))
+    lines = traces.select("survey_id", "n_samples", "dt_ms", F.struct("trace_no", "delay_ms").alias("record"),
+                          F.explode(F.array(axis("inline"), axis("crossline"))).alias("line")).groupBy(
+        "survey_id", "line.axis", "line.number").agg(
+        F.count("*").alias("n"), F.max("n_samples").alias("n_samples"), F.max("dt_ms").alias("dt_ms"),
+        F.min("record").alias("record"))
+    of = lambda name, c: F.when(F.col("axis") == name, F.col(c))
+    numbers = {name: F.sort_array(F.collect_set(of(name, "number"))).alias(name) for name in ("inline", "crossline")}
+    one = lines.groupBy("survey_id").agg(
+        *numbers.values(), F.sum(of("inline", "n")).alias("n_traces"), F.max("n_samples").alias("n_samples"),
+        F.max("dt_ms").alias("sample_rate_ms"), F.min("record").alias("record"))
+
+    def extent(name: str) -> list[Column]:
+        lo, second = F.get(name, F.lit(0)), F.get(name, F.lit(1))
+        return [lo.cast("int").alias(f"{name}_min"), F.element_at(name, -1).cast("int").alias(f"{name}_max"),
+                F.coalesce(second - lo, F.lit(1)).cast("int").alias(f"{name}_step"), F.size(name).alias(f"n_{name}s")]
+
+    return sized(one.select("survey_id", *extent("inline"), *extent("crossline"), "n_traces", "n_samples",
+                            "sample_rate_ms", F.col("record.delay_ms").alias("datum_ms")))
 
 
 def flag_irregular(geometry: DataFrame) -> DataFrame:
