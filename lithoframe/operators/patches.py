@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithoframe.functions.lineage import cut, sized
 from lithoframe.functions.numeric import floor_div
+from lithoframe.functions.scans import OrderedScan
 from lithoframe.operators.geometry import SURVEY
 
 PATCH = ["survey_id", "il0", "xl0", "s0"]
@@ -200,41 +201,19 @@ def fault_weights(counted: DataFrame, weight: float = FAULT_WEIGHT) -> DataFrame
 def sample_weighted(weighted: DataFrame, k: int = DRAWS, seed: int = 0) -> DataFrame:
     """min(k, patches) draws with replacement per survey, in proportion to weight.
 
-    Weights are summed per bucket of patches; only bucket totals are accumulated along a survey.
-    Each draw is a point on the weight line, found first by bucket and then inside that bucket.
+    Patches in their order cover a line by their weights, and a draw is the point on it that md5 of
+    ``seed|survey|draw`` gives. At most k points of a survey meet each of its patches.
     """
-    slots = cut(weighted.select(*PATCH, "weight", F.pmod(F.xxhash64(*PATCH), F.lit(4096)).alias("b")))
-    along = Window.partitionBy("survey_id").orderBy("b")
-    buckets = slots.groupBy("survey_id", "b").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
-    placed = cut(buckets.select(
-        "survey_id", "b", "w", F.sum("w").over(along).alias("end"),
-        F.sum("w").over(Window.partitionBy("survey_id")).alias("total"),
-        F.sum("n").over(Window.partitionBy("survey_id")).alias("patches")))
-    draws = (placed.groupBy("survey_id").agg(F.first("total").alias("total"), F.first("patches").alias("n"))
+    order = ["il0", "xl0", "s0"]
+    placed = cut(OrderedScan.on_any_order(weighted.select(*PATCH, "weight"), SURVEY, order).running(
+        {"end": ("sum", F.col("weight"))}).result())
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "survey_id", F.col("draw").cast("string"))), 1, 12), 16, 10)
+    draws = (placed.groupBy("survey_id").agg(F.max("end").alias("total"), F.count("*").alias("n"))
              .withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n")).cast("int") - 1)))
-             .withColumn("u", F.abs(F.xxhash64(F.lit(seed), "survey_id", "draw") % (1 << 52)) / float(1 << 52)))
-    points = draws.select("survey_id", "draw", (F.col("u") * F.col("total")).alias("at"))
-    per_survey = sized(points.groupBy("survey_id").agg(F.collect_list(F.struct("draw", "at")).alias("points")))
-    start = F.col("end") - F.col("w")
-    inside = placed.join(per_survey, SURVEY).select("survey_id", "b", start.alias("start"), F.explode(F.filter(
-        "points", lambda p: (p["at"] >= start) & (p["at"] < F.col("end")))).alias("p")).select(
-        "survey_id", "b", "p.draw", (F.col("p.at") - F.col("start")).alias("at"))
-    hit = sized(inside)
-    # only buckets that were hit are opened; the blocks of a bucket keep a hot one apart
-    opened = slots.join(hit.select("survey_id", "b").distinct(), ["survey_id", "b"])
-    fine = F.pmod(F.xxhash64(F.lit(1), *PATCH), F.lit(4096))
-    opened = cut(opened.withColumn("f", fine))
-    within = Window.partitionBy("survey_id", "b").orderBy("f")
-    cells = opened.groupBy("survey_id", "b", "f").agg(F.sum("weight").alias("fw")).withColumn(
-        "fend", F.sum("fw").over(within))
-    low = F.col("fend") - F.col("fw")
-    picked = hit.join(cells, ["survey_id", "b"]).where((F.col("at") >= low) & (F.col("at") < F.col("fend"))).select(
-        "survey_id", "b", "f", "draw", (F.col("at") - low).alias("at"))
-    last = Window.partitionBy("survey_id", "b", "f").orderBy("il0", "xl0", "s0")
-    ends = opened.withColumn("end", F.sum("weight").over(last))
-    return picked.join(ends, ["survey_id", "b", "f"]).where(
-        (F.col("at") >= F.col("end") - F.col("weight")) & (F.col("at") < F.col("end"))).select(
-        "draw", *PATCH, "weight")
+             .withColumn("at", number.cast("double") / float(1 << 48) * F.col("total")))
+    points = sized(draws.groupBy("survey_id").agg(F.collect_list(F.struct("draw", "at")).alias("points")))
+    inside = F.filter("points", lambda p: (p["at"] >= F.col("end") - F.col("weight")) & (p["at"] < F.col("end")))
+    return placed.join(points, SURVEY).withColumn("point", F.explode(inside)).select("point.draw", *PATCH, "weight")
 
 
 def split_counts(counted: DataFrame) -> DataFrame:

@@ -145,9 +145,15 @@ def t11(spark, sf):
     return t.fault_weights(_counted(spark, sf)).select("il0", "xl0", "s0", "weight")
 
 
-@query("t12_weighted_sampling")
+@query("t12_weighted_sampling", f"""WITH {_BASE}, {TRUTH}, {_index_sql()},
+  w AS (SELECT *, CAST(CASE WHEN fault_voxels > 0 THEN 50 ELSE 1 END AS DOUBLE) AS weight FROM cnt WHERE split = 'train'),
+  e AS (SELECT *, sum(weight) OVER (ORDER BY il0, xl0, s0) AS upto, sum(weight) OVER () AS total, count(*) OVER () AS n FROM w),
+  d AS (SELECT draw, CAST(CAST('0x' || substr(md5('7|survey_0|' || draw), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 * total AS point
+        FROM (SELECT DISTINCT total, n FROM e), unnest(range(0, least(200, n))) t(draw))
+  SELECT CAST(draw AS INTEGER) AS draw, survey_id, il0, xl0, s0, weight FROM d JOIN e ON point >= upto - weight AND point < upto""")
 def t12(spark, sf):
-    return t.sample_weighted(t.fault_weights(_counted(spark, sf)), k=200, seed=7)
+    train = _counted(spark, sf).where(F.col("split") == "train")
+    return t.sample_weighted(t.fault_weights(train), k=200, seed=7)
 
 
 @query("t13_split_counts", f"""WITH {_BASE}, {TRUTH}, {_index_sql()}

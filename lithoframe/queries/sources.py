@@ -97,12 +97,27 @@ def s2(spark, sf):
 
 
 @query("s3_volume_sink", f"""WITH {TRACES}
-  SELECT survey_id, inline, crossline, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS total FROM traces WHERE inline BETWEEN 1002 AND 1017""")
+  SELECT 'trace' AS part, survey_id, inline AS a, crossline AS b, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS v FROM traces
+  UNION ALL SELECT DISTINCT 'inline', survey_id, inline, CAST(inline - 1001 AS INTEGER), CAST(0 AS DOUBLE) FROM traces
+  UNION ALL SELECT DISTINCT 'crossline', survey_id, crossline, CAST(crossline - 1900 AS INTEGER), CAST(0 AS DOUBLE) FROM traces
+  UNION ALL SELECT DISTINCT 'twtt', survey_id, CAST(0 AS INTEGER), CAST(k AS INTEGER), CAST(4 * k AS DOUBLE) FROM traces, unnest(range(64)) t(k)
+  UNION ALL SELECT 'sidecar', 'survey_0', CAST(count(DISTINCT inline) AS INTEGER), CAST(count(DISTINCT crossline) AS INTEGER),
+                   {q6("quantile_cont(a, 0.99)")} FROM voxels""")
 def s3(spark, sf):
-    path = scratch(spark, "volume")
-    volume.write_volume(traces(spark, sf), path)
-    return volume.inline_range(volume.read_volume(spark, path), 1002, 1017).select(
-        "survey_id", "inline", "crossline", r6(total(F.col("samples"))).alias("total"))
+    from lithoframe.plans.ingest import ingest
+    out, none = scratch(spark, "ingest"), F.lit(0.0)
+    ingest(traces(spark, sf), out, "tables")
+    stored, axes = volume.read_volume(spark, f"{out}/volume"), spark.read.parquet(f"{out}/axes")
+    side = spark.read.json(f"{out}/sidecar")
+    lines = lambda part, c: axes.select(F.lit(part).alias("part"), "survey_id", F.posexplode(c).alias("b", "a")).select(
+        "part", "survey_id", F.col("a").cast("int").alias("a"), "b", none.alias("v"))
+    twtt = axes.select(F.lit("twtt").alias("part"), "survey_id", F.lit(0).alias("a"), F.posexplode("twtt_ms").alias("b", "v"))
+    return (stored.select(F.lit("trace").alias("part"), "survey_id", F.col("inline").alias("a"), F.col("crossline").alias("b"),
+                          r6(total(F.col("samples"))).alias("v"))
+            .unionByName(lines("inline", "inlines")).unionByName(lines("crossline", "crosslines")).unionByName(twtt)
+            .unionByName(side.select(F.lit("sidecar").alias("part"), "survey_id", F.col("geometry.n_inlines").cast("int").alias("a"),
+                                     F.col("geometry.n_crosslines").cast("int").alias("b"),
+                                     r6(F.col("amplitude_stats.p99")).alias("v"))))
 
 
 @query("s4_brick_layout", f"""WITH {TRACES}

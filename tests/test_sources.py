@@ -173,3 +173,41 @@ def test_ingest_rows(spark, volume_of):
     assert (r["n_inlines_loaded"], r["n_samples"], r["synthetic_proxy"]) == (20, 100, True)
     assert rows.first()["amplitude_stats"]["nonzero_fraction"] == pytest.approx(0.95)
     assert rows.select(F.col("geometry.corner_points")).first()[0] is None
+
+
+def test_fingerprint_reads_the_ends(spark, tmp_path):
+    import hashlib
+    from lithoframe.sources import listing
+    data = {"empty": b"", "small": b"abc", "edge": bytes(range(64)), "large": bytes(range(256)) * 9}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in data], "path string")
+    for once in (False, True):
+        got = {r["path"].rsplit("/", 1)[1]: (r["size"], r["sha256"]) for r in listing.fingerprint_files(files, 64, once).collect()}
+        for name, content in data.items():
+            part = content if once and len(content) <= 64 else content[:64] + content[-64:]
+            assert got[name] == (len(content), hashlib.sha256(part).hexdigest())
+
+
+def test_arrivals_match_in_any_case(spark, tmp_path, cells):
+    from lithoframe.streaming.ingest import ingest_arrivals
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for name in ("x.sgy", "Y.SGY", "z.SegY"):
+        make_segy(raw / name, cells, 100)
+    (raw / "note.txt").write_text("no traces")
+    ingest_arrivals(spark, str(raw), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    done = {r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/out/status").collect()}
+    assert done == {"x.sgy", "Y.SGY", "z.SegY"}
+
+
+def test_ingest_job(spark, tmp_path, volume_of):
+    from lithoframe.plans.ingest import ingest
+    t = volume_of([((il, xl), [il + 0.5, xl, 1.0]) for il in range(1, 60) for xl in range(3)])
+    rows = ingest(t, str(tmp_path / "a"), "x.sgy", sample_mode=True).collect()
+    assert rows[0]["n_inlines_loaded"] == 50 and rows[0]["zarr_path"].endswith("/volume")
+    assert spark.read.parquet(f"{tmp_path}/a/volume").count() == 150
+    assert list(spark.read.parquet(f"{tmp_path}/a/axes").first()["inlines"]) == list(range(1, 51))
+    assert spark.read.json(f"{tmp_path}/a/sidecar").first()["geometry"]["inline_max"] == 50
+    with pytest.raises(Exception, match="exists"):
+        ingest(t, str(tmp_path / "a"), "x.sgy")
