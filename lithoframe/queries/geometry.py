@@ -97,8 +97,8 @@ def g7(spark, sf):
 
 
 @query("g8_coordinate_scalar", f"""WITH {TRACES}
-  SELECT trace_no, {q6("round_even((12.5 * inline + 24.0 * crossline + 605000.0) * 10, 0) / 10.0")} AS x,
-         {q6("round_even((23.0 * inline - 3.5 * crossline + 6073000.0) * 10, 0) / 10.0")} AS y
+  SELECT trace_no, {q6("round_even((15.5 * inline + 21.0 * crossline + 482000.0) * 10, 0) / 10.0")} AS x,
+         {q6("round_even((20.0 * inline - 6.5 * crossline + 5214000.0) * 10, 0) / 10.0")} AS y
   FROM traces""")
 def g8(spark, sf):
     return g.scale_coordinates(traces(spark, sf)).select(
@@ -107,7 +107,7 @@ def g8(spark, sf):
 
 @query("g9_georeference_fit", f"""WITH {IRREGULAR},
   w AS (SELECT survey_id, CAST(inline AS DOUBLE) AS il, CAST(crossline AS DOUBLE) AS xl,
-               12.5 * inline + 24.0 * crossline + 605000.0 AS x, 23.0 * inline - 3.5 * crossline + 6073000.0 AS y
+               15.5 * inline + 21.0 * crossline + 482000.0 AS x, 20.0 * inline - 6.5 * crossline + 5214000.0 AS y
         FROM traces),
   c AS (SELECT survey_id, avg(il) AS mi, avg(xl) AS mj, avg(x) AS mx, avg(y) AS my,
                covar_pop(il, il) AS ii, covar_pop(xl, xl) AS jj, covar_pop(il, xl) AS ij,
@@ -136,10 +136,10 @@ def _transform(spark, sf):
 
 
 @query("g10_three_point_transform", f"""WITH {TRACES},
-  d AS (SELECT 12.5 * (il1 - il0) AS x1, 23.0 * (il1 - il0) AS y1, il1 - il0 AS i1,
-               24.0 * (xl1 - xl0) AS x2, -3.5 * (xl1 - xl0) AS y2, xl1 - xl0 AS j2, * FROM geom)
-  SELECT 'survey_0' AS survey_id, {q6("12.5 * il0 + 24.0 * xl0 + 605000.0", 3)} AS x0,
-         {q6("23.0 * il0 - 3.5 * xl0 + 6073000.0", 3)} AS y0,
+  d AS (SELECT 15.5 * (il1 - il0) AS x1, 20.0 * (il1 - il0) AS y1, il1 - il0 AS i1,
+               21.0 * (xl1 - xl0) AS x2, -6.5 * (xl1 - xl0) AS y2, xl1 - xl0 AS j2, * FROM geom)
+  SELECT 'survey_0' AS survey_id, {q6("15.5 * il0 + 21.0 * xl0 + 482000.0", 3)} AS x0,
+         {q6("20.0 * il0 - 6.5 * xl0 + 5214000.0", 3)} AS y0,
          {q6("i1 * y2 / (x1 * y2 - y1 * x2)")} AS il_dx, {q6("-i1 * x2 / (x1 * y2 - y1 * x2)")} AS il_dy,
          {q6("-j2 * y1 / (x1 * y2 - y1 * x2)")} AS xl_dx, {q6("j2 * x1 / (x1 * y2 - y1 * x2)")} AS xl_dy
   FROM d""")

@@ -72,7 +72,7 @@ def segy_folder(spark, sf) -> str:
 
 
 _TRACE_SQL = f"""WITH {TRACES}
-  SELECT inline, crossline, {q6("(12.5 * inline + 24.0 * crossline + 605000.0) * 10", 0)} AS cdp_x,
+  SELECT inline, crossline, {q6("(15.5 * inline + 21.0 * crossline + 482000.0) * 10", 0)} AS cdp_x,
          CAST(4.0 AS DOUBLE) AS dt_ms, {q6("list_sum(CAST(samples AS DOUBLE[]))")} AS total FROM traces"""
 
 

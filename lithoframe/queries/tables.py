@@ -26,8 +26,8 @@ def q6(expr: str, digits: int = 6) -> str:
 def _headers(il: Column, xl: Column) -> dict[str, Column]:
     """Positions on a sheared grid, stored tenfold with scalar -10 as trace headers do."""
     return {
-        "cdp_x": F.rint((12.5 * il + 24.0 * xl + 605000.0) * 10),
-        "cdp_y": F.rint((23.0 * il - 3.5 * xl + 6073000.0) * 10),
+        "cdp_x": F.rint((15.5 * il + 21.0 * xl + 482000.0) * 10),
+        "cdp_y": F.rint((20.0 * il - 6.5 * xl + 5214000.0) * 10),
         "coord_scalar": F.lit(-10),
         "delay_ms": F.lit(0.0),
         "dt_ms": F.lit(4.0),
@@ -174,8 +174,8 @@ def world_sticks(spark: SparkSession, sf: str, shift: float = 0.0) -> DataFrame:
     p = picks(spark, sf)
     il, xl = F.col("il") + 1001, F.col("xl") + (1900 + shift)
     return p.select("survey_id", "stick_id", "pt_no",
-                    (12.5 * il + 24.0 * xl + 605000.0).alias("x"),
-                    (23.0 * il - 3.5 * xl + 6073000.0).alias("y"), (F.col("s") * 4.0).alias("z"))
+                    (15.5 * il + 21.0 * xl + 482000.0).alias("x"),
+                    (20.0 * il - 6.5 * xl + 5214000.0).alias("y"), (F.col("s") * 4.0).alias("z"))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
