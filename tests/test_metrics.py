@@ -125,8 +125,13 @@ def test_scan_over_blocks(spark):
     rng = random.Random(1)
     rows = [("a" if i % 3 else "b", i, rng.randint(0, 99), rng.choice([None, "x", "y", "z"])) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, i long, v long, n string")
-    for scan in (OrderedScan.on_dense_order(df, ["k"], "i", 37), OrderedScan.on_any_order(df, ["k"], ["i"], 40)):
-        assert scan.split
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many blocks as partitions
+    try:
+        scans = OrderedScan.on_dense_order(df, ["k"], "i", 37), OrderedScan.on_any_order(df, ["k"], ["i"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for scan in scans:
+        assert scan.df.select("_blk").distinct().count() > 4
         scan.running({"total": ("sum", F.col("v")), "low": ("min", F.col("v")), "name": ("last", F.col("n"))}, through=-1)
         scan.whole({"all": ("sum", F.col("v"))}).next_row("nxt", ["i"])
         got = {r["i"]: r for r in scan.result().collect()}
