@@ -125,6 +125,13 @@ def test_status_stream_keeps_late_events(spark, tmp_path):
     assert got == {"a": "complete", "b": "failed"}  # hours late, and still the last event of b
 
 
+def test_well_detail(spark):
+    wells = spark.createDataFrame([("w1", "One"), ("w2", "Two")], "well_id string, name string")
+    assert c.well_detail(wells, "w2").first()["name"] == "Two"
+    with pytest.raises(LookupError, match="w9"):
+        c.well_detail(wells, "w9")
+
+
 def test_prefixes_of_any_length(spark):
     ids = spark.createDataFrame([("a" * 80 + "x",), ("a" * 80 + "y",), ("b",), ("bc",)], "run_id string")
     asked = ["a" * 70, "a" * 80 + "x", "a" * 81, "b", "bc", "c", "", "a" * 80 + "y"]

@@ -138,3 +138,10 @@ def test_written_volumes_are_read_in_part(spark, volume_of, tmp_path):
     assert sorted(r[0] for r in slab.select("inline").distinct().collect()) == [80, 90, 100, 110, 120] and slab.count() == 15
     opened = plan(p.first_inline_samples(v, 5))
     assert opened.count("Generate") == 1 and [r["s"] for r in p.first_inline_samples(v, 5).collect()] == [0, 1, 2, 3, 0]
+
+
+def test_clamped_section_of_probabilities(spark):
+    probs = spark.createDataFrame([("r", "s", 10, 1, [0.1]), ("r", "s", 20, 1, [0.9])],
+                                  "run_id string, survey_id string, inline int, crossline int, prob array<double>")
+    assert [tuple(r) for r in p.clamped_inline_section(probs, 11).collect()] == [("r", "s", 20, 1, [0.9])]
+    assert p.clamped_inline_section(probs.limit(0), 11).count() == 0
