@@ -100,9 +100,9 @@ class Remembered(dict):
         self.long = [w for w in new if len(w) > self.longest]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def per_process(make: Callable, *args):
-    """make(*args), kept in the Python worker until two others have come."""
+    """make(*args), kept in the Python worker until another comes."""
     return make(*args)
 
 

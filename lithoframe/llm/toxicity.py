@@ -51,6 +51,10 @@ class Weights:
         return w
 
 
+def _tools(model: Weights) -> tuple[np.ndarray, dict]:
+    return model.dense(), word_hashes()
+
+
 def features(text: str | None, hashes: dict, s: Settings) -> np.ndarray:
     """Feature indexes of the whole text, with repeats: words, pairs, and pairs with words left out between."""
     words = _WORDS.findall(text.lower()) if text else []
@@ -104,6 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_process.cache_clear()  # what an earlier stage left in this worker
         hashes, end = word_hashes(), np.array([1 << s.bits], np.int32)
         for batch in batches:
             made = [np.concatenate([np.unique(features(t, hashes, s)), end]) for t in batch.column("_text").to_pylist()]
@@ -134,7 +139,7 @@ def score(docs: DataFrame, model: Weights, text: str = "text", prefix: str = "")
     s = model.settings
 
     def batch(texts: list) -> pd.DataFrame:
-        w, hashes = per_process(Weights.dense, model), per_process(word_hashes)
+        w, hashes = per_process(_tools, model)
         total = np.empty(len(texts))
         for k, t in enumerate(texts):
             i = features(t, hashes, s)
