@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithoframe.functions.lineage import sized
 from lithoframe.llm.common import add_text_columns, per_process
 
 UNDETERMINED = "und"
@@ -49,16 +50,21 @@ def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
           settings: Settings = Settings()) -> Dictionaries:
     """A dictionary for each language, from a bounded sample of the rows where ``learnable`` holds.
 
-    The sample of a language is its first ``texts_per_language`` different texts by hash. Null texts, texts without
-    letters and null languages teach nothing. Without any such row the result is empty, and every text is
-    undetermined.
+    The sample of a language is its first ``texts_per_language`` different texts by hash, told apart by their first
+    ``chars_per_text`` characters, so copies count once. A first pass finds the hash that ends the sample, a second its
+    texts. Null texts, texts without letters and null languages teach nothing. Without any such row the result is empty,
+    and every text is undetermined.
     """
     usable = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    drawn = usable.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    cut = (drawn.select("lang", "h", F.substring("text", 1, settings.chars_per_text).alias("text"))
-           .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= settings.texts_per_language)
-           .dropDuplicates(["lang", "text"]))
+    drawn = usable.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"),
+                          F.substring(text, 1, settings.chars_per_text).alias("text"))
+    different = drawn.groupBy("lang", F.xxhash64("text").alias("_cut")).agg(F.min("h").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    last = sized(different.withColumn("rank", F.row_number().over(first))
+                 .filter(F.col("rank") <= settings.texts_per_language)
+                 .groupBy(F.col("lang").alias("_lang")).agg(F.max("h").alias("_last")))
+    cut = (drawn.join(last, (F.col("lang") == F.col("_lang")) & (F.col("h") <= F.col("_last")))
+           .groupBy("lang", "text").agg(F.min("h").alias("h")))
     found: dict[str, list] = {}
     for row in cut.select("lang", "h", "text").collect():
         found.setdefault(row["lang"], []).append((row["h"], row["text"]))

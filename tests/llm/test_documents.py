@@ -123,6 +123,18 @@ def test_language(spark, docs, odd, none):
     assert language.identify(odd, model, prefix="_x_").columns[:len(odd.columns)] == odd.columns
 
 
+def test_language_sample_counts_copies_once(spark):
+    texts = [(f"text number {chr(97 + k % 26)}{chr(97 + k // 26)} of this language", "aa") for k in range(60)]
+    texts += [("x" * 50 + " " + chr(97 + k) * 3, "bb") for k in range(20)]     # alike in their first 50 characters
+    df = spark.createDataFrame(texts, "text string, lang string")
+    first = df.filter("lang = 'aa'").orderBy(F.xxhash64("text")).limit(40).collect()
+    copied = df.union(df.filter(df.text == first[0].text).select(F.explode(F.array_repeat("text", 300)), "lang"))
+    s = language.Settings(texts_per_language=40, chars_per_text=50)
+    want = " ".join(r.text[:50] for r in first).encode()
+    for rows_ in (df, copied.repartition(5)):
+        assert dict(language.learn(rows_, F.lit(True), settings=s).content) == {"aa": want, "bb": b"x" * 50}
+
+
 def labelled(docs):
     return docs.sparkSession.read.parquet(f"{SF}/labels.parquet")
 
