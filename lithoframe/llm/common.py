@@ -45,9 +45,12 @@ def add_text_columns(df: DataFrame, text: str, fn: Callable[[list], pd.DataFrame
     return held.select(*kept, *[F.col("_made")[n].alias(prefix + n) for n in names])
 
 
-def thinned(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``key``: reruns choose the same rows."""
-    n = df.count()
+def thinned(df: DataFrame, key: Column, bound: int, n: int | None = None) -> DataFrame:
+    """About ``bound`` rows at most, chosen by a hash of ``key``: reruns choose the same rows.
+
+    Rows of one key are in or out together; where they repeat, ``n`` gives the number of keys, and ``bound`` is one of keys.
+    """
+    n = df.count() if n is None else n
     if n <= bound:
         return df
     scale = 1 << 30

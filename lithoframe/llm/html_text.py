@@ -283,12 +283,15 @@ def decode(page: Page, log_odds: np.ndarray) -> np.ndarray:
 
 
 def learn(pages: DataFrame, source: str = "html", settings: Settings = Settings()) -> bytes:
-    """The trees, from at most about ``pages`` pages drawn by a hash of their source; b"" if none marks its article up.
+    """The trees, from at most about ``pages`` different pages drawn by a hash of their source; b"" if none marks its article
+    up. Copies of a page count once.
 
     Node features are made where the pages are; one task fits the trees on that bounded sample.
     """
     s = settings
-    drawn = thinned(pages.select(F.col(source).alias("_html")).filter(F.col("_html").isNotNull()), F.col("_html"), s.pages)
+    every = pages.select(F.col(source).alias("_html")).filter(F.col("_html").isNotNull())
+    n = every.select(F.xxhash64("_html")).distinct().count()
+    drawn = thinned(every, F.col("_html"), s.pages, n).distinct()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -321,6 +321,16 @@ def test_html(spark):
         assert re.sub(r"\s", "", r.text)[:200] in re.sub(r"<[^>]*>|\s", "", article.replace("&amp;", "&").replace("&quot;", '"'))
 
 
+def test_html_sample_counts_copies_once(spark):
+    pages = spark.range(300).select(F.format_string(
+        "<article><p>Page %d has words, commas, and a story.</article><nav>menu</nav>", "id").alias("html"))
+    s = html_text.Settings(pages=50, trees=2)
+    drawn = pages.filter(F.pmod(F.xxhash64("html", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * 50 / 300))
+    copied = pages.union(drawn.limit(1).select(F.explode(F.array_repeat("html", 700))))
+    for few in (pages, copied.repartition(5)):
+        assert html_text.learn(few, settings=s) == html_text.learn(drawn, settings=s)
+
+
 def test_decoding_has_no_contradiction():
     page = html_text.parse("<div><div><p>a</p><p>b</p></div><ul><li>c</li></ul></div>")
     z = np.array([2.0, 3.0, 4.0, 5.0, -0.1, -6.0, -6.0])[:len(page.tag)]
