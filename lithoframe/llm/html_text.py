@@ -29,19 +29,27 @@ from lithoframe.llm.common import add_text_columns, portions, thinned
 SCHEMA = "text string, n_chars long"
 
 # Element names of HTML, and words that sites name their parts with.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head noscript template svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+HIDDEN = frozenset("noscript template svg object canvas audio video select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var".split())
+                   "samp small span strike strong sub sup time tt u var "
+                   "math maction menclose merror mfenced mfrac mmultiscripts mover mpadded mphantom mprescripts mroot mrow "
+                   "mspace msqrt mstyle msub msubsup msup mtable munder munderover none semantics".split())
+# Parts of a formula that stand beside each other: inline, with a space before.
+TOKENS = frozenset("mi mn mo ms mtext mtr mlabeledtr mtd annotation annotation-xml".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 "
-                   "h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
+                   "h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul xmp".split())
+BLOCKS = ENDS_P | frozenset("body dd dt tr td th tbody thead tfoot caption".split())
+# Elements of HTML that can't stand in svg and end it.
+ENDS_SVG = BLOCKS - frozenset("tr td th tbody thead tfoot caption".split()) | frozenset(
+    "b big body br center code em embed i img listing meta ruby s small span strong strike sub sup tt u var".split())
 SAME_ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
              "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html article section main div".split())
 MAIN_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav header footer aside form menu button dialog fieldset".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp li td dd dt figcaption".split())
 MAIN_NAMES = frozenset("article body content entry main post story text".split())
 OTHER_NAMES = frozenset(
     "ad ads adv advert advertisement adverts alert author banner bar bio breadcrumb breadcrumbs byline comment comments "
@@ -53,7 +61,10 @@ OTHER_NAMES = frozenset(
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"""
                   r"""((?>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)(?:>|\Z)|[^>]*(?:>|\Z))""", re.S)
+_PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|"
+                    rf"<(/?)({'|'.join(sorted(HIDDEN))})(?=[\s/>])[^>]*", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_XMP = re.compile(r"</xmp(?=[\s/>])[^>]*>", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 N_FEATURES = 18
 #: Columns that tell the marks of a node, of those around it and of those inside; the others tell density and shape.
@@ -81,10 +92,26 @@ class Page:
     linked: list = field(default_factory=list)           # its characters inside links
 
 
+def ended(source: str) -> set[int]:
+    """Where the elements of HIDDEN begin that have an end tag of their own."""
+    opened, found = {}, set()
+    for m in _PAIRS.finditer(source):
+        name = (m[3] or "").lower()
+        if m[2] and opened.get(name):
+            found.add(opened[name].pop())
+        elif name and not m[2] and not m[0].endswith("/"):
+            opened.setdefault(name, []).append(m.start())
+    return found
+
+
 def parse(source: str | None) -> Page:
-    """Elements are closed as browsers do where it matters for text: p by a block, li by li, and all by the end."""
+    """Elements are closed as browsers do where it matters for text: p by a block, li by li, and all by the end.
+
+    The tags of head count for nothing: what may stand in it has no text, and anything else ends it. An element of HIDDEN
+    ends at its end tag or where its parent is closed, svg at an element of HTML, and one without an end tag at the next block.
+    """
     page, stack, pieces, links, hidden, pos = Page(), [0], [], 0, [], 0
-    anchors = 0
+    anchors, inline, whole, closed = 0, {}, None, True
     source = source or ""
 
     def flush() -> None:
@@ -126,38 +153,52 @@ def parse(source: str | None) -> Page:
         if not name:
             continue
         if m[1]:
-            if hidden:
-                if name == hidden[-1]:
-                    hidden.pop()
-            elif name == "a":
-                anchors = max(0, anchors - 1)
+            if name in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(name):]
+                continue
+            if hidden and not inline.get(name) and not any(page.tag[k] == name for k in stack[1:]):
+                continue
+            hidden.clear()
+            if name in INLINE or name in TOKENS:
+                inline[name] = max(0, inline.get(name, 0) - 1)
+                if name == "a":
+                    anchors = max(0, anchors - 1)
             elif name in ("br", "p") and not any(page.tag[k] == name for k in stack):
                 add(" ")
-            elif name not in INLINE:
+            else:
                 close((name,))
             continue
+        if hidden and (hidden[0] == "svg" and name in ENDS_SVG and not {"foreignobject", "desc"} & set(hidden)
+                       or not closed and name in BLOCKS):
+            hidden.clear()
         if name in RAW:
+            if "svg" in hidden and m[3].endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, pos)
             pos = end.end() if end else len(source)
             continue
         if hidden or name in HIDDEN:
             if not m[3].endswith("/>") and name not in VOID:
-                if hidden and name == "body" and hidden[0] == "head":
-                    hidden.clear()
-                elif not hidden or name == hidden[-1]:
-                    hidden.append(name)
-            if hidden:
-                continue
+                if not hidden:
+                    whole = ended(source) if whole is None else whole
+                    closed = m.start() in whole
+                hidden.append(name)
+            continue
         if name in VOID:
             if name == "br":
                 add(" ")
             elif name == "hr":
                 flush()
             continue
-        if name in INLINE:
+        if name in INLINE or name in TOKENS:
+            if not m[3].endswith("/>"):
+                inline[name] = inline.get(name, 0) + 1
             anchors += name == "a"
+            if name in TOKENS:
+                add(" ")
             continue
-        if name == "html":
+        if name in ("html", "head"):
+            inline[name] = 1
             continue
         if name in ENDS_P:
             close(("p",), SCOPE)
@@ -171,6 +212,11 @@ def parse(source: str | None) -> Page:
         page.main.append(sum(w in MAIN_NAMES for w in names))
         page.other.append(sum(w in OTHER_NAMES for w in names))
         stack.append(len(page.tag) - 1)
+        if name == "xmp":
+            end = _XMP.search(source, pos)
+            add(html.escape(source[pos:end.start() if end else len(source)], quote=False))
+            pos = end.end() if end else len(source)
+            close((name,))
     flush()
     return page
 

@@ -321,6 +321,23 @@ def test_html(spark):
         assert re.sub(r"\s", "", r.text)[:200] in re.sub(r"<[^>]*>|\s", "", article.replace("&amp;", "&").replace("&quot;", '"'))
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<p>Mass <math><mrow><mi>E</mi><mo>=</mo><mn>2</mn><mfrac><mn>3</mn><mn>4</mn></mfrac></mrow></math>.", "Mass E = 2 3 4."),
+    ("<p>See<xmp>a <b> &amp; c</xmp>there", "See|a <b> &amp; c|there"),
+    ("<head><title>T</title><meta charset=x><p>Body <b>text</b>", "Body text"),
+    ("<html><head><noscript><link></head>Body", "Body"),
+    ("<head><title>T</title></head><body>Body</body>", "Body"),
+    ("<div>a <object data=x>o</div><div>b<object>p</object> c</div>", "a|b c"),
+    ("<p>a <span><svg><path><g></span>b</p>c", "a b|c"),
+    ("<p>a <svg><text>t<p>b", "a|b"), ("<p>a <svg><title/><text>t</text></svg>b", "a b"),
+    *((f"<p>a <{x}>hidden<p>b<div>c</div>d", "a|b|c|d") for x in "audio video canvas noscript select object".split()),
+    *((f"<div>a <{x}><i>hidden</i><p>so</p></{x}>b</div>c", "a b|c") for x in "audio video canvas noscript object template".split()),
+    ("<p>a <noscript><div><noscript>x</noscript></div>y</noscript>b", "a b"),
+    ("<select><option>x<option>y</select>b<!-- </video> --><video><p>c", "b|c")])
+def test_html_text_is_not_lost(source, want):
+    assert "|".join(html_text.parse(source).text) == want
+
+
 def test_html_sample_counts_copies_once(spark):
     pages = spark.range(300).select(F.format_string(
         "<article><p>Page %d has words, commas, and a story.</article><nav>menu</nav>", "id").alias("html"))
