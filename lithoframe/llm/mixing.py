@@ -22,7 +22,6 @@ class Settings:
     share: float = 1.0      # of all sizes that the mix has
     most: int = 3           # times that a source, and a document, may be taken
     length_merit: float = 0.1   # by how much each doubling of the size raises a document's expected copies
-    refinements: int = 2    # passes that fill what the document at the cut leaves open with smaller ones
     seed: str = "mix"
 
 
@@ -67,9 +66,10 @@ def _merit(s: Settings) -> Column:
 
 
 def allocated(rows: DataFrame, source: str, s: Settings) -> DataFrame:
-    """For each source its size, target, _c (copies per merit) and _passes, the [left, _out] of each pass.
+    """For each source its size, target, _c (copies per merit) and _passes, the [left, after, out] of each pass.
 
-    A pass takes what is below the rank _out and not above ``left`` words; both null: all that is left.
+    A pass takes what is between the ranks ``after`` and ``out`` (null: without end) and not above ``left`` words. The next one
+    begins after the document that did not fit, until none fits: together they take in the order of rank what fits.
     """
     goal = cut(targets(rows, source, s))
     merits = rows.filter(F.col("_size") > 0).groupBy(F.col(source).alias("_source"), _merit(s).alias("_x")).agg(
@@ -86,9 +86,11 @@ def allocated(rows: DataFrame, source: str, s: Settings) -> DataFrame:
     pool = _beside(rows.filter(F.col("_size") > 0).select(F.col(source).alias("_source"), "_size", "_u"), known)
     pool = cut(_expected(pool, s).select("_source", "_size", "_whole", "_rank", "target"))
     left = pool.groupBy("_source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("_size"))).alias("_left"))
-    passes = cut(left.withColumn("_passes", F.array().cast("array<struct<left: double, out: double>>")))
+    passes = cut(left.withColumn("_passes", F.array().cast("array<struct<left: double, after: double, out: double>>"))
+                 .withColumn("_after", F.lit(None).cast("double")))
     pool = pool.filter(F.col("_rank").isNotNull()).select("_source", "_size", "_rank")
-    for _ in range(1 + s.refinements):
+    open_ = True
+    while open_:
         pool = _beside(pool, passes.select("_source", "_left")).filter(F.col("_size") <= F.col("_left"))
         run = in_order(pool, ["_source", "_rank"], {"_size": "_before"}, within=["_source"])
         over = F.col("_before") + F.col("_size") > F.col("_left")
@@ -96,12 +98,14 @@ def allocated(rows: DataFrame, source: str, s: Settings) -> DataFrame:
         split = cut(_beside(run.drop("_before", "_left"), ends))
         inside = F.col("_out").isNull() | (F.col("_rank") < F.col("_out"))
         used = split.filter(inside).groupBy("_source").agg(F.sum("_size").alias("_used"))
+        step = F.struct(F.col("_left").alias("left"), F.col("_after").alias("after"), F.col("_out").alias("out"))
         passes = cut(_beside(_beside(passes, ends, "left"), used, "left").select(
             "_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_next"),
-            F.concat("_passes", F.array(F.struct(F.col("_left").alias("left"), F.col("_out").alias("out")))).alias("_passes"))
+            F.concat("_passes", F.array(step)).alias("_passes"), F.coalesce("_out", "_after").alias("_after"))
             .withColumnRenamed("_next", "_left"))
-        pool = split.filter(~inside).select("_source", "_size", "_rank")
-    return cut(_beside(known, passes.drop("_left"), "left"))
+        pool = split.filter(F.col("_rank") > F.col("_out")).select("_source", "_size", "_rank")
+        open_ = not _beside(pool, passes.select("_source", "_left")).filter(F.col("_size") <= F.col("_left")).isEmpty()
+    return cut(_beside(known, passes.drop("_left", "_after"), "left"))
 
 
 def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -122,7 +126,8 @@ def _expected(rows: DataFrame, s: Settings) -> DataFrame:
 def applied(rows: DataFrame, source: str, plan: DataFrame, s: Settings, prefix: str = "") -> DataFrame:
     """rows (with _size and _u) with size, source_size, target and copies."""
     def chosen(so_far: Column, step: Column) -> Column:
-        takes = (F.col("_size") <= step["left"]) & (step["out"].isNull() | (F.col("_rank") < step["out"]))
+        takes = (F.col("_size") <= step["left"]) & (step["out"].isNull() | (F.col("_rank") < step["out"])) & (
+            step["after"].isNull() | (F.col("_rank") > step["after"]))
         return so_far | F.coalesce(takes, F.lit(False))
 
     new = {f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")}
@@ -139,8 +144,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         settings: Settings = Settings(), prefix: str = "") -> DataFrame:
     """docs with size (words), source_size, target (both of its source) and copies (0 to ``most``).
 
-    The words that a source takes fall short of its target by less than its smallest passed-over document, after the
-    refinements. Null is a source of its own, the last. A text that is null or has no word has size 0 and no copy.
+    The words that a source takes fall short of its target by less than its smallest passed-over document with its
+    copies. Null is a source of its own, the last. A text that is null or has no word has size 0 and no copy.
     Rows of the same id and text share their fate. An empty table stays empty. New names begin with ``prefix``; input columns of
     these names are replaced.
     """

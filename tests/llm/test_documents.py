@@ -290,6 +290,27 @@ def test_mixing(docs, odd, none):
     assert mixing.mix(odd, prefix="_x_").columns[:len(odd.columns)] == odd.columns
 
 
+def test_mixing_takes_all_that_fits(spark):
+    rng = np.random.default_rng(3)
+    made = [(k, f"w{k} " * int(2 ** rng.uniform(0, 11)), f"s{k % 12:02}") for k in range(600)]
+    df = spark.createDataFrame(made + 3 * made[::5], "doc_id long, text string, source string").repartition(4)
+    s = mixing.Settings(weights=(1.0,), share=0.3)
+    plan = mixing.allocated(mixing.measured(df, "text", "doc_id", s), "source", s).withColumnRenamed("_source", "source")
+    ranked = mixing._expected(mixing.measured(df, "text", "doc_id", s).join(plan, "source"), s)
+    alike, left = defaultdict(list), defaultdict(float)
+    for r in ranked.collect():
+        alike[r.source, r._rank].append(r)
+        left[r.source] = r.target
+    assert all(r._whole == 0 for group in alike.values() for r in group)
+    want = {}
+    for (source, _), group in sorted(alike.items()):
+        words = sum(r["_size"] for r in group)
+        want[group[0].doc_id] = int(words <= left[source])
+        left[source] -= words * want[group[0].doc_id]
+    got = mixing.mix(df, settings=s).collect()
+    assert len(got) == df.count() and all(r.copies == want[r.doc_id] for r in got)
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies, accept them.</div>{open}<h1>The &lt;head&gt;line &amp; more</h1>
