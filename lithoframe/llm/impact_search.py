@@ -100,7 +100,8 @@ class Block:
         """Ids and scores of the k best vectors of the block, the query's own id left out.
 
         The accumulators hold what the segments so far add above each dimension's least. Segments of a dimension are taken
-        from one end of its postings, so those of a step are one run of them.
+        from one end of its postings, so those of a step are one run of them. Where floats can't hold the sums exactly,
+        nothing is excluded and the whole block is scored.
         """
         n, (width, parts) = len(self.ids), self.high.shape
         weight = q.astype(float)
@@ -114,7 +115,8 @@ class Block:
         done = np.cumsum((self.edges[:, 1:] - self.edges[:, :-1]).ravel()[rank])
         edge = np.where(up, n, 0)
         score, possible, reached = np.zeros(n), np.flatnonzero(self.ids != query_id), 0
-        for share in s.steps if len(possible) > s.k and len(rank) else ():
+        sure = 4 * self.top * float(np.abs(weight).max(initial=0)) * width < 2.0 ** 53
+        for share in s.steps if sure and len(possible) > s.k and len(rank) else ():
             upto = int(np.searchsorted(done, share * done[-1], side="right"))
             segment = rank[reached:upto] % parts
             at, gain = [], []

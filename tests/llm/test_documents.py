@@ -397,6 +397,16 @@ def test_search(spark):
     assert impact_search.search(df.limit(0), df).count() == 0 and impact_search.search(df, df.limit(0)).count() == 0
 
 
+def test_search_with_large_components(spark):
+    rng = np.random.default_rng(7)
+    values = rng.integers(1 << 28, 1 << 29, 8) / 256
+    made = [(k, [float(x) for x in rng.permutation(values)]) for k in range(60)] + [(1000, [float((1 << 28) + 1) / 256] * 8)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = impact_search.search(df.filter("vec_id = 1000"), df).collect()
+    score = sum(int(256 * x) for x in values) * ((1 << 28) + 1)
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, k, score) for k in range(5)]
+
+
 def test_registered_queries(spark):
     import duckdb
     con = duckdb.connect()
