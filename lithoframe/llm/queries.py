@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, sharding, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -70,8 +70,15 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted", "good_share", "n_lines")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    done = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
+    return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_impact_search, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
-                                 op10_line_crf)}
+                                 op10_line_crf, op11_merkle_manifest)}
 ORACLES = {"op3_impact_search": """
 WITH sound AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
