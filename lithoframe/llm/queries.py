@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, sharding, toxicity
+from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, sharding, spelling, toxicity
 from lithoframe.llm.common import remainder, table
 
 
@@ -77,8 +77,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))
+    found = spelling.runs(docs, "_text", spelling.Settings().least)
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("_run")).cast("binary"))
+    damaged = found.withColumn("_h", h).withColumn("_run", F.when(
+        F.col("_h") % 31 == 0, spelling.without(F.col("_run"), (F.col("_h") % F.length("_run") + 1).cast("int"))).otherwise(F.col("_run")))
+    return spelling.group(spelling.counted(damaged))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_impact_search, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
-                                 op10_line_crf, op11_merkle_manifest)}
+                                 op10_line_crf, op11_merkle_manifest, op13_spelling_variants)}
 ORACLES = {"op3_impact_search": """
 WITH sound AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
