@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, sharding, spelling, toxicity
 from lithoframe.llm.common import remainder, table
+from lithoframe.llm.oracles import MERKLE, SPELLING
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,4 @@ scored AS (
     FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-WHERE rank <= 5"""}
+WHERE rank <= 5""", "op11_merkle_manifest": MERKLE, "op13_spelling_variants": SPELLING}
