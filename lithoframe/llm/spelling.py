@@ -7,8 +7,8 @@
    length and 1 between neighbouring lengths.
 3. Classes that share a signature are equi-joined and verified on their letters. A pair is taken from the first choice
    of parts that holds its differences, so it comes once.
-4. The words of a verified pair of classes are joined on what is left of them without the letter in question at its
-   place, so a class of many words costs a row per word, never all pairs.
+4. The words of the classes of verified pairs are joined on what is left of them without the letter in question at its
+   place, so a class of many words costs a row per word and letter, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Settings:
-    parts: int = 8          # of the dimensions
+    parts: int = 7          # of the dimensions
     least: int = 7          # letters of a word
     least_count: int = 2    # occurrences of a word
     ratio: int = 10         # how many times as frequent a form is
@@ -138,37 +138,37 @@ def verified(pairs: DataFrame, s: Settings) -> DataFrame:
 def near_classes(classes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(a, b, gone, come) of classes (letters, sorted) one letter apart; a is the shorter, or the smaller of the same length."""
     s = settings
-    made = cut(signatures(classes, s))
-    one = made.filter(~F.col("longer")).select("signature", "choice", F.col("letters").alias("a"))
-    two = made.select(F.col("signature").alias("_s"), F.col("choice").alias("_c"), "longer", F.col("letters").alias("b"))
-    pairs = one.join(two, (F.col("signature") == F.col("_s")) & (F.col("choice") == F.col("_c")) & F.when(
-        F.col("choice") < s.parts * (s.parts - 1) // 2, F.col("a") < F.col("b")).otherwise(F.col("longer")))
-    close = pairs.filter(F.levenshtein("a", "b", 2) >= 0)   # sorted letters that differ by one are at most two edits apart
-    return verified(close.select("a", "b", "choice"), s)
+    made = signatures(classes, s)   # both sides are the same rows, so they are made and shuffled once
+    one, two = made.alias("one").hint("merge"), made.alias("two")
+    same = F.col("one.choice") < s.parts * (s.parts - 1) // 2
+    pairs = one.join(two, (F.col("one.signature") == F.col("two.signature")) & (F.col("one.choice") == F.col("two.choice")) & F.when(
+        same, F.col("one.letters") < F.col("two.letters")).otherwise(~F.col("one.longer") & F.col("two.longer")))
+    a, b = F.col("one.letters"), F.col("two.letters")
+    close = pairs.filter(F.levenshtein(a, b, 2) >= 0)   # sorted letters that differ by one are at most two edits apart
+    return verified(close.select(a.alias("a"), b.alias("b"), F.col("one.choice").alias("choice")), s)
 
 
 def near_words(words: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(x, y) for every two words (column word) that differ by one inserted, deleted or replaced letter, both ways round."""
-    lettered = words.select("word", F.array_join(F.array_sort(F.split("word", "")), "").alias("letters"))
-    lettered = cut(lettered)
-    pairs = cut(near_classes(lettered.select("letters").distinct(), settings))
-    letter, n = F.col("_letter"), F.length("word")
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("word"), i, F.lit(1)) == letter)
+    lettered = cut(words.select("word", F.array_join(F.array_sort(F.split("word", "")), "").alias("letters")))
+    pairs = near_classes(lettered.select("letters").distinct(), settings)
+    # all classes that are alike but for one letter share what is left, so a class needs each of its letters in question once
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("letters"), F.col("gone").alias("letter"), F.lit(False).alias("more")),
+        F.struct(F.col("b").alias("letters"), F.col("come").alias("letter"), (F.col("gone") == "").alias("more")))).alias("_s")).select("_s.*")
+    sides = cut(sides.filter(F.col("letter") != "").distinct())
+    spread = lettered.join(sides, "letters")
+    is_letter = F.transform(F.split("word", ""), lambda c: c == F.col("letter"))
     # of equal letters side by side any may be the inserted one: the first stands for all
-    firsts = F.filter(places, lambda i: (i == 1) | (F.substring(F.col("word"), i - 1, F.lit(1)) != letter))
-    left = pairs.select("a", "b", F.col("gone").alias("_letter"), F.col("a").alias("_own")).join(
-        lettered, F.col("_own") == F.col("letters"))
-    left = left.select("a", "b", "word", F.explode(F.when(letter == "", F.array(F.lit(0))).otherwise(places)).alias("_at"))
-    right = pairs.select("a", "b", F.col("come").alias("_letter"), F.col("b").alias("_own"), (F.col("gone") == "").alias("_more")).join(
-        lettered, F.col("_own") == F.col("letters"))
-    right = right.select("a", "b", "word", "_more", F.explode(F.when(F.col("_more"), firsts).otherwise(places)).alias("_at"))
-    shorter = left.select("a", "b", F.col("word").alias("x"), F.col("_at").alias("_p"),
-                          F.when(F.col("_at") == 0, F.col("word")).otherwise(without(F.col("word"), F.col("_at"))).alias("_rest"))
-    longer = right.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("word").alias("y"),
-                          F.when(F.col("_more"), 0).otherwise(F.col("_at")).alias("_q"), without(F.col("word"), F.col("_at")).alias("_tail"))
-    found = cut(shorter.join(longer, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("_p") == F.col("_q"))
-                             & (F.col("_rest") == F.col("_tail"))).select("x", "y"))
-    return found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    places = F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.element_at(F.col("_is"), i) & (
+        ~F.col("more") | (i == 1) | ~F.element_at(F.col("_is"), F.greatest(i - 1, F.lit(1)))))
+    spread = spread.withColumn("_is", is_letter).select("word", "more", F.explode(places).alias("at"))
+    rest = cut(spread.select("word", F.when(~F.col("more"), F.col("at")).alias("at"), without(F.col("word"), F.col("at")).alias("rest")))
+    replaced, other = rest.filter(F.col("at").isNotNull()), rest.select(F.col("word").alias("y"), F.col("at").alias("_at"), F.col("rest").alias("_rest"))
+    swapped = replaced.join(other, (F.col("at") == F.col("_at")) & (F.col("rest") == F.col("_rest")) & (F.col("word") != F.col("y")))
+    inserted = cut(rest.filter(F.col("at").isNull()).join(words.select(F.col("word").alias("y")), F.col("rest") == F.col("y")).select("word", "y"))
+    return swapped.select(F.col("word").alias("x"), "y").unionByName(inserted.withColumnRenamed("word", "x")).unionByName(
+        inserted.select(F.col("y").alias("x"), F.col("word").alias("y")))
 
 
 def counted(runs_: DataFrame, settings: Settings = Settings()) -> DataFrame:
