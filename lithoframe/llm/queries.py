@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, sharding, spelling, toxicity
+from lithoframe.llm import fertility, html_text, impact_search, language, line_crf, merkle, mixing, ngram_join, packing, pitman_yor, sharding, spelling, toxicity
 from lithoframe.llm.common import remainder, table
 from lithoframe.llm.oracles import MERKLE, SPELLING
 
@@ -78,6 +78,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pitman_yor.score(docs, remainder("doc_id", 5) != 1)
+    return scored.withColumn("learnt", ~F.col("learnt")).withColumnRenamed("learnt", "held_out")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"))
     found = spelling.runs(docs, "_text", spelling.Settings().least)
@@ -88,7 +94,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_language_id, op3_impact_search, op4_toxicity, op5_token_fertility, op6_best_fit_packing, op7_hilbert_shards, op8_pareto_mix, op9_ngram_join,
-                                 op10_line_crf, op11_merkle_manifest, op13_spelling_variants)}
+                                 op10_line_crf, op11_merkle_manifest, op12_pitman_yor, op13_spelling_variants)}
 ORACLES = {"op3_impact_search": """
 WITH sound AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
