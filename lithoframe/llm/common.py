@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +59,18 @@ def thinned(df: DataFrame, key: Column, bound: int, n: int | None = None) -> Dat
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(scale)) < int(scale * bound / n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, bound: int) -> DataFrame:
+    """(_id, _text, _y) of about ``bound`` ids at most that have a label, drawn by a hash of the id.
+
+    An id comes once, with the smallest of its texts and labels, however often it is repeated on either side.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
+        F.min(F.col(label).cast("int")).alias("_y"))
+    drawn = thinned(known, F.col("_id"), bound)
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    return found.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_id", "_text", "_y")
+
+
 def word_hashes():
     """A function from words to 64-bit hashes that remembers the words it has seen, up to 65,536."""
     import xxhash
@@ -103,10 +117,28 @@ class Remembered(dict):
         self.long = [w for w in new if len(w) > self.longest]
 
 
-@functools.lru_cache(maxsize=1)
+_HELD: dict = {}
+
+
 def per_process(make: Callable, *args):
-    """make(*args), kept in the Python worker until another comes."""
-    return make(*args)
+    """make(*args), kept in the Python worker until another is asked for; what was held is let go of first."""
+    key = (make, args)
+    if key not in _HELD:
+        release()
+        _HELD[key] = make(*args)
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what the Python worker holds for earlier tasks, and give the memory back to the machine."""
+    if not _HELD:
+        return
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str], within: list[str] = ()) -> DataFrame:
@@ -123,6 +155,7 @@ def in_order(df: DataFrame, order: list[str], sums: dict[str, str], within: list
                                                 for i, c in enumerate(columns)], T.StructField("_part", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, key, carry = TaskContext.get().partitionId(), None, [0] * len(columns)
         for batch in batches:
             n = batch.num_rows

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import add_text_columns, per_process, thinned
+from lithoframe.llm.common import add_text_columns, labelled, per_process
 
 SCHEMA = "score double, predicted int, good_share double, n_lines long"
 _SPACE = " \t\n\v\f\r"
@@ -202,12 +202,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """A model from at most about ``rows`` of the labelled rows, drawn by a hash of the id.
 
     Line features are made where the rows are; one task fits the chain on that bounded sample. Null labels teach nothing,
-    null texts have no lines. Without both labels in the sample all weights are zero.
+    null texts have no lines. Rows of one id count once, by their smallest text and label. Without both labels in the sample all weights are zero.
     """
     s = settings
-    drawn = thinned(labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-                    .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")), F.col("_id"), s.rows)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    sample = labelled(docs, labels, label, text, doc_id, s.rows)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _class_table()
@@ -239,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """docs with score (probability of label 1), predicted (1 from the threshold on), good_share and n_lines.
 
-    A text that is null or has no line with a word has a good share of 0. New names begin with ``prefix``; input
+    A text that is null or has no line with a word has a good share of 0. Equal rows score alike; an empty table stays empty. New names begin with ``prefix``; input
     columns of these names are replaced.
     """
     def batch(texts: list) -> pd.DataFrame:

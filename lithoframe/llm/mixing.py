@@ -147,9 +147,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     The words that a source takes fall short of its target by less than its smallest passed-over document with its
     copies. Null is a source of its own, the last. A text that is null or has no word has size 0 and no copy.
     Rows of the same id and text share their fate. An empty table stays empty. New names begin with ``prefix``; input columns of
-    these names are replaced.
+    these names are replaced, all others stay as they are, whatever their names.
     """
     s = settings
-    rows = measured(docs, text, doc_id, s)
-    plan = allocated(cut(rows.select(source, "_size", "_u")), source, s)
-    return applied(rows, source, plan, s, prefix)
+    new = {f"{prefix}{c}".lower() for c in ("size", "source_size", "target", "copies")}
+    # the caller's columns go along in one, so their names meet none of those made here
+    held = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in new] or [F.lit(None)]).alias("_doc"),
+                       F.col(text).alias("_text"), F.col(source).alias("_from"), F.col(doc_id).alias("_id"))
+    rows = measured(held, "_text", "_id", s).drop("_text", "_id")
+    plan = allocated(cut(rows.select("_from", "_size", "_u")), "_from", s)
+    done = applied(rows, "_from", plan, s, "_new_")
+    return done.select("_doc.*", *[F.col(f"_new_{c}").alias(f"{prefix}{c}") for c in ("size", "source_size", "target", "copies")])

@@ -364,13 +364,18 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", se
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, one of each group: the one of the smallest id. Rows without a word all stay."""
+    """The rows of docs, one of each group: the one of the smallest id. Rows without a word all stay.
+
+    Columns stay as they are, whatever their names. Of repeated rows one stays; an empty table stays empty.
+    """
     rows, classes = classes_of(docs, text, doc_id, settings)
     dropped = rows.join(classes, "_class").filter(
         F.col("class_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("class_id"))).select(
         F.col("_id").alias("_x"), F.col("_class").alias("_y")).distinct()
-    kept = with_class(docs, text).withColumnRenamed(doc_id, "_id").join(
+    # the caller's columns go along in one, so their names meet none of those made here
+    held = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    kept = with_class(held, "_text").join(
         dropped, F.col("_id").eqNullSafe(F.col("_x")) & (F.col("_class") == F.col("_y")), "left_anti")
     again = F.row_number().over(Window.partitionBy("_id", "_class").orderBy("_id"))
     return (kept.withColumn("_again", again).filter(F.col("_class").isNull() | (F.col("_again") == 1))
-            .withColumnRenamed("_id", doc_id).select(docs.columns))
+            .select("_doc.*"))

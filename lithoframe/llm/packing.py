@@ -8,6 +8,7 @@ tree over the remaining capacities finds it in logarithmic time.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ MARKS = ".,;:!?%$&*#|"
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: str | None = None   # a tokenizers file; by default word_bpe_49k.json of the installed public ones
+    vocabulary: str | None = None   # a tokenizers file, for whole texts; by default word_bpe_49k.json of the public ones, part by part
     capacity: int = 2048            # tokens of a sequence
     end: int = 0                    # id after each document
     group: int = 16384              # pieces that are packed together
@@ -49,15 +50,23 @@ class Words(Remembered):
     space, is encoded whole.
     """
 
-    def __init__(self, path: str):
+    limit = 65_536
+
+    def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.whole = whole
         self.tokenizer, self.bodies = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    @staticmethod
+    def ends_in_letter(c: str) -> bool:
+        """Whether a mark after this character begins a word of its own: not where the tokenizer takes it for a letter and a mark."""
+        return c.isalpha() and (c.isascii() or len(low := unicodedata.normalize("NFC", c).lower()) == 1 and low.isalpha())
+
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -66,7 +75,7 @@ class Words(Remembered):
         for part in parts:
             body = part.rstrip(MARKS)
             tail, low = part[len(body):], body.lower() if body.isascii() else body
-            halves.append((low, tail) if body and body[-1].isalpha() else (None, part))
+            halves.append((low, tail) if body and self.ends_in_letter(body[-1]) else (None, part))
         self._learn_bodies({low for low, _ in halves if low})
         for low, tail in halves:
             if tail and tail not in self.bodies:
@@ -95,7 +104,7 @@ class Words(Remembered):
     def ids(self, texts: list) -> Iterator[bytes]:
         """Of each text; of null, none."""
         for some in portions(texts):
-            parts = [None if t is None or any(c in t for c in ODD) else t.split() for t in some]
+            parts = [None if t is None or self.whole or any(c in t for c in ODD) else t.split() for t in some]
             self.learn([p for p in parts if p])
             for t, p in zip(some, parts):
                 yield b"" if t is None else self.encode(t) if p is None else b"".join(map(self.__getitem__, p))
@@ -161,7 +170,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings
     s = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = per_process(Words, s.path()), np.array([s.end], "<u4").tobytes()
+        words, end = per_process(Words, s.path(), s.vocabulary is not None), np.array([s.end], "<u4").tobytes()
         sequence, step = (TaskContext.get().partitionId() + 1) << 34, 4 * s.capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]

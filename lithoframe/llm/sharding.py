@@ -64,8 +64,8 @@ def as_number(docs: DataFrame, column: str) -> Column:
     return F.coalesce(F.conv(F.rpad(window, 14, "0"), 16, 10).cast("double"), F.lit(float("-inf")))
 
 
-def along_curve(docs: DataFrame, dimensions: list[str], settings: Settings = Settings()) -> DataFrame:
-    """docs with curve, the index of the cell that the row's dimensions fall into; nulls go before all values."""
+def along_curve(docs: DataFrame, dimensions: list[str], settings: Settings = Settings(), name: str = "curve") -> DataFrame:
+    """docs with ``name``, the index of the cell that the row's dimensions fall into; nulls go before all values."""
     s = settings
     values = {c: as_number(docs, c) for c in dimensions}
     steps = F.array(*[F.lit(k / (1 << s.bits)) for k in range(1, 1 << s.bits)])
@@ -77,22 +77,29 @@ def along_curve(docs: DataFrame, dimensions: list[str], settings: Settings = Set
         cells = [np.searchsorted(b, points.iloc[:, i].to_numpy(float), side="right") for i, b in enumerate(bounds)]
         return pd.Series(hilbert(np.stack(cells, axis=1), s.bits), dtype="int64")
 
-    return docs.withColumn("curve", index(F.struct(*[v.alias(f"d{i}") for i, v in enumerate(values.values())])))
+    return docs.withColumn(name, index(F.struct(*[v.alias(f"d{i}") for i, v in enumerate(values.values())])))
 
 
 def shard(docs: DataFrame, dimensions: list[str], ties: list[str], settings: Settings = Settings()) -> DataFrame:
     """docs with curve, shard and slot: row r of n in the order of curve and ``ties`` is in shard r * shards // n.
 
     Shards differ by a row at most, and slots count from 0 without gaps. Rows equal in all of these are exchangeable.
-    With fewer rows than shards some shards are empty. Input columns of these names are replaced.
+    With fewer rows than shards some shards are empty. Input columns of these names are replaced, all
+    others stay as they are, whatever their names.
     """
     s = settings
-    kept = docs.drop("curve", "shard", "slot")
-    placed = in_order(along_curve(kept, dimensions, s).withColumn("_one", F.lit(1).cast("long")), ["curve", *ties],
-                      {"_one": "_row"})
-    n, row = kept.count(), F.col("_row")
-    return (placed.withColumn("shard", F.expr(f"(_row * {s.shards}L) div {max(n, 1)}L").cast("int"))
-            .withColumn("slot", row - F.expr(f"(shard * {n}L + {s.shards - 1}L) div {s.shards}L")).drop("_one", "_row"))
+    new = {"curve", "shard", "slot"}
+    held = [c for c in docs.columns if c.lower() not in new]
+    # what the caller has goes along in one column, so its names meet none of those made here
+    spare = max((c for c in docs.columns), key=len, default="") + "_curve"
+    own = along_curve(docs, dimensions, s, spare).select(
+        F.struct(*held).alias("_doc"), F.col(spare).alias("_curve"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)],
+        F.lit(1).cast("long").alias("_one"))
+    placed = in_order(own, ["_curve", *[f"_t{i}" for i in range(len(ties))]], {"_one": "_row"})
+    n, row = docs.count(), F.col("_row")
+    done = placed.withColumn("_shard", F.expr(f"(_row * {s.shards}L) div {max(n, 1)}L").cast("int")).withColumn(
+        "_slot", row - F.expr(f"(_shard * {n}L + {s.shards - 1}L) div {s.shards}L"))
+    return done.select("_doc.*", F.col("_curve").alias("curve"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str, settings: Settings = Settings()) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithoframe.llm.common import add_text_columns, per_process, thinned, word_hashes
+from lithoframe.llm.common import add_text_columns, labelled, per_process, release, word_hashes
 
 SCHEMA = "score double, predicted int"
 _WORDS = re.compile(r"\w+")
@@ -99,16 +99,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """Weights from at most about ``rows`` of the labelled rows, drawn by a hash of the id.
 
     Features are made where the rows are. The sample is bounded, so one task passes over it, in a fixed permutation. A row
-    with a null label teaches nothing; a null text counts as empty. Without both labels in the sample the weights
+    with a null label teaches nothing; a null text counts as empty. Rows of one id count once, by their smallest text and label. Without both labels in the sample the weights
     are zero.
     """
     s = settings
-    drawn = thinned(labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-                    .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")), F.col("_id"), s.rows)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    sample = labelled(docs, labels, label, text, doc_id, s.rows)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_process.cache_clear()  # what an earlier stage left in this worker
+        release()
         hashes, end = word_hashes(), np.array([1 << s.bits], np.int32)
         for batch in batches:
             made = [np.concatenate([np.unique(features(t, hashes, s)), end]) for t in batch.column("_text").to_pylist()]
@@ -135,7 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def score(docs: DataFrame, model: Weights, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with score (probability of label 1) and predicted (1 from the threshold on). Null texts count as empty."""
+    """docs with score (probability of label 1) and predicted (1 from the threshold on).
+
+    Null texts count as empty; equal rows score alike; an empty table stays empty. New names begin with ``prefix``; input columns
+    of these names are replaced.
+    """
     s = model.settings
 
     def batch(texts: list) -> pd.DataFrame:

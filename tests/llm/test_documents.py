@@ -413,7 +413,7 @@ def test_registered_queries(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     got = sorted(map(tuple, registered.op3_impact_search(spark, SF).collect()))
     assert got == sorted(con.execute(registered.ORACLES["op3_impact_search"]).fetchall())
-    assert [n.split("_")[0] for n in registered.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registered.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline(spark, odd, tmp_path):
