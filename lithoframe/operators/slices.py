@@ -119,17 +119,17 @@ def inline_index_range(traces: DataFrame, geometry: DataFrame, start: int, end:
 
 
 def inline_number_range(traces: DataFrame, first: int, last: int) -> DataFrame:
-    """Inclusive range of inline numbers."""
-    return traces.where(F.col("inline").between(first, last))
+    """Inclusive range of inline numbers; of a written volume only the folders of its blocks are read."""
+    return inline_range(traces, first, last)
 
 
 def overlay(traces: DataFrame, probs: DataFrame, inline: int, threshold: float = 0.5) -> DataFrame:
     """Amplitude, probability and mask of one inline of every run that covers it.
 
     ``probs`` is (run_id, survey_id, inline, crossline, prob). Both sides are filtered before they
-    meet on (survey, crossline).
+    meet on (survey, crossline), and read one block where they are laid out by il_block.
     """
-    seen = probs.where(F.col("inline") == inline)
+    seen = inline_range(probs, inline, inline).drop("il_block")
     return inline_section(traces, inline).join(seen, CELL).select(
         "run_id", *CELL, "samples", "prob",
         F.transform("prob", lambda p: (p >= threshold).cast("int")).alias("mask"))

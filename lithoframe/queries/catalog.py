@@ -165,12 +165,13 @@ def c11(spark, sf):
 
 
 @query("c12_index_append", """
-  SELECT DISTINCT 'run-' || o_custkey AS run_id FROM orders
-  WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+  SELECT DISTINCT 'run-' || k AS run_id FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders)
+  WHERE k NOT IN (SELECT c_custkey FROM customer)""")
 def c12(spark, sf):
-    index = table(spark, sf, "customer").where(F.col("c_acctbal") > 0).select(
-        F.concat(F.lit("run-"), "c_custkey").alias("run_id"))
-    return c.append_new(index, table(spark, sf, "orders").select(F.concat(F.lit("run-"), "o_custkey").alias("run_id")))
+    run = lambda column: F.concat(F.lit("run-"), F.col(column)).alias("run_id")
+    orders = table(spark, sf, "orders")
+    return c.append_new(table(spark, sf, "customer").select(run("c_custkey")),
+                        orders.select(run("o_custkey")).unionByName(orders.select(run("o_orderkey"))))
 
 
 @query("c13_run_submission", """

@@ -134,9 +134,8 @@ def t8(spark, sf):
 @query("t9_patch_clamp", f"""WITH {_BASE}
   SELECT least(128, n_il) AS p_il, least(16, n_xl) AS p_xl, least(128, n_s) AS p_s FROM dims""")
 def t9(spark, sf):
-    n = lambda p, c: F.least(F.lit(p), F.col(c))
-    return shape_of(spark, sf).select(n(128, "n_inlines").alias("p_il"), n(16, "n_crosslines").alias("p_xl"),
-                                      n(128, "n_samples").alias("p_s"))
+    shape = shape_of(spark, sf).select([n for _, n in t.AXES]).first()  # the one survey's
+    return spark.createDataFrame([t.clamp_patch((128, 16, 128), tuple(shape))], "p_il int, p_xl int, p_s int")
 
 
 @query("t11_fault_aware_weights", f"""WITH {_BASE}, {TRUTH}, {_index_sql()}

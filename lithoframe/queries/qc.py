@@ -1,8 +1,11 @@
 """Amplitude statistics and quality control queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lithoframe.functions.arrays import total
+from lithoframe.functions.lineage import checkpoint_dir
 from lithoframe.operators import qc as a
 from lithoframe.operators.geometry import infer_geometry
 from lithoframe.queries import query
@@ -126,9 +129,10 @@ def a9(spark, sf):
          {q6("sum(CAST(CAST(greatest(-1.5, least(1.5, a / p99)) AS FLOAT) AS DOUBLE))", 4)} AS norm_sum
   FROM voxels, lim GROUP BY inline, crossline""")
 def a10(spark, sf):
-    from lithoframe.plans.condition import conditioned
-    t = traces(spark, sf)
-    return conditioned(t, a.amplitude_stats(t)).select(
+    from lithoframe.plans.condition import condition_volume
+    out = f"{checkpoint_dir(spark)}/conditioned-{uuid.uuid4().hex}"
+    condition_volume(traces(spark, sf), out)
+    return spark.read.parquet(out).select(
         "inline", "crossline", r6(total(F.col("samples"))).alias("raw_sum"),
         r6(total(F.col("samples_norm")), 4).alias("norm_sum"))
 

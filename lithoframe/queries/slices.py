@@ -1,16 +1,24 @@
 """Section and slice queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lithoframe.functions.arrays import total
+from lithoframe.functions.lineage import checkpoint_dir
 from lithoframe.operators import slices as p
 from lithoframe.operators.geometry import infer_geometry
+from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
+from lithoframe.queries.patches import shape_of
 from lithoframe.queries.tables import (
     IRREGULAR, PICKS, PROBS, TRACES, irregular_traces, picks, probs, q6, r6, traces,
 )
 
+from lithoframe.sources import volume
+
 _CELL = ["survey_id", "inline", "crossline"]
+_BRICK = (8, 8, 16)
 _SQL_SUM = q6("list_sum(CAST(samples AS DOUBLE[]))")
 
 
@@ -28,6 +36,28 @@ def p2(spark, sf):
         "inline", "crossline", "s", r6(F.col("amplitude").cast("double")).alias("amplitude"))
 
 
+def _bricks(spark, sf):
+    path = f"{checkpoint_dir(spark)}/bricks-{uuid.uuid4().hex}"
+    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), shape_of(spark, sf)), _BRICK), path)
+    return spark.read.parquet(path)
+
+
+@query("p2_crossline_of_bricks", f"""WITH {TRACES}
+  SELECT CAST(inline - il0 AS INTEGER) AS il, CAST(crossline - xl0 AS INTEGER) AS xl, s, {q6("a")} AS amplitude
+  FROM voxels, geom WHERE crossline = 1912""")
+def p2_bricks(spark, sf):
+    found = volume.brick_section(_bricks(spark, sf), "xl", 12, _BRICK)
+    return found.select("il", "xl", F.posexplode("samples").alias("s", "amplitude")).withColumn(
+        "amplitude", r6(F.col("amplitude").cast("double")))
+
+
+@query("p4_time_slice_of_bricks", f"""WITH {TRACES}
+  SELECT CAST(inline - il0 AS INTEGER) AS il, CAST(crossline - xl0 AS INTEGER) AS xl, s, {q6("a")} AS amplitude
+  FROM voxels, geom WHERE s = 21""")
+def p4_bricks(spark, sf):
+    return volume.brick_time_slice(_bricks(spark, sf), 21, _BRICK).select("il", "xl", "s", r6(F.col("amplitude").cast("double")).alias("amplitude"))
+
+
 @query("p3_clamped_inline", f"""WITH {IRREGULAR},
   hit AS (SELECT survey_id, coalesce(min(num) FILTER (WHERE num >= 1016), max(num)) AS inline FROM ils GROUP BY survey_id)
   SELECT survey_id, inline, crossline, {_SQL_SUM} AS total FROM traces JOIN hit USING (survey_id, inline)""")

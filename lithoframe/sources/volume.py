@@ -41,10 +41,29 @@ def bricks(volume: DataFrame, brick: tuple[int, int, int] = BRICK) -> DataFrame:
 
 
 def write_bricks(slices: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Brick slices laid out so that a brick is contiguous."""
+    """Brick slices, a folder for each brick: sections along any axis read the bricks that they cross."""
     keys = ("survey_id", "ib", "xb", "sb")
-    slices.repartitionByRange(*keys).sortWithinPartitions(*keys, "il", "xl").write.partitionBy(
-        "survey_id", "ib").mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    slices.repartitionByRange(*keys).sortWithinPartitions(*keys, "il", "xl").write.partitionBy(*keys).mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def brick_traces(stored: DataFrame) -> DataFrame:
+    """Whole traces (survey_id, il, xl, samples) from stored brick slices: the slices of a trace, joined in the order of sb."""
+    slices = F.array_sort(F.collect_list(F.struct("sb", "samples")))     # as many as bricks down the trace
+    return stored.groupBy("survey_id", "il", "xl").agg(slices.alias("_s")).select(
+        "survey_id", "il", "xl", F.flatten(F.col("_s.samples")).alias("samples"))
+
+
+def brick_section(stored: DataFrame, axis: str, k: int, brick: tuple[int, int, int] = BRICK) -> DataFrame:
+    """Traces at position k of an axis (il or xl), from the bricks across it alone. A position outside gives none."""
+    block, size = {"il": ("ib", brick[0]), "xl": ("xb", brick[1])}[axis]
+    return brick_traces(stored.where((F.col(block) == k // size) & (F.col(axis) == k)))
+
+
+def brick_time_slice(stored: DataFrame, k: int, brick: tuple[int, int, int] = BRICK) -> DataFrame:
+    """Sample k of every trace (survey_id, il, xl, s, amplitude), from the bricks at that depth alone; none for a shorter trace."""
+    at = F.get("samples", F.lit(k % brick[2]))
+    return stored.where((F.col("sb") == k // brick[2]) & (F.size("samples") > k % brick[2])).select(
+        "survey_id", "il", "xl", F.lit(k).alias("s"), at.alias("amplitude"))
 
 
 def write_mask(mask: DataFrame, path: str, overwrite: bool = False) -> None:

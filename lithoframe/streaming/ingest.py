@@ -12,12 +12,38 @@ FILES_PER_BATCH = 100
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _stored(spark: SparkSession, paths: list[str], out: str) -> dict[str, str]:
+    """Write the traces of the files; the errors of those that could not be read."""
+    try:
+        read_segy(spark, *paths).write.mode("overwrite").parquet(out)
+        return {}
+    except Exception as whole:  # which file it was is known only by reading each
+        if len(paths) == 1:
+            return {paths[0]: _reason(whole)}
+    errors, mode = {}, "overwrite"
+    for path in paths:
+        try:
+            read_segy(spark, path).write.mode(mode).parquet(out)
+            mode = "append"
+        except Exception as one:
+            errors[path] = _reason(one)
+    return errors
+
+
+def _reason(error: Exception) -> str:
+    """The last line of an error that says something."""
+    lines = [x.strip() for x in str(error).splitlines() if x.strip() and not x.strip().startswith("at ")]
+    told = [x for x in lines if "Error: " in x or "Exception: " in x]
+    return (told or lines or [type(error).__name__])[-1][:1000]
+
+
 def ingest_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str, once: bool = True,
                     files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
     """Traces of new SEG-Y files under ``raw`` to ``out``/traces, one status row per file.
 
-    The stream carries file names only; each batch reads its files through the splittable source. A
-    batch writes its own folder, so a repeated batch replaces itself.
+    The stream carries file names only; each batch reads its files through the splittable source. Where that
+    fails, its files are read one after the other: one that cannot be read is ``failed``, with its error, and the stream goes
+    on. A batch writes its own folder, so a repeated batch replaces itself.
     """
     arrivals = (spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.{[sS][gG][yY],[sS][eE][gG][yY]}")
                 .option("maxFilesPerTrigger", files_per_batch).load(raw).select("path", "length"))
@@ -26,9 +52,11 @@ def ingest_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str, on
         paths = sorted(r["path"] for r in batch.select("path").collect())  # at most files_per_batch
         if not paths:
             return
-        read_segy(spark, *paths).write.mode("overwrite").parquet(f"{out}/traces/batch={batch_id}")
-        done = batch.select("path", F.col("length").alias("size"), F.lit("complete").alias("status"),
-                            F.current_timestamp().alias("updated_at"))
+        errors = _stored(spark, paths, f"{out}/traces/batch={batch_id}")
+        known = spark.createDataFrame(list(errors.items()), "path string, error string")  # as many as paths
+        done = batch.join(known, "path", "left").select(
+            "path", F.col("length").alias("size"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"),
+            "error", F.current_timestamp().alias("updated_at"))
         done.write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
 
     writer = arrivals.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)

@@ -211,3 +211,48 @@ def test_ingest_job(spark, tmp_path, volume_of):
     assert spark.read.json(f"{tmp_path}/a/sidecar").first()["geometry"]["inline_max"] == 50
     with pytest.raises(Exception, match="exists"):
         ingest(t, str(tmp_path / "a"), "x.sgy")
+
+
+def test_a_broken_file_is_failed(spark, tmp_path, cells):
+    from lithoframe.streaming.ingest import ingest_arrivals
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    make_segy(raw / "a.sgy", cells, 100)
+    make_segy(raw / "c.sgy", cells, 100)
+    (raw / "b.sgy").write_bytes(b"no survey")
+
+    def arrive():
+        ingest_arrivals(spark, str(raw), str(out), str(tmp_path / "cp")).awaitTermination()
+        return {r["path"].rsplit("/", 1)[1]: (r["status"], bool(r["error"])) for r in spark.read.parquet(f"{out}/status").collect()}
+
+    one = {"a.sgy": ("complete", False), "b.sgy": ("failed", True), "c.sgy": ("complete", False)}
+    assert arrive() == one
+    stored = spark.read.parquet(f"{out}/traces").count()
+    make_segy(raw / "d.sgy", cells, 100)     # the stream goes on, and so it does after a batch of nothing but a broken file
+    assert arrive() == one | {"d.sgy": ("complete", False)}
+    (raw / "e.sgy").write_bytes(b"x" * 5000)
+    assert arrive()["e.sgy"] == ("failed", True)
+    assert 2 * spark.read.parquet(f"{out}/traces").count() == 3 * stored
+
+
+def test_sections_of_bricks(spark, tmp_path):
+    from lithoframe.sources import volume
+    rows = [("v", il, xl, [100.0 * il + 10.0 * xl + s for s in range(5)]) for il in range(5) for xl in range(5) if (il, xl) != (3, 4)]
+    cube = spark.createDataFrame(rows, "survey_id string, il int, xl int, samples array<double>")
+    size = (2, 2, 2)
+    volume.write_bricks(volume.bricks(cube, size), str(tmp_path / "b"))
+    stored = spark.read.parquet(str(tmp_path / "b"))
+    whole = {(r.il, r.xl): list(r.samples) for r in volume.brick_traces(stored).collect()}
+    assert whole == {(il, xl): v for _, il, xl, v in rows}
+    section = volume.brick_section(stored, "xl", 4, size)
+    assert {(r.il, r.xl): list(r.samples) for r in section.collect()} == {k: v for k, v in whole.items() if k[1] == 4}
+    assert {(r.il, r.xl) for r in volume.brick_section(stored, "il", 3, size).collect()} == {k for k in whole if k[0] == 3}
+    deep = volume.brick_time_slice(stored, 3, size)
+    assert {(r.il, r.xl): r.amplitude for r in deep.collect()} == {k: v[3] for k, v in whole.items()}
+    assert volume.brick_time_slice(stored, 5, size).count() == volume.brick_section(stored, "xl", 9, size).count() == 0
+    blocks = lambda df: {tuple(p.rsplit("/", 5)[1:5]) for p in (r[0] for r in df.select("_metadata.file_path").distinct().collect())}
+    read = stored.where("xb = 2 and xl = 4")
+    assert {b[2] for b in blocks(read)} == {"xb=2"}
+    for df, key in ((section, "xb"), (deep, "sb")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert key in plan.split("PartitionFilters: [")[1].split("]")[0]
