@@ -141,6 +141,22 @@ def release() -> None:
         trim(0)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut(df); the shuffles behind it, which nothing reads again, are removed at once instead of when the driver next collects garbage.
+
+    Jobs of many steps would otherwise keep the shuffle files of all of them on the executors' disks.
+    """
+    from lithoframe.functions.lineage import cut
+
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str], within: list[str] = ()) -> DataFrame:
     """Rows in a global order, with the running sum of each column of ``sums`` (named by its value) before each row.
 
