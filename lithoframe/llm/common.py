@@ -135,10 +135,15 @@ def release() -> None:
         return
     _HELD.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that the Python worker no longer uses back to the machine."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -157,6 +162,14 @@ def settled(df: DataFrame) -> DataFrame:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that settled() wrote, once everything made from it is written too."""
+    jvm, folders = df.sparkSession._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def in_order(df: DataFrame, order: list[str], sums: dict[str, str], within: list[str] = ()) -> DataFrame:
     """Rows in a global order, with the running sum of each column of ``sums`` (named by its value) before each row.
 
