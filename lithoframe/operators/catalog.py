@@ -208,17 +208,24 @@ CAVEATS = ("Scores come from a model; the geology may differ.",
 
 
 def run_summary(runs: DataFrame, caveats: bool = True) -> DataFrame:
-    """Findings of complete runs as text and list."""
-    rows = run_results(runs).where(F.col("state") == "ok")
-    findings = F.array(
+    """Findings of complete runs as text and list, and the figures behind them as ``qc_stats``.
+
+    A column ``download_url`` of the runs adds a finding where it is not null or empty.
+    """
+    url = F.col("download_url") if "download_url" in runs.columns else F.lit(None).cast("string")
+    rows = runs.where(F.col("status") == "complete").withColumn("_url", url)
+    findings = F.array_compact(F.array(
         F.concat(F.lit("probabilities in "), _or("prob_zarr_path", "no file")),
         F.concat(F.lit("mask in "), _or("mask_zarr_path", "no file")),
-        F.concat(F.lit("share of fault samples "), _fraction()))
+        F.concat(F.lit("share of fault samples "), _fraction()),
+        F.when(F.col("_url") != "", F.concat(F.lit("download from "), "_url"))))
+    stats = F.struct(F.coalesce("fault_voxel_fraction", F.lit(0.0)).alias("fault_voxel_fraction"), "prob_zarr_path",
+                     "mask_zarr_path", "completed_at")
     text = F.concat(
         F.lit("Run "), "run_id", F.lit(" scored "), _or("survey_id", "an unnamed survey"), F.lit(" and marked a share of "),
         _fraction(), F.lit(" of its samples as fault; finished "), _or(_iso("completed_at"), "at an unknown time"), F.lit("."))
     out = rows.select("run_id", F.col("survey_id").alias("dataset_id"), "status", text.alias("summary"),
-                      findings.alias("key_findings"), "fault_voxel_fraction")
+                      findings.alias("key_findings"), "fault_voxel_fraction", stats.alias("qc_stats"))
     return out.withColumn("caveats", F.array(*map(F.lit, CAVEATS))) if caveats else out
 
 

@@ -252,12 +252,16 @@ _ISO = "strftime(completed_at, '%Y-%m-%dT%H:%M:%S')"
          'Run ' || run_id || ' scored ' || survey_id || ' and marked a share of ' || printf('%.4f', fault_voxel_fraction) ||
          ' of its samples as fault; finished ' || {_ISO} || '.' AS summary,
          'probabilities in ' || prob_zarr_path || '|mask in ' || mask_zarr_path ||
-         '|share of fault samples ' || printf('%.4f', fault_voxel_fraction) AS findings, 2 AS n_caveats
+         '|share of fault samples ' || printf('%.4f', fault_voxel_fraction) ||
+         CASE WHEN fault_voxel_fraction > 0.02 THEN '|download from store/' || run_id ELSE '' END AS findings, 2 AS n_caveats,
+         {q6("fault_voxel_fraction")} AS stats_fraction, prob_zarr_path AS stats_prob, mask_zarr_path AS stats_mask
   FROM runs WHERE status = 'complete'""")
 def c20(spark, sf):
-    return c.run_summary(runs(spark, sf)).select(
+    held = F.when(F.col("fault_voxel_fraction") > 0.02, F.concat(F.lit("store/"), "run_id"))
+    return c.run_summary(runs(spark, sf).withColumn("download_url", held)).select(
         "run_id", "dataset_id", "status", "summary", F.array_join("key_findings", "|").alias("findings"),
-        F.size("caveats").alias("n_caveats"))
+        F.size("caveats").alias("n_caveats"), r6(F.col("qc_stats.fault_voxel_fraction")).alias("stats_fraction"),
+        F.col("qc_stats.prob_zarr_path").alias("stats_prob"), F.col("qc_stats.mask_zarr_path").alias("stats_mask"))
 
 
 @query("c21_export_packages", f"""WITH {RUNS}

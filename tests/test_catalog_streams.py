@@ -105,6 +105,9 @@ def test_reports(spark):
     assert len(q["r1"]["sections"]) == 2 and "boom" in q["r2"]["sections"][0]["details"]
     s = c.run_summary(runs).collect()
     assert [r["run_id"] for r in s] == ["r1"] and "0.0300" in s[0]["summary"]
+    assert s[0]["qc_stats"]["mask_zarr_path"] == "m" and s[0]["qc_stats"]["fault_voxel_fraction"] == 0.03 and len(s[0]["key_findings"]) == 3
+    linked = c.run_summary(runs.selectExpr("*", "'u' AS download_url")).first()
+    assert linked["key_findings"][3] == "download from u"
     x = c.export_packages(runs, runs, overlays=False).first()
     assert x["export_id"] == "export-r1" and len(x["included_artifacts"]) == 3
     assert {r["run_id"]: r["state"] for r in c.run_results(runs).collect()}["r3"] == "conflict"
