@@ -130,13 +130,34 @@ def overlay(traces: DataFrame, probs: DataFrame, inline: int, threshold: float =
     meet on (survey, crossline), and read one block where they are laid out by il_block.
     """
     seen = inline_range(probs, inline, inline).drop("il_block")
-    return inline_section(traces, inline).join(seen, CELL).select(
+    return _overlaid(inline_section(traces, inline), seen, threshold)
+
+
+def positional_overlay(traces: DataFrame, probs: DataFrame, geometry: DataFrame, position: int, threshold: float = 0.5) -> DataFrame:
+    """The overlay of runs that keep no line numbers: ``inline`` and ``crossline`` of ``probs`` count from 0 along the grid.
+
+    The rows come back with line numbers. A position beyond the grid, or without a trace, gives none.
+    """
+    at = sized(geometry.where(F.lit(position).between(0, grid_size("inline") - 1)).select(
+        "survey_id", (F.col("inline_min") + position * F.col("inline_step")).cast("int").alias("_inline"), "crossline_min", "crossline_step"))
+    seen = inline_range(probs, position, position).join(at, SURVEY).select(
+        "run_id", "survey_id", F.col("_inline").alias("inline"),
+        (F.col("crossline_min") + F.col("crossline") * F.col("crossline_step")).cast("int").alias("crossline"), "prob")
+    lines = at.select("survey_id", F.col("_inline").alias("inline"))
+    return _overlaid(_pruned(traces, lines).select(*CELL, "samples"), seen, threshold)
+
+
+def _overlaid(section: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
+    return section.join(seen, CELL).select(
         "run_id", *CELL, "samples", "prob",
         F.transform("prob", lambda p: (p >= threshold).cast("int")).alias("mask"))
 
 
-def require_in_run(runs: DataFrame, run_id: str, inline: int) -> None:
-    """Raise LookupError, naming the window, when a run does not hold the inline."""
+def require_in_run(runs: DataFrame, run_id: str, inline: int, n_inlines: int | None = None) -> None:
+    """Raise LookupError, naming the window, when a run does not hold the inline.
+
+    For a run without line numbers ``inline`` is a position, and held against ``n_inlines`` where that is given.
+    """
     row = runs.where(F.col("run_id") == run_id).select(
         F.array_contains("inline_coords", inline).alias("held"),
         F.array_min("inline_coords").alias("lo"), F.array_max("inline_coords").alias("hi")).first()
@@ -144,6 +165,8 @@ def require_in_run(runs: DataFrame, run_id: str, inline: int) -> None:
         raise LookupError(f"run {run_id} not found")
     if row["held"] is False and row["lo"] is not None:
         raise LookupError(f"inline {inline} is outside the run window [{row['lo']}, {row['hi']}]")
+    if row["lo"] is None and n_inlines is not None and not 0 <= inline < n_inlines:
+        raise LookupError(f"position {inline} is outside the {n_inlines} inlines of the run")
 
 
 def stick_crossings(picks: DataFrame, inline: int) -> DataFrame:

@@ -121,6 +121,21 @@ def p9(spark, sf):
         r6(F.col("v.prob")).alias("prob"), "v.mask")
 
 
+@query("p9_positional_overlay", f"""WITH {TRACES}, {PROBS}
+  SELECT 'run-survey_0' AS run_id, inline, crossline, s, {q6("a")} AS amplitude, {q6("p")} AS prob,
+         CAST(p >= 0.5 AS INTEGER) AS mask FROM probs WHERE inline = (SELECT min(inline) + 9 FROM traces)""")
+def p9_positional(spark, sf):
+    t = traces(spark, sf)
+    grid = infer_geometry(t)
+    counted = probs(spark, sf).join(grid.select("survey_id", "inline_min", "crossline_min"), "survey_id").select(
+        "run_id", "survey_id", (F.col("inline") - F.col("inline_min")).alias("inline"),
+        (F.col("crossline") - F.col("crossline_min")).alias("crossline"), "prob")
+    return p.positional_overlay(t, counted, grid, 9).select("run_id", "inline", "crossline", F.posexplode(
+        F.arrays_zip("samples", "prob", "mask")).alias("s", "v")).select(
+        "run_id", "inline", "crossline", "s", r6(F.col("v.samples").cast("double")).alias("amplitude"),
+        r6(F.col("v.prob")).alias("prob"), "v.mask")
+
+
 @query("p10_sticks_on_section", f"""WITH {PICKS}
   SELECT stick_id, {q6("1900 + xl", 3)} AS crossline, {q6("4.0 * s", 3)} AS twt FROM picks WHERE 1001 + il = 1041""")
 def p10(spark, sf):

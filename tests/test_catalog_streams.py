@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lithoframe.operators import catalog as c
+from lithoframe.operators import slices
 from lithoframe.streaming import run_status
 
 
@@ -145,3 +146,21 @@ def test_prefixes_of_any_length(spark):
                    "a" * 80 + "y": ("resolved", "a" * 80 + "y")}
     alone = c.resolve_run_ids(spark.createDataFrame([("",)], "request string"), ids.limit(1)).first()
     assert alone["state"] == "resolved"
+
+
+def test_runs_without_line_numbers(spark):
+    """Their rows count from 0; the overlay gives them the numbers of the grid, and positions beyond it are refused."""
+    traces = spark.createDataFrame([("a", 100 + 5 * i, 7 + 2 * x, [float(i), float(x)]) for i in range(3) for x in range(2)],
+                                   "survey_id string, inline int, crossline int, samples array<float>")
+    probs = spark.createDataFrame([("r", "a", i, x, [0.2 * i, 0.5]) for i in range(3) for x in range(2)],
+                                  "run_id string, survey_id string, inline int, crossline int, prob array<double>")
+    grid = spark.createDataFrame([("a", 100, 110, 5, 3, 7, 9, 2, 2)], "survey_id string, inline_min int, inline_max int, inline_step int,"
+                                 "n_inlines int, crossline_min int, crossline_max int, crossline_step int, n_crosslines int")
+    rows = slices.positional_overlay(traces, probs, grid, 2).orderBy("crossline").collect()
+    assert [(r["inline"], r["crossline"], list(r["samples"]), list(r["mask"])) for r in rows] == [
+        (110, 7, [2.0, 0.0], [0, 1]), (110, 9, [2.0, 1.0], [0, 1])]
+    assert slices.positional_overlay(traces, probs, grid, 3).count() == 0
+    runs = spark.createDataFrame([("r", None)], "run_id string, inline_coords array<int>")
+    slices.require_in_run(runs, "r", 2, n_inlines=3)
+    with pytest.raises(LookupError, match="position 3"):
+        slices.require_in_run(runs, "r", 3, n_inlines=3)
