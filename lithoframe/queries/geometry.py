@@ -8,7 +8,7 @@ from lithoframe.operators import geometry as g
 from lithoframe.queries import query
 from lithoframe.queries.tables import IRREGULAR, TRACES, irregular_traces, q6, r6, traces, world_sticks
 
-_GEOMETRY_COLUMNS = ["survey_id", "inline_min", "inline_max", "inline_step", "n_inlines",
+GEOMETRY_COLUMNS = ["survey_id", "inline_min", "inline_max", "inline_step", "n_inlines",
                      "crossline_min", "crossline_max", "crossline_step", "n_crosslines"]
 _GEOMETRY_SQL = """
   SELECT survey_id, inline_min, inline_max, CAST(inline_step AS INTEGER) AS inline_step,
@@ -17,20 +17,23 @@ _GEOMETRY_SQL = """
 """
 
 
-@query("g1_geometry_regular", f"""WITH {TRACES}
+GEOMETRY_SQL = f"""WITH {TRACES}
   SELECT 'survey_0' AS survey_id, il0 AS inline_min, il1 AS inline_max, 1 AS inline_step,
          CAST(n_il AS INTEGER) AS n_inlines, xl0 AS crossline_min, xl1 AS crossline_max,
          1 AS crossline_step, CAST(n_xl AS INTEGER) AS n_crosslines,
          CAST((SELECT max(len(samples)) FROM traces) AS INTEGER) AS n_samples, CAST(4.0 AS DOUBLE) AS sample_rate_ms
-  FROM geom""")
+  FROM geom"""
+
+
+@query("g1_geometry_regular", GEOMETRY_SQL)
 def g1(spark, sf):
     return g.infer_geometry(traces(spark, sf)).select(
-        *_GEOMETRY_COLUMNS, "n_samples", "sample_rate_ms")
+        *GEOMETRY_COLUMNS, "n_samples", "sample_rate_ms")
 
 
 @query("g2_geometry_irregular", f"WITH {IRREGULAR} {_GEOMETRY_SQL} FROM geom")
 def g2(spark, sf):
-    return g.infer_geometry(irregular_traces(spark, sf)).select(*_GEOMETRY_COLUMNS)
+    return g.infer_geometry(irregular_traces(spark, sf)).select(*GEOMETRY_COLUMNS)
 
 
 @query("g3_irregular_flag", f"""WITH {IRREGULAR}

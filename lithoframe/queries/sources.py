@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from lithoframe.functions.arrays import total
 from lithoframe.functions.lineage import checkpoint_dir
+from lithoframe.operators.geometry import infer_geometry
 from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
+from lithoframe.queries.geometry import GEOMETRY_COLUMNS, GEOMETRY_SQL
 from lithoframe.queries.patches import shape_of
 from lithoframe.queries.tables import (
     RUNS, TRACES, TRUTH, q6, r6, runs, table, traces, truth,
@@ -85,6 +87,20 @@ def s1(spark, sf):
     return _shown(segy.read_segy(spark, segy_folder(spark, sf), partition_bytes=65536))
 
 
+@query("s1_segy_headers", f"""WITH {TRACES}
+  SELECT survey_id, inline, crossline, {q6("(15.5 * inline + 21.0 * crossline + 482000.0) * 10", 0)} AS cdp_x,
+         CAST(4.0 AS DOUBLE) AS dt_ms, CAST(len(samples) AS INTEGER) AS n_samples FROM traces""")
+def s1_headers(spark, sf):
+    read = segy.read_segy(spark, segy_folder(spark, sf), survey_id="survey_0", headers_only=True, partition_bytes=65536)
+    return read.select("survey_id", "inline", "crossline", r6(F.col("cdp_x"), 0).alias("cdp_x"), "dt_ms", "n_samples")
+
+
+@query("g1_geometry_headers", GEOMETRY_SQL)
+def g1_headers(spark, sf):
+    read = segy.read_segy(spark, segy_folder(spark, sf), survey_id="survey_0", headers_only=True)
+    return infer_geometry(read).select(*GEOMETRY_COLUMNS, "n_samples", "sample_rate_ms")
+
+
 @query("s1_segy_pushdown", _TRACE_SQL + " WHERE inline >= 1005 AND crossline = 1911")
 def s1_pushdown(spark, sf):
     read = segy.read_segy(spark, segy_folder(spark, sf))

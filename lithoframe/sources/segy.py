@@ -1,7 +1,8 @@
 """SEG-Y as a splittable Spark source, and from bytes already in a column.
 
-Trace records have a fixed length, so any range of traces can be read on its own. A range is decoded
-as one NumPy buffer into Arrow batches.
+Partitions are byte ranges, cut from listed sizes alone: no file is opened to plan a read. Trace records have a fixed
+length, so a task reads the file's header and begins at the first record of its range. Records are decoded as one NumPy buffer
+into Arrow batches. With ``headers_only`` the samples are skipped in the file, and rows have no ``samples``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan,
     LessThanOrEqual,
@@ -35,11 +37,13 @@ TRACE_FIELDS = {  # name: (big-endian type, 1-based byte)
 PARTITION_BYTES = 128 << 20
 BATCH_BYTES = 16 << 20
 FILE_STRIDE = 1 << 40  # trace numbers of the next file start here
+SKIP_BYTES = 2048  # shorter runs of samples between headers are read through: a request of its own costs more
 
 ARROW = pa.schema([
     ("survey_id", pa.string()), ("trace_no", pa.int64()), ("inline", pa.int32()), ("crossline", pa.int32()),
     ("cdp_x", pa.float64()), ("cdp_y", pa.float64()), ("coord_scalar", pa.int32()), ("delay_ms", pa.float64()),
     ("dt_ms", pa.float64()), ("n_samples", pa.int32()), ("samples", pa.list_(pa.float32()))])
+HEADERS = pa.schema([f for f in ARROW if f.name != "samples"])
 
 
 @dataclass
@@ -57,6 +61,8 @@ class Layout:
 
     @classmethod
     def parse(cls, head: bytes) -> Layout:
+        if len(head) < TEXT_HEADER + BINARY_HEADER:
+            raise ValueError("shorter than its file headers")
         short = lambda at: int.from_bytes(head[TEXT_HEADER + at:TEXT_HEADER + at + 2], "big", signed=True)
         encoding = short(FORMAT_AT)
         if encoding not in (IBM_FLOAT, IEEE_FLOAT):
@@ -67,11 +73,21 @@ class Layout:
         extra = max(0, short(EXTRA_TEXT_AT))
         return cls(TEXT_HEADER + BINARY_HEADER + extra * TEXT_HEADER, n, (short(DT_AT) & 0xFFFF) / 1000.0, encoding)
 
-    def dtype(self) -> np.dtype:
+    def traces(self, size: int) -> int:
+        """Trace records of a file of this size."""
+        total, odd = divmod(size - self.data_at, self.record)
+        if odd or total < 0:
+            raise ValueError("does not hold whole trace records")
+        return total
+
+    def dtype(self, samples: bool = True) -> np.dtype:
+        """A record; without its samples, a trace header alone."""
         fields = {n: (t, at - 1) for n, (t, at) in TRACE_FIELDS.items()}
-        return np.dtype({
-            "names": [*fields, "raw"], "formats": [*(t for t, _ in fields.values()), (">u4", (self.n_samples,))],
-            "offsets": [*(o for _, o in fields.values()), TRACE_HEADER], "itemsize": self.record})
+        names, formats, offsets = [*fields], [t for t, _ in fields.values()], [o for _, o in fields.values()]
+        if samples:
+            names, formats, offsets = [*names, "raw"], [*formats, (">u4", (self.n_samples,))], [*offsets, TRACE_HEADER]
+        return np.dtype({"names": names, "formats": formats, "offsets": offsets,
+                         "itemsize": self.record if samples else TRACE_HEADER})
 
 
 def decode_floats(raw: np.ndarray, encoding: int) -> np.ndarray:
@@ -84,22 +100,25 @@ def decode_floats(raw: np.ndarray, encoding: int) -> np.ndarray:
     return np.where(word >> 31, -size, size).astype("f4")
 
 
-def decode(buffer: bytes, layout: Layout, survey_id: str, first_trace: int, keep=None) -> pa.RecordBatch:
-    """Whole trace records to rows; ``keep`` picks records by header before samples are decoded."""
-    rec = np.frombuffer(buffer, layout.dtype())
+def decode(buffer: bytes, layout: Layout, survey_id: str, first_trace: int, keep=None, samples: bool = True) -> pa.RecordBatch:
+    """Whole trace records, or trace headers alone, to rows; ``keep`` picks records by header before samples are decoded."""
+    rec = np.frombuffer(buffer, layout.dtype(samples))
     number = first_trace + np.arange(len(rec))
     if keep is not None:
         chosen = keep(rec)
         rec, number = rec[chosen], number[chosen]
-    values = decode_floats(rec["raw"].reshape(-1), layout.encoding)
-    ends = np.arange(0, len(values) + 1, layout.n_samples, dtype="i4")
     same = lambda v, t: pa.array(np.full(len(rec), v), t)
     col = lambda n, t: pa.array(rec[n].astype(t))
-    return pa.RecordBatch.from_arrays([
+    columns = [
         pa.array([survey_id] * len(rec), pa.string()), pa.array(number.astype("i8")), col("inline", "i4"),
         col("crossline", "i4"), col("cdp_x", "f8"), col("cdp_y", "f8"), col("coord_scalar", "i4"),
-        col("delay_ms", "f8"), same(layout.dt_ms, pa.float64()), same(layout.n_samples, pa.int32()),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=ARROW)
+        col("delay_ms", "f8"), same(layout.dt_ms, pa.float64()), same(layout.n_samples, pa.int32())]
+    if not samples:
+        return pa.RecordBatch.from_arrays(columns, schema=HEADERS)
+    values = decode_floats(rec["raw"].reshape(-1), layout.encoding)
+    ends = np.arange(0, len(values) + 1, layout.n_samples, dtype="i4")
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], schema=ARROW)
 
 
 def _stem(path: str) -> str:
@@ -114,13 +133,15 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class TraceRange(InputPartition):
+class ByteRange(InputPartition):
+    """The records of a file that begin in [start, stop)."""
+
     path: str
-    layout: Layout
+    size: int
     survey_id: str
     file_no: int
-    first: int
-    count: int
+    start: int
+    stop: int
 
 
 _TESTS = {
@@ -130,11 +151,16 @@ _TESTS = {
 }
 
 
+def headers_only(options: dict) -> bool:
+    return str(options.get("headers_only", "false")).lower() == "true"
+
+
 class SegyReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.survey_id = options.get("survey_id")
         self.part_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.samples = not headers_only(options)
         self.filters = []
 
     def pushFilters(self, filters):
@@ -160,54 +186,60 @@ class SegyReader(DataSourceReader):
                 raise FileNotFoundError(path)
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for file_no, (path, size) in enumerate(self._files()):
-            system, inner = _open(path)
-            with system.open_input_file(inner) as f:
-                layout = Layout.parse(f.read(TEXT_HEADER + BINARY_HEADER))
-            total, odd = divmod(size - layout.data_at, layout.record)
-            if odd:
-                raise ValueError(f"{path} does not hold whole trace records")
-            step = max(1, self.part_bytes // layout.record)
-            out += [TraceRange(path, layout, self.survey_id or _stem(path), file_no, i, min(step, total - i))
-                    for i in range(0, total, step)]
-        return out
-
-    def read(self, part: TraceRange) -> Iterator[pa.RecordBatch]:
-        layout = part.layout
-
-        def keep(rec):
-            mask = np.ones(len(rec), bool)
-            for name, test, value in self.filters:
-                mask &= test(rec[name], value)
-            return mask
-
-        step = max(1, BATCH_BYTES // layout.record)
+        return [ByteRange(path, size, self.survey_id or _stem(path), file_no, at, min(at + self.part_bytes, size))
+                for file_no, (path, size) in enumerate(self._files())
+                for at in range(0, max(1, size), self.part_bytes)]
+
+    def _wanted(self, rec: np.ndarray) -> np.ndarray:
+        mask = np.ones(len(rec), bool)
+        for name, test, value in self.filters:
+            mask &= test(rec[name], value)
+        return mask
+
+    def _records(self, f, layout: Layout, first: int, count: int) -> bytes:
+        """These records, or their headers alone."""
+        if self.samples or layout.record - TRACE_HEADER < SKIP_BYTES:
+            whole = f.read_at(count * layout.record, layout.data_at + first * layout.record)
+            if self.samples:
+                return whole
+            return np.frombuffer(whole, np.uint8).reshape(count, layout.record)[:, :TRACE_HEADER].tobytes()
+        at = range(layout.data_at + first * layout.record, layout.data_at + (first + count) * layout.record, layout.record)
+        return b"".join(f.read_at(TRACE_HEADER, a) for a in at)
+
+    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         system, inner = _open(part.path)
         with system.open_input_file(inner) as f:
-            for at in range(part.first, part.first + part.count, step):
-                n = min(step, part.first + part.count - at)
-                buffer = f.read_at(n * layout.record, layout.data_at + at * layout.record)
+            try:
+                layout = Layout.parse(f.read_at(TEXT_HEADER + BINARY_HEADER, 0))
+                total = layout.traces(part.size)
+            except ValueError as e:
+                raise ValueError(f"{part.path}: {e}") from None
+            begins = lambda at: min(total, max(0, -((layout.data_at - at) // layout.record)))
+            first, stop = begins(part.start), begins(part.stop)
+            step = max(1, BATCH_BYTES // layout.record)
+            for at in range(first, stop, step):
+                buffer = self._records(f, layout, at, min(step, stop - at))
                 yield decode(buffer, layout, part.survey_id, part.file_no * FILE_STRIDE + at,
-                             keep if self.filters else None)
+                             self._wanted if self.filters else None, self.samples)
 
 
 class SegyDataSource(DataSource):
-    """``spark.read.format("segy").load(path)``; options survey_id and partition_bytes."""
+    """``spark.read.format("segy").load(path)``; options survey_id, partition_bytes and headers_only."""
 
     @classmethod
     def name(cls) -> str:
         return "segy"
 
     def schema(self):
-        return schema.TRACES
+        held = [f for f in schema.TRACES if f.name != "samples" or not headers_only(self.options)]
+        return T.StructType(held)
 
     def reader(self, schema) -> DataSourceReader:
         return SegyReader(self.options)
 
 
 def read_segy(spark, *paths: str, **options) -> DataFrame:
-    """Traces of SEG-Y files or folders."""
+    """Traces of SEG-Y files or folders; ``headers_only=True`` leaves the samples in the files."""
     spark.dataSource.register(SegyDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("segy").options(**options).load(",".join(paths))
@@ -220,6 +252,7 @@ def from_bytes(files: DataFrame) -> DataFrame:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 view = content.as_buffer()
                 layout = Layout.parse(view[:TEXT_HEADER + BINARY_HEADER].to_pybytes())
+                layout.traces(len(view))
                 yield decode(view[layout.data_at:], layout, _stem(path), 0)
 
     return files.select("path", "content").mapInArrow(run, schema.TRACES)

@@ -58,6 +58,71 @@ def test_split_read(spark, tmp_path, cells):
     assert (r["cdp_x"], r["cdp_y"]) == (r["inline"] * 100, r["crossline"] * 100)
 
 
+class CountingFile:
+    """A file that adds up the bytes asked for."""
+
+    def __init__(self, f, seen):
+        self.f, self.seen = f, seen
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
+
+    def read_at(self, n, at):
+        self.seen.append(n)
+        return self.f.read_at(n, at)
+
+
+def counted(monkeypatch):
+    seen, plain = [], segy._open
+
+    class System:
+        def __init__(self, system):
+            self.get_file_info = system.get_file_info
+            self.open_input_file = lambda name: CountingFile(system.open_input_file(name), seen)
+
+    monkeypatch.setattr(segy, "_open", lambda path: (lambda s, n: (System(s), n))(*plain(path)))
+    return seen
+
+
+def test_headers_only_skips_samples(spark, tmp_path, monkeypatch):
+    n = 1000
+    make_segy(tmp_path / "h.sgy", [((il, xl), np.zeros(n, "f4")) for il in range(1, 6) for xl in range(1, 6)], n)
+    whole = segy.read_segy(spark, str(tmp_path)).drop("samples").collect()
+    heads = segy.read_segy(spark, str(tmp_path), headers_only=True, partition_bytes=9000)
+    assert "samples" not in heads.columns and sorted(heads.collect()) == sorted(whole)
+    assert [r["inline"] for r in heads.where("inline = 3").collect()] == [3] * 5
+    seen = counted(monkeypatch)
+    reader = segy.SegyReader({"path": str(tmp_path), "headers_only": "true"})
+    parts = reader.partitions()
+    assert seen == []      # nothing is opened to plan the read
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 25
+    assert sum(seen) == 3600 + 25 * 240
+    seen.clear()
+    monkeypatch.setattr(segy, "SKIP_BYTES", 1 << 20)     # samples that are too few to skip are read through
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 25
+    assert sum(seen) == 3600 + 25 * 4240
+
+
+@pytest.mark.parametrize("size", [1, 17, 239, 640, 641, 3599, 3600, 3601, 4240, 1 << 20])
+def test_ranges_of_any_size_hold_each_record_once(tmp_path, cells, size):
+    make_segy(tmp_path / "t.sgy", cells[:7], 100)
+    make_segy(tmp_path / "u.sgy", cells[7:9], 100)
+    make_segy(tmp_path / "v.sgy", [], 100)      # file headers without a trace
+    reader = segy.SegyReader({"path": str(tmp_path), "partition_bytes": str(size)})
+    got = [n for p in reader.partitions() for b in reader.read(p) for n in b.column("trace_no").to_pylist()]
+    assert got == [*range(7), segy.FILE_STRIDE, segy.FILE_STRIDE + 1]
+
+
+def test_broken_headers(spark, tmp_path):
+    for name, content in (("empty.sgy", b""), ("short.sgy", bytes(3000))):
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(Exception, match="shorter than its file headers"):
+            segy.read_segy(spark, str(tmp_path / name)).count()
+
+
 def test_ibm_floats(spark, tmp_path):
     values = [0.0, 1.0, -1.0, 118.625, -118.625, 0.1, 3.5e-5, -7.25e6]
     make_segy(tmp_path / "i.sgy", [((1, 1), values)], 8, encoding=segy.IBM_FLOAT)
