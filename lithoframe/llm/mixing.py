@@ -25,6 +25,9 @@ class Settings:
     seed: str = "mix"
 
 
+OFFERS = 32     # documents of a doubling of the size that are tried at once to fill what a source has left
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 if null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -66,10 +69,11 @@ def _merit(s: Settings) -> Column:
 
 
 def allocated(rows: DataFrame, source: str, s: Settings) -> DataFrame:
-    """For each source its size, target, _c (copies per merit) and _passes, the [left, after, out] of each pass.
+    """For each source its size, target, _c (copies per merit), _passes, the [left, first, out] of each pass, and _filled.
 
-    A pass takes what is between the ranks ``after`` and ``out`` (null: without end) and not above ``left`` words. The next one
-    begins after the document that did not fit, until none fits: together they take in the order of rank what fits.
+    Together they take, in the order of rank, what fits. A pass takes what is from the rank ``first`` and before ``out`` (null:
+    without end) and not above ``left`` words; it ends at the first document that does not fit. What is left then is less than
+    that one document, and _filled gets the ranks behind it that still fit. Where that stops early, another pass goes on.
     """
     goal = cut(targets(rows, source, s))
     merits = rows.filter(F.col("_size") > 0).groupBy(F.col(source).alias("_source"), _merit(s).alias("_x")).agg(
@@ -86,26 +90,60 @@ def allocated(rows: DataFrame, source: str, s: Settings) -> DataFrame:
     pool = _beside(rows.filter(F.col("_size") > 0).select(F.col(source).alias("_source"), "_size", "_u"), known)
     pool = cut(_expected(pool, s).select("_source", "_size", "_whole", "_rank", "target"))
     left = pool.groupBy("_source").agg((F.first("target") - F.sum(F.col("_whole") * F.col("_size"))).alias("_left"))
-    passes = cut(left.withColumn("_passes", F.array().cast("array<struct<left: double, after: double, out: double>>"))
-                 .withColumn("_after", F.lit(None).cast("double")))
-    pool = pool.filter(F.col("_rank").isNotNull()).select("_source", "_size", "_rank")
-    open_ = True
-    while open_:
-        pool = _beside(pool, passes.select("_source", "_left")).filter(F.col("_size") <= F.col("_left"))
+    passes = cut(left.withColumn("_passes", F.array().cast("array<struct<left: double, first: double, out: double>>"))
+                 .withColumn("_stop", F.lit(None).cast("double")).withColumn("_filled", F.array().cast("array<double>")))
+    fits = F.col("_size") <= F.col("_left")
+    pool = _beside(pool.filter(F.col("_rank").isNotNull()).select("_source", "_size", "_rank"),
+                   passes.select("_source", "_left")).filter(fits)
+    while True:
         run = in_order(pool, ["_source", "_rank"], {"_size": "_before"}, within=["_source"])
         over = F.col("_before") + F.col("_size") > F.col("_left")
-        ends = cut(run.groupBy("_source").agg(F.min(F.when(over, F.col("_rank"))).alias("_out")))
-        split = cut(_beside(run.drop("_before", "_left"), ends))
         inside = F.col("_out").isNull() | (F.col("_rank") < F.col("_out"))
-        used = split.filter(inside).groupBy("_source").agg(F.sum("_size").alias("_used"))
-        step = F.struct(F.col("_left").alias("left"), F.col("_after").alias("after"), F.col("_out").alias("out"))
+        ends = cut(run.groupBy("_source").agg(F.min(F.when(over, F.col("_rank"))).alias("_out")))
+        used = _beside(run, ends).filter(inside).groupBy("_source").agg(F.sum("_size").alias("_used"))
+        step = F.struct(F.col("_left").alias("left"), F.col("_stop").alias("first"), F.col("_out").alias("out"))
         passes = cut(_beside(_beside(passes, ends, "left"), used, "left").select(
-            "_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_next"),
-            F.concat("_passes", F.array(step)).alias("_passes"), F.coalesce("_out", "_after").alias("_after"))
-            .withColumnRenamed("_next", "_left"))
-        pool = split.filter(F.col("_rank") > F.col("_out")).select("_source", "_size", "_rank")
-        open_ = not _beside(pool, passes.select("_source", "_left")).filter(F.col("_size") <= F.col("_left")).isEmpty()
-    return cut(_beside(known, passes.drop("_left", "_after"), "left"))
+            "_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"), "_filled", "_out",
+            F.concat("_passes", F.array(step)).alias("_passes")))
+        behind = _beside(run.drop("_left"), passes.select("_source", "_left", "_out")).filter(
+            (F.col("_rank") > F.col("_out")) & fits).select("_source", "_size", "_rank")
+        passes = cut(_filled(passes, behind))
+        if passes.filter(F.col("_stop").isNotNull()).isEmpty():
+            return cut(_beside(known, passes.drop("_left", "_stop"), "left"))
+        pool = _beside(behind, passes.select("_source", "_left", "_stop")).filter(
+            (F.col("_rank") >= F.col("_stop")) & fits).drop("_stop")
+
+
+def _filled(passes: DataFrame, behind: DataFrame) -> DataFrame:
+    """passes with what fits of ``behind`` in _filled and taken from _left, and _stop, the rank from which it isn't decided yet.
+
+    Each doubling of the size offers its first OFFERS documents by rank; the next one is its horizon. Offers are tried in the order
+    of rank. Beyond the horizon of a doubling whose documents might still fit, nothing is decided. A source's row holds some hundred
+    offers at most. Documents of one rank (rows of the same id and text) go together.
+    """
+    together = behind.groupBy("_source", "_rank").agg(F.sum("_size").alias("_size"), F.min("_size").alias("_low"))
+    doubling = F.floor(F.log2("_low")).cast("int")
+    nth = F.row_number().over(Window.partitionBy("_source", doubling).orderBy("_rank"))
+    offer = F.struct(F.col("_rank").alias("rank"), F.col("_size").cast("double").alias("size"),
+                     (F.col("_nth") > OFFERS).alias("last"), F.pow(F.lit(2.0), doubling).alias("low"))
+    offers = together.withColumn("_nth", nth).filter(F.col("_nth") <= OFFERS + 1).groupBy("_source").agg(
+        F.sort_array(F.collect_list(offer)).alias("_offers"))
+
+    def state(left: Column, ranks: Column, stop: Column) -> Column:
+        return F.struct(left.alias("left"), ranks.alias("ranks"), stop.alias("stop"))
+
+    def tried(so_far: Column, one: Column) -> Column:
+        left, ranks, stop = so_far["left"], so_far["ranks"], so_far["stop"]
+        ends = one["last"] & (one["low"] <= left)
+        takes = ~one["last"] & (one["size"] <= left)
+        return (F.when(stop.isNotNull(), so_far).when(ends, state(left, ranks, one["rank"]))
+                .when(takes, state(left - one["size"], F.concat(ranks, F.array(one["rank"])), stop)).otherwise(so_far))
+
+    none = F.array().cast("array<struct<rank: double, size: double, last: boolean, low: double>>")
+    start = state(F.col("_left").cast("double"), F.col("_filled"), F.lit(None).cast("double"))
+    done = _beside(passes, offers, "left").withColumn("_done", F.aggregate(F.coalesce("_offers", none), start, tried))
+    return done.select("_source", "_passes", F.col("_done.left").alias("_left"), F.col("_done.ranks").alias("_filled"),
+                       F.col("_done.stop").alias("_stop"))
 
 
 def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -127,14 +165,15 @@ def applied(rows: DataFrame, source: str, plan: DataFrame, s: Settings, prefix:
     """rows (with _size and _u) with size, source_size, target and copies."""
     def chosen(so_far: Column, step: Column) -> Column:
         takes = (F.col("_size") <= step["left"]) & (step["out"].isNull() | (F.col("_rank") < step["out"])) & (
-            step["after"].isNull() | (F.col("_rank") > step["after"]))
+            step["first"].isNull() | (F.col("_rank") >= step["first"]))
         return so_far | F.coalesce(takes, F.lit(False))
 
     new = {f"{prefix}{c}" for c in ("size", "source_size", "target", "copies")}
     names = [c for c in rows.columns if c not in new | {"_size", "_u"}]
     plan = plan.withColumnsRenamed({"source_size": "_all", "target": "_goal"})
     by = _beside(rows.drop(*new).withColumn("_source", F.col(source)), plan, "left")
-    drawn = F.col("_rank").isNotNull() & F.coalesce(F.aggregate("_passes", F.lit(False), chosen), F.lit(False))
+    taken = F.aggregate("_passes", F.lit(False), chosen) | F.array_contains("_filled", F.col("_rank"))
+    drawn = F.col("_rank").isNotNull() & F.coalesce(taken, F.lit(False))
     return _expected(by, s).select(*names, F.col("_size").alias(f"{prefix}size"), F.col("_all").alias(f"{prefix}source_size"),
                                    F.col("_goal").alias(f"{prefix}target"),
                                    (F.col("_whole") + drawn.cast("int")).cast("int").alias(f"{prefix}copies"))
