@@ -62,33 +62,62 @@ class OrderedScan:
     def _blocks(self):
         return Window.partitionBy(*self.keys).orderBy(_BLK)
 
-    def _join_blocks(self, aggs: dict[str, Column], carries: dict[str, Column]) -> None:
-        """Attach to each row what its block receives from the block summaries of its group.
+    def _join_blocks(self, aggs: dict[str, Column], *carries: dict[str, Column]) -> None:
+        """Attach to each row what its block receives from the block summaries of its group; each dict builds on those before.
 
-        The rows feed both the summaries and the join, so they are written first: a chain of scans
+        The rows feed both the summaries and the join, so rows that aren't written yet are written first: a chain of scans
         then costs one pass per step instead of doubling with each.
         """
         self.df = sized(self.df)
-        per_block = self.df.groupBy(*self.keys, _BLK).agg(*[c.alias(n) for n, c in aggs.items()])
-        carried = per_block.select(*self.keys, _BLK, *[c.alias(n) for n, c in carries.items()])
-        self.df = self.df.join(carried, [*self.keys, _BLK], "left")
+        blocks = self.df.groupBy(*self.keys, _BLK).agg(*[c.alias(n) for n, c in aggs.items()])
+        for c in carries:
+            blocks = blocks.withColumns(c)
+        names = [n for c in carries for n in c]
+        self.df = self.df.join(blocks.select(*self.keys, _BLK, *names), [*self.keys, _BLK], "left")
 
     def running(self, specs: dict[str, tuple[str, Column]], through: int = 0) -> OrderedScan:
         """Running sum, min, max or last non-null per output name.
 
         ``through=-1`` leaves the current row out; the value is null where nothing precedes.
         """
-        rows = self._rows().rowsBetween(Window.unboundedPreceding, through)
-        self.df = self.df.withColumns({f"_in_{o}": c for o, (_, c) in specs.items()})
-        self.df = self.df.withColumns({
-            o: _AGGS[how](F.col(f"_in_{o}")).over(rows) for o, (how, _) in specs.items()})
         prior = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
         self._join_blocks(
-            {f"_s_{o}": self._block_value(how, F.col(f"_in_{o}")) for o, (how, _) in specs.items()},
+            {f"_s_{o}": self._block_value(how, c) for o, (how, c) in specs.items()},
             {f"_c_{o}": _AGGS[how](F.col(f"_s_{o}")).over(prior) for o, (how, _) in specs.items()})
+        self._run_in_blocks(specs, through)
         self.df = self.df.withColumns({
             o: _merge(how, F.col(o), F.col(f"_c_{o}")) for o, (how, _) in specs.items()})
-        self.df = self.df.drop(*[f"{p}_{o}" for o in specs for p in ("_in", "_c")])
+        self.df = self.df.drop(*[f"_c_{o}" for o in specs])
+        return self
+
+    def _run_in_blocks(self, specs: dict[str, tuple[str, Column]], through: int) -> None:
+        rows = self._rows().rowsBetween(Window.unboundedPreceding, through)
+        self.df = self.df.withColumns({f"_in_{o}": c for o, (_, c) in specs.items()}).withColumns({
+            o: _AGGS[how](F.col(f"_in_{o}")).over(rows) for o, (how, _) in specs.items()}).drop(
+            *[f"_in_{o}" for o in specs])
+
+    def stretches(self, length: Column, start: str, end: str, total: str, nth: str, n: str) -> OrderedScan:
+        """Where each row's stretch of ``length`` (not negative; null for none) starts and ends on the line of its group.
+
+        ``start`` is the sum of the lengths before the row, ``end`` the very number the next row starts from (null at the
+        end), ``total`` the start of the last row, ``nth`` the rows before the row, and ``n`` the rows of the group. All five
+        come from one pass: rows are written once with what their block knows, and joined with one summary of each block.
+        """
+        rows, specs = self._rows(), {start: ("sum", length), nth: ("sum", F.lit(1))}
+        self._run_in_blocks(specs, -1)
+        self.df = self.df.withColumns({end: F.lead(start).over(rows), "_ends": F.lead(F.lit(True)).over(rows).isNull()})
+        blocks = self._blocks()
+        prior, group = blocks.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*self.keys)
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        self._join_blocks(
+            {"_sum": zero(F.sum(length)), "_most": zero(F.max(start)), "_rows": F.count(F.lit(1))},
+            {"_before": zero(F.sum("_sum").over(prior)), "_gone": F.coalesce(F.sum("_rows").over(prior), F.lit(0))},
+            {"_after": F.lead("_before").over(blocks), total: F.max(F.col("_most") + F.col("_before")).over(group),
+             n: F.sum("_rows").over(group)})
+        at = lambda c: zero(F.col(c)) + F.col("_before")
+        self.df = self.df.withColumns({
+            end: F.when(F.col("_ends"), F.col("_after")).otherwise(at(end)), start: at(start),
+            nth: F.coalesce(nth, F.lit(0)) + F.col("_gone")}).drop("_ends", "_before", "_gone", "_after")
         return self
 
     def _block_value(self, how: str, value: Column) -> Column:
@@ -105,10 +134,10 @@ class OrderedScan:
 
     def next_row(self, out: str, cols: list[str]) -> OrderedScan:
         """The following row of the group as a struct, null at the end."""
-        self.df = self.df.withColumn(out, F.lead(F.struct(*cols)).over(self._rows()))
         self._join_blocks({"_s": F.min_by(F.struct(*cols), F.struct(*self.order))},
                           {"_c": F.lead("_s").over(self._blocks())})
-        self.df = self.df.withColumn(out, F.coalesce(out, "_c")).drop("_c")
+        ahead = F.lead(F.struct(*cols)).over(self._rows())
+        self.df = self.df.withColumn(out, F.coalesce(ahead, F.col("_c"))).drop("_c")
         return self
 
     def apply(self, fn: Callable[[DataFrame], DataFrame]) -> OrderedScan:

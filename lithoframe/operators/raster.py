@@ -54,12 +54,8 @@ def resample(points: DataFrame, order: list[str]) -> DataFrame:
     scan.next_row("nxt", ["il", "xl", "s"])
     square = lambda c: F.pow(F.col("nxt")[c] - F.col(c), F.lit(2.0))
     scan.apply(lambda df: df.withColumn("seg", F.sqrt(square("il") + square("xl") + square("s"))))
-    scan.running({"before": ("sum", F.col("seg")), "nth": ("sum", F.lit(1))}, through=-1)
-    scan.apply(lambda df: df.withColumn("a0", F.coalesce("before", F.lit(0.0))))
     # the end of a segment is the very number its successor starts from, so no position is lost
-    scan.next_row("succ", ["a0"])
-    scan.whole({"total": ("max", F.col("a0")), "n": ("sum", F.lit(1))})
-    df = scan.result().withColumn("a1", F.col("succ.a0"))
+    df = scan.stretches(F.col("seg"), "a0", "a1", "total", "nth", "n").result()
     count = F.greatest((F.col("total") * SAMPLES_PER_VOXEL).cast("int"), F.col("n").cast("int"))
     long_enough = F.col("total") >= MIN_LENGTH
     df = df.withColumns({"n_q": F.when(long_enough, count),
@@ -69,7 +65,7 @@ def resample(points: DataFrame, order: list[str]) -> DataFrame:
         F.least(first_k(F.col("a1")), F.col("n_q")))
     start = first_k(F.col("a0"))
     along = F.when((F.col("a1") > F.col("a0")) & (stop > start), F.sequence(start, stop - 1))
-    only = F.when(F.col("nth").isNull() & (F.col("total") < MIN_LENGTH), F.array(F.lit(0)))
+    only = F.when((F.col("nth") == 0) & (F.col("total") < MIN_LENGTH), F.array(F.lit(0)))
     spread = df.withColumn("k", F.explode(F.coalesce(along, only)))
     pos = F.when(F.col("k") == F.col("n_q") - 1, F.col("total")).otherwise(F.col("k") * F.col("gap"))
     t = F.coalesce((pos - F.col("a0")) / (F.col("a1") - F.col("a0")), F.lit(0.0))

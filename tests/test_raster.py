@@ -109,3 +109,31 @@ def test_label_job(spark):
     mask, report = label_volume(text, "volve", shape(spark), "s", dilation=1, max_gap=5)
     row = report.first()
     assert row["fault_voxels"] == mask.count() > 0 and row["verdict"] in ("WARN", "CAUTION")
+
+
+@pytest.mark.parametrize("blocks", [3, 7, 1000])
+def test_stretches_meet_across_blocks(spark, blocks):
+    from pyspark.sql import functions as F
+
+    from lithoframe.functions.scans import OrderedScan
+    rng = random.Random(blocks)
+    held = {("a", i): rng.random() for i in range(200)} | {("b", i): 0.0 for i in range(5)} | {("c", 0): 0.5}
+    df = spark.createDataFrame([(k, i, None if i == {"a": 199, "b": 4, "c": 0}[k] else x) for (k, i), x in held.items()],
+                               "k string, i int, x double").repartition(5)
+    got = OrderedScan.on_dense_order(df, ["k"], "i", blocks).stretches(
+        F.col("x"), "start", "end", "total", "nth", "n").result().orderBy("k", "i").collect()
+    for k in "abc":
+        rows, at = [r for r in got if r.k == k], 0.0
+        for a, b in zip(rows, [*rows[1:], None]):
+            assert a.start == pytest.approx(at) and a.nth == a.i and a.n == len(rows) and a.total == rows[-1].start
+            assert a.end == (b.start if b else None)      # to the bit
+            at += a.x or 0.0
+
+
+def test_resample_writes_twice(spark, monkeypatch):
+    from lithoframe.functions import lineage, scans
+    seen = []
+    monkeypatch.setattr(scans, "cut", lambda df: (seen.append(1), lineage.cut(df))[1])
+    monkeypatch.setattr(scans, "sized", lambda df: df if getattr(df, "_is_cut", False) else scans.cut(df))
+    assert raster.resample(picks(spark, [(0, 0, 0), (3, 4, 0), (3, 4, 5)]), ["pt_no"]).count() == 20
+    assert len(seen) == 2
