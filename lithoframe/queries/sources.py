@@ -276,4 +276,4 @@ def st2(spark, sf):
         F.col("o_orderkey").alias("seq"))
     run_status.feed(events, out, f"{out}-checkpoint").awaitTermination()
     kind = source.schema["o_orderdate"].dataType
-    return run_status.current(spark.read.parquet(out)).withColumn("updated_at", F.col("updated_at").cast(kind))
+    return run_status.current(run_status.changes(spark, out)).withColumn("updated_at", F.col("updated_at").cast(kind))

@@ -129,6 +129,29 @@ def test_status_stream_keeps_late_events(spark, tmp_path):
     assert got == {"a": "complete", "b": "failed"}  # hours late, and still the last event of b
 
 
+def test_status_log_is_folded(spark, tmp_path):
+    """50 batches leave a bounded log; repeated batches, folded or not, and a broken fold change nothing."""
+    out, schema = str(tmp_path / "log"), run_status.EVENT
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batch = lambda n: spark.createDataFrame(
+        [(f"r{n % 7}", "s", f"state-{n}", day(n), n), ("late", "s", f"state-{n}", day(-n), n)], schema).coalesce(1)
+    assert run_status.current(run_status.changes(spark, out)).count() == 0
+    for n in range(50):
+        run_status.add_batch(batch(n), n, out, fold_every=10)
+        if n in (3, 25, 49):
+            run_status.add_batch(batch(n), n, out, fold_every=10)
+            run_status.add_batch(batch(n // 2), n // 2, out, fold_every=10)
+    read = run_status.changes(spark, out)
+    got = {r["run_id"]: r["status"] for r in run_status.current(read).collect()}
+    want = {f"r{n % 7}": f"state-{n}" for n in range(50)} | {"late": "state-0"}
+    assert got == want and len(read.inputFiles()) <= 9      # of one table: 8 rows in at most 8 files
+    held = sorted(p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("batch="))
+    assert held == [f"batch={n}" for n in range(40, 50)]
+    assert sorted(p.name for p in (tmp_path / "log" / "_base").iterdir()) == ["upto=39", "upto=49"]
+    (tmp_path / "log" / "_base" / "upto=49" / "_SUCCESS").unlink()     # a fold that did not end
+    assert {r["run_id"]: r["status"] for r in run_status.current(run_status.changes(spark, out)).collect()} == want
+
+
 def test_well_detail(spark):
     wells = spark.createDataFrame([("w1", "One"), ("w2", "Two")], "well_id string, name string")
     assert c.well_detail(wells, "w2").first()["name"] == "Two"
