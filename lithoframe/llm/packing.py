@@ -50,7 +50,7 @@ class Words(Remembered):
     space, is encoded whole.
     """
 
-    limit = 65_536
+    limit = 131_072
 
     def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
