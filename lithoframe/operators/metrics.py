@@ -121,6 +121,7 @@ def tolerant_metrics(pred: DataFrame, truth: DataFrame, *radii: int) -> DataFram
 # --- nearest voxel ---------------------------------------------------------------------------
 
 _CELL_EDGES = (4, 8)
+FEW_CELLS = 20_000  # cells of a level that are sent to every task; more are shuffled
 _C = {"il": "ci", "xl": "cj", "s": "ck"}
 _POINT = ["side", *VOXEL]
 _SET = ["side", *SURVEY]
@@ -153,14 +154,15 @@ def _within_cells(queries: DataFrame, targets: DataFrame, edge: int) -> DataFram
     for a in _C:
         gap = (F.col(a) - F.col(f"t_{a}")).cast("long")
         d2 = d2 + gap * gap
-    return around.join(cells, [*_SET, *_C.values()]).groupBy(*_POINT).agg(F.min(d2).alias("d2"))
+    return around.join(cells.hint("merge"), [*_SET, *_C.values()]).groupBy(*_POINT).agg(F.min(d2).alias("d2"))
 
 
 def _by_descent(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """Nearest targets of far-off queries: refine cells from coarse to single voxels.
 
     A cell is kept while its nearest corner may still beat the farthest corner of the best cell, so
-    a query follows a few cells per level rather than all targets.
+    a query follows a few cells per level rather than all targets. The few cells of a coarse level go
+    to every task, where a shuffle by cell would gather all queries in them.
     """
     reach = targets.unionByName(queries).agg(
         F.max(F.greatest(*[F.abs(a) for a in _C]))).first()[0]
@@ -173,8 +175,10 @@ def _by_descent(queries: DataFrame, targets: DataFrame) -> DataFrame:
     frontier = queries.join(sized(occupied(edge)), _SET)
     while edge > 1:
         edge //= 2
-        children = occupied(edge).withColumns({
-            f"p{c}": F.floor(F.col(c) / 2).cast("int") for c in _C.values()})
+        cells = cut(occupied(edge))
+        few = cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+        children = cells.withColumns({
+            f"p{c}": F.floor(F.col(c) / 2).cast("int") for c in _C.values()}).hint("broadcast" if few else "merge")
         parents = frontier.select(*_POINT, *[F.col(c).alias(f"p{c}") for c in _C.values()])
         ranged = parents.join(children, [*_SET, *[f"p{c}" for c in _C.values()]]).select(
             *_POINT, *_C.values(), _square_gap(edge, far=False).alias("near"),
@@ -188,18 +192,20 @@ def nearest_squared_distance(points: DataFrame, targets: DataFrame) -> DataFrame
     """Exact squared Euclidean distance of each voxel to the nearest target voxel of its side.
 
     Voxels near a target are settled in small cells; the few left over descend a cell hierarchy.
-    Voxels of a side without targets give no rows.
+    Voxels of a side without targets give no rows. Written voxels take a fraction of a byte to a few
+    bytes each, a hundred in a broadcast table, so the size of their files must not decide: they are
+    always shuffled.
     """
     targets = cut(targets.select(*_POINT).distinct())
     hit = points.select(*_POINT).distinct().join(
-        targets.withColumn("d2", F.lit(0).cast("long")), _POINT, "left")
+        targets.withColumn("d2", F.lit(0).cast("long")).hint("merge"), _POINT, "left")
     hit = cut(hit.join(sized(targets.select(*_SET).distinct()), _SET, "left_semi"))
     done = [hit.where(F.col("d2") == 0)]
     left = hit.where(F.col("d2").isNull()).select(*_POINT)
     for edge in _CELL_EDGES:
         if left.isEmpty():
             break
-        found = cut(left.join(_within_cells(left, targets, edge), _POINT, "left"))
+        found = cut(left.join(_within_cells(left, targets, edge).hint("merge"), _POINT, "left"))
         settled = F.coalesce(F.col("d2") <= edge * edge, F.lit(False))
         done.append(found.where(settled))
         left = found.where(~settled).select(*_POINT)

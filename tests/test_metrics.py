@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lithoframe.operators import metrics as m
 
@@ -144,3 +145,13 @@ def test_scan_over_blocks(spark):
                 assert g["name"] == next((b[3] for b in reversed(before) if b[3]), None)
                 assert g["all"] == sum(b[2] for b in mine)
                 assert (g["nxt"]["i"] if g["nxt"] else None) == (mine[j + 1][1] if j + 1 < len(mine) else None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_voxels_are_not_broadcast(spark):
+    a, b = (vox(spark, plane(x)).withColumn("side", F.lit("pred")) for x in (1, 3))
+    made = plan_of(m._within_cells(a, b, 4))
+    assert "SortMergeJoin" in made and "BroadcastHashJoin" not in made
