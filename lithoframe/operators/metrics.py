@@ -98,7 +98,7 @@ def tolerant_metrics(pred: DataFrame, truth: DataFrame, *radii: int) -> DataFram
     """Precision and recall that forgive offsets up to each radius; 0 for an empty set.
 
     Offsets are Chebyshev distances, so a larger dilation grows out of the smaller one. Sets meet
-    cell by cell, as arrays of samples.
+    cell by cell, as arrays of samples, and are always shuffled (see ``nearest_squared_distance``).
     """
     own, other = _both_ways(pred, truth)
     own, grown = to_runs(own, ("side",)), to_runs(other, ("side",))
@@ -107,7 +107,7 @@ def tolerant_metrics(pred: DataFrame, truth: DataFrame, *radii: int) -> DataFram
     for r in sorted(radii):
         grown = grow_runs(grown, r - reached)
         reached = r
-        own = own.join(grown.withColumnRenamed("s", f"_near_{r}"), cell, "left")
+        own = own.join(grown.withColumnRenamed("s", f"_near_{r}").hint("merge"), cell, "left")
         near.append(F.sum(F.coalesce(F.size(F.array_intersect("s", f"_near_{r}")), F.lit(0))).alias(f"n_{r}"))
     counts = own.groupBy("survey_id", "side").agg(F.sum(F.size("s")).alias("n"), *near)
     shares = counts.select("survey_id", "side", *[(F.col(f"n_{r}") / F.col("n")).alias(f"share_{r}") for r in radii])

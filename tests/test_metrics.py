@@ -155,3 +155,8 @@ def test_nearest_voxels_are_not_broadcast(spark):
     a, b = (vox(spark, plane(x)).withColumn("side", F.lit("pred")) for x in (1, 3))
     made = plan_of(m._within_cells(a, b, 4))
     assert "SortMergeJoin" in made and "BroadcastHashJoin" not in made
+
+
+def test_tolerant_cells_are_not_broadcast(spark):
+    made = plan_of(m.tolerant_metrics(vox(spark, plane(5)), vox(spark, plane(7)), 3, 5))
+    assert "SortMergeJoin" in made and "BroadcastHashJoin" not in made
