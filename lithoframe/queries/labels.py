@@ -119,10 +119,13 @@ def r6_direct(spark, sf):
     return raster.paint_points(_absolute(spark, sf), bounds)
 
 
-@query("r7_dense_mask", f"""WITH {TRACES}, {TRUTH}
-  SELECT v.survey_id, CAST(v.inline - 1001 AS INTEGER) AS il, CAST(v.crossline - 1900 AS INTEGER) AS xl, v.s,
-         CAST(t.s IS NOT NULL AS INTEGER) AS mask
-  FROM voxels v LEFT JOIN truth t ON t.il = v.inline - 1001 AND t.xl = v.crossline - 1900 AND t.s = v.s""")
+@query("r7_dense_mask", f"""WITH {TRACES}, {TRUTH},
+  ext AS (SELECT survey_id, max(inline) - min(inline) + 1 AS n_il, max(crossline) - min(crossline) + 1 AS n_xl,
+                 max(len(samples)) AS n_s FROM traces GROUP BY survey_id),
+  grid AS (SELECT survey_id, CAST(i.v AS INTEGER) AS il, CAST(x.v AS INTEGER) AS xl, CAST(z.v AS INTEGER) AS s
+           FROM ext, unnest(range(n_il)) AS i(v), unnest(range(n_xl)) AS x(v), unnest(range(n_s)) AS z(v))
+  SELECT g.survey_id, g.il, g.xl, g.s, CAST(t.s IS NOT NULL AS INTEGER) AS mask
+  FROM grid g LEFT JOIN truth t ON t.survey_id = g.survey_id AND t.il = g.il AND t.xl = g.xl AND t.s = g.s""")
 def r7(spark, sf):
     shape = infer_geometry(traces(spark, sf))
     return raster.dense_mask(truth(spark, sf), shape).select(

@@ -121,9 +121,9 @@ def v7(spark, sf):
 
 
 def _held_out_sql() -> str:
-    from lithoframe.queries.scoring import _WINDOWS
+    from lithoframe.queries.scoring import _PADDED, _SCORES, _STARTS
     cut = TRACES.replace("FROM embeddings)", "FROM embeddings WHERE vec_id // 25 >= 8)", 1)
-    windows = _WINDOWS.format(tail="true").replace("inline - 1001", "inline - 1009").replace(
+    windows = (_STARTS + _PADDED + _SCORES).format(tail="true", any="").replace("inline - 1001", "inline - 1009").replace(
         "max(inline) - 1000", "max(inline) - 1008")
     return f"""WITH {cut}, {windows},
   pred AS (SELECT 'survey_0' AS survey_id, il, xl, s FROM (

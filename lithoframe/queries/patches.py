@@ -6,7 +6,7 @@ from lithoframe.operators import patches as t
 from lithoframe.operators import raster
 from lithoframe.operators.geometry import infer_geometry
 from lithoframe.queries import query
-from lithoframe.queries.tables import TRACES, TRUTH, q6, r6, traces, truth
+from lithoframe.queries.tables import FILLED, TRACES, TRUTH, q6, r6, traces, truth
 
 PATCH = (8, 8, 16)
 STRIDE = (4, 6, 16)
@@ -69,12 +69,14 @@ def t4(spark, sf):
     return t.keep_faulted(_counted(spark, sf), PATCH, 0.02).select("il0", "xl0", "s0", "fault_voxels")
 
 
-_VALUES = """
+# patches that hold a trace, zeros where one is missing
+_VALUES = f"""{FILLED},
   px AS (
-    SELECT i.il0, i.xl0, i.s0, v.a, row_number() OVER (PARTITION BY i.il0, i.xl0, i.s0 ORDER BY v.inline, v.crossline, v.s) - 1 AS pos,
+    SELECT i.il0, i.xl0, i.s0, v.a, row_number() OVER (PARTITION BY i.il0, i.xl0, i.s0 ORDER BY v.il, v.xl, v.s) - 1 AS pos,
            CAST(v.a > 0.25 AS INTEGER) AS y
-    FROM idx i JOIN voxels v ON v.inline - 1001 >= i.il0 AND v.inline - 1001 < i.il0 + 8 AND v.crossline - 1900 >= i.xl0
-         AND v.crossline - 1900 < i.xl0 + 8 AND v.s >= i.s0 AND v.s < i.s0 + 16)"""
+    FROM idx i JOIN filled v ON v.il >= i.il0 AND v.il < i.il0 + 8 AND v.xl >= i.xl0
+         AND v.xl < i.xl0 + 8 AND v.s >= i.s0 AND v.s < i.s0 + 16
+    QUALIFY bool_or(v.held) OVER (PARTITION BY i.il0, i.xl0, i.s0))"""
 
 
 def _cut(spark, sf, **kw):

@@ -5,28 +5,40 @@ from pyspark.sql import functions as F
 from lithoframe.operators import patches, scoring
 from lithoframe.queries import query
 from lithoframe.queries.patches import PATCH, shape_of, volume
-from lithoframe.queries.tables import TRACES, q6, r6
+from lithoframe.queries.tables import FILLED, TRACES, q6, r6
 
 _OVERLAP = 0.25  # strides 6, 6, 12
 
-_WINDOWS = """
+_STARTS = """
   dims AS (SELECT CAST(max(inline) - 1000 AS INTEGER) AS n_il, 25 AS n_xl, 64 AS n_s FROM traces),
   wi AS (SELECT unnest(range(0, n_il - 8 + 1, 6)) AS v FROM dims UNION SELECT n_il - 8 FROM dims WHERE {tail}),
   wx AS (SELECT unnest(range(0, n_xl - 8 + 1, 6)) AS v FROM dims UNION SELECT n_xl - 8 FROM dims WHERE {tail}),
   ws AS (SELECT unnest(range(0, n_s - 16 + 1, 12)) AS v FROM dims UNION SELECT n_s - 16 FROM dims WHERE {tail}),
+"""
+_RECORDED = """
   px AS (
     SELECT i.v AS il0, x.v AS xl0, z.v AS s0, inline - 1001 AS il, crossline - 1900 AS xl, s, a
     FROM voxels, wi i, wx x, ws z
     WHERE inline - 1001 >= i.v AND inline - 1001 < i.v + 8 AND crossline - 1900 >= x.v AND crossline - 1900 < x.v + 8
-      AND s >= z.v AND s < z.v + 16),
+      AND s >= z.v AND s < z.v + 16),"""
+# windows that hold a trace, zeros where one is missing; {any} leaves out the others
+_PADDED = f"""{FILLED},
+  px AS (
+    SELECT i.v AS il0, x.v AS xl0, z.v AS s0, il, xl, s, a
+    FROM filled, wi i, wx x, ws z
+    WHERE il >= i.v AND il < i.v + 8 AND xl >= x.v AND xl < x.v + 8 AND s >= z.v AND s < z.v + 16{{any}}),"""
+_ANY_TRACE = " QUALIFY bool_or(held) OVER (PARTITION BY i.v, x.v, z.v)"
+_SCORES = """
   sc AS (SELECT *, 1.0 / (1.0 + exp(-(a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8))) AS p FROM px
          WINDOW w AS (PARTITION BY il0, xl0, s0)),
   wt AS (SELECT *, exp(-(pow(il - il0 - 3.5, 2) + pow(xl - xl0 - 3.5, 2) + pow(s - s0 - 7.5, 2)) / 8.0) AS w FROM sc)"""
+_WINDOWS = _STARTS + _RECORDED + _SCORES
 _TAILED = f"{TRACES}, {_WINDOWS.format(tail='true')}"
+_PADDED_TAILED = f"{TRACES}, {(_STARTS + _PADDED + _SCORES).format(tail='true', any=_ANY_TRACE)}"
 _PLAIN = f"{TRACES}, {_WINDOWS.format(tail='false')}"
 
 
-@query("i1_batch_scoring", f"""WITH {_TAILED}
+@query("i1_batch_scoring", f"""WITH {_PADDED_TAILED}
   SELECT CAST(il0 AS INTEGER) AS il0, CAST(xl0 AS INTEGER) AS xl0, CAST(s0 AS INTEGER) AS s0,
          CAST((il - il0) * 128 + (xl - xl0) * 16 + s - s0 AS INTEGER) AS pos, {q6("CAST(p AS FLOAT)", 4)} AS p FROM sc""")
 def i1(spark, sf):

@@ -69,6 +69,14 @@ TRACES = """
     FROM traces)
 """
 
+# Needs dims. Every voxel of the grid, zeros where no trace was recorded; held tells recorded voxels.
+FILLED = """
+  grid AS (SELECT CAST(i.v AS INTEGER) AS il, CAST(x.v AS INTEGER) AS xl, CAST(z.v AS INTEGER) AS s
+           FROM dims, unnest(range(n_il)) AS i(v), unnest(range(n_xl)) AS x(v), unnest(range(n_s)) AS z(v)),
+  filled AS (SELECT g.il, g.xl, g.s, coalesce(v.a, 0.0) AS a, v.s IS NOT NULL AS held
+             FROM grid g LEFT JOIN voxels v ON v.inline - 1001 = g.il AND v.crossline - 1900 = g.xl AND v.s = g.s)
+"""
+
 
 def irregular_traces(spark: SparkSession, sf: str) -> DataFrame:
     """One survey per label on a coarse grid: cells are missing, and some are recorded twice."""

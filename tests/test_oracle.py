@@ -49,3 +49,21 @@ def test_every_query_is_named_and_checked():
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert row["n_traces"] == row["n_inlines"] * row["n_crosslines"]
+
+
+GAPPY = [
+    "i1_batch_scoring",
+]
+
+
+@pytest.mark.parametrize("name", GAPPY)
+def test_missing_traces_count_as_zeros(spark, tmp_path, name):
+    """A survey with two cells missing inside and a last inline that ends early."""
+    with duckdb.connect() as c:
+        c.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 481 AND vec_id NOT IN (137, 138)) "
+                  f"TO '{tmp_path}/embeddings.parquet'")
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        cur = c.execute(ORACLES[name])
+        assert rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
