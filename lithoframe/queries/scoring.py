@@ -61,7 +61,7 @@ def _probs(spark, sf, uniform=False):
     return scoring.score_volume(volume(spark, sf), shape_of(spark, sf), PATCH, overlap=_OVERLAP, uniform=uniform)
 
 
-@query("i3_overlap_blend", f"""WITH {_TAILED}
+@query("i3_overlap_blend", f"""WITH {_PADDED_TAILED}
   SELECT CAST(il AS INTEGER) AS il, CAST(xl AS INTEGER) AS xl, s, {q6("CAST(sum(p * w) / sum(w) AS FLOAT)", 4)} AS p FROM wt GROUP BY il, xl, s""")
 def i3(spark, sf):
     return _probs(spark, sf).select("il", "xl", F.posexplode("prob").alias("s", "p")).withColumn(

@@ -53,6 +53,7 @@ def test_entry(spark):
 
 GAPPY = [
     "i1_batch_scoring",
+    "i3_overlap_blend",
 ]
 
 
