@@ -77,7 +77,7 @@ def t10(spark, sf):
         "p", r6(F.col("p").cast("double"), 4))
 
 
-@query("i4_threshold_mask", f"""WITH {_TAILED}
+@query("i4_threshold_mask", f"""WITH {_PADDED_TAILED}
   SELECT survey_id, CAST(il AS INTEGER) AS il, CAST(xl AS INTEGER) AS xl, s FROM (
     SELECT 'survey_0' AS survey_id, il, xl, s, CAST(sum(p * w) / sum(w) AS FLOAT) AS p FROM wt GROUP BY il, xl, s)
   WHERE p >= 0.75""")

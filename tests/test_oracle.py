@@ -54,6 +54,7 @@ def test_entry(spark):
 GAPPY = [
     "i1_batch_scoring",
     "i3_overlap_blend",
+    "i4_threshold_mask",
 ]
 
 
