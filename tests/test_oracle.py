@@ -55,6 +55,7 @@ GAPPY = [
     "i1_batch_scoring",
     "i3_overlap_blend",
     "i4_threshold_mask",
+    "r7_dense_mask",
 ]
 
 
