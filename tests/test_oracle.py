@@ -56,6 +56,7 @@ GAPPY = [
     "i3_overlap_blend",
     "i4_threshold_mask",
     "r7_dense_mask",
+    "t14_transform_hooks",
 ]
 
 
