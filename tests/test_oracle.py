@@ -57,6 +57,7 @@ GAPPY = [
     "i4_threshold_mask",
     "r7_dense_mask",
     "t14_transform_hooks",
+    "t5_patch_extraction",
 ]
 
 
