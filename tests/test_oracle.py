@@ -58,6 +58,7 @@ GAPPY = [
     "r7_dense_mask",
     "t14_transform_hooks",
     "t5_patch_extraction",
+    "t6_patch_zscore",
 ]
 
 
