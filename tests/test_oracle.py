@@ -59,6 +59,7 @@ GAPPY = [
     "t14_transform_hooks",
     "t5_patch_extraction",
     "t6_patch_zscore",
+    "t7_patch_zscore_guarded",
 ]
 
 
