@@ -60,6 +60,7 @@ GAPPY = [
     "t5_patch_extraction",
     "t6_patch_zscore",
     "t7_patch_zscore_guarded",
+    "v8_held_out_evaluation",
 ]
 
 
