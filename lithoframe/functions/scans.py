@@ -34,8 +34,8 @@ def _merge(how: str, own: Column, carry: Column) -> Column:
 class OrderedScan:
     """Running values along ``order`` within ``keys``; ``df`` grows a column per call."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
-        self.df, self.keys, self.order = df, keys, order
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], parts: int | None = None):
+        self.df, self.keys, self.order, self.parts = df, keys, order, parts
 
     @classmethod
     def on_dense_order(cls, df: DataFrame, keys: list[str], order: str,
@@ -47,14 +47,17 @@ class OrderedScan:
         return cls(cut(df.withColumn(_BLK, F.floor(F.col(order) / rows_per_block))), keys, [order])
 
     @classmethod
-    def on_any_order(cls, df: DataFrame, keys: list[str], order: list[str]) -> OrderedScan:
+    def on_any_order(cls, df: DataFrame, keys: list[str], order: list[str], rows: int | None = None,
+                     rows_per_block: int = ROWS_PER_BLOCK) -> OrderedScan:
         """Blocks by range partition, so a group of any size is spread over tasks.
 
         Range bounds come from a sample and may differ between two computations of the same plan,
-        so the assignment is written out before anything reads it twice.
+        so the assignment is written out before anything reads it twice. ``rows``, where the caller knows them, set
+        the number of blocks and of the tasks that scan them, so that no task grows with the input.
         """
-        ranged = df.repartitionByRange(*keys, *order)
-        return cls(cut(ranged.withColumn(_BLK, F.spark_partition_id().cast("long"))), keys, order)
+        parts = max(1, -(-rows // rows_per_block)) if rows is not None else None
+        ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order)
+        return cls(cut(ranged.withColumn(_BLK, F.spark_partition_id().cast("long"))), keys, order, parts)
 
     def _rows(self):
         return Window.partitionBy(*self.keys, _BLK).orderBy(*self.order)
@@ -73,7 +76,11 @@ class OrderedScan:
         for c in carries:
             blocks = blocks.withColumns(c)
         names = [n for c in carries for n in c]
-        self.df = self.df.join(blocks.select(*self.keys, _BLK, *names), [*self.keys, _BLK], "left")
+        blocks, on = blocks.select(*self.keys, _BLK, *names), [*self.keys, _BLK]
+        if self.parts:      # rows meet the written summaries first, then go to as many tasks as there are blocks
+            self.df = self.df.join(sized(blocks), on, "left").repartition(self.parts, *on)
+        else:
+            self.df = self.df.join(blocks, on, "left")
 
     def running(self, specs: dict[str, tuple[str, Column]], through: int = 0) -> OrderedScan:
         """Running sum, min, max or last non-null per output name.

@@ -166,7 +166,8 @@ def resolve_run_ids(requests: DataFrame, ids: DataFrame) -> DataFrame:
     line = (known.select(*row(F.col("run_id"), 1, none, F.col("run_id")))
             .unionByName(asked.select(*row(request, 0, request, none)))
             .unionByName(asked.select(*row(far, 2, request, none))))
-    scan = OrderedScan.on_any_order(line, ["all"], ["at", "kind", "request"]).running({
+    rows = known.count() + 2 * asked.count()
+    scan = OrderedScan.on_any_order(line, ["all"], ["at", "kind", "request"], rows).running({
         "n": ("sum", F.when(F.col("kind") == 1, 1).otherwise(0)), "last_id": ("last", F.col("run_id"))})
     tally = scan.result().where(F.col("kind") != 1).groupBy("request").agg(
         F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(-F.col("n"))).alias("matches"),

@@ -187,3 +187,16 @@ def test_runs_without_line_numbers(spark):
     slices.require_in_run(runs, "r", 2, n_inlines=3)
     with pytest.raises(LookupError, match="position 3"):
         slices.require_in_run(runs, "r", 3, n_inlines=3)
+
+
+def test_blocks_of_a_scan_follow_the_rows(spark):
+    from lithoframe.functions.scans import OrderedScan
+
+    df = spark.range(1000).selectExpr("0 AS k", "id AS o", "1 AS v")
+    scan = OrderedScan.on_any_order(df, ["k"], ["o"], rows=1000, rows_per_block=50)
+    sizes = [r["count"] for r in scan.df.groupBy("_blk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150
+    got = scan.running({"n": ("sum", F.col("v")), "last": ("last", F.when(F.col("o") % 100 == 7, F.col("o")))}).result()
+    assert got.rdd.getNumPartitions() == 20
+    assert sorted((r["o"], r["n"], r["last"]) for r in got.collect()) == [
+        (o, o + 1, o - (o - 7) % 100 if o >= 7 else None) for o in range(1000)]
