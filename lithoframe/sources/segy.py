@@ -1,7 +1,7 @@
 """SEG-Y as a splittable Spark source, and from bytes already in a column.
 
-Partitions are byte ranges, cut from listed sizes alone: no file is opened to plan a read. Trace records have a fixed
-length, so a task reads the file's header and begins at the first record of its range. Records are decoded as one NumPy buffer
+Partitions are byte ranges, cut from listed sizes alone: no file is opened to plan a read. Ranges of small files share a
+partition. Trace records have a fixed length, so a task reads a file's header and begins at the first record of its range. Records are decoded as one NumPy buffer
 into Arrow batches. With ``headers_only`` the samples are skipped in the file, and rows have no ``samples``.
 """
 
@@ -133,7 +133,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """The records of a file that begin in [start, stop)."""
 
     path: str
@@ -144,6 +144,13 @@ class ByteRange(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[ByteRange]
+
+
 _TESTS = {
     EqualTo: lambda v, x: v == x, GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x,
     LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x,
@@ -186,9 +193,17 @@ class SegyReader(DataSourceReader):
                 raise FileNotFoundError(path)
 
     def partitions(self) -> list[InputPartition]:
-        return [ByteRange(path, size, self.survey_id or _stem(path), file_no, at, min(at + self.part_bytes, size))
-                for file_no, (path, size) in enumerate(self._files())
-                for at in range(0, max(1, size), self.part_bytes)]
+        """Ranges in order, put together while they hold no more than ``partition_bytes``."""
+        parts, room = [], 0
+        for file_no, (path, size) in enumerate(self._files()):
+            for at in range(0, max(1, size), self.part_bytes):
+                piece = ByteRange(path, size, self.survey_id or _stem(path), file_no, at, min(at + self.part_bytes, size))
+                if not parts or piece.stop - at > room:
+                    parts.append(Ranges([]))
+                    room = self.part_bytes
+                parts[-1].ranges.append(piece)
+                room -= piece.stop - at
+        return parts
 
     def _wanted(self, rec: np.ndarray) -> np.ndarray:
         mask = np.ones(len(rec), bool)
@@ -206,7 +221,11 @@ class SegyReader(DataSourceReader):
         at = range(layout.data_at + first * layout.record, layout.data_at + (first + count) * layout.record, layout.record)
         return b"".join(f.read_at(TRACE_HEADER, a) for a in at)
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for piece in part.ranges:
+            yield from self._read_range(piece)
+
+    def _read_range(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         system, inner = _open(part.path)
         with system.open_input_file(inner) as f:
             try:

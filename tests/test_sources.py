@@ -321,3 +321,12 @@ def test_sections_of_bricks(spark, tmp_path):
     for df, key in ((section, "xb"), (deep, "sb")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert key in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_small_files_share_a_partition(tmp_path, cells):
+    for i in range(10):
+        make_segy(tmp_path / f"f{i}.sgy", cells[:2], 100)
+    size = (tmp_path / "f0.sgy").stat().st_size
+    parts = lambda limit: segy.SegyReader({"path": str(tmp_path), "partition_bytes": str(limit)}).partitions()
+    assert [len(p.ranges) for p in parts(4 * size)] == [4, 4, 2]
+    assert len(parts(segy.PARTITION_BYTES)) == 1 and len(parts(size)) == 10
