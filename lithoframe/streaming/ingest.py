@@ -49,15 +49,13 @@ def ingest_arrivals(spark: SparkSession, raw: str, out: str, checkpoint: str, on
                 .option("maxFilesPerTrigger", files_per_batch).load(raw).select("path", "length"))
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        paths = sorted(r["path"] for r in batch.select("path").collect())  # at most files_per_batch
-        if not paths:
+        files = sorted(tuple(r) for r in batch.collect())  # at most files_per_batch, listed once
+        if not files:
             return
-        errors = _stored(spark, paths, f"{out}/traces/batch={batch_id}")
-        known = spark.createDataFrame(list(errors.items()), "path string, error string")  # as many as paths
-        done = batch.join(known, "path", "left").select(
-            "path", F.col("length").alias("size"), F.when(F.col("error").isNull(), "complete").otherwise("failed").alias("status"),
-            "error", F.current_timestamp().alias("updated_at"))
-        done.write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
+        errors = _stored(spark, [path for path, _ in files], f"{out}/traces/batch={batch_id}")
+        rows = [(path, size, "failed" if path in errors else "complete", errors.get(path)) for path, size in files]
+        done = spark.createDataFrame(rows, "path string, size long, status string, error string").coalesce(1)
+        done.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
 
     writer = arrivals.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -330,3 +330,14 @@ def test_small_files_share_a_partition(tmp_path, cells):
     parts = lambda limit: segy.SegyReader({"path": str(tmp_path), "partition_bytes": str(limit)}).partitions()
     assert [len(p.ranges) for p in parts(4 * size)] == [4, 4, 2]
     assert len(parts(segy.PARTITION_BYTES)) == 1 and len(parts(size)) == 10
+
+
+def test_batch_writes_its_status_at_once(spark, tmp_path, cells):
+    from lithoframe.streaming.ingest import ingest_arrivals
+
+    (tmp_path / "raw").mkdir()
+    for i in range(5):
+        make_segy(tmp_path / "raw" / f"f{i}.sgy", cells[:2], 100)
+    ingest_arrivals(spark, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert len(list((tmp_path / "out/status").rglob("*.parquet"))) == 1
+    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out/status")).collect()] == ["complete"] * 5
