@@ -6,7 +6,7 @@ import struct
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,46 +30,58 @@ def scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+FILES_AT_ONCE = 16  # files a task holds while it makes them
+
+
+def _segy_files(inlines: pa.RecordBatch) -> pa.RecordBatch:
+    """(path, content) from rows (inline, n_samples, traces), all records of a file as one array."""
+    inline, n_samples, lists = (inlines.column(k) for k in range(3))
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    traces = lists.flatten()
+    field = dict(zip([f.name for f in traces.type], traces.flatten()))
+    starts = field["samples"].offsets.to_numpy() - field["samples"].offsets[0].as_py()
+    samples = field["samples"].flatten().to_numpy(zero_copy_only=False)
+    out = []
+    for n, i, j in zip(n_samples.to_pylist(), ends[:-1], ends[1:]):
+        head = bytearray(segy.TEXT_HEADER + segy.BINARY_HEADER)
+        for at, value in ((segy.DT_AT, 4000), (segy.SAMPLES_AT, n), (segy.FORMAT_AT, segy.IEEE_FLOAT)):
+            struct.pack_into(">h", head, segy.TEXT_HEADER + at, value)
+        layout = segy.Layout.parse(bytes(head))
+        records = np.zeros(j - i, layout.dtype())
+        for name in segy.TRACE_FIELDS:
+            records[name] = field[name][i:j].to_numpy(zero_copy_only=False).astype("i8")
+        records["raw"] = samples[starts[i]:starts[j]].astype("f4").view("u4").reshape(j - i, n)
+        out.append(bytes(head) + records.tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f"il{k:08d}.sgy" for k in inline.to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+
 def segy_bytes(spark, sf):
     """(path, content): the traces of each inline as a SEG-Y file with IEEE samples."""
-    def encode(frames):
-        for f in frames:
-            out = []
-            for _, r in f.iterrows():
-                n = int(r["n_samples"])
-                head = bytearray(segy.TEXT_HEADER + segy.BINARY_HEADER)
-                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.DT_AT, 4000)
-                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.SAMPLES_AT, n)
-                struct.pack_into(">h", head, segy.TEXT_HEADER + segy.FORMAT_AT, segy.IEEE_FLOAT)
-                body = []
-                for t in r["traces"]:
-                    th = bytearray(segy.TRACE_HEADER)
-                    for name, (kind, at) in segy.TRACE_FIELDS.items():
-                        struct.pack_into(">h" if kind == ">i2" else ">i", th, at - 1, int(t[name]))
-                    body.append(bytes(th) + np.asarray(t["samples"], ">f4").tobytes())
-                out.append((f"il{int(r['inline']):08d}.sgy", bytes(head) + b"".join(body)))
-            yield pd.DataFrame(out, columns=["path", "content"])
+    def encode(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                yield _segy_files(batch.slice(at, FILES_AT_ONCE))
 
     one = F.struct("trace_no", "crossline", "inline", "cdp_x", "cdp_y", "coord_scalar", "delay_ms", "samples")
     return traces(spark, sf).groupBy("inline", "n_samples").agg(
-        F.sort_array(F.collect_list(one)).alias("traces")).mapInPandas(encode, "path string, content binary")
+        F.sort_array(F.collect_list(one)).alias("traces")).mapInArrow(encode, "path string, content binary")
 
 
 def segy_folder(spark, sf) -> str:
     """Write those files, each by the task that holds it."""
     folder = scratch(spark, "segy")
 
-    def write(frames):
-        from pyarrow import fs
+    def write(batches):
         system, base = segy._open(folder)
         system.create_dir(base, recursive=True)
-        for f in frames:
-            for path, content in zip(f["path"], f["content"]):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 with system.open_output_stream(f"{base}/{path}") as out:
-                    out.write(content)
-            yield f[["path"]]
+                    out.write(content.as_buffer())
+            yield batch.select([0])
 
-    segy_bytes(spark, sf).mapInPandas(write, "path string").count()
+    segy_bytes(spark, sf).mapInArrow(write, "path string").count()
     return folder
 
 

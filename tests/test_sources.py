@@ -341,3 +341,21 @@ def test_batch_writes_its_status_at_once(spark, tmp_path, cells):
     ingest_arrivals(spark, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert len(list((tmp_path / "out/status").rglob("*.parquet"))) == 1
     assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out/status")).collect()] == ["complete"] * 5
+
+
+def test_files_are_made_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from lithoframe.queries import sources
+
+    kind = pa.struct([("trace_no", pa.int64()), *[(n, pa.float64()) for n in segy.TRACE_FIELDS], ("samples", pa.list_(pa.float32()))])
+    trace = lambda i: {"trace_no": i, **{n: float(7 * i + k) for k, n in enumerate(segy.TRACE_FIELDS)}, "samples": [i + 0.5, -i]}
+    rows = pa.RecordBatch.from_arrays([
+        pa.array([5, 6, 7], pa.int32()), pa.array([2, 2, 2], pa.int32()),
+        pa.array([[trace(1)], [trace(2), trace(3)], [trace(4)]], pa.list_(kind))], ["inline", "n_samples", "traces"])
+    made = sources._segy_files(rows.slice(1, 2))
+    assert made.column("path").to_pylist() == ["il00000006.sgy", "il00000007.sgy"]
+    first, second = (c.as_buffer().to_pybytes() for c in made.column("content"))
+    got = segy.decode(first[3600:], segy.Layout.parse(first), "s", 0).to_pylist()
+    assert [(r["inline"], r["cdp_x"], r["samples"]) for r in got] == [(18.0, 16.0, [2.5, -2.0]), (25.0, 23.0, [3.5, -3.0])]
+    assert len(second) == 3600 + 248 and sources.FILES_AT_ONCE <= 64
