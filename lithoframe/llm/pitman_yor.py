@@ -44,8 +44,7 @@ class Settings:
     strength: float = 1.0       # of every restaurant
     rounds: int = 3             # seatings of the parent
     samples: int = 2            # the last rounds, whose predictions are averaged
-    sweeps: int = 1             # over the dishes of a restaurant in a round
-    moves: int = 16             # most customers of one dish that a sweep seats anew, drawn at random
+    sweeps: int = 1             # over all customers of a restaurant in a round
     block_chars: int = 1 << 23  # of the texts of a block
     sliced: int = 4096          # a context with more than one of so many tokens may be sliced; so there are fewer of them
     frequent: int = 65535       # words with a short code in messages
@@ -390,8 +389,16 @@ def _seat_chunk(c, begin, p0, restaurant, tables, live, discount, s, rng):
     size = (np.arange(width) < begin[:, None]) + np.floor((c - begin)[:, None] * share / share.sum(axis=1)[:, None]).astype(np.int64)
     size[:, 0] += c - size.sum(axis=1)
     for _ in range(s.sweeps):
-        for step in range(min(s.moves, int(c[0]))):
+        for step in range(int(c[0])):      # a dish moves as many customers as it has
             n = int(np.searchsorted(-c, -step, side="left"))    # dishes of more than step customers
+            if n <= _FEW:       # what is left of a few large dishes, one after the other
+                for k in range(n):
+                    seats = _seat_dish(size[k][size[k] > 0].tolist(), int(c[k]), int(c[k]) - step, p0[k], tables, restaurant[k], live, discount, s, rng)
+                    if len(seats) > size.shape[1]:
+                        size = np.pad(size, ((0, 0), (0, len(seats) - size.shape[1])))
+                    size[k] = 0
+                    size[k, :len(seats)] = seats
+                break
             rows, now = np.arange(n), size[:n]
             seats = np.cumsum(now, axis=1)
             left = (seats <= (rng.random(n) * c[:n])[:, None]).sum(axis=1)
@@ -411,6 +418,41 @@ def _seat_chunk(c, begin, p0, restaurant, tables, live, discount, s, rng):
     return (size > 0).sum(axis=1)
 
 
+_FEW = 8    # rows for which moves in NumPy cost more than moves in Python
+
+
+def _seat_dish(size: list[int], c: int, moves: int, p0: float, tables, restaurant, live, discount, s, rng) -> list[int]:
+    """The same moves of one dish, from and to a list of its table sizes."""
+    size.sort(reverse=True)
+    counted, total, p0 = int(live[restaurant]), int(tables[restaurant]), float(p0)
+    for at in range(0, moves, 65536):
+        for u, v in rng.random((min(65536, moves - at), 2)).tolist():
+            u *= c
+            for left, n in enumerate(size):
+                u -= n
+                if u < 0:
+                    break
+            if size[left] > 1:
+                size[left] -= 1
+            else:
+                size[left] = size[-1]
+                size.pop()
+                total -= counted
+            joined = c - 1 - discount * len(size)
+            v *= joined + (s.strength + discount * total) * p0
+            if v >= joined or not size:
+                size.append(1)
+                total += counted
+                continue
+            for taken, n in enumerate(size):
+                v -= n - discount
+                if v < 0:
+                    break
+            size[taken] += 1
+    tables[restaurant] = total
+    return size
+
+
 def _contexts(p: Pairs, t: Totals, hot_tables: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Customers, tables (one per pair) and whether the slot holds all of it, of each context."""
     n = len(p.contexts)

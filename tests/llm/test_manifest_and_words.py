@@ -140,6 +140,25 @@ def test_seating_is_that_of_the_restaurant():
     assert live[0] == seats.sum() and (1 <= seats).all() and seats[0] <= 40
 
 
+def test_every_customer_is_seated_anew():
+    """One sweep of a large dish comes near the tables of many sweeps, a few dishes alone too, and moves as many customers as there are."""
+    d, c, p0, n = 0.6, 300, 0.02, 400
+    run = lambda sweeps, k: pitman_yor.seat(np.full(k, c), np.full(k, p0), np.zeros(k, np.int64), np.array([50]), np.zeros(1, bool), d,
+                                            pitman_yor.Settings(sweeps=sweeps), np.random.default_rng(3))
+    many = run(12, n).mean()
+    assert abs(run(1, n).mean() - many) < 0.1 * many and abs(run(12, 8).mean() - many) < 0.5 * many
+    draws = []
+
+    class Counted(np.random.Generator):
+        def random(self, size=None):
+            draws.append(size)
+            return super().random(size)
+
+    pitman_yor.seat(np.array([100]), np.array([p0]), np.zeros(1, np.int64), np.array([50]), np.zeros(1, bool), d,
+                    pitman_yor.Settings(), Counted(np.random.PCG64(1)))
+    assert (100, 2) in draws    # a draw of where each customer leaves, and one of where it sits
+
+
 def test_model_without_chance(spark):
     """Where every pair comes once, all is determined but the parent, whose words come once too: score by hand."""
     docs = spark.createDataFrame([(1, "a b c d", True), (2, "e f", False), (3, None, False)], "doc_id long, text string, learnt boolean")
