@@ -11,8 +11,8 @@ How it is dealt out:
    context with a large share of all tokens is sliced by its words. A slot sums its part of every document's score, so no
    document travels and no slot sends anything but sums.
 3. A round seats all context restaurants given the parent's predictive probabilities, sends the tables per word up, seats the
-   parent and sends its part down. Inside a round customers leave and choose a table again, one by one, in all dishes
-   of a slot at once. A word that followed its context once has a single table and needs no seat.
+   parent and sends its part down. Inside a round customers leave and choose a table again: one by one in the
+   largest dishes of a slot, all of a dish at once in the others. A word that followed its context once has a single table and needs no seat.
 4. The last pass seats the contexts for each sample and scores the pairs.
 
 Slots, blocks and messages grow with the corpus; the driver holds totals, sliced contexts and a list of frequent words that shortens
@@ -359,8 +359,9 @@ def seat(c: np.ndarray, p0: np.ndarray, restaurant: np.ndarray, tables: np.ndarr
          rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after ``sweeps``: customers c (two or more) and the parent's probability p0 of each dish, its restaurant.
 
-    tables: of each restaurant, kept up to date where ``live``. A customer leaves its table, drawn in proportion to who sits
-    there, and takes a table of n with weight n - discount, a new one with (strength + discount * tables) * p0.
+    tables: of each restaurant, kept up to date where ``live``. A customer takes a table of n with weight n - discount, a new one with
+    (strength + discount * tables) * p0. The few largest dishes have their customers leave and sit again one by one; of the others
+    all customers leave at once, and the number of tables they sit down to is drawn from its exact distribution.
     """
     out = np.ones(len(c), np.int64)
     two = np.flatnonzero(c == 2)    # two customers sit apart with a probability that is known outright
@@ -370,87 +371,127 @@ def seat(c: np.ndarray, p0: np.ndarray, restaurant: np.ndarray, tables: np.ndarr
     order = np.flatnonzero(c > 2)
     order = order[np.argsort(-c[order], kind="stable")]
     a = (s.strength + discount * tables[restaurant[order]]) * p0[order]
-    begin = np.minimum(1 + rng.poisson(np.minimum(a * np.log1p((c[order] - 1) / (1 - discount + a)), 1e6)), c[order])
-    np.add.at(tables, restaurant[order], (begin - 1) * live[restaurant[order]])
-    i = 0
-    while i < len(order):
-        width = int(begin[i:i + 32768].max()) + 4
-        j = i + max(1, min(32768, (1 << 19) // width))
-        own = order[i:j]
-        out[own] = _seat_chunk(c[own], begin[i:j], p0[own], restaurant[own], tables, live, discount, s, rng)
-        i = j
+    # many customers with few chances of a new table come to 1 + Poisson(a / discount) tables
+    near = a / discount * (1 - (1 + (c[order] - 1) / (1 - discount + a)) ** -discount)
+    out[order] = np.minimum(1 + rng.poisson(np.minimum(near, 1e6)), c[order])
+    np.add.at(tables, restaurant[order], (out[order] - 1) * live[restaurant[order]])
+    few, rest = order[:_FEW], order[_FEW:][::-1]
+    sizes = [_begin(int(c[k]), int(out[k]), rng) for k in few]
+    for _ in range(s.sweeps):
+        for k, size in zip(few, sizes):
+            out[k] = _seat_dish(size, float(p0[k]), tables, restaurant[k], live, discount, s, rng)
+        _seat_dishes(rest, out, c, p0, restaurant, tables, live, discount, s, rng)
     return out
 
 
-def _seat_chunk(c, begin, p0, restaurant, tables, live, discount, s, rng):
-    """seat() of dishes in descending order of c, a row of table sizes each."""
-    width = min(int(begin.max()) + 4, int(c[0]))     # never more tables than customers
-    share = rng.standard_exponential((len(c), width)) * (np.arange(width) < begin[:, None])
-    size = (np.arange(width) < begin[:, None]) + np.floor((c - begin)[:, None] * share / share.sum(axis=1)[:, None]).astype(np.int64)
-    size[:, 0] += c - size.sum(axis=1)
-    for _ in range(s.sweeps):
-        for step in range(int(c[0])):      # a dish moves as many customers as it has
-            n = int(np.searchsorted(-c, -step, side="left"))    # dishes of more than step customers
-            if n <= _FEW:       # what is left of a few large dishes, one after the other
-                for k in range(n):
-                    seats = _seat_dish(size[k][size[k] > 0].tolist(), int(c[k]), int(c[k]) - step, p0[k], tables, restaurant[k], live, discount, s, rng)
-                    if len(seats) > size.shape[1]:
-                        size = np.pad(size, ((0, 0), (0, len(seats) - size.shape[1])))
-                    size[k] = 0
-                    size[k, :len(seats)] = seats
-                break
-            rows, now = np.arange(n), size[:n]
-            seats = np.cumsum(now, axis=1)
-            left = (seats <= (rng.random(n) * c[:n])[:, None]).sum(axis=1)
-            now[rows, left] -= 1
-            closed = now[rows, left] == 0
-            total = tables[restaurant[:n]] - (closed & live[restaurant[:n]])
-            weights = np.cumsum(np.where(now > 0, now - discount, 0.0), axis=1)
-            new = (s.strength + discount * total) * p0[:n]
-            taken = (weights <= (rng.random(n) * (weights[:, -1] + new))[:, None]).sum(axis=1)
-            opened = taken == size.shape[1]
-            taken[opened] = np.argmin(now[opened] > 0, axis=1)
-            now[rows, taken] += 1
-            moved = np.flatnonzero((closed != opened) & live[restaurant[:n]])
-            np.add.at(tables, restaurant[moved], opened[moved].astype(np.int64) - closed[moved])
-            if size.shape[1] < c[0] and (now[opened] > 0).all(axis=1).any():
-                size = np.pad(size, ((0, 0), (0, size.shape[1])))
-    return (size > 0).sum(axis=1)
-
-
-_FEW = 8    # rows for which moves in NumPy cost more than moves in Python
-
-
-def _seat_dish(size: list[int], c: int, moves: int, p0: float, tables, restaurant, live, discount, s, rng) -> list[int]:
-    """The same moves of one dish, from and to a list of its table sizes."""
-    size.sort(reverse=True)
-    counted, total, p0 = int(live[restaurant]), int(tables[restaurant]), float(p0)
-    for at in range(0, moves, 65536):
-        for u, v in rng.random((min(65536, moves - at), 2)).tolist():
-            u *= c
-            for left, n in enumerate(size):
-                u -= n
-                if u < 0:
-                    break
-            if size[left] > 1:
-                size[left] -= 1
-            else:
-                size[left] = size[-1]
-                size.pop()
+_FEW = 8        # dishes of a slot whose customers move one by one; the numbers of tables of smaller ones are drawn
+_CELLS = 1 << 17   # weights that are held at once
+_NEVER = 60.0   # numbers of tables that are less likely by this power of e are left out
+
+
+def _begin(c: int, tables: int, rng: np.random.Generator) -> list[int]:
+    """The table of each customer, one at least at each."""
+    share = rng.standard_exponential(tables)
+    return np.r_[np.arange(tables), rng.choice(tables, c - tables, p=share / share.sum())].tolist()
+
+
+def _chances(rng: np.random.Generator) -> Iterator[float]:
+    while True:
+        yield from rng.random(4096).tolist()
+
+
+def _seat_dish(at: list[int], p0: float, tables, restaurant, live, discount, s, rng) -> int:
+    """The tables of a dish after each customer, whose table ``at`` has, left and took one again.
+
+    A table is taken with weight n - discount by following any of its n others with a chance of 1 - discount / n.
+    """
+    c, counted, total = len(at), int(live[restaurant]), int(tables[restaurant])
+    size = np.bincount(at).tolist()
+    free = [k for k, n in enumerate(size) if not n]
+    used = len(size) - len(free)
+    more = _chances(rng)
+    for begin in range(0, c, 65536):
+        for me, (u, v) in enumerate(rng.random((min(65536, c - begin), 2)).tolist(), begin):
+            left = at[me]
+            size[left] -= 1
+            if not size[left]:
+                free.append(left)
+                used -= 1
                 total -= counted
-            joined = c - 1 - discount * len(size)
-            v *= joined + (s.strength + discount * total) * p0
-            if v >= joined or not size:
-                size.append(1)
+            joined, new = c - 1 - discount * used, (s.strength + discount * total) * p0
+            if u * (joined + new) >= joined:
+                if not free:
+                    free.append(len(size))
+                    size.append(0)
+                taken = free.pop()
+                used += 1
                 total += counted
-                continue
-            for taken, n in enumerate(size):
-                v -= n - discount
-                if v < 0:
-                    break
+            else:
+                other = int(v * (c - 1))
+                taken = at[other + (other >= me)]
+                while next(more) * size[taken] < discount:
+                    other = int(next(more) * (c - 1))
+                    taken = at[other + (other >= me)]
             size[taken] += 1
+            at[me] = taken
     tables[restaurant] = total
-    return size
+    return used
+
+
+def _seat_dishes(order, out, c, p0, restaurant, tables, live, discount, s, rng) -> None:
+    """Draws the numbers of tables, out, of dishes in ascending order of c.
+
+    t tables of c customers weigh S(c, t), the generalised Stirling number of the discount, times what opening them weighs. S follows
+    from S(c - 1, t - 1) + (c - 1 - discount * t) * S(c - 1, t), so one pass up to the largest dish serves all; it is as wide as any
+    dish here may need.
+    """
+    if not len(order):
+        return
+    opens = np.log(np.maximum((s.strength + discount * (tables[restaurant[order]] + c[order])) * p0[order], 1e-300))
+    opens = np.maximum.accumulate(opens[::-1])[::-1]        # of any dish not yet reached
+    row, n, i = np.zeros(1), 1, 0                           # log S(1, 1)
+    rows, which, held = [], [], 0
+
+    def draw() -> None:
+        own, at = order[i - len(which):i], np.array(which)
+        table = np.full((len(rows), max(map(len, rows))), -np.inf)
+        for k, r in enumerate(rows):
+            table[k, :len(r)] = r
+        step = max(1, _CELLS // table.shape[1])
+        for k in range(0, len(own), step):
+            _draw(own[k:k + step], table[at[k:k + step]], out, p0, restaurant, tables, live, discount, s, rng)
+
+    sizes = c[order]
+    while i < len(order):
+        while n < sizes[i]:
+            same = np.r_[row + np.log(n - discount * np.arange(1, len(row) + 1)), -np.inf]
+            same[1:] = np.logaddexp(same[1:], row)
+            row = same
+            n += 1
+            if n & 15 == 0:
+                weight = row + opens[i] * np.arange(len(row))
+                row = row[:int(np.flatnonzero(weight >= weight.max() - _NEVER)[-1]) + 1]
+        j = int(np.searchsorted(sizes, n, side="right"))
+        rows.append(row)
+        which += [len(rows) - 1] * (j - i)
+        held += len(row) * (j - i + 1)
+        i = j
+        if held >= _CELLS or i == len(order):
+            draw()
+            rows, which, held = [], [], 0
+
+
+def _draw(own, weight, out, p0, restaurant, tables, live, discount, s, rng) -> None:
+    """Numbers of tables by their log Stirling numbers, and by the restaurants' other tables."""
+    r, width = restaurant[own], np.arange(weight.shape[1])
+    counted = live[r]
+    others = tables[r] - out[own] * counted
+    opened = s.strength + discount * (others[:, None] + width * counted[:, None])     # before each table
+    weight = weight + np.cumsum(np.log(opened * p0[own, None]), axis=1)
+    weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    now = 1 + np.minimum((weight <= (rng.random(len(own)) * weight[:, -1])[:, None]).sum(axis=1), weight.shape[1] - 1)
+    np.add.at(tables, r, (now - out[own]) * counted)
+    out[own] = now
 
 
 def _contexts(p: Pairs, t: Totals, hot_tables: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

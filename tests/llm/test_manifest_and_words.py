@@ -159,6 +159,31 @@ def test_every_customer_is_seated_anew():
     assert (100, 2) in draws    # a draw of where each customer leaves, and one of where it sits
 
 
+def test_tables_are_drawn_from_their_distribution():
+    """Numbers of tables of many dishes, of sizes side by side, beside those that all seatings of c customers weigh; large ones take no move each."""
+    d, theta, p0, others = 0.6, 1.0, 0.02, 50
+    a = (theta + d * others) * p0
+    sizes = np.repeat([4, 30, 300], 4000)
+    got = pitman_yor.seat(sizes, np.full(len(sizes), p0), np.zeros(len(sizes), np.int64), np.array([others]), np.zeros(1, bool), d,
+                          pitman_yor.Settings(), np.random.default_rng(5))
+    for c in (4, 30, 300):
+        t, weight = np.arange(1, c + 1), np.eye(1, c)[0]
+        for n in range(1, c):
+            weight = np.r_[0, weight[:-1]] * a + np.maximum(n - d * t, 0) * weight
+            weight /= weight.sum()
+        assert abs(got[sizes == c].mean() - (weight * t).sum()) < 0.08
+    calls = []
+
+    class Counted(np.random.Generator):
+        def random(self, size=None):
+            calls.append(size)
+            return super().random(size)
+
+    pitman_yor.seat(np.full(64, 5000), np.full(64, 1e-4), np.arange(64), np.full(64, 9), np.ones(64, bool), d,
+                    pitman_yor.Settings(), Counted(np.random.PCG64(1)))
+    assert len(calls) < 1000
+
+
 def test_model_without_chance(spark):
     """Where every pair comes once, all is determined but the parent, whose words come once too: score by hand."""
     docs = spark.createDataFrame([(1, "a b c d", True), (2, "e f", False), (3, None, False)], "doc_id long, text string, learnt boolean")
