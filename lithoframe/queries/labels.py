@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lithoframe.functions.lineage import sized
 from lithoframe.operators import qc, raster
-from lithoframe.operators.geometry import fit_georeference, infer_geometry, three_point_transform
+from lithoframe.operators.geometry import fit_georeference, grid_shape, infer_geometry, three_point_transform
 from lithoframe.queries import query
 from lithoframe.queries.tables import (
     PICKS, SHAPE, TRACES, TRUTH, picks, q6, r6, shapes, table, traces, truth,
@@ -127,7 +128,7 @@ def r6_direct(spark, sf):
   SELECT g.survey_id, g.il, g.xl, g.s, CAST(t.s IS NOT NULL AS INTEGER) AS mask
   FROM grid g LEFT JOIN truth t ON t.survey_id = g.survey_id AND t.il = g.il AND t.xl = g.xl AND t.s = g.s""")
 def r7(spark, sf):
-    shape = infer_geometry(traces(spark, sf))
+    shape = sized(grid_shape(infer_geometry(traces(spark, sf))))
     return raster.dense_mask(truth(spark, sf), shape).select(
         "survey_id", "il", "xl", F.posexplode("mask").alias("s", "mask")).withColumn(
         "mask", F.col("mask").cast("int"))

@@ -75,3 +75,21 @@ def test_missing_traces_count_as_zeros(spark, tmp_path, name):
         got = [tuple(r) for r in df.collect()]
         cur = c.execute(ORACLES[name])
         assert rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
+WITHOUT_LINES = [
+    "r7_dense_mask",
+]
+
+
+@pytest.mark.parametrize("name", WITHOUT_LINES)
+def test_lines_without_traces_are_on_the_grid(spark, tmp_path, name):
+    """A survey in which one inline was never recorded reaches to its last one all the same."""
+    with duckdb.connect() as c:
+        c.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 490 AND vec_id // 25 <> 6) "
+                  f"TO '{tmp_path}/embeddings.parquet'")
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        cur = c.execute(ORACLES[name])
+        assert rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
