@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from lithoframe.functions.lineage import sized
 from lithoframe.operators import patches as t
 from lithoframe.operators import raster
-from lithoframe.operators.geometry import infer_geometry
+from lithoframe.operators.geometry import grid_shape, infer_geometry
 from lithoframe.queries import query
 from lithoframe.queries.tables import FILLED, TRACES, TRUTH, q6, r6, traces, truth
 
@@ -31,12 +32,17 @@ def _index_sql(patch=PATCH, stride=STRIDE):
      AND f.s >= i.s0 AND f.s < i.s0 + {patch[2]} GROUP BY ALL)"""
 
 
-def shape_of(spark, sf):
+def geometry_of(spark, sf):
     return infer_geometry(traces(spark, sf))
 
 
+def shape_of(spark, sf):
+    """Extent of the grid, lines that were never recorded included."""
+    return sized(grid_shape(geometry_of(spark, sf)))
+
+
 def volume(spark, sf):
-    return t.to_index_space(traces(spark, sf), shape_of(spark, sf))
+    return t.to_index_space(traces(spark, sf), geometry_of(spark, sf))
 
 
 def _counted(spark, sf):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.operators import patches, scoring
 from lithoframe.queries import query
-from lithoframe.queries.patches import PATCH, shape_of, volume
+from lithoframe.queries.patches import PATCH, geometry_of, shape_of, volume
 from lithoframe.queries.tables import FILLED, TRACES, q6, r6
 
 _OVERLAP = 0.25  # strides 6, 6, 12
@@ -98,7 +98,7 @@ def i5(spark, sf):
     from lithoframe.plans.evaluation import scoring_run
     from lithoframe.queries.tables import traces
     out = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
-    row = scoring_run(traces(spark, sf), shape_of(spark, sf), "run-1", out, PATCH, overlap=_OVERLAP, threshold=0.75)
+    row = scoring_run(traces(spark, sf), geometry_of(spark, sf), "run-1", out, PATCH, overlap=_OVERLAP, threshold=0.75)
     return row.select("survey_id", "status", r6(F.col("fault_voxel_fraction")).alias("fault_voxel_fraction"),
                       F.array_min("inline_coords").alias("first_inline"), F.array_max("inline_coords").alias("last_inline"),
                       F.size("crossline_coords").alias("crosslines"), F.array_max("twtt_ms").alias("last_twt"))

@@ -10,7 +10,7 @@ from lithoframe.operators import slices as p
 from lithoframe.operators.geometry import infer_geometry
 from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
-from lithoframe.queries.patches import shape_of
+from lithoframe.queries.patches import geometry_of
 from lithoframe.queries.tables import (
     IRREGULAR, PICKS, PROBS, TRACES, irregular_traces, picks, probs, q6, r6, traces,
 )
@@ -38,7 +38,7 @@ def p2(spark, sf):
 
 def _bricks(spark, sf):
     path = f"{checkpoint_dir(spark)}/bricks-{uuid.uuid4().hex}"
-    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), shape_of(spark, sf)), _BRICK), path)
+    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), geometry_of(spark, sf)), _BRICK), path)
     return spark.read.parquet(path)
 
 

@@ -16,7 +16,7 @@ from lithoframe.operators.geometry import infer_geometry
 from lithoframe.operators.patches import to_index_space
 from lithoframe.queries import query
 from lithoframe.queries.geometry import GEOMETRY_COLUMNS, GEOMETRY_SQL
-from lithoframe.queries.patches import shape_of
+from lithoframe.queries.patches import geometry_of
 from lithoframe.queries.tables import (
     RUNS, TRACES, TRUTH, q6, r6, runs, table, traces, truth,
 )
@@ -153,7 +153,7 @@ def s3(spark, sf):
          count(*) AS voxels, {q6("sum(a)")} AS total FROM voxels GROUP BY ALL""")
 def s4(spark, sf):
     path = scratch(spark, "bricks")
-    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), shape_of(spark, sf)), (8, 8, 16)), path)
+    volume.write_bricks(volume.bricks(to_index_space(traces(spark, sf), geometry_of(spark, sf)), (8, 8, 16)), path)
     return spark.read.parquet(path).groupBy("ib", "xb", "sb").agg(
         F.sum(F.size("samples")).alias("voxels"), r6(F.sum(total(F.col("samples")))).alias("total"))
 
