@@ -81,6 +81,7 @@ WITHOUT_LINES = [
     "r7_dense_mask",
     "t5_patch_extraction",
     "t14_transform_hooks",
+    "t6_patch_zscore",
 ]
 
 
