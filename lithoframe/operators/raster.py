@@ -17,10 +17,11 @@ STICK = ["survey_id", "stick_id"]
 VOXEL = ["survey_id", "il", "xl", "s"]
 AXES = {"il": "n_inlines", "xl": "n_crosslines", "s": "n_samples"}
 
-# Widest inline gap that is bridged, samples per voxel along a stick, shortest stick.
+# Widest inline gap that is bridged, samples per voxel along a stick, shortest stick, decimals of a resampled position.
 MAX_INLINE_GAP = 5
 SAMPLES_PER_VOXEL = 2.0
 MIN_LENGTH = 1e-9
+DECIMALS = 9
 
 
 def _toward(c: str, t: Column) -> Column:
@@ -124,10 +125,15 @@ def paint(positions: DataFrame, shapes: DataFrame, dilation: int = 1) -> DataFra
 
 def rasterise_index_sticks(picks: DataFrame, order: list[str], shapes: DataFrame, dilation: int = 1,
                            max_gap: float | None = None) -> DataFrame:
-    """Sticks in index space to a mask, bridging inline gaps first when ``max_gap`` is given."""
+    """Sticks in index space to a mask, bridging inline gaps first when ``max_gap`` is given.
+
+    Lengths along a stick are sums whose last digits depend on their order. Positions are taken to nine decimals, so that one
+    halfway between voxels is halfway however they were summed.
+    """
     if max_gap is not None:
         picks, order = cut(densify(picks, order, max_gap)), ["il", *order, "step"]
-    return paint(resample(picks, order), shapes, dilation)
+    at = resample(picks, order)
+    return paint(at.withColumns({c: F.round(c, DECIMALS) for c in AXES}), shapes, dilation)
 
 
 def rasterise_world_sticks(sticks: DataFrame, order: list[str], transform: DataFrame,

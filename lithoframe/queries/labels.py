@@ -95,7 +95,8 @@ def r4(spark, sf):
         world_sticks(spark, sf, 0.001), ["pt_no"], three_point_transform(geo), volume, dilation=1)
 
 
-@query("r5_index_sticks_to_mask", f"""WITH {PICKS}, {_dense("picks", "dense")}, {_arc("dense", "il, pt_no, step")}, {_painted(1)}
+@query("r5_index_sticks_to_mask", f"""WITH {PICKS}, {_dense("picks", "dense")}, {_arc("dense", "il, pt_no, step")},
+  near AS (SELECT survey_id, round(il, 9) AS il, round(xl, 9) AS xl, round(s, 9) AS s FROM pos), {_painted(1, source="near")}
   SELECT survey_id, il, xl, s FROM mask""")
 def r5(spark, sf):
     return raster.rasterise_index_sticks(picks(spark, sf), ["pt_no"], shapes(spark, sf), 1, max_gap=5)

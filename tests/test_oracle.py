@@ -97,3 +97,22 @@ def test_lines_without_traces_are_on_the_grid(spark, tmp_path, name):
         got = [tuple(r) for r in df.collect()]
         cur = c.execute(ORACLES[name])
         assert rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_halves_along_a_stick_dont_depend_on_the_order_of_sums(spark, tmp_path):
+    """Sticks with positions halfway between voxels, in blocks of any size and in SQL."""
+    with duckdb.connect() as c:
+        c.execute(f"COPY (SELECT * REPLACE (event_id + k.k * 100000 AS event_id, user_id + k.k * 1500 AS user_id) "
+                  f"FROM '/root/testdata/sf0.1/events.parquet', range(6) k(k) WHERE user_id + k.k * 1500 IN "
+                  f"(1486, 1709, 5625, 5744, 7737, 4511, 5547, 6255, 5715, 3900, 6905, 1892)) TO '{tmp_path}/events.parquet'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        cur = c.execute(ORACLES["r5_index_sticks_to_mask"])
+        want = rows([d[0] for d in cur.description], cur.fetchall())
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for blocks in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", blocks)
+            df = QUERIES["r5_index_sticks_to_mask"](spark, str(tmp_path))
+            assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
