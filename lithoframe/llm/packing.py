@@ -34,6 +34,7 @@ class Settings:
     capacity: int = 2048            # tokens of a sequence
     end: int = 0                    # id after each document
     group: int = 16384              # pieces that are packed together
+    words: int = 131_072            # words that a worker remembers the ids of; more take memory and save time
 
     def path(self) -> str:
         import public_tokenizers
@@ -50,14 +51,13 @@ class Words(Remembered):
     space, is encoded whole.
     """
 
-    limit = 131_072
-
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str, whole: bool = False, limit: int = Settings.words):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.whole = whole
-        self.tokenizer, self.bodies = Tokenizer.from_file(path), {}
+        self.whole, self.limit = whole, limit
+        self.tokenizer, self.bodies, self.older, self.older_bodies = Tokenizer.from_file(path), {}, {}, {}
+        self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)   # the former leaves out offsets
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -70,36 +70,56 @@ class Words(Remembered):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_all(self, parts: list[str]) -> Iterator[bytes]:
-        halves = []
+    def encode_all(self, parts: list[str]) -> list[bytes]:
+        halves, letter = [], self.ends_in_letter
         for part in parts:
             body = part.rstrip(MARKS)
-            tail, low = part[len(body):], body.lower() if body.isascii() else body
-            halves.append((low, tail) if body and self.ends_in_letter(body[-1]) else (None, part))
-        self._learn_bodies({low for low, _ in halves if low})
-        for low, tail in halves:
-            if tail and tail not in self.bodies:
-                self.bodies[tail] = self.encode(tail)
-            yield (self.bodies[low] if low else b"") + (self.bodies[tail] if tail else b"")
-
-    def _learn_bodies(self, bodies: set[str]) -> None:
+            last = body[-1:]
+            if last.isalpha() and (last.isascii() or letter(last)):
+                halves.append((body.lower() if body.isascii() else body, part[len(body):]))
+            else:
+                halves.append(("", part))
+        bodies = self._learn_bodies({low for low, _ in halves if low})
+        for tail in {tail for _, tail in halves if tail}.difference(bodies):
+            bodies[tail] = self.encode(tail)
+        return [bodies[low] + bodies[tail] if low and tail else bodies[low or tail] for low, tail in halves]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make sure of every word of these texts. Of two generations of words the older is forgotten, but for those met again."""
+        for w in self.__dict__.pop("long", ()):
+            self.pop(w, None)
+        if len(self) > self.limit // 2:
+            self.older = dict(self)
+            self.clear()
+        new = set().union(*texts).difference(self)
+        met = list(new.intersection(self.older))
+        self.update(zip(met, map(self.older.__getitem__, met)))
+        new = list(new.difference(met))
+        self.update(zip(new, self.encode_all(new)) if new else ())
+        self.long = [w for w in new if len(w) > self.longest]
+
+    def _learn_bodies(self, bodies: set[str]) -> dict[str, bytes]:
         """Words of letters alone are encoded many at once: each ends with the only token that can end a word."""
-        if len(self.bodies) > 2 * self.limit:
-            self.bodies.clear()
-        new = list(bodies.difference(self.bodies))
+        if len(self.bodies) > self.limit:
+            self.older_bodies, self.bodies = self.bodies, {}
+        held, new = self.bodies, bodies.difference(self.bodies)
+        met = list(new.intersection(self.older_bodies))
+        held.update(zip(met, map(self.older_bodies.__getitem__, met)))
+        new = list(new.difference(met))
         plain = [b for b in new if b.isalpha()]
         for k in range(0, len(plain), 100):
             some = plain[k:k + 100]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.many([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(some):
                 own, ends = ids.tobytes(), (4 * ends).tolist()
-                self.bodies.update(zip(some, (own[i:j] for i, j in zip([0, *ends[:-1]], ends))))
+                held.update(zip(some, (own[i:j] for i, j in zip([0, *ends[:-1]], ends))))
             else:  # lower case of a letter can be a letter and a mark, which is a word by itself
-                self.bodies.update((b, self.encode(b)) for b in some)
+                held.update((b, self.encode(b)) for b in some)
         for b in new:
             if not b.isalpha():
-                self.bodies[b] = self.encode(b)
+                held[b] = self.encode(b)
+        return held
 
     def ids(self, texts: list) -> Iterator[bytes]:
         """Of each text; of null, none."""
@@ -170,7 +190,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings
     s = settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = per_process(Words, s.path(), s.vocabulary is not None), np.array([s.end], "<u4").tobytes()
+        words, end = per_process(Words, s.path(), s.vocabulary is not None, s.words), np.array([s.end], "<u4").tobytes()
         sequence, step = (TaskContext.get().partitionId() + 1) << 34, 4 * s.capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]

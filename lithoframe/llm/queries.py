@@ -41,7 +41,7 @@ def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), settings=packing.Settings(words=524_288))
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

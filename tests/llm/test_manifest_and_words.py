@@ -300,3 +300,22 @@ def test_other_vocabulary_is_read_whole(spark):
     for r in packing.pack(df, settings=packing.Settings(vocabulary=path)).collect():
         ids = np.array(tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0], "<u4")
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_words_met_again_are_not_encoded_again():
+    """A word of every text stays, however many others come and go; ids are those of the tokenizer, and what is held is bounded."""
+    class Counted(packing.Words):
+        asked = []
+
+        def encode_all(self, parts):
+            self.asked += parts
+            return super().encode_all(parts)
+
+    from tokenizers import Tokenizer
+
+    words, tok = Counted(packing.Settings().path(), limit=40), Tokenizer.from_file(packing.Settings().path())
+    for k in range(30):
+        text = "Common word, " + " ".join(f"{chr(97 + k % 26)}{chr(97 + j)}x{'.' * (j % 2)}" for j in range(20))
+        assert list(words.ids([text])) == [np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(words) <= 60 and len(words.older) <= 60 and len(words.bodies) + len(words.older_bodies) <= 160
+    assert words.asked.count("Common") == words.asked.count("word,") == 1
