@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from lithoframe.llm.common import Remembered, per_process, portions
 
 #: str.split() parts at the first four, the tokenizer doesn't; its special strings begin with the last.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: White space beyond ASCII, of str.split() and the tokenizer alike.
+WIDE = "".join(c for c in map(chr, range(128, 1 << 16)) if c.isspace())
 #: Marks that end a word for the tokenizer wherever they follow a letter.
 MARKS = ".,;:!?%$&*#|"
 
@@ -73,6 +76,9 @@ class Words(Remembered):
     def encode_all(self, parts: list[str]) -> list[bytes]:
         halves, letter = [], self.ends_in_letter
         for part in parts:
+            if part.isascii() and part.isalpha():   # most are
+                halves.append((part.lower(), ""))
+                continue
             body = part.rstrip(MARKS)
             last = body[-1:]
             if last.isalpha() and (last.isascii() or letter(last)):
@@ -82,7 +88,7 @@ class Words(Remembered):
         bodies = self._learn_bodies({low for low, _ in halves if low})
         for tail in {tail for _, tail in halves if tail}.difference(bodies):
             bodies[tail] = self.encode(tail)
-        return [bodies[low] + bodies[tail] if low and tail else bodies[low or tail] for low, tail in halves]
+        return [bodies[low] + bodies[tail] if low and tail else bodies[low or tail] if low or tail else b"" for low, tail in halves]
 
     def learn(self, texts: list[list[str]]) -> None:
         """Make sure of every word of these texts. Of two generations of words the older is forgotten, but for those met again."""
@@ -92,7 +98,7 @@ class Words(Remembered):
             self.older = dict(self)
             self.clear()
         new = set().union(*texts).difference(self)
-        met = list(new.intersection(self.older))
+        met = [w for w in new if w in self.older]   # not intersection(), which goes through all that are held
         self.update(zip(met, map(self.older.__getitem__, met)))
         new = list(new.difference(met))
         self.update(zip(new, self.encode_all(new)) if new else ())
@@ -103,7 +109,7 @@ class Words(Remembered):
         if len(self.bodies) > self.limit:
             self.older_bodies, self.bodies = self.bodies, {}
         held, new = self.bodies, bodies.difference(self.bodies)
-        met = list(new.intersection(self.older_bodies))
+        met = [b for b in new if b in self.older_bodies]
         held.update(zip(met, map(self.older_bodies.__getitem__, met)))
         new = list(new.difference(met))
         plain = [b for b in new if b.isalpha()]
@@ -121,13 +127,25 @@ class Words(Remembered):
                 held[b] = self.encode(b)
         return held
 
+    def parted(self, text: str | None) -> str:
+        """The text with ASCII white space between its parts; nothing of a text that is encoded whole."""
+        if text is None or self.whole or any(c in text for c in ODD):
+            return ""
+        return text if text.isascii() or not any(c in text for c in WIDE) else " ".join(text.split())
+
     def ids(self, texts: list) -> Iterator[bytes]:
-        """Of each text; of null, none."""
-        for some in portions(texts):
-            parts = [None if t is None or self.whole or any(c in t for c in ODD) else t.split() for t in some]
-            self.learn([p for p in parts if p])
-            for t, p in zip(some, parts):
-                yield b"" if t is None else self.encode(t) if p is None else b"".join(map(self.__getitem__, p))
+        """Of each text; of null, none. Arrow finds the different words of a portion, and deals the ids of each to its places."""
+        for some in portions(texts, 1 << 22):
+            plain = [self.parted(t) for t in some]
+            parts = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+            found = parts.flatten().dictionary_encode()
+            different = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self.learn([different])
+            dealt = pa.array(list(map(self.__getitem__, different)), pa.large_binary()).take(found.indices)
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(dealt).to_numpy())])[parts.offsets.to_numpy()].tolist()
+            own = memoryview(dealt.buffers()[2] or b"")
+            for t, p, start, end in zip(some, plain, ends, ends[1:]):
+                yield bytes(own[start:end]) if p or not t else self.encode(t)
 
 
 class BestFit:

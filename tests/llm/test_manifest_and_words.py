@@ -319,3 +319,19 @@ def test_words_met_again_are_not_encoded_again():
         assert list(words.ids([text])) == [np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
         assert len(words) <= 60 and len(words.older) <= 60 and len(words.bodies) + len(words.older_bodies) <= 160
     assert words.asked.count("Common") == words.asked.count("word,") == 1
+
+
+def test_words_held_are_looked_up_one_by_one():
+    """The generations of words that a worker holds are never gone through, and white space of any kind parts words as the tokenizer does."""
+    from tokenizers import Tokenizer
+
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("goes through all words held")
+
+    words, tok = packing.Words(packing.Settings().path()), Tokenizer.from_file(packing.Settings().path())
+    words.older, words.older_bodies = Held(), Held()
+    texts = ["", " ", "　", " two  words\t\n", "a b c.　d \v\f\r", "\x85e", "f\x1cg h", "<|endoftext|> i", "Kİ l,, .", None]
+    for given in (texts, texts * 2, ["i"], [None], []):
+        want = [b"" if t is None else np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in given]
+        assert list(words.ids(given)) == want
