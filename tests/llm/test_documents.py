@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,3 +432,28 @@ def test_pipeline(spark, odd, tmp_path):
             at = spark.read.parquet(out)
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert at.columns == df.columns
+
+
+def test_stages_take_few_texts_at_a_time(spark):
+    """Batches of the pipeline's stages are bounded in bytes, as they reach Python and as they are read; what is set already stays."""
+    import corpus_pipeline
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    seen = lambda: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches), "b long").agg(
+        F.max("b"), F.count("*")).first()
+    kept = {k: spark.conf.get(k, None) for k in corpus_pipeline.FEW_AT_A_TIME}
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for k in kept:
+                spark.conf.unset(k)
+            stage(spark, docs.limit(0).selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars"), SF)
+            assert {k: spark.conf.get(k, None) for k in kept} == corpus_pipeline.FEW_AT_A_TIME
+        most, n = seen()
+        assert most < 5 << 20 and n > 4
+        for k in kept:
+            spark.conf.set(k, "77")
+        corpus_pipeline.few_at_a_time(lambda spark, docs, sf_dir: docs)(spark, docs, "")
+        assert [spark.conf.get(k) for k in kept] == ["77"] * len(kept)
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
