@@ -100,6 +100,35 @@ def t5(spark, sf):
         "il0", "xl0", "s0", "pos", r6(F.col("v.patch").cast("double")).alias("x"), F.col("v.label").cast("int").alias("y"))
 
 
+# patches of every survey on its own grid, which first lines and steps fix, as infer_geometry() has them
+_OWN = f"""{TRACES},
+  ils AS (SELECT survey_id, inline AS num, row_number() OVER (PARTITION BY survey_id ORDER BY inline) AS rn
+          FROM (SELECT DISTINCT survey_id, inline FROM traces)),
+  xls AS (SELECT survey_id, crossline AS num, row_number() OVER (PARTITION BY survey_id ORDER BY crossline) AS rn
+          FROM (SELECT DISTINCT survey_id, crossline FROM traces)),
+  ila AS (SELECT survey_id, min(num) AS il_min, max(num) AS il_max,
+                 coalesce(min(num) FILTER (WHERE rn = 2) - min(num), 1) AS il_step FROM ils GROUP BY survey_id),
+  xla AS (SELECT survey_id, min(num) AS xl_min, max(num) AS xl_max,
+                 coalesce(min(num) FILTER (WHERE rn = 2) - min(num), 1) AS xl_step FROM xls GROUP BY survey_id),
+  own AS (SELECT *, (il_max - il_min) // il_step + 1 AS n_il, (xl_max - xl_min) // xl_step + 1 AS n_xl
+          FROM ila JOIN xla USING (survey_id)
+          JOIN (SELECT survey_id, max(len(samples)) AS n_s FROM traces GROUP BY survey_id) USING (survey_id)),
+  cells AS (
+    SELECT survey_id, CAST(a.v AS INTEGER) AS il0, CAST(b.v AS INTEGER) AS xl0, CAST(c.v AS INTEGER) AS s0,
+           a.v + i.v AS il, b.v + x.v AS xl, c.v + z.v AS s, (i.v * {PATCH[1]} + x.v) * {PATCH[2]} + z.v AS pos
+    FROM own, unnest(range(0, n_il - {PATCH[0]} + 1, {STRIDE[0]})) AS a(v),
+         unnest(range(0, n_xl - {PATCH[1]} + 1, {STRIDE[1]})) AS b(v),
+         unnest(range(0, n_s - {PATCH[2]} + 1, {STRIDE[2]})) AS c(v),
+         unnest(range({PATCH[0]})) AS i(v), unnest(range({PATCH[1]})) AS x(v), unnest(range({PATCH[2]})) AS z(v)),
+  placed AS (
+    SELECT survey_id, (inline - il_min) // il_step AS il, (crossline - xl_min) // xl_step AS xl, s, a
+    FROM voxels JOIN own USING (survey_id)),
+  px AS (
+    SELECT c.survey_id, c.il0, c.xl0, c.s0, c.pos, coalesce(v.a, 0.0) AS a
+    FROM cells c LEFT JOIN placed v ON v.survey_id = c.survey_id AND v.il = c.il AND v.xl = c.xl AND v.s = c.s
+    QUALIFY bool_or(v.s IS NOT NULL) OVER (PARTITION BY c.survey_id, c.il0, c.xl0, c.s0))"""
+
+
 _Z = f"""SELECT il0, xl0, s0, CAST(pos AS INTEGER) AS pos,
          {q6("CAST((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8) AS FLOAT)", 4)} AS z FROM px WINDOW w AS (PARTITION BY il0, xl0, s0)"""
 
@@ -169,7 +198,7 @@ def t13(spark, sf):
     return t.split_counts(_counted(spark, sf)).select("split", "patches", "fault_patches")
 
 
-@query("t14_transform_hooks", f"""WITH {_BASE}, {TRUTH}, {_index_sql()}, {_VALUES}
+@query("t14_transform_hooks", f"""WITH {_OWN}
   SELECT il0, xl0, s0, CAST(pos AS INTEGER) AS pos, {q6("-2.0 * a")} AS x, 1 - 0 AS y FROM px""")
 def t14(spark, sf):
     cut = _cut(spark, sf, transform=lambda p: F.transform(p, lambda x: x.cast("double") * -2.0),

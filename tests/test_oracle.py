@@ -116,3 +116,22 @@ def test_halves_along_a_stick_dont_depend_on_the_order_of_sums(spark, tmp_path):
             assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
+SURVEYS = [
+    "t14_transform_hooks",
+]
+
+
+@pytest.mark.parametrize("name", SURVEYS)
+def test_every_survey_has_its_own_grid(spark, tmp_path, name):
+    """Two surveys of different extents, one of which begins at a later inline."""
+    with duckdb.connect() as c:
+        c.execute(f"COPY (SELECT * REPLACE (vec_id + 300 AS vec_id) FROM '{SF}/embeddings.parquet' WHERE vec_id < 470 UNION ALL "
+                  f"SELECT * REPLACE (vec_id + 1000000 AS vec_id) FROM '{SF}/embeddings.parquet' WHERE vec_id < 310) "
+                  f"TO '{tmp_path}/embeddings.parquet'")
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        cur = c.execute(ORACLES[name])
+        assert got and rows(df.columns, got) == rows([d[0] for d in cur.description], cur.fetchall())
