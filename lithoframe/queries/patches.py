@@ -130,10 +130,10 @@ _OWN = f"""{TRACES},
 
 
 _Z = f"""SELECT il0, xl0, s0, CAST(pos AS INTEGER) AS pos,
-         {q6("CAST((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8) AS FLOAT)", 4)} AS z FROM px WINDOW w AS (PARTITION BY il0, xl0, s0)"""
+         {q6("CAST((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8) AS FLOAT)", 4)} AS z FROM px WINDOW w AS (PARTITION BY survey_id, il0, xl0, s0)"""
 
 
-@query("t6_patch_zscore", f"WITH {_BASE}, {TRUTH}, {_index_sql()}, {_VALUES} {_Z}")
+@query("t6_patch_zscore", f"WITH {_OWN} {_Z}")
 def t6(spark, sf):
     return _cut(spark, sf, transform=t.zscore).select(
         "il0", "xl0", "s0", F.posexplode("patch").alias("pos", "z")).withColumn(

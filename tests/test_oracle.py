@@ -120,6 +120,7 @@ def test_halves_along_a_stick_dont_depend_on_the_order_of_sums(spark, tmp_path):
 
 SURVEYS = [
     "t14_transform_hooks",
+    "t6_patch_zscore",
 ]
 
 
