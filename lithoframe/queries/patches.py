@@ -140,11 +140,11 @@ def t6(spark, sf):
         "z", r6(F.col("z").cast("double"), 4))
 
 
-@query("t7_patch_zscore_guarded", f"""WITH {_BASE}, {TRUTH}, {_index_sql()}, {_VALUES},
+@query("t7_patch_zscore_guarded", f"""WITH {_OWN},
   flat AS (SELECT * REPLACE (CASE WHEN (il0 + xl0) % 4 = 0 THEN 0.25 WHEN xl0 % 4 = 0 THEN a * 1e-7 ELSE a END AS a) FROM px)
   SELECT il0, xl0, s0, CAST(pos AS INTEGER) AS pos,
          {q6("CAST(CASE WHEN stddev_pop(a) OVER w > 1e-8 THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w ELSE a END AS FLOAT)", 4)} AS z
-  FROM flat WINDOW w AS (PARTITION BY il0, xl0, s0)""")
+  FROM flat WINDOW w AS (PARTITION BY survey_id, il0, xl0, s0)""")
 def t7(spark, sf):
     """Some patches are made flat, some nearly flat."""
     flat = lambda x: F.transform(x, lambda v: F.when((F.col("il0") + F.col("xl0")) % 4 == 0, F.lit(0.25)).when(
