@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithoframe.functions.lineage import cut
@@ -76,69 +76,76 @@ def build_index(vectors: DataFrame, width: int, blocks: int, s: Settings) -> Dat
         build, "block int, ids binary, vectors binary, kind string, postings binary, edges binary")
 
 
+def _kth(scores: np.ndarray, k: int) -> int:
+    """The k-th highest, or the lowest of fewer; 0 of none."""
+    at = max(0, len(scores) - k)
+    return np.partition(scores, at)[at] if len(scores) else 0
+
+
 class Block:
-    def __init__(self, row: dict, width: int):
+    """A block of the index, for queries without components beyond ``largest``; held in the smallest floats that keep its sums exact."""
+
+    def __init__(self, row: dict, width: int, largest: float):
         self.ids = np.frombuffer(row["ids"], "<i8")
         n = len(self.ids)
         self.v = np.frombuffer(row["vectors"], row["kind"]).reshape(n, width)
         self.postings = np.frombuffer(row["postings"], "<u4" if n >= 1 << 16 else "<u2").reshape(width, n).astype(np.intp)
         self.edges = np.frombuffer(row["edges"], np.int64).reshape(width, -1)
-        self.exact = self.v.astype(float)
-        self.top = float(np.abs(self.exact).max(initial=0.0))
+        reach = 2.0 * width * largest * float(np.abs(self.v.astype(float)).max(initial=0.0))
+        self.sure = reach < 2.0 ** 53
+        self.exact = self.v.astype(np.float32 if reach < 2.0 ** 24 else np.float64)
         self.sorted = np.take_along_axis(self.exact.T, self.postings, axis=1)
         last, first = np.maximum(self.edges[:, 1:] - 1, 0), np.minimum(self.edges[:, :-1], n - 1)
         self.high, self.low = (np.take_along_axis(self.sorted, at, axis=1) for at in (last, first))
-        self.filled = self.edges[:, 1:] > self.edges[:, :-1]
+        self.sizes = np.diff(self.edges)
 
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Exact: by floats where no sum can leave their integers, else by 64-bit integers."""
-        if self.top * float(np.abs(q).max(initial=0)) * len(q) < 2.0 ** 53:
-            return (self.exact[at] @ q.astype(float)).astype(np.int64)
+        if self.sure:
+            return (self.exact[at] @ q.astype(self.exact.dtype)).astype(np.int64)
         return self.v[at].astype(np.int64) @ q
 
     def best(self, query_id: int, q: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors of the block, the query's own id left out.
 
-        The accumulators hold what the segments so far add above each dimension's least. Segments of a dimension are taken
-        from one end of its postings, so those of a step are one run of them. Where floats can't hold the sums exactly,
-        nothing is excluded and the whole block is scored.
+        The accumulators hold the most that each vector can score: its own part in the dimensions where its segment was
+        taken, and that of the best open segment in the others. Segments of a dimension are taken from one end of
+        its postings, so those taken so far are one run of them. The vectors with the highest bounds are scored for a bar. Where
+        floats can't hold the sums exactly, nothing is excluded and the whole block is scored.
         """
         n, (width, parts) = len(self.ids), self.high.shape
-        weight = q.astype(float)
+        possible = np.flatnonzero(self.ids != query_id)
+        weight = q.astype(self.exact.dtype)
         up = weight > 0
-        ends = np.where(up, self.sorted[:, 0], self.sorted[:, -1])
-        impact = weight[:, None] * (np.where(up[:, None], self.high, self.low) - ends[:, None])
-        impact[~self.filled | (weight == 0)[:, None]] = 0.0
+        least, most = (weight * np.where(up == top, self.sorted[:, -1], self.sorted[:, 0]) for top in (False, True))
+        impact = weight[:, None] * np.where(up[:, None], self.high, self.low) - least[:, None]
+        impact[self.sizes == 0] = 0.0
         rank = np.argsort(-impact, axis=None, kind="stable")
         rank = rank[impact.ravel()[rank] > 0]
-        dims = rank // parts
-        done = np.cumsum((self.edges[:, 1:] - self.edges[:, :-1]).ravel()[rank])
-        edge = np.where(up, n, 0)
-        score, possible, reached = np.zeros(n), np.flatnonzero(self.ids != query_id), 0
-        sure = 4 * self.top * float(np.abs(weight).max(initial=0)) * width < 2.0 ** 53
-        for share in s.steps if sure and len(possible) > s.k and len(rank) else ():
+        dims, done = rank // parts, np.cumsum(self.sizes.ravel()[rank])
+        bound = np.full(n, most.sum(), weight.dtype)
+        for share in s.steps if self.sure and len(possible) > s.k and len(rank) else ():
             upto = int(np.searchsorted(done, share * done[-1], side="right"))
-            segment = rank[reached:upto] % parts
-            at, gain = [], []
-            for d in np.unique(dims[reached:upto]).tolist():
-                own = segment[dims[reached:upto] == d]
-                i, j = ((self.edges[d, own.min()], edge[d]) if up[d] else (edge[d], self.edges[d, own.max() + 1]))
-                edge[d] = i if up[d] else j
-                at.append(self.postings[d, i:j])
-                gain.append((self.sorted[d, i:j] - ends[d]) * weight[d])
-            if at:
-                score += np.bincount(np.concatenate(at), np.concatenate(gain), n)
-            reached = upto
-            open_ = np.zeros(width)
-            np.maximum.at(open_, dims[reached:], impact.ravel()[rank[reached:]])
-            held = score[possible]
-            bar = np.partition(held, len(held) - s.k)[len(held) - s.k]
-            possible = possible[held + open_.sum() >= bar - 0.5]
+            begin, end, open_ = np.full(width, n), np.zeros(width, np.int64), least.copy()
+            np.minimum.at(begin, dims[:upto], self.edges[:, :-1].ravel()[rank[:upto]])
+            np.maximum.at(end, dims[:upto], self.edges[:, 1:].ravel()[rank[:upto]])
+            np.maximum.at(open_, dims[upto:], least[dims[upto:]] + impact.ravel()[rank[upto:]])
+            bound += (open_ - most).sum()
+            for d in np.flatnonzero(begin < end).tolist():
+                gain = self.sorted[d, begin[d]:end[d]] * weight[d]
+                np.minimum(gain, most[d], out=gain)
+                gain -= open_[d]
+                np.add.at(bound, self.postings[d, begin[d]:end[d]], gain)
+            most, held = open_, bound[possible]
+            likely = possible[np.argpartition(held, max(0, len(held) - 8 * s.k))[-8 * s.k:]]
+            possible = possible[held >= _kth(self.scores(likely, q), s.k)]
             if len(possible) <= max(s.k, s.enough * n):
                 break
         exact = self.scores(possible, q)
-        order = np.lexsort((self.ids[possible], -exact))[:s.k]
-        return self.ids[possible][order], exact[order]
+        good = exact >= _kth(exact, s.k)
+        ids, exact = self.ids[possible[good]], exact[good]
+        order = np.lexsort((ids, -exact))[:s.k]
+        return ids[order], exact[order]
 
 
 def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -159,7 +166,9 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
         empty = known.sparkSession.createDataFrame([], schema)
         return empty.select("query_id", F.lit(0).cast("int").alias("rank"), "vec_id", "score")
     width, blocks, groups = max(width, wide, 1), math.ceil(n / s.block), math.ceil(m / s.queries)
-    index = cut(build_index(known, width, blocks, s))
+    index = build_index(known, width, blocks, s)
+    # A block of the index meets the queries slice by slice: no more slices than keep all cores at work, as each gets a copy of it.
+    slices = min(groups, math.ceil(8 * known.sparkSession.sparkContext.defaultParallelism / blocks))
 
     def gather(table: pa.Table) -> pa.Table:
         ids, v = _matrix(table, width)
@@ -168,15 +177,23 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
 
     dealt = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(groups)).cast("int"))
     asked_blocks = dealt.groupBy("query_block").applyInArrow(gather, "query_block int, q_ids binary, q binary, q_kind string")
-    left = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def dealt_out(df: DataFrame, block: Column, slice_: Column) -> DataFrame:
+        return df.withColumn("tile", block * slices + slice_).repartitionById(blocks * slices, F.col("tile"))
+
+    def below(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = dealt_out(index.withColumn("slice", below(slices)), F.col("block"), F.col("slice"))
+    right = dealt_out(asked_blocks.withColumn("of", below(blocks)), F.col("of"), F.col("query_block") % slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                block, q_ids = Block(row, width), np.frombuffer(row["q_ids"], "<i8")
+                q_ids = np.frombuffer(row["q_ids"], "<i8")
                 asked_ = np.frombuffer(row["q"], row["q_kind"]).reshape(len(q_ids), width).astype(np.int64)
+                block = Block(row, width, float(np.abs(asked_.astype(float)).max()))
                 found = [block.best(int(k), q, s) for k, q in zip(q_ids, asked_)]
                 counts = [len(x) for x, _ in found]
                 marks = [int.from_bytes(_digest(q), "little", signed=True) for q in asked_]
@@ -186,7 +203,8 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
                      pa.array(np.concatenate([x for _, x in found]).astype(np.int64))],
                     ["query_id", "query_hash", "vec_id", "score"])
 
-    each = left.join(right, ["block", "query_block"]).mapInArrow(run, schema)
+    # Never broadcast: the right side has the queries once for every block.
+    each = left.join(right.hint("merge"), "tile").mapInArrow(run, schema)
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return (each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

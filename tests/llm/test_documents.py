@@ -408,6 +408,36 @@ def test_search_with_large_components(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, k, score) for k in range(5)]
 
 
+@pytest.mark.parametrize("factor", [1, 1000])
+def test_search_excludes_most_after_half_of_the_postings(spark, factor):
+    """A vector is bounded by the open segments of its own, not by those of all dimensions; further steps are right too."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2000, 32)) * factor / np.sqrt(32)
+    whole, s = np.floor(256 * v).astype(np.int64), impact_search.Settings()
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "vec_id long, embedding array<double>")
+    row = impact_search.build_index(impact_search.as_integers(df, "vec_id", "embedding", s), 32, 1, s).first().asDict()
+    block = impact_search.Block(row, 32, float(np.abs(whole).max()))
+    assert block.exact.dtype == (np.float32 if factor == 1 else np.float64)
+    scored, scores = [], block.scores
+    block.scores = lambda at, q: scored.append(len(at)) or scores(at, q)
+    for settings in (impact_search.Settings(steps=(0.5,)), impact_search.Settings(enough=0.0)):
+        scored.clear()
+        for q in range(20):
+            ids, best = block.best(q, whole[q], settings)
+            all_ = whole @ whole[q]
+            assert ids.tolist() == [k for k in np.lexsort((np.arange(2000), -all_)) if k != q][:5] and best.tolist() == all_[ids].tolist()
+        assert sum(scored) < 20 * len(v) / 2
+
+
+def test_search_deals_blocks_evenly(spark):
+    """Every slice of queries meets a block in a partition of its own, and queries aren't broadcast for all blocks at once."""
+    df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    found = impact_search.search(df.filter("vec_id % 50 = 0"), df, settings=impact_search.Settings(block=100, queries=5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"direct_shuffle_partition_id\(tile#\d+\), (\d+)\)", plan)
+    assert [int(n) for n in dealt] == [6 * 3] * 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_registered_queries(spark):
     import duckdb
     con = duckdb.connect()
