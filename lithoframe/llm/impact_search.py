@@ -110,33 +110,33 @@ class Block:
 
         The accumulators hold the most that each vector can score: its own part in the dimensions where its segment was
         taken, and that of the best open segment in the others. Segments of a dimension are taken from one end of
-        its postings, so those taken so far are one run of them. The vectors with the highest bounds are scored for a bar. Where
-        floats can't hold the sums exactly, nothing is excluded and the whole block is scored.
+        its postings, so those taken so far are one run of them; a further step adds its longer runs up anew, as all open
+        segments are others. The vectors with the highest bounds are scored for a bar. Where floats can't hold the sums
+        exactly, nothing is excluded and the whole block is scored.
         """
         n, (width, parts) = len(self.ids), self.high.shape
         possible = np.flatnonzero(self.ids != query_id)
         weight = q.astype(self.exact.dtype)
         up = weight > 0
-        least, most = (weight * np.where(up == top, self.sorted[:, -1], self.sorted[:, 0]) for top in (False, True))
+        least = weight * np.where(up, self.sorted[:, 0], self.sorted[:, -1])
         impact = weight[:, None] * np.where(up[:, None], self.high, self.low) - least[:, None]
         impact[self.sizes == 0] = 0.0
         rank = np.argsort(-impact, axis=None, kind="stable")
         rank = rank[impact.ravel()[rank] > 0]
         dims, done = rank // parts, np.cumsum(self.sizes.ravel()[rank])
-        bound = np.full(n, most.sum(), weight.dtype)
         for share in s.steps if self.sure and len(possible) > s.k and len(rank) else ():
             upto = int(np.searchsorted(done, share * done[-1], side="right"))
             begin, end, open_ = np.full(width, n), np.zeros(width, np.int64), least.copy()
             np.minimum.at(begin, dims[:upto], self.edges[:, :-1].ravel()[rank[:upto]])
             np.maximum.at(end, dims[:upto], self.edges[:, 1:].ravel()[rank[:upto]])
             np.maximum.at(open_, dims[upto:], least[dims[upto:]] + impact.ravel()[rank[upto:]])
-            bound += (open_ - most).sum()
-            for d in np.flatnonzero(begin < end).tolist():
-                gain = self.sorted[d, begin[d]:end[d]] * weight[d]
-                np.minimum(gain, most[d], out=gain)
-                gain -= open_[d]
-                np.add.at(bound, self.postings[d, begin[d]:end[d]], gain)
-            most, held = open_, bound[possible]
+            bound = np.full(n, open_.sum(), weight.dtype)
+            for d, (i, j) in enumerate(zip(begin.tolist(), end.tolist())):
+                if i < j:
+                    gain = self.sorted[d, i:j] * weight[d]
+                    gain -= open_[d]
+                    np.add.at(bound, self.postings[d, i:j], gain)
+            held = bound[possible]
             likely = possible[np.argpartition(held, max(0, len(held) - 8 * s.k))[-8 * s.k:]]
             possible = possible[held >= _kth(self.scores(likely, q), s.k)]
             if len(possible) <= max(s.k, s.enough * n):
