@@ -167,8 +167,9 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
         return empty.select("query_id", F.lit(0).cast("int").alias("rank"), "vec_id", "score")
     width, blocks, groups = max(width, wide, 1), math.ceil(n / s.block), math.ceil(m / s.queries)
     index = build_index(known, width, blocks, s)
-    # A block of the index meets the queries slice by slice: no more slices than keep all cores at work, as each gets a copy of it.
-    slices = min(groups, math.ceil(8 * known.sparkSession.sparkContext.defaultParallelism / blocks))
+    # Bundles of blocks meet slices of queries: no more of either than keep all cores at work, as each of one gets a copy of the other.
+    wanted = 8 * known.sparkSession.sparkContext.defaultParallelism
+    bundles, slices = min(blocks, wanted), min(groups, math.ceil(wanted / blocks))
 
     def gather(table: pa.Table) -> pa.Table:
         ids, v = _matrix(table, width)
@@ -178,14 +179,14 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
     dealt = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(groups)).cast("int"))
     asked_blocks = dealt.groupBy("query_block").applyInArrow(gather, "query_block int, q_ids binary, q binary, q_kind string")
 
-    def dealt_out(df: DataFrame, block: Column, slice_: Column) -> DataFrame:
-        return df.withColumn("tile", block * slices + slice_).repartitionById(blocks * slices, F.col("tile"))
+    def dealt_out(df: DataFrame, bundle: Column, slice_: Column) -> DataFrame:
+        return df.withColumn("tile", bundle * slices + slice_).repartitionById(bundles * slices, F.col("tile"))
 
     def below(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = dealt_out(index.withColumn("slice", below(slices)), F.col("block"), F.col("slice"))
-    right = dealt_out(asked_blocks.withColumn("of", below(blocks)), F.col("of"), F.col("query_block") % slices)
+    left = dealt_out(index.withColumn("slice", below(slices)), F.col("block") % bundles, F.col("slice"))
+    right = dealt_out(asked_blocks.withColumn("bundle", below(bundles)), F.col("bundle"), F.col("query_block") % slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def search(queries: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", embed
                      pa.array(np.concatenate([x for _, x in found]).astype(np.int64))],
                     ["query_id", "query_hash", "vec_id", "score"])
 
-    # Never broadcast: the right side has the queries once for every block.
+    # Never broadcast: the right side has the queries once for every bundle.
     each = left.join(right.hint("merge"), "tile").mapInArrow(run, schema)
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
     return (each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)

@@ -430,12 +430,16 @@ def test_search_excludes_most_after_half_of_the_postings(spark, factor):
 
 
 def test_search_deals_blocks_evenly(spark):
-    """Every slice of queries meets a block in a partition of its own, and queries aren't broadcast for all blocks at once."""
+    """Every slice of queries meets a bundle of blocks in a partition of its own, and queries aren't broadcast for all at once."""
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     found = impact_search.search(df.filter("vec_id % 50 = 0"), df, settings=impact_search.Settings(block=100, queries=5))
-    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan, tiles = found._jdf.queryExecution().executedPlan().toString(), 8 * spark.sparkContext.defaultParallelism
     dealt = re.findall(r"direct_shuffle_partition_id\(tile#\d+\), (\d+)\)", plan)
-    assert [int(n) for n in dealt] == [6 * 3] * 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [int(n) for n in dealt] == [min(6, tiles) * min(3, -(-tiles // 6))] * 2 and "SortMergeJoin" in plan and "Broadcast" not in plan
+    many = impact_search.search(df.filter("vec_id % 50 = 0"), df, settings=impact_search.Settings(block=max(1, 600 // (3 * tiles)), queries=5))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"direct_shuffle_partition_id\(tile#\d+\), (\d+)\)", plan) == [str(tiles)] * 2
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_registered_queries(spark):
